@@ -51,6 +51,26 @@ def merge_intervals(df: DataFrame, keys: list[str], start: str = "start", end: s
     return seg.groupBy(*keys, "seg_start").agg(F.max("_e").alias("seg_end"), F.sum("_n").alias("n_intervals"))
 
 
+def merge_within(df: DataFrame, keys: list[str], start: str, end: str, name: str) -> DataFrame:
+    """Merged segments as an array per key, for keys whose coordinates are short (a read, a protein).
+
+    Equal starts collapse map-side, so an array has at most one entry per coordinate however many
+    intervals share the key. Returns (keys, ``name``, n_intervals).
+    """
+    collapsed = df.groupBy(*keys, F.col(start).alias("_s")).agg(F.max(end).alias("_e"), F.count(F.lit(1)).alias("_n"))
+    points = F.array_sort(F.collect_list(F.struct(F.col("_s").alias("start"), F.col("_e").alias("end"))))
+    out = collapsed.groupBy(*keys).agg(points.alias("_p"), F.sum("_n").alias("n_intervals"))
+
+    def step(acc, x):
+        last = F.element_at(acc, -1)
+        grown = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
+        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(grown))
+        return F.when(x["start"] <= last["end"] + 1, joined).otherwise(F.concat(acc, F.array(x)))
+
+    merged = F.aggregate(F.slice(F.col("_p"), 2, F.size("_p")), F.slice(F.col("_p"), 1, 1), step)
+    return out.select(*keys, F.when(F.size("_p") == 1, F.col("_p")).otherwise(merged).alias(name), "n_intervals")
+
+
 def covered_length(segments: DataFrame, keys: list[str]) -> DataFrame:
     return segments.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_segments"), F.sum(F.col("seg_end") - F.col("seg_start") + 1).alias("covered_len")
@@ -92,7 +112,7 @@ def depth(df: DataFrame, keys: list[str], lengths: DataFrame, length: str, start
         "_len",
     ).select(*keys, "_x.position", "_x._d", "_len").filter(F.col("position") <= F.col("_len")).drop("_len")
     spine = lengths.select(
-        *keys, F.explode(F.sequence(F.lit(1), F.col(length))).cast("long").alias("position"), F.lit(0).alias("_d")
+        *keys, F.explode(F.sequence(F.lit(1).cast("long"), F.col(length).cast("long"))).alias("position"), F.lit(0).alias("_d")
     )
     step = (
         signed.unionByName(spine)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sequence import _c, reverse_complement
-from .intervals import depth, merge_intervals
+from .intervals import depth, merge_within
 from .pairs import mate_support
 from .ranking import first_per_group
 
@@ -25,12 +25,11 @@ def consolidate_reads(hits: DataFrame, tie: list[Column], keys: tuple[str, ...]
     or one read only.
     """
     k = list(keys)
-    segs = F.array_sort(F.collect_list(F.struct(F.col("seg_start").alias("start"), F.col("seg_end").alias("end"))))
-    q = merge_intervals(hits, k, "qstart", "qend").groupBy(*k).agg(
-        F.sum("n_intervals").alias("n_hsps"), segs.alias("query_segments"),
-        F.sum(F.col("seg_end") - F.col("seg_start") + 1).alias("aa_covered_by_read"),
+    covered = F.aggregate("query_segments", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"] + 1)
+    q = merge_within(hits, k, "qstart", "qend", "query_segments").select(
+        *k, F.col("n_intervals").alias("n_hsps"), "query_segments", covered.alias("aa_covered_by_read")
     )
-    s = merge_intervals(hits, k, "sstart", "send").groupBy(*k).agg(segs.alias("subject_segments"))
+    s = merge_within(hits, k, "sstart", "send", "subject_segments").drop("n_intervals")
     best = best_hits(hits, k, tie).select(
         *k, F.col("pident").alias("best_pident"), F.col("evalue").alias("best_evalue"), F.col("bitscore").alias("best_bitscore")
     )

@@ -19,6 +19,7 @@ def build_session(app: str = "strandweave", cores: str | int = "*", shuffle_part
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     if "SPARK_MASTER" not in os.environ:
         b = b.master(f"local[{cores}]").config("spark.driver.memory", "20g")
