@@ -68,18 +68,20 @@ def translate_codon(codon) -> Column:
     return F.substring(F.lit(_RESIDUE_INDEX), F.shiftright(hit + 3, 2) + 1, F.lit(1))
 
 
-def _residue_at(seq: Column, start: Column) -> Column:
-    hit = F.instr(F.lit(_CODON_INDEX), F.substring(seq, start, F.lit(3)))
-    return F.substring(F.lit(_RESIDUE_INDEX), F.shiftright(hit + 3, 2) + 1, F.lit(1))
+def codons(seq, frame=1) -> Column:
+    """Array of the complete codons from ``frame`` (1-3) on.
+
+    One linear pass: the sequence is evaluated once and cut by the regex engine, so neither long
+    contigs nor costly input expressions are revisited per codon.
+    """
+    s, f = _c(seq), (frame if isinstance(frame, Column) else F.lit(frame))
+    return F.regexp_extract_all(F.substring(s, f, F.length(s)), F.lit("(?s)..."), F.lit(0))
 
 
 def translate_array(seq, frame=1) -> Column:
     """Residues of the complete codons from ``frame`` (1-3) on, as an array."""
-    s, f = _c(seq), (frame if isinstance(frame, Column) else F.lit(frame))
-    n = F.floor((F.length(s) - f + 1) / 3).cast("int")
-    return F.when(
-        n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: _residue_at(s, (f + i * 3).cast("int")))
-    ).when(s.isNotNull(), F.array().cast("array<string>"))
+    hit = lambda c: F.shiftright(F.instr(F.lit(_CODON_INDEX), c) + 3, 2) + 1
+    return F.transform(codons(seq, frame), lambda c: F.substring(F.lit(_RESIDUE_INDEX), hit(c), F.lit(1)))
 
 
 def translate_frame(seq, frame=1) -> Column:
@@ -111,6 +113,22 @@ def six_frames(seq) -> Column:
     return F.array(*rows)
 
 
+def best_frame(seq) -> Column:
+    """The frame with most residues other than X as (orientation, frame, residues); first on ties."""
+    scored = F.transform(
+        six_frames(seq),
+        lambda f: F.struct(
+            (F.length(f["peptide"]) - count_residue(f["peptide"], "X")).alias("residues"),
+            (-f["ordinal"]).alias("rank"), f["orientation"].alias("orientation"), f["frame"].alias("frame"),
+        ),
+    )
+    best = F.array_max(scored)
+    return F.when(
+        best["residues"] > 0,
+        F.struct(best["orientation"].alias("orientation"), best["frame"].alias("frame"), best["residues"].alias("residues")),
+    )
+
+
 def count_letters(s, letters: str) -> Column:
     """How many characters of ``s`` are in ``letters``."""
     c = _c(s)
@@ -174,31 +192,33 @@ def percent_identity(a, b, unequal: str = "null") -> Column:
 def substitutions(reference, observed, offset: int = 0, truncate: bool = False) -> Column:
     """Array of (position, mutation, reference, observed) where two proteins differ."""
     a, b = _c(reference), _c(observed)
-    n = F.least(F.length(a), F.length(b))
-    if not truncate:
-        n = F.when(F.length(a) == F.length(b), n)
     rows = F.transform(
-        F.when(n > 0, F.sequence(F.lit(1), n)).when(n == 0, F.array().cast("array<int>")),
-        lambda i: F.struct(
-            (i + offset).alias("position"),
-            F.concat(F.substring(a, i, F.lit(1)), (i + offset).cast("string"), F.substring(b, i, F.lit(1))).alias(
-                "mutation"
-            ),
-            F.substring(a, i, F.lit(1)).alias("reference"),
-            F.substring(b, i, F.lit(1)).alias("observed"),
+        _differing(a, b),
+        lambda r: F.struct(
+            (r["i"] + offset).alias("position"),
+            F.concat(r["x"], (r["i"] + offset).cast("string"), r["y"]).alias("mutation"),
+            r["x"].alias("reference"),
+            r["y"].alias("observed"),
         ),
     )
-    return F.filter(rows, lambda r: r["reference"] != r["observed"])
+    return rows if truncate else F.when(F.length(a) == F.length(b), rows)
 
 
-def mismatch_positions(a, b) -> Column:
-    """1-based indices at which two strings differ, over their shared length."""
-    a, b = _c(a), _c(b)
+def _differing(a: Column, b: Column) -> Column:
+    """Array of (i, x, y) where two strings differ over their shared length; linear in the length."""
     n = F.least(F.length(a), F.length(b))
-    return F.filter(
-        F.when(n > 0, F.sequence(F.lit(1), n)).when(n == 0, F.array().cast("array<int>")),
-        lambda i: F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1)),
+    head = lambda s: _chars(F.substring(s, F.lit(1), n))
+    pairs = F.transform(
+        F.arrays_zip(head(a).alias("x"), head(b).alias("y")),
+        lambda p, i: F.struct((i + 1).alias("i"), p["x"].alias("x"), p["y"].alias("y")),
     )
+    empty = F.array().cast("array<struct<i:int,x:string,y:string>>")
+    return F.when(n > 0, F.filter(pairs, lambda p: p["x"] != p["y"])).when(n == 0, empty)
+
+
+def mismatch_positions(a, b) -> Column:
+    """1-based indices at which two strings differ, over their shared length."""
+    return F.transform(_differing(_c(a), _c(b)), lambda p: p["i"])
 
 
 def detect_sequence_type(seq) -> Column:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.reads import PAIR_RULES, pair_id_by_rule
 from .intervals import any_overlap
 
 
@@ -171,3 +171,18 @@ def consolidate(merged: DataFrame, gap_start: int, gap_end: int) -> DataFrame:
             "full_gap": F.coalesce(both & (F.col("pair_gap_start") <= gap_start) & (F.col("pair_gap_end") >= gap_end), F.lit(False)),
         }
     )
+
+
+def pair_rule_rates(reads: DataFrame, index: str = "read_index") -> DataFrame:
+    """Share of row-aligned mates whose ids agree under each naming convention, all rules in one pass."""
+    both = reads.groupBy(index).agg(
+        F.max(F.when(F.col("mate") == "R1", F.col("read_id"))).alias("a"), F.max(F.when(F.col("mate") == "R2", F.col("read_id"))).alias("b")
+    ).filter(F.col("a").isNotNull() & F.col("b").isNotNull())
+    rates = both.agg(*[F.avg((pair_id_by_rule("a", r) == pair_id_by_rule("b", r)).cast("int")).alias(r) for r in PAIR_RULES])
+    return rates.unpivot([], list(PAIR_RULES), "rule", "match_rate")
+
+
+def confirmed_rule(rates: DataFrame) -> str | None:
+    """First convention (in the fixed order) with a full match, or None: five values reach the driver."""
+    got = {r["rule"]: r["match_rate"] for r in rates.collect()}
+    return next((r for r in PAIR_RULES if got.get(r) == 1.0), None)

@@ -67,6 +67,16 @@ def degenerate_pattern(anchor: str, offset: int, target_codon: str = "NNN") -> s
     return "".join(target_codon if i == offset else residue_to_iupac(a) for i, a in enumerate(anchor, 1))
 
 
+def degenerate_pattern_column(anchor, offset: int, target_codon: str = "NNN") -> Column:
+    """The same pattern as a column, for catalogues held as data; X and unknown letters give NNN."""
+    a = F.col(anchor) if isinstance(anchor, str) else anchor
+    letters = "".join(sorted(set(AA64)))
+    codes = "".join(residue_to_iupac(x) for x in letters)
+    codon = lambda x: F.when(F.instr(F.lit(letters), x) > 0, F.substring(F.lit(codes), (F.instr(F.lit(letters), x) * 3 - 2), F.lit(3))).otherwise("NNN")
+    parts = F.transform(F.split(a, ""), lambda x, i: F.when(i == offset - 1, F.lit(target_codon)).otherwise(codon(x)))
+    return F.array_join(parts, "")
+
+
 def iupac_reverse_complement(pattern: str) -> str:
     return pattern[::-1].translate(str.maketrans(IUPAC, IUPAC_COMPLEMENT))
 

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.reads import codon_start, is_forward, read_codon
-from ..functions.sequence import composition_ratio, reverse_complement, translate_codon
+from ..functions.reads import codon_start, is_forward
+from ..functions.sequence import codons, composition_ratio, reverse_complement, translate_codon
 
 MIN_TAIL_NT = 30
 
@@ -51,17 +51,17 @@ def extend_into_gap(df: DataFrame, gap_start: int, gap_end: int, name: str = "ex
     """Add ``name``: array of (position, codon, aa) in ascending position order on both sides."""
     lo, hi = extension_range(gap_start, gap_end, **cols)
     seq, qs, a, b = (F.col(cols.get(c, c)) for c in ("seq", "qstart", "sstart", "send"))
-    rev = ~is_forward(a, b)
+    fwd = is_forward(a, b)
+    # The codons of lo..hi are one contiguous stretch of the read: cut it out once, orient it, then split.
+    first = F.when(fwd, codon_start(qs, a, b, F.col("_lo"))).otherwise(codon_start(qs, a, b, F.col("_hi")))
+    stretch = F.substring(seq, first.cast("int"), (F.col("_hi") - F.col("_lo") + 1) * 3)
     spelled = F.transform(
-        F.sequence(F.col("_lo"), F.col("_hi")),
-        lambda p: F.struct(p.alias("position"), read_codon(seq, codon_start(qs, a, b, p), rev).alias("codon")),
-    )
-    with_aa = F.transform(
-        spelled, lambda x: F.struct(x["position"].alias("position"), x["codon"].alias("codon"), translate_codon(x["codon"]).alias("aa"))
+        codons(F.when(fwd, stretch).otherwise(reverse_complement(stretch))),
+        lambda c, i: F.struct((F.col("_lo") + i).alias("position"), c.alias("codon"), translate_codon(c).alias("aa")),
     )
     empty = F.array().cast("array<struct<position:int,codon:string,aa:string>>")
     out = df.withColumns({"_lo": lo, "_hi": hi})
-    return out.withColumn(name, F.when(F.col("_lo") <= F.col("_hi"), with_aa).otherwise(empty)).drop("_lo", "_hi")
+    return out.withColumn(name, F.when(F.col("_lo") <= F.col("_hi"), spelled).otherwise(empty)).drop("_lo", "_hi")
 
 
 def evidence_class(df: DataFrame, reference: str, segment: str = "segment", extension: str = "extension",
