@@ -29,10 +29,6 @@ GLU_CODONS = ("GAA", "GAG")
 
 CODONS = ["".join(c) for c in product(BASES, repeat=3)]
 CODE = dict(zip(CODONS, AA64))
-# Comma-separated so that a three-letter needle can only match at a codon boundary.
-_CODON_INDEX = ",".join(CODONS)
-# Index 0 (codon not found: ambiguous base) reads the leading X.
-_RESIDUE_INDEX = "X" + AA64
 
 
 def codons_for(residue: str) -> list[str]:
@@ -58,14 +54,18 @@ def reverse_complement(seq) -> Column:
     return F.reverse(F.translate(_c(seq), IUPAC, IUPAC_COMPLEMENT))
 
 
+def _code() -> Column:
+    """The genetic code as one map literal."""
+    return F.create_map(*[F.lit(v) for pair in CODE.items() for v in pair])
+
+
 def translate_codon(codon) -> Column:
     """Residue of an exact ACGT codon; X for anything else; null stays null.
 
     The internal-codon rule applies everywhere: CTG and TTG are leucine even in first place.
     """
     c = _c(codon)
-    hit = F.when(F.length(c) == 3, F.instr(F.lit(_CODON_INDEX), c)).when(c.isNotNull(), F.lit(0))
-    return F.substring(F.lit(_RESIDUE_INDEX), F.shiftright(hit + 3, 2) + 1, F.lit(1))
+    return F.when(c.isNotNull(), F.coalesce(F.element_at(_code(), c), F.lit("X")))
 
 
 def codons(seq, frame=1) -> Column:
@@ -80,8 +80,7 @@ def codons(seq, frame=1) -> Column:
 
 def translate_array(seq, frame=1) -> Column:
     """Residues of the complete codons from ``frame`` (1-3) on, as an array."""
-    hit = lambda c: F.shiftright(F.instr(F.lit(_CODON_INDEX), c) + 3, 2) + 1
-    return F.transform(codons(seq, frame), lambda c: F.substring(F.lit(_RESIDUE_INDEX), hit(c), F.lit(1)))
+    return F.transform(codons(seq, frame), lambda c: F.coalesce(F.element_at(_code(), c), F.lit("X")))
 
 
 def translate_frame(seq, frame=1) -> Column:
@@ -114,18 +113,18 @@ def six_frames(seq) -> Column:
 
 
 def best_frame(seq) -> Column:
-    """The frame with most residues other than X as (orientation, frame, residues); first on ties."""
-    scored = F.transform(
-        six_frames(seq),
-        lambda f: F.struct(
-            (F.length(f["peptide"]) - count_residue(f["peptide"], "X")).alias("residues"),
-            (-f["ordinal"]).alias("rank"), f["orientation"].alias("orientation"), f["frame"].alias("frame"),
-        ),
-    )
-    best = F.array_max(scored)
-    return F.when(
-        best["residues"] > 0,
-        F.struct(best["orientation"].alias("orientation"), best["frame"].alias("frame"), best["residues"].alias("residues")),
+    """The frame with most residues other than X; first on ties. Struct (residues, rank, orientation, frame).
+
+    Read it with ``inline(array(best_frame(..)))`` so that the six translations run once per row.
+    """
+    return F.array_max(
+        F.transform(
+            six_frames(seq),
+            lambda f: F.struct(
+                (F.length(f["peptide"]) - count_residue(f["peptide"], "X")).alias("residues"),
+                (-f["ordinal"]).alias("rank"), f["orientation"].alias("orientation"), f["frame"].alias("frame"),
+            ),
+        )
     )
 
 

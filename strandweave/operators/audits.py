@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .once import once
 from ..functions.reads import codon_quality, codon_start, frame_status, is_forward, read_codon, segment_codon, strand
 from ..functions.sequence import (
     GLU_CODONS, LYS_CODONS, match_count, min_hamming_table, mismatch_positions, percent_identity, reverse_complement,
@@ -41,10 +42,9 @@ def base_evidence(df: DataFrame, qual_offset: int = 33) -> DataFrame:
             "codon_nt_start": F.when(located, F.col("_start")),
             "codon_nt_end": F.when(located, F.col("_start") + 2),
             "read_length": n,
-            "codon": F.when(ok, read_codon("seq", "_start", rev)),
-            "_q": F.when(ok, codon_quality("qual", "_start", rev, qual_offset)),
         }
     )
+    out = once(out, {"codon": F.when(ok, read_codon("seq", "_start", rev)), "_q": F.when(ok, codon_quality("qual", "_start", rev, qual_offset))})
     return out.withColumns(
         {
             **{f"codon_base{i}": F.substring("codon", i, 1) for i in (1, 2, 3)},
@@ -64,8 +64,8 @@ def conflict_audit(df: DataFrame) -> DataFrame:
 
     Input: position, aa_n, aa_c and per role segment_x, start_x, end_x (null when the tail is absent).
     """
-    out = df.withColumns(
-        {f"codon_{r}": segment_codon(f"segment_{r}", f"start_{r}", f"end_{r}", "position") for r in ("n", "c")}
+    out = once(
+        df, {f"codon_{r}": segment_codon(f"segment_{r}", f"start_{r}", f"end_{r}", "position") for r in ("n", "c")}
     ).withColumns({f"frame_{r}": frame_status(f"segment_{r}") for r in ("n", "c")})
     cn, cc, an, ac = (F.col(x) for x in ("codon_n", "codon_c", "aa_n", "aa_c"))
     low = F.greatest("start_n", "start_c")
@@ -125,7 +125,7 @@ def frame_match(segment, reported) -> tuple[Column, Column]:
 
 def frame_audit(df: DataFrame, segment: str = "segment", reported: str = "translated_candidate") -> DataFrame:
     fwd, rev = frame_match(segment, reported)
-    out = df.withColumns({"_f": fwd, "_r": rev})
+    out = once(df, {"_f": fwd, "_r": rev})
     cls = (
         F.when(F.col("_f") == 1, "frame_1_match")
         .when(F.col("_f").isNotNull(), "non_frame_1_forward")
@@ -139,7 +139,7 @@ def anomaly_cause(df: DataFrame) -> DataFrame:
     """Why identical codons were reported as different residues; needs segment_x and reported_x."""
     fn, rn = frame_match("segment_n", "reported_n")
     fc, rc = frame_match("segment_c", "reported_c")
-    out = df.withColumns({"_fn": fn, "_rn": rn, "_fc": fc, "_rc": rc})
+    out = once(df, {"_fn": fn, "_rn": rn, "_fc": fc, "_rc": rc})
     gone = F.col("segment_n").isNull() | F.col("segment_c").isNull()
     shift = lambda c: (F.col(c) - 1).cast("string")
     cause = (
@@ -232,11 +232,11 @@ def discordance_audit(df: DataFrame, strand_aware: bool = True) -> DataFrame:
     out = out.withColumns({"extraction_status": status, "_lo": lo.cast("int"), "_span": span.cast("int"),
                            "reported_aa": F.upper("translated_candidate")})
     ok = F.col("extraction_status") == "success"
-    out = out.withColumn("expected_nt", F.when(ok, F.substring(F.col("segment"), F.col("_lo"), F.col("_span"))))
-    out = out.withColumn("reconstructed_aa", translate_strict("expected_nt"))
+    nt = F.when(ok, F.substring(F.col("segment"), F.col("_lo"), F.col("_span")))
+    out = once(out, {"expected_nt": nt, "reconstructed_aa": translate_strict(nt)})
     same_len = F.coalesce(F.length("reconstructed_aa") == F.length("reported_aa"), F.lit(False))
-    out = out.withColumn(
-        "aa_mismatch_count", F.when(same_len, F.length("reported_aa") - match_count("reconstructed_aa", "reported_aa"))
+    out = once(
+        out, {"aa_mismatch_count": F.when(same_len, F.length("reported_aa") - match_count("reconstructed_aa", "reported_aa"))}
     )
     cls = (
         F.when(~ok, F.col("extraction_status"))
@@ -260,7 +260,7 @@ def provenance_audit(df: DataFrame, strand_aware: bool = True) -> DataFrame:
     Input: the discordance audit's columns. Rows without a difference drop out.
     """
     diff = mismatch_positions("reported_aa", "reconstructed_aa")
-    out = df.withColumn("_d", diff).filter(F.size("_d") > 0)
+    out = once(df, {"_d": diff}).filter(F.size("_d") > 0)
     if "window_start" not in out.columns:
         out = codon_window(out)
     seg = F.col("segment")
@@ -287,7 +287,7 @@ def provenance_audit(df: DataFrame, strand_aware: bool = True) -> DataFrame:
             **{f"frame{k}_codon": cut(k) for k in (0, 1, 2)},
         }
     )
-    out = out.withColumns({f"frame{k}_aa": translate_codon(f"frame{k}_codon") for k in (0, 1, 2)})
+    out = once(out, {f"frame{k}_aa": translate_codon(f"frame{k}_codon") for k in (0, 1, 2)})
     spark = df.sparkSession
     table = F.broadcast(hamming_frame(spark).select(
         F.col("codon").alias("frame0_codon"), F.col("residue").alias("reported_residue"), F.col("distance").alias("hamming_distance")))
@@ -350,7 +350,8 @@ def orientation_diagnostic(df: DataFrame, reference: str, reverse_anchor: str =
         F.when(ok, F.substring(F.col("seq"), F.col("nt_lo").cast("int"), (F.col("nt_hi") - F.col("nt_lo") + 1).cast("int"))),
     )
     ref = F.when(ok, F.substring(F.col(reference), p.cast("int"), (r - p + 1).cast("int")))
-    out = out.withColumns(
+    out = once(
+        out,
         {
             "as_is": translate_frame("raw_segment"),
             "reverse_complemented": translate_frame(reverse_complement("raw_segment")),
@@ -359,7 +360,8 @@ def orientation_diagnostic(df: DataFrame, reference: str, reverse_anchor: str =
         }
     )
     ident = lambda a, b: percent_identity(a, b, unequal="truncate")
-    out = out.withColumns(
+    out = once(
+        out,
         {
             "id_as_is": ident("as_is", "reference_window"),
             "id_rc": ident("reverse_complemented", "reference_window"),
@@ -397,8 +399,9 @@ def validate_hits(df: DataFrame) -> DataFrame:
     )
     whole = F.length("raw_nt") % 3 == 0
     oriented = F.when(is_forward("sstart", "send"), F.col("raw_nt")).otherwise(reverse_complement("raw_nt"))
-    out = out.withColumn("our_translation", F.when(whole, translate_frame(oriented)))
-    out = out.withColumns(
+    out = once(out, {"our_translation": F.when(whole, translate_frame(oriented))})
+    out = once(
+        out,
         {
             "matches_sseq_pct": percent_identity("our_translation", "sseq_ungapped"),
             "length_difference": F.length("our_translation") - F.length("sseq_ungapped"),
@@ -419,14 +422,13 @@ def validate_hits(df: DataFrame) -> DataFrame:
 def cds_extraction_check(df: DataFrame, expected_bp: str, reference: str, region: str = "region") -> DataFrame:
     """Extracted CDS: divisible by three, expected length, start codon, identity to the reference protein."""
     s = F.col(region)
-    aa = F.regexp_replace(translate_frame(s), "\\*$", "")
-    return df.withColumns(
+    aa = F.col("protein")
+    return once(df, {"protein": F.regexp_replace(translate_frame(s), "\\*$", "")}).withColumns(
         {
             "region_bp": F.length(s),
             "divisible_by_3": F.length(s) % 3 == 0,
             "length_matches": F.length(s) == F.col(expected_bp),
             "start_codon": F.substring(s, 1, 3),
-            "protein": aa,
             "identity_pct": percent_identity(aa, F.col(reference)),
         }
     )

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .once import once
 from ..functions.reads import codon_start, is_forward
 from ..functions.sequence import codons, composition_ratio, reverse_complement, translate_codon
 
@@ -61,7 +62,7 @@ def extend_into_gap(df: DataFrame, gap_start: int, gap_end: int, name: str = "ex
     )
     empty = F.array().cast("array<struct<position:int,codon:string,aa:string>>")
     out = df.withColumns({"_lo": lo, "_hi": hi})
-    return out.withColumn(name, F.when(F.col("_lo") <= F.col("_hi"), spelled).otherwise(empty)).drop("_lo", "_hi")
+    return once(out, {name: F.when(F.col("_lo") <= F.col("_hi"), spelled).otherwise(empty)}).drop("_lo", "_hi")
 
 
 def evidence_class(df: DataFrame, reference: str, segment: str = "segment", extension: str = "extension",
@@ -74,7 +75,8 @@ def evidence_class(df: DataFrame, reference: str, segment: str = "segment", exte
     ref, ext = F.col(reference), F.col(extension)
     seen = F.filter(ext, lambda x: (x["aa"] != "X") & (x["position"] <= F.length(ref)))
     same = F.filter(seen, lambda x: x["aa"] == F.substring(ref, x["position"], F.lit(1)))
-    n, m = F.size(seen), F.size(same)
+    df = once(df, {"_n": F.size(seen), "_m": F.size(same), "_pep": F.array_join(F.transform(ext, lambda x: x["aa"]), "")})
+    n, m = F.col("_n"), F.col("_m")
     pct = F.when(n > 0, 100.0 * m / n).otherwise(0.0)
     nt = F.length(segment)
     short, none = nt < MIN_TAIL_NT, F.size(ext) == 0
@@ -84,7 +86,7 @@ def evidence_class(df: DataFrame, reference: str, segment: str = "segment", exte
         .when((m >= 6) & (pct >= 30), "B")
         .otherwise("C")
     )
-    peptide = F.array_join(F.transform(ext, lambda x: x["aa"]), "")
+    peptide = F.col("_pep")
     seen_text = F.concat(m.cast("string"), F.lit("/"), n.cast("string"), F.format_string(" interpretable aa match (%.1f%%)", pct))
     reason = (
         F.when(short, F.concat(F.lit(f"tail shorter than {MIN_TAIL_NT} nt ("), nt.cast("string"), F.lit(" nt)")))
@@ -104,7 +106,7 @@ def evidence_class(df: DataFrame, reference: str, segment: str = "segment", exte
             "evidence_class": cls,
             "class_reason": reason,
         }
-    )
+    ).drop("_n", "_m", "_pep")
 
 
 def valid_gap_rows(df: DataFrame, gap_start: int, gap_end: int, seq: str = "translated_candidate") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.once import once
 from ..functions.sequence import AA64, reverse_complement, translate_frame
 
 # --- fixed values of the adapters ---------------------------------------------------------
@@ -22,6 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rebalance only when a table has fewer splits than the cluster has slots (one small file); a
+    large table already has more and passes through without a shuffle."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+
+
 def epoch_seconds(ts: str):
     return F.expr(f"timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', {ts})")
 
@@ -32,27 +40,30 @@ def _letters(text: str):
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's letters cut into reads of 301 bases; odd tiles are the reverse-complemented mate."""
-    tiles = table(spark, sf_dir, "documents").select(
+    tiles = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", F.posexplode(F.regexp_extract_all(_letters("text"), F.lit(f".{{1,{READ_LENGTH}}}"), F.lit(0))).alias("t", "x")
     )
     r2 = F.col("t") % 2 == 1
     pair = F.concat(F.lit("D"), F.col("doc_id").cast("string"), F.lit(":"), F.floor(F.col("t") / 2).cast("string"))
     base = F.translate("x", ALPHABET, LETTER_TO_BASE)
     qual = F.translate("x", ALPHABET, LETTER_TO_QUALITY)
-    return tiles.select(
+    mapped = once(
+        tiles,
+        {"seq": F.when(r2, reverse_complement(base)).otherwise(base), "qual": F.when(r2, F.reverse(qual)).otherwise(qual)},
+    )
+    return mapped.select(
         "doc_id", F.col("t").cast("long").alias("tile"),
         (F.col("doc_id") * 1000 + F.floor(F.col("t") / 2) + 1).alias("read_index"),
         F.concat(pair, F.when(r2, "/2").otherwise("/1")).alias("read_id"),
         pair.alias("pair_id"),
         F.when(r2, "R2").otherwise("R1").alias("mate"),
-        F.when(r2, reverse_complement(base)).otherwise(base).alias("seq"),
-        F.when(r2, F.reverse(qual)).otherwise(qual).alias("qual"),
+        "seq", "qual",
     )
 
 
 def documents_dna(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One record per document: all its letters as bases."""
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")).select(
         "doc_id", F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("name"), "lang", "source",
         F.translate(_letters("text"), ALPHABET, LETTER_TO_BASE).alias("seq"),
     )
@@ -61,9 +72,8 @@ def documents_dna(spark: SparkSession, sf_dir: str) -> DataFrame:
 def proteins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One reference per benchmark item: gene, cds and its translation."""
     b = table(spark, sf_dir, "benchmark").select("item_id", F.translate(_letters("text"), ALPHABET, LETTER_TO_BASE).alias("cds"))
-    return b.select(
-        "item_id", F.concat(F.lit("B"), F.col("item_id").cast("string")).alias("gene"), "cds", translate_frame("cds").alias("seq")
-    )
+    b = once(b, {"seq": translate_frame("cds")})
+    return b.select("item_id", F.concat(F.lit("B"), F.col("item_id").cast("string")).alias("gene"), "cds", "seq")
 
 
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:

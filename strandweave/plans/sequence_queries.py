@@ -8,6 +8,7 @@ from ..functions import reads as rd
 from ..functions import sequence as sq
 from ..operators import audits as au
 from ..operators import orfs
+from ..operators.once import once
 from ..operators import qc
 from ..operators import references as rf
 from ..operators import reshape as rs
@@ -87,8 +88,7 @@ WITH {READS}, o AS (SELECT read_id, seq AS a, {RC('seq')} AS b FROM reads), l AS
  {' UNION ALL '.join(f"SELECT read_id, '{n}' AS orientation, {f} AS frame, {k * 3 + f} AS o, {_nonx(c, f)} AS residues FROM o" for k, (n, c) in enumerate((('fwd', 'a'), ('rev', 'b'))) for f in (1, 2, 3))})
 SELECT * FROM l WHERE residues > 0 QUALIFY row_number() OVER (PARTITION BY read_id ORDER BY residues DESC, o) = 1""")
 def h8(s, d):
-    b = reads(s, d).select("read_id", sq.best_frame("seq").alias("b")).filter(F.col("b").isNotNull())
-    return b.select("read_id", "b.orientation", "b.frame", "b.residues")
+    return reads(s, d).select("read_id", F.inline(F.array(sq.best_frame("seq")))).filter(F.col("residues") > 0)
 
 
 @query("h9_open_segments", "name s, segments i, longest i, total i", f"""
@@ -546,9 +546,10 @@ t3 AS (SELECT *, repeat('G', CAST(greatest(lo_p - 1, 0) AS INTEGER)) || CASE doc
 
 def tails(s, d):
     r = rhits(s, d).filter(F.greatest("sstart", "send") <= F.length("seq"))
-    r = r.withColumn("_g", tl.gap_facing()).select("*", "_g.nt_start", "_g.nt_end", "_g.segment").drop("_g")
+    r = once(r, {"_g": tl.gap_facing()}).select("*", "_g.nt_start", "_g.nt_end", "_g.segment").drop("_g")
     r = tl.extend_into_gap(r, G0, G1)
-    pep = F.array_join(F.transform("extension", lambda x: x["aa"]), "")
+    r = once(r, {"_pep": F.array_join(F.transform("extension", lambda x: x["aa"]), "")})
+    pep = F.col("_pep")
     lo, _ = tl.extension_range(G0, G1)
     k = F.col("doc_id") % 3
     ref = F.when(k == 0, F.translate(pep, "LSR", "WWW")).when(k == 1, F.translate(pep, "LSRTPAVG", "WWWWWWWW")).otherwise(F.reverse(pep))
@@ -629,7 +630,7 @@ def _seg_codon(r):
 
 CONF = f"""{REP}, w AS (SELECT pair_id, max(segment) FILTER (WHERE side = 'N') AS segment_n, max(lo_p) FILTER (WHERE side = 'N') AS start_n, max(hi_p) FILTER (WHERE side = 'N') AS end_n, max(reported) FILTER (WHERE side = 'N') AS reported_n,
  max(segment) FILTER (WHERE side = 'C') AS segment_c, max(lo_p) FILTER (WHERE side = 'C') AS start_c, max(hi_p) FILTER (WHERE side = 'C') AS end_c, max(reported) FILTER (WHERE side = 'C') AS reported_c FROM rp GROUP BY pair_id),
-x AS (SELECT *, unnest(range(greatest(start_n, start_c), least(end_n, end_c) + 1)) AS position FROM w),
+x AS (SELECT *, unnest(range(greatest(start_n, start_c), least(end_n, end_c) + 1)) AS position FROM w WHERE start_n IS NOT NULL AND start_c IS NOT NULL),
 cf AS (SELECT *, substr(reported_n, position - start_n + 1, 1) AS aa_n, substr(reported_c, position - start_c + 1, 1) AS aa_c, {_seg_codon('n')} AS codon_n, {_seg_codon('c')} AS codon_c,
  CASE WHEN length(segment_n) % 3 = 0 THEN 'frame_consistent' ELSE 'frame_inconsistent' END AS frame_n, CASE WHEN length(segment_c) % 3 = 0 THEN 'frame_consistent' ELSE 'frame_inconsistent' END AS frame_c FROM x),
 cg AS (SELECT *, least(end_n, end_c) - greatest(start_n, start_c) + 1 AS overlap_len_aa, CASE WHEN codon_n IS NULL OR codon_c IS NULL THEN 'unresolved_missing_nt' WHEN codon_n = codon_c AND aa_n <> aa_c THEN 'nucleotide_identical_translation_discrepancy'
@@ -776,7 +777,7 @@ def h45(s, d):
     raw = F.substring(F.col("seq"), F.least("sstart", "send").cast("int"), (F.abs(F.col("send") - F.col("sstart")) + 1).cast("int"))
     tr = sq.translate_frame(F.when(F.col("rev"), sq.reverse_complement(raw)).otherwise(raw))
     k = F.col("doc_id") % 4
-    r = r.withColumn("_t", tr).withColumns({
+    r = once(r, {"_t": tr}).withColumns({
         "sseq": F.when(k == 0, F.concat(F.substring("_t", 1, 5), F.lit("-"), F.substring(F.col("_t"), F.lit(6), F.length("_t")))).when(k == 1, F.translate("_t", "L", "V"))
         .when(k == 2, F.substring(F.col("_t"), F.lit(2), F.length("_t"))).otherwise(F.col("_t")), "qseq": F.translate("_t", "S", "T")})
     return au.validate_hits(r).fillna({"our_translation": "", "matches_sseq_pct": -1.0, "length_difference": -99, "sseq_vs_qseq_pct": -1.0})
