@@ -95,18 +95,23 @@ def conflict_audit(df: DataFrame) -> DataFrame:
     )
 
 
-def attach_tails(conflicts: DataFrame, tails: DataFrame, on: str = "pair_id") -> DataFrame:
+def attach_tails(conflicts: DataFrame, tails: DataFrame, on: str = "pair_id", frames: bool = False) -> DataFrame:
     """Left-join the N tail and the C tail of the pair; the tails are pivoted once, so it is one join.
 
-    ``tails`` has at most one row per (pair, role).
+    ``tails`` has at most one row per (pair, role). ``frames`` also carries the frame that reproduces
+    the reported peptide, found once per tail rather than once per conflict.
     """
+    payload = [("segment", "segment"), ("gap_position_start", "start"), ("gap_position_end", "end"), ("translated_candidate", "reported")]
+    if frames:
+        fwd, rev = frame_match("segment", "translated_candidate")
+        tails = once(tails, {"_fwd": fwd, "_rev": rev})
+        payload += [("_fwd", "fwd"), ("_rev", "rev")]
     pick = lambda r, c: F.max(F.when(F.col("role") == r, F.col(c)))
     wide = tails.groupBy(on).agg(
         *[
             pick(R, c).alias(f"{n}_{R.lower()}")
             for R in ("N", "C")
-            for c, n in (("segment", "segment"), ("gap_position_start", "start"), ("gap_position_end", "end"),
-                         ("translated_candidate", "reported"))
+            for c, n in payload
         ]
     )
     return conflicts.join(wide, on, "left")
@@ -136,25 +141,20 @@ def frame_audit(df: DataFrame, segment: str = "segment", reported: str = "transl
 
 
 def anomaly_cause(df: DataFrame) -> DataFrame:
-    """Why identical codons were reported as different residues; needs segment_x and reported_x."""
-    fn, rn = frame_match("segment_n", "reported_n")
-    fc, rc = frame_match("segment_c", "reported_c")
-    out = once(df, {"_fn": fn, "_rn": rn, "_fc": fc, "_rc": rc})
+    """Why identical codons were reported as different residues; tails attached with ``frames=True``."""
     gone = F.col("segment_n").isNull() | F.col("segment_c").isNull()
     shift = lambda c: (F.col(c) - 1).cast("string")
     cause = (
         F.when(gone, "Missing N/C tail record")
-        .when((F.col("_fn") == 1) & (F.col("_fc") == 1),
+        .when((F.col("fwd_n") == 1) & (F.col("fwd_c") == 1),
               "Both reported translations reproduce in frame 1; conflict is a translation bookkeeping discrepancy")
-        .when(F.col("_fn") > 1, F.concat(F.lit("N-tail frame offset (+"), shift("_fn"), F.lit(" bp)")))
-        .when(F.col("_fc") > 1, F.concat(F.lit("C-tail frame offset (+"), shift("_fc"), F.lit(" bp)")))
-        .when(F.col("_rn").isNotNull() | F.col("_rc").isNotNull(), "Strand orientation/reverse-complement required")
+        .when(F.col("fwd_n") > 1, F.concat(F.lit("N-tail frame offset (+"), shift("fwd_n"), F.lit(" bp)")))
+        .when(F.col("fwd_c") > 1, F.concat(F.lit("C-tail frame offset (+"), shift("fwd_c"), F.lit(" bp)")))
+        .when(F.col("rev_n").isNotNull() | F.col("rev_c").isNotNull(), "Strand orientation/reverse-complement required")
         .otherwise("Identical extracted nucleotide triplets but reported translations cannot be independently reproduced")
     )
     label = lambda c: F.when(gone, "Missing").when(F.col(c).isNotNull(), F.concat(F.lit("+"), F.col(c).cast("string"))).otherwise("RC/None")
-    return out.withColumns({"frame_n_matched": label("_fn"), "frame_c_matched": label("_fc"), "diagnostic_cause": cause}).drop(
-        "_fn", "_rn", "_fc", "_rc"
-    )
+    return df.withColumns({"frame_n_matched": label("fwd_n"), "frame_c_matched": label("fwd_c"), "diagnostic_cause": cause})
 
 
 def substitution_context(df: DataFrame, flank: int = 6) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("interval_queries", "evidence_queries", "sequence_queries")
+MODULES = ("interval_queries", "evidence_queries", "sequence_queries", "scan_queries")
 
 
 def load_all() -> None:

@@ -638,7 +638,7 @@ cg AS (SELECT *, least(end_n, end_c) - greatest(start_n, start_c) + 1 AS overlap
  WHEN codon_n IN ('AAA', 'AAG', 'GAA', 'GAG') AND codon_c IN ('AAA', 'AAG', 'GAA', 'GAG') THEN 'low_complexity_Lys_Glu_region' WHEN codon_n <> codon_c AND aa_n <> aa_c THEN 'nonsynonymous_nucleotide_difference' ELSE 'unresolved' END AS conflict_class FROM cf)"""
 
 
-def conflict_rows(s, d):
+def conflict_rows(s, d, frames=False):
     t = reported(s, d)
     pos = t.groupBy("pair_id").agg(
         *[F.max(F.when(F.col("role") == r, F.col(c))).alias(f"{n}_{r.lower()}") for r in "NC" for c, n in (("gap_position_start", "s"), ("gap_position_end", "e"), ("translated_candidate", "p"))])
@@ -647,7 +647,7 @@ def conflict_rows(s, d):
     at = pos.filter(known).select("*", F.explode(F.sequence(lo, hi)).alias("position"))
     aa = lambda r: F.substring(F.col(f"p_{r}"), F.col("position") - F.col(f"s_{r}") + 1, F.lit(1))
     rows = at.select("pair_id", "position", aa("n").alias("aa_n"), aa("c").alias("aa_c"))
-    return au.attach_tails(rows, t)
+    return au.attach_tails(rows, t, frames=frames)
 
 
 @query("h35_segment_codon", "pair_id s, position i, codon_n s, codon_c s", f"WITH {CONF} SELECT pair_id, position, coalesce(codon_n, '') AS codon_n, coalesce(codon_c, '') AS codon_c FROM cg")
@@ -686,7 +686,7 @@ SELECT pair_id, position, coalesce('+' || fn, 'RC/None') AS frame_n_matched, coa
  WHEN fc > 1 THEN 'C-tail frame offset (+' || (fc - 1) || ' bp)' WHEN rn IS NOT NULL OR rc IS NOT NULL THEN 'Strand orientation/reverse-complement required'
  ELSE 'Identical extracted nucleotide triplets but reported translations cannot be independently reproduced' END AS diagnostic_cause FROM a""")
 def h39(s, d):
-    return au.anomaly_cause(conflict_rows(s, d))
+    return au.anomaly_cause(conflict_rows(s, d, frames=True))
 
 
 def _ctx(r):
@@ -739,8 +739,8 @@ def h42b(s, d):
 WITH {disc(True)}, b AS (SELECT unnest(['T', 'C', 'A', 'G']) AS x), all64 AS (SELECT b1.x || b2.x || b3.x AS c FROM b b1, b b2, b b3), tb AS (SELECT c, {sql_codon('c')} AS residue FROM all64),
 hm AS (SELECT a.c AS codon, tb.residue, min(hamming(a.c, tb.c)) AS dist FROM all64 a, tb GROUP BY ALL),
 p0 AS (SELECT *, list_filter(range(1, least(length(reported), length(recon)) + 1), lambda i: substr(reported, i, 1) <> substr(recon, i, 1)) AS dd FROM da WHERE ok),
-p1 AS (SELECT *, dd[1] AS fi, lo + (dd[1] - 1) * 3 AS at FROM p0 WHERE len(dd) > 0),
-p2 AS (SELECT *, substr(reported, fi, 1) AS rr, CASE WHEN at + 2 <= length(segment) THEN substr(segment, at, 3) END AS c0, CASE WHEN at + 3 <= length(segment) THEN substr(segment, at + 1, 3) END AS c1, CASE WHEN at + 4 <= length(segment) THEN substr(segment, at + 2, 3) END AS c2 FROM p1),
+p1 AS (SELECT *, dd[1] AS fi, lo + (dd[1] - 1) * 3 AS z FROM p0 WHERE len(dd) > 0),
+p2 AS (SELECT *, substr(reported, fi, 1) AS rr, CASE WHEN z + 2 <= length(segment) THEN substr(segment, z, 3) END AS c0, CASE WHEN z + 3 <= length(segment) THEN substr(segment, z + 1, 3) END AS c1, CASE WHEN z + 4 <= length(segment) THEN substr(segment, z + 2, 3) END AS c2 FROM p1),
 p3 AS (SELECT p2.*, {sql_codon('c0')} AS a0, {sql_codon('c1')} AS a1, {sql_codon('c2')} AS a2, dist FROM p2 LEFT JOIN hm ON hm.codon = c0 AND hm.residue = rr)
 SELECT read_id, fi AS first_idx, len(dd) AS mismatch_positions, rr AS reported_residue, coalesce(c0, '') AS frame0_codon, coalesce(a0, '') AS frame0_aa, coalesce(dist, -1) AS hamming_distance,
  CASE WHEN c0 IS NULL THEN 'E_insufficient_nucleotide_evidence' WHEN a0 = rr THEN 'A_translation_bookkeeping_mismatch' WHEN coalesce(a1 = rr, false) OR coalesce(a2 = rr, false) THEN 'C_codon_boundary_frame_interpretation'

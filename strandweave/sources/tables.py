@@ -52,13 +52,15 @@ def write_fasta(df: DataFrame, path: str, header: str = "header", seq: str = "se
     fasta_lines(df, header, seq, width).write.text(path)
 
 
-def read_hits(spark: SparkSession, path: str, aligned: bool = False, name_pattern: str = r"([^/]+)_(R[12])\.tsv") -> DataFrame:
-    """Header-less tabular hits of a file or folder; gene and mate come from the file name.
+def read_hits(spark: SparkSession, path: str, aligned: bool = False, name_pattern: str = r"([^/]+)_(R[12])\.tsv",
+              name_column: str = "name") -> DataFrame:
+    """Header-less tabular hits; gene and mate come from the file name, or with
+    ``name_column="path"`` from the folder that holds the part files.
 
     An empty file contributes no rows.
     """
     df = spark.read.schema(HSP_ALIGNED if aligned else HSP).option("sep", "\t").csv(path)
-    name = F.col("_metadata.file_name")
+    name = F.col("_metadata.file_path" if name_column == "path" else "_metadata.file_name")
     return df.select(
         "*", F.regexp_extract(name, name_pattern, 1).alias("gene"), F.regexp_extract(name, name_pattern, 2).alias("mate")
     )
@@ -84,10 +86,10 @@ def read_targets(spark: SparkSession, path: str, folder: str) -> DataFrame:
     return df.withColumn("reference_path", F.concat(F.lit(folder.rstrip("/") + "/"), "reference_file"))
 
 
-def read_chunks(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
-    """Union of ``chunk_*.csv`` in a folder, with the chunk number from the name."""
-    df = read_table(spark, f"{folder.rstrip('/')}/chunk_*.csv", schema)
-    return df.withColumn("chunk_id", F.regexp_extract(F.col("_metadata.file_name"), r"chunk_0*(\d+)\.csv", 1).cast("int"))
+def read_chunks(spark: SparkSession, folder: str, schema: T.StructType, pattern: str = "chunk_*.csv") -> DataFrame:
+    """Union of ``chunk_*.csv`` (files, or folders of part files), with the chunk number from the path."""
+    df = read_table(spark, f"{folder.rstrip('/')}/{pattern}", schema)
+    return df.withColumn("chunk_id", F.regexp_extract(F.col("_metadata.file_path"), r"chunk_0*(\d+)\.csv", 1).cast("int"))
 
 
 def write_table(df: DataFrame, path: str, null: str = "") -> None:
