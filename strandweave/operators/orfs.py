@@ -13,47 +13,91 @@ from .ranking import first_per_group
 ALIGNMENT = "identity double, coverage double, aligned_ref int, score int"
 
 
-def align_local(reference: str, query: str, match: int = 1, mismatch: int = -1, gap: int = -1, traceback: str = "standard"):
-    """Smith-Waterman with linear gaps for one pair: (identity %, coverage % of reference, columns, score).
+# Cells of score matrix one batch of alignments may hold (two bytes each).
+BATCH_CELLS = 32_000_000
 
-    Each row of the score matrix is one vector operation: the dependency on the left neighbour is a
-    running maximum of the gap-adjusted row. ``traceback="legacy"`` takes the up and left moves
-    swapped, as some published results did.
+
+def _encode(seqs: list[str], width: int, blank: int) -> np.ndarray:
+    out = np.full((len(seqs), width), blank, dtype=np.uint8)
+    for k, s in enumerate(seqs):
+        out[k, : len(s)] = np.frombuffer(s.encode("ascii", "replace"), dtype=np.uint8)
+    return out
+
+
+def align_batch(references: list[str], queries: list[str], match: int = 1, mismatch: int = -1, gap: int = -1,
+                traceback: str = "standard") -> list[tuple[float, float, int, int]]:
+    """Smith-Waterman with linear gaps for many pairs at once.
+
+    Per pair: identity %, coverage % of the reference, alignment columns, score. All pairs advance one
+    reference residue per step; the dependency on the left neighbour is a running maximum of the
+    gap-adjusted row. Shorter sequences are padded with letters that match nothing, which cannot
+    raise a score. Ties take the first cell in row order and the diagonal, then up, then left move;
+    ``traceback="legacy"`` swaps the up and left moves, as some published results did.
     """
-    n, m = len(reference), len(query)
-    if n == 0 or m == 0:
-        return 0.0, 0.0, 0, 0
-    a = np.frombuffer(reference.encode("ascii", "replace"), dtype=np.uint8)
-    b = np.frombuffer(query.encode("ascii", "replace"), dtype=np.uint8)
-    h = np.zeros((n + 1, m + 1), dtype=np.int32)
-    ramp = np.arange(1, m + 1, dtype=np.int32) * -gap
-    best, bi, bj = 0, 0, 0
+    k, n, m = len(references), max(map(len, references)), max(map(len, queries))
+    a, b = _encode(references, n, 1), _encode(queries, m, 2)
+    h = np.zeros((n + 1, k, m + 1), dtype=np.int16)
+    ramp = (np.arange(1, m + 1) * -gap).astype(np.int16)
+    best, bi, bj = (np.zeros(k, dtype=np.int64) for _ in range(3))
     for i in range(1, n + 1):
-        diag = h[i - 1, :-1] + np.where(b == a[i - 1], match, mismatch)
-        row = np.maximum(np.maximum(diag, h[i - 1, 1:] + gap), 0)
-        h[i, 1:] = np.maximum.accumulate(row + ramp) - ramp
-        j = int(h[i, 1:].argmax()) + 1
-        if h[i, j] > best:
-            best, bi, bj = int(h[i, j]), i, j
-    if best <= 0:
+        row = h[i - 1, :, :-1] + np.where(b == a[:, i - 1, None], match, mismatch).astype(np.int16)
+        np.maximum(row, h[i - 1, :, 1:] + np.int16(gap), out=row)
+        np.maximum(row, 0, out=row)
+        h[i, :, 1:] = np.maximum.accumulate(row + ramp, axis=1) - ramp
+        j = h[i, :, 1:].argmax(axis=1) + 1
+        top = h[i, np.arange(k), j]
+        up = top > best
+        best[up], bi[up], bj[up] = top[up], i, j[up]
+    i, j = bi.copy(), bj.copy()
+    columns, same, at = np.zeros(k, dtype=np.int64), np.zeros(k, dtype=np.int64), np.arange(k)
+    while True:
+        live = at[(i > 0) & (j > 0)]
+        live = live[h[i[live], live, j[live]] > 0]
+        if not len(live):
+            break
+        x, y = i[live], j[live]
+        here = h[x, live, y]
+        equal = a[live, x - 1] == b[live, y - 1]
+        diagonal = here == h[x - 1, live, y - 1] + np.where(equal, match, mismatch)
+        upward = here == h[x - 1, live, y] + gap
+        columns[live] += 1
+        same[live] += equal if traceback == "legacy" else equal & diagonal
+        first = upward if traceback != "legacy" else ~upward
+        i[live] = x - (diagonal | first)
+        j[live] = y - (diagonal | ~first)
+    lengths = np.array([len(r) for r in references])
+    return [
+        (100.0 * same[z] / columns[z], 100.0 * columns[z] / lengths[z], int(columns[z]), int(best[z])) if best[z] > 0 else (0.0, 0.0, 0, 0)
+        for z in range(k)
+    ]
+
+
+def align_local(reference: str, query: str, traceback: str = "standard") -> tuple[float, float, int, int]:
+    if not reference or not query:
         return 0.0, 0.0, 0, 0
-    i, j, columns, same = bi, bj, 0, 0
-    while i > 0 and j > 0 and h[i, j] > 0:
-        columns += 1
-        equal = a[i - 1] == b[j - 1]
-        diagonal = h[i, j] == h[i - 1, j - 1] + (match if equal else mismatch)
-        up = h[i, j] == h[i - 1, j] + gap
-        if traceback == "legacy":
-            same += int(equal)
-        else:
-            same += int(equal and diagonal)
-        if diagonal:
-            i, j = i - 1, j - 1
-        elif up == (traceback != "legacy"):
-            i -= 1
-        else:
-            j -= 1
-    return 100.0 * same / columns, 100.0 * columns / n, columns, best
+    return align_batch([reference], [query], traceback=traceback)[0]
+
+
+def _align_series(ref: pd.Series, qry: pd.Series, traceback: str) -> pd.DataFrame:
+    """Pairs of an Arrow batch in order of size, cut into groups of bounded memory."""
+    out = [(0.0, 0.0, 0, 0)] * len(ref)
+    order = sorted((z for z in range(len(ref)) if ref.iloc[z] and qry.iloc[z]), key=lambda z: (len(qry.iloc[z]), len(ref.iloc[z])))
+    group, n, m = [], 0, 0
+
+    def flush():
+        for z, r in zip(group, align_batch([ref.iloc[z] for z in group], [qry.iloc[z] for z in group], traceback=traceback)):
+            out[z] = r
+
+    for z in order:
+        n2, m2 = max(n, len(ref.iloc[z])), max(m, len(qry.iloc[z]))
+        if group and (n2 + 1) * (m2 + 1) * (len(group) + 1) > BATCH_CELLS:
+            flush()
+            group, n2, m2 = [], len(ref.iloc[z]), len(qry.iloc[z])
+        group.append(z)
+        n, m = n2, m2
+    if group:
+        flush()
+    return pd.DataFrame(out, columns=["identity", "coverage", "aligned_ref", "score"])
 
 
 def alignment_metrics(reference, query, traceback: str = "standard"):
@@ -61,8 +105,7 @@ def alignment_metrics(reference, query, traceback: str = "standard"):
 
     @F.pandas_udf(ALIGNMENT)
     def kernel(ref: pd.Series, qry: pd.Series) -> pd.DataFrame:
-        rows = [align_local(r, q, traceback=traceback) for r, q in zip(ref, qry)]
-        return pd.DataFrame(rows, columns=["identity", "coverage", "aligned_ref", "score"])
+        return _align_series(ref, qry, traceback)
 
     return kernel(reference, query)
 

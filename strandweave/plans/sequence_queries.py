@@ -362,8 +362,8 @@ def metrics(s, d):
     return qc.read_metrics(reads(s, d))
 
 
-@query("d5_read_counts", "r1_reads i, r2_reads i, symmetric b",
-       f"WITH {READS} SELECT count(*) FILTER (WHERE mate = 'R1') AS r1_reads, count(*) FILTER (WHERE mate = 'R2') AS r2_reads, count(*) FILTER (WHERE mate = 'R1') = count(*) FILTER (WHERE mate = 'R2') AS symmetric FROM reads")
+@query("d5_read_counts", "r1_reads i, r2_reads i, mates_symmetric b",
+       f"WITH {READS} SELECT count(*) FILTER (WHERE mate = 'R1') AS r1_reads, count(*) FILTER (WHERE mate = 'R2') AS r2_reads, count(*) FILTER (WHERE mate = 'R1') = count(*) FILTER (WHERE mate = 'R2') AS mates_symmetric FROM reads")
 def d5(s, d):
     return qc.read_counts(reads(s, d))
 

@@ -7,9 +7,10 @@ cannot be entered in the middle and make one partition each.
 
 from __future__ import annotations
 
-import glob
 import gzip
-import os
+import io
+import posixpath
+from fnmatch import fnmatch
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,8 +56,7 @@ def _first_record(f, start: int) -> int:
 
 
 def _records(part: _Range):
-    opener = gzip.open if part.path.endswith(".gz") else open
-    with opener(part.path, "rb") as f:
+    with _open(part.path) as f:
         at = _first_record(f, part.start)
         f.seek(at)
         while part.end < 0 or at < part.end:
@@ -75,26 +75,52 @@ def _records(part: _Range):
             at += size
 
 
+def _filesystem(path: str):
+    """(filesystem, path inside it): a URI names any store Arrow can reach, a bare path is local."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+def _open(path: str):
+    store, inner = _filesystem(path)
+    f = io.BufferedReader(store.open_input_file(inner), 1 << 20)
+    return gzip.GzipFile(fileobj=f) if path.endswith(".gz") else f
+
+
+def _list(pattern: str) -> list[tuple[str, int]]:
+    """(path, size) of the files a folder, file or last-component wildcard stands for."""
+    from pyarrow import fs
+
+    store, inner = _filesystem(pattern)
+    head = pattern[: len(pattern) - len(inner)]
+    info = store.get_file_info(inner)
+    if info.type == fs.FileType.File:
+        return [(pattern, info.size)]
+    folder, mask = (inner, "*") if info.type == fs.FileType.Directory else posixpath.split(inner)
+    found = store.get_file_info(fs.FileSelector(folder, allow_not_found=True))
+    return [
+        (head + i.path, i.size) for i in found
+        if i.type == fs.FileType.File and fnmatch(i.base_name, mask) and not i.base_name.startswith(("_", "."))
+    ]
+
+
 class FastqReader(DataSourceReader):
     def __init__(self, options):
         path = options.get("path")
         if not path:
             raise ValueError("fastq: load(path) is required")
-        self.files = sorted(
-            p for pat in path.split(",") for p in (glob.glob(os.path.join(pat, "*")) if os.path.isdir(pat) else glob.glob(pat))
-            if os.path.isfile(p) and not os.path.basename(p).startswith(("_", "."))
-        )
+        self.files = sorted({f for p in path.split(",") for f in _list(p)})
         if not self.files:
             raise FileNotFoundError(path)
         self.split = int(options.get("splitbytes", 128 * 1024 * 1024))
 
     def partitions(self):
         out = []
-        for p in self.files:
+        for p, size in self.files:
             if p.endswith(".gz"):
                 out.append(_Range(p, 0, -1))
                 continue
-            size = os.path.getsize(p)
             out += [_Range(p, s, min(s + self.split, size)) for s in range(0, size, self.split)]
         return out
 
