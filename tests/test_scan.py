@@ -117,7 +117,7 @@ def test_flank_identity_leaves_the_target_out(spark):
 
 def test_partner_evidence_and_dedup(spark):
     r1 = "".join(BACK[a] for a in TARGET.anchor)
-    rows = [(1, "p/1", "p", "R1", r1, "I" * 51), (1, "p/2", "p", "R2", rc(r1[:24] + "AAAA" + r1[28:]), "5" * 51), (2, "q/1", "q", "R1", "ACGT" * 12, "I" * 48), (2, "q/2", "q", "R2", "ACGT" * 12, "I" * 48)]
+    rows = [(1, "p/1", "p", "R1", r1, "I" * 51), (1, "p/2", "p", "R2", rc("GAC" + r1[3:24] + "AAA" + r1[27:]), "5" * 51), (2, "q/1", "q", "R1", "ACGT" * 12, "I" * 48), (2, "q/2", "q", "R2", "ACGT" * 12, "I" * 48)]
     reads = spark.createDataFrame(rows, "read_index long, read_id string, pair_id string, mate string, seq string, qual string")
     out = scan.positional_scan(reads, [TARGET])
     assert {r.read_id for r in out["candidates"].collect()} == {"p/1"}

