@@ -61,14 +61,43 @@ def merge_within(df: DataFrame, keys: list[str], start: str, end: str, name: str
     points = F.array_sort(F.collect_list(F.struct(F.col("_s").alias("start"), F.col("_e").alias("end"))))
     out = collapsed.groupBy(*keys).agg(points.alias("_p"), F.sum("_n").alias("n_intervals"))
 
+    return out.select(*keys, merged_segments(F.col("_p")).alias(name), "n_intervals")
+
+
+def merged_segments(points: Column) -> Column:
+    """Array of (start, end) sorted by start -> array of disjoint, non-touching segments."""
+
     def step(acc, x):
         last = F.element_at(acc, -1)
         grown = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
         joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(grown))
         return F.when(x["start"] <= last["end"] + 1, joined).otherwise(F.concat(acc, F.array(x)))
 
-    merged = F.aggregate(F.slice(F.col("_p"), 2, F.size("_p")), F.slice(F.col("_p"), 1, 1), step)
-    return out.select(*keys, F.when(F.size("_p") == 1, F.col("_p")).otherwise(merged).alias(name), "n_intervals")
+    merged = F.aggregate(F.slice(points, 2, F.size(points)), F.slice(points, 1, 1), step)
+    return F.when(F.size(points) == 1, points).otherwise(merged)
+
+
+def uncovered_intervals(df: DataFrame, keys: list[str], lengths: DataFrame, length: str, start: str = "start", end: str = "end",
+                        bucket_width: int = COORDINATE_BUCKET) -> DataFrame:
+    """Maximal uncovered runs of 1..length per key, straight from the intervals: no position is listed.
+
+    A point before and one behind the range are added as intervals, so leading, trailing and
+    wholly uncovered ranges come out of the same gap rule.
+    """
+    sized = lengths.select(*keys, F.col(length).cast("long").alias("_len"))
+    inside = (
+        df.join(sized, keys)
+        .select(*keys, F.greatest(F.lit(1), F.col(start)).cast("long").alias("_s"), F.least(F.col("_len"), F.col(end)).cast("long").alias("_e"))
+        .filter(F.col("_s") <= F.col("_e"))
+    )
+    rim = lambda p: F.struct(p.cast("long").alias("_s"), p.cast("long").alias("_e"))
+    rims = sized.select(*keys, F.inline(F.array(rim(F.lit(0)), rim(F.col("_len") + 1))))
+    base = inside.unionByName(rims).groupBy(*keys, "_s").agg(F.max("_e").alias("_e")).withColumn("_b", F.floor(F.col("_s") / bucket_width))
+    seen = running(base, keys, "_b", ["_s"], "_reach", "max", F.col("_e"), inclusive=False)
+    gaps = seen.filter(F.col("_s") > F.col("_reach") + 1)
+    return gaps.select(
+        *keys, (F.col("_reach") + 1).alias("start"), (F.col("_s") - 1).alias("end"), (F.col("_s") - F.col("_reach") - 1).alias("length")
+    )
 
 
 def covered_length(segments: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sequence import _c, reverse_complement
-from .intervals import depth, merge_within
+from .intervals import depth, merged_segments
+from .once import once
 from .pairs import mate_support
 from .ranking import first_per_group
 
@@ -21,19 +22,21 @@ def best_hits(hits: DataFrame, keys: list[str], tie: list[Column], score: str =
 def consolidate_reads(hits: DataFrame, tie: list[Column], keys: tuple[str, ...] = ("gene", "mate", "read_id")) -> DataFrame:
     """Per (gene, mate, read): hit count, merged query and subject segments, covered residues, best hit.
 
-    Segments are merged before they are collected, so an array holds disjoint pieces of one protein
-    or one read only.
+    One shuffle. Coordinate pairs are collected as sets, deduplicated in each map task, so a read with
+    very many hits still holds no more than the distinct spans of one read on one protein.
     """
     k = list(keys)
+    spans = lambda a, b: F.array_sort(F.collect_set(F.struct(F.col(a).alias("start"), F.col(b).alias("end"))))
     covered = F.aggregate("query_segments", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"] + 1)
-    q = merge_within(hits, k, "qstart", "qend", "query_segments").select(
-        *k, F.col("n_intervals").alias("n_hsps"), "query_segments", covered.alias("aa_covered_by_read")
+    best = F.min_by(F.struct("pident", "evalue", "bitscore"), F.struct((-F.col("bitscore")).alias("_score"), *tie))
+    g = hits.groupBy(*k).agg(
+        F.count(F.lit(1)).alias("n_hsps"), spans("qstart", "qend").alias("_q"), spans("sstart", "send").alias("_s"), best.alias("_best")
     )
-    s = merge_within(hits, k, "sstart", "send", "subject_segments").drop("n_intervals")
-    best = best_hits(hits, k, tie).select(
-        *k, F.col("pident").alias("best_pident"), F.col("evalue").alias("best_evalue"), F.col("bitscore").alias("best_bitscore")
+    g = once(g, {"query_segments": merged_segments(F.col("_q")), "subject_segments": merged_segments(F.col("_s"))})
+    return g.select(
+        *k, "n_hsps", "query_segments", covered.alias("aa_covered_by_read"), "subject_segments",
+        F.col("_best.pident").alias("best_pident"), F.col("_best.evalue").alias("best_evalue"), F.col("_best.bitscore").alias("best_bitscore"),
     )
-    return q.join(s, k).join(best, k)
 
 
 def depth_statistics(depths: DataFrame, keys: list[str], thresholds=DEPTH_THRESHOLDS) -> DataFrame:

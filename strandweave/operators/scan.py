@@ -1,8 +1,7 @@
 """Exhaustive positional scan: degenerate prefilter, six-frame anchor validation, mate partners.
 
-Reads flow through three ever smaller steps: a JVM regular expression that no true candidate can
-fail, an Arrow kernel that counts placements with mismatches on what is left, and an Arrow kernel
-that validates anchors on the candidates.
+Every read passes an Arrow kernel that counts pattern placements with mismatches; only the few
+candidates go on to the kernel that validates anchors, to the mate join and to the summaries.
 """
 
 from __future__ import annotations
@@ -114,23 +113,6 @@ def pattern_catalogue(targets: list[Target], max_mismatch: int = 1) -> list[tupl
 # ------------------------------------------------------------------ prefilter
 
 
-def _regex(pattern: str) -> str:
-    return "".join(IUPAC_BASES[c] if len(IUPAC_BASES[c]) == 1 else f"[{IUPAC_BASES[c]}]" for c in pattern)
-
-
-def seed_expression(patterns: list[str], max_mismatch: int) -> str:
-    """Regular expression every read with a placement of <= max_mismatch must satisfy.
-
-    Cut into max_mismatch + 1 pieces, a placement leaves at least one piece without a mismatch. A
-    base N in the read belongs to no class, so it never matches.
-    """
-    seeds = []
-    for p in patterns:
-        cuts = [len(p) * i // (max_mismatch + 1) for i in range(max_mismatch + 2)]
-        seeds += [_regex(p[a:b]) for a, b in zip(cuts, cuts[1:])]
-    return "|".join(dict.fromkeys(seeds))
-
-
 def _masks(pattern: str) -> np.ndarray:
     bit = {"A": 1, "C": 2, "G": 4, "T": 8}
     return np.array([sum(bit[b] for b in IUPAC_BASES[c]) for c in pattern], dtype=np.uint8)
@@ -139,67 +121,82 @@ def _masks(pattern: str) -> np.ndarray:
 _BASE_MASK = np.zeros(256, dtype=np.uint8)
 for _b, _v in zip(b"ACGT", (1, 2, 4, 8)):
     _BASE_MASK[_b] = _v
+# Pattern positions compared over a whole batch before only surviving placements are followed.
+LEAD_POSITIONS = 8
+
 
+def _utf8_buffers(column) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of an Arrow string column: the reads of a batch are already laid end to end."""
+    wide = column.type in ("large_string", "large_utf8") or str(column.type).startswith("large")
+    _, offsets, data = column.buffers()
+    off = np.frombuffer(offsets, dtype=np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    blob = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return blob[off[0] : off[-1]], off - off[0]
 
-def _placements(batch: pd.Series, patterns: list[np.ndarray], k: int, overhang: bool) -> list[np.ndarray]:
-    """Placements with at most k mismatches, per pattern and read, for a whole Arrow batch at once.
 
-    Reads are laid end to end with k blank bases around each (a pattern may hang over an end, each
-    overhanging base being a mismatch) and every pattern base is compared over the whole batch.
+def _placements(blob: np.ndarray, off: np.ndarray, pattern: np.ndarray, k: int, overhang: bool) -> np.ndarray:
+    """Placements of one pattern with at most k mismatches, per read of a batch.
+
+    The most specific positions are compared everywhere; the few placements still within k mismatches
+    are then followed through the rest. With ``overhang`` a pattern may stick out of either end of a
+    read, each base outside being a mismatch. A base N in the read matches nothing.
     """
-    pad = k if overhang else 0
-    lengths = batch.str.len().to_numpy(dtype=np.int64)
-    blob = np.frombuffer(("\0" * pad).join(["", *batch.tolist(), ""]).encode("ascii", "replace"), dtype=np.uint8)
-    base = _BASE_MASK[blob]
-    starts = pad + np.concatenate(([0], np.cumsum(lengths + pad)[:-1])) if len(lengths) else np.zeros(0, np.int64)
-    out = []
-    for p in patterns:
-        n = len(base) - len(p) + 1
-        counts = np.zeros(len(lengths), dtype=np.int64)
-        if n > 0:
-            miss = np.zeros(n, dtype=np.uint8)
-            for i, m in enumerate(p):
-                miss += (base[i : i + n] & m) == 0
-            hits = np.concatenate(([0], np.cumsum(miss <= k)))
-            lo = starts - pad
-            hi = starts + lengths + pad - len(p) + 1
-            lo_c, hi_c = np.clip(lo, 0, n), np.clip(hi, 0, n)
-            counts = np.where(hi > lo, hits[np.maximum(hi_c, lo_c)] - hits[lo_c], 0)
-        out.append(counts)
-    return out
+    base, reads, width = _BASE_MASK[blob], len(off) - 1, len(pattern)
+    counts = np.zeros(reads, dtype=np.int64)
+    n = len(base) - width + 1
+    specific = np.argsort([bin(m).count("1") for m in pattern], kind="stable")
+    lead, rest = specific[:LEAD_POSITIONS], specific[LEAD_POSITIONS:]
+    if n > 0:
+        miss = np.zeros(n, dtype=np.uint8)
+        for i in lead:
+            miss += (base[i : i + n] & pattern[i]) == 0
+        at = np.nonzero(miss <= k)[0]
+        miss = miss[at]
+        for i in rest:
+            miss += (base[at + i] & pattern[i]) == 0
+        at = at[miss <= k]
+        read = np.searchsorted(off, at, side="right") - 1
+        counts += np.bincount(read[at + width <= off[read + 1]], minlength=reads)
+    for o in range(1, k + 1) if overhang else ():
+        size = width - o
+        fits = np.nonzero(np.diff(off) >= size)[0]
+        for start, part in ((off[fits], pattern[o:]), (off[fits + 1] - size, pattern[:size])):
+            miss = np.zeros(len(fits), dtype=np.int64)
+            for i, m in enumerate(part):
+                miss += (base[start + i] & m) == 0
+            counts[fits] += miss <= k - o
+    return counts
 
 
 def prefilter(reads: DataFrame, targets: list[Target], max_mismatch: int = 1, overhang: bool = True,
               keep_all: bool = False) -> DataFrame:
     """Placement counts ``forward_count_<p>`` / ``reverse_count_<p>`` and candidate flags per read.
 
-    By default only candidates are returned and only reads that pass the seed expression leave the
-    JVM. ``keep_all`` returns every read with counts (0 for reads without a seed, which is exact).
+    The kernel works on the Arrow buffers of the read column and drops non-candidates before anything
+    returns to the JVM; ``keep_all`` returns every read. It is a map step: no shuffle, any split size.
     """
     catalogue = pattern_catalogue(targets, max_mismatch)
     named = [(f"forward_count_{r[0]}", r[8]) for r in catalogue] + [(f"reverse_count_{r[0]}", r[9]) for r in catalogue]
-    patterns = [_masks(p) for _, p in named]
-    names = [n for n, _ in named]
-    schema = T.StructType([T.StructField(n, T.IntegerType()) for n in names])
-
-    @F.pandas_udf(schema)
-    def count(seq: pd.Series) -> pd.DataFrame:
-        got = _placements(seq, patterns, max_mismatch, overhang)
-        return pd.DataFrame({n: c.astype(np.int32) for n, c in zip(names, got)})
-
-    seeded = F.col("seq").rlike(seed_expression([p for _, p in named], max_mismatch))
-    hits = reads.filter(seeded).withColumn("_c", count("seq"))
-    out = hits.select(*reads.columns, *[F.col(f"_c.{n}").alias(n) for n in names])
-    if keep_all:
-        rest = reads.filter(~seeded).select(*reads.columns, *[F.lit(0).alias(n) for n in names])
-        out = out.unionByName(rest)
+    patterns = [(n, _masks(p)) for n, p in named]
+    schema = T.StructType([*reads.schema.fields, *[T.StructField(n, T.IntegerType()) for n, _ in named]])
+
+    def kernel(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            blob, off = _utf8_buffers(batch.column(batch.schema.get_field_index("seq")))
+            counts = [_placements(blob, off, p, max_mismatch, overhang).astype(np.int32) for _, p in patterns]
+            out = pa.RecordBatch.from_arrays(
+                [*batch.columns, *[pa.array(c) for c in counts]], names=[*batch.schema.names, *[n for n, _ in patterns]]
+            )
+            yield out if keep_all else out.filter(pa.array(np.sum(counts, axis=0) > 0))
+
+    out = reads.mapInArrow(kernel, schema)
     flags = {f"any_{t.position}": (F.col(f"forward_count_{t.position}") > 0) | (F.col(f"reverse_count_{t.position}") > 0) for t in targets}
-    out = out.withColumns(flags)
     any_flag = F.lit(False)
-    for f in flags:
-        any_flag = any_flag | F.col(f)
-    out = out.withColumn("any_candidate", any_flag)
-    return out if keep_all else out.filter("any_candidate")
+    for f in flags.values():
+        any_flag = any_flag | f
+    return out.withColumns({**flags, "any_candidate": any_flag})
 
 
 # ------------------------------------------------------------------ validation

@@ -15,6 +15,7 @@ from ..operators.running import ordinal
 from .adapters import (
     GENE_LENGTHS, HIT_ORDER, HIT_ORDER_SQL, HITS, INTERVALS, epoch_seconds, gene_lengths, hits, intervals, table,
 )
+from ..session import cut_lineage
 from .registry import query
 
 N_FLANK, C_FLANK = (120, 180), (220, 300)
@@ -219,7 +220,7 @@ SELECT key, min(day) AS gap_start, max(day) AS gap_end, count(*) AS length FROM
 def e5(s, d):
     i = intervals(s, d)
     lens = i.select("key").distinct().withColumn("len", F.lit(4600))
-    runs = iv.uncovered(iv.depth(i, ["key"], lens, "len", bucket_width=512), ["key"], bucket_width=512)
+    runs = iv.uncovered_intervals(i, ["key"], lens, "len")
     return runs.select("key", F.col("start").alias("gap_start"), F.col("end").alias("gap_end"), "length")
 
 
@@ -317,7 +318,7 @@ SELECT *, reads_r1 + reads_r2 AS reads_total, 100.0 * n_pairs_both / n_pairs_any
   CASE WHEN reads_r1 + reads_r2 = 0 THEN 'NO_SIGNIFICANT_SUPPORT' WHEN coverage_pct >= 100 THEN 'DETECTED_FULL_LENGTH_COVERAGE' ELSE 'DETECTED_PARTIAL_COVERAGE' END AS observation_status
 FROM gene_lengths LEFT JOIN ds USING (gene) LEFT JOIN rd USING (gene) LEFT JOIN bo USING (gene)""")
 def d2(s, d):
-    return gene_recovery(per_read(s, d), gene_lengths(s, d))
+    return gene_recovery(cut_lineage(per_read(s, d), "per_read"), gene_lengths(s, d))
 
 
 @query("d2_depth_statistics", "key i, coverage_pct d, mean_depth d, median_depth d, max_depth i", f"""

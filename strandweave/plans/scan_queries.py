@@ -28,6 +28,12 @@ def _sets(pattern):
     return "[" + ", ".join(f"'{IUPAC_BASES[c]}'" for c in pattern) + "]"
 
 
+def _regex(pattern):
+    from ..functions.sequence import IUPAC_BASES
+
+    return "".join(f"[{IUPAC_BASES[c]}]" for c in pattern)
+
+
 def _count(pattern):
     """SQL: placements of a degenerate pattern with at most one mismatch, one base may overhang."""
     n = len(pattern)
@@ -40,7 +46,7 @@ def _count(pattern):
 CAT = scan.pattern_catalogue(TARGETS, 1)
 # A read with a placement of at most one mismatch spells one half of a pattern exactly (tests compare this
 # with plain counting), so the SQL counts mismatches only there; every read is looked at.
-SEEDS = scan.seed_expression([r[k] for r in CAT for k in (8, 9)], 1)
+SEEDS = "|".join(_regex(h) for r in CAT for p in (r[8], r[9]) for h in (p[: len(p) // 2], p[len(p) // 2 :]))
 COUNTS = f"""{READS}, padded AS (SELECT *, '#' || seq || '#' AS p FROM reads WHERE regexp_matches(seq, '{SEEDS}')),
 counted AS MATERIALIZED (SELECT * EXCLUDE (p), {', '.join(f"{_count(r[8])} AS forward_count_{r[0]}, {_count(r[9])} AS reverse_count_{r[0]}" for r in CAT)} FROM padded),
 cand AS (SELECT * FROM counted WHERE {' OR '.join(f"forward_count_{p} > 0 OR reverse_count_{p} > 0" for p in POS)})"""
@@ -136,8 +142,8 @@ def a1(s, d):
     out = []
     for m in ("R1", "R2"):
         fastq.write_fastq(r.filter(F.col("mate") == m).repartitionByRange(3, "read_id").sortWithinPartitions("read_id"), f"{base}/{m}")
-        out.append(fastq.read_fastq(s, f"{base}/{m}/part-*", m, split_bytes=64 * 1024))
-    return fastq.with_read_index(out[0].unionByName(out[1]))
+        out.append(fastq.read_fastq(s, f"{base}/{m}/part-*", m, split_bytes=1024 * 1024))
+    return fastq.with_read_index(cut_lineage(out[0].unionByName(out[1]), "landed"))
 
 
 @query("e11_global_read_ordinal", "mate s, reads i, lowest i, highest i",

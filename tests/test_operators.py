@@ -64,6 +64,9 @@ def test_depth_and_uncovered(spark, spans, width):
         clipped = [(max(1, s), min(700, e)) for key, s, e in rows if key == k]
         assert sum(got[k, p] for p in range(1, 701)) == sum(max(0, e - s + 1) for s, e in clipped)
         assert all(got[k, p] == sum(s <= p <= e for s, e in clipped) for p in range(1, 701, 13))
+    runs = iv.uncovered_intervals(df, ["key"], lens, "len", bucket_width=width).collect()
+    zero = iv.uncovered(spark.createDataFrame(d), ["key"], bucket_width=width).collect()
+    assert sorted(map(tuple, runs)) == sorted(map(tuple, zero))
     runs = iv.uncovered(spark.createDataFrame(d), ["key"], bucket_width=width).filter("key = 'empty'").collect()
     assert [(r.start, r.end, r.length) for r in runs] == [(1, 30, 30)]
 
