@@ -7,13 +7,12 @@ from pyspark.sql import types as T
 
 from ..functions.sequence import AA64
 from ..operators import scan
-from ..operators.alleles import deduplicate_evidence, position_summary
-from ..operators.pairs import pair_calls
+from ..operators.alleles import position_summary
 from ..operators.summaries import metric_lines
 from ..session import cut_lineage, scratch_dir
 from ..sources import fastq, tables
 from ..streaming import ingest
-from .adapters import DOCS, EVIDENCE, HITS, PROTEINS, RC, READS, documents_dna, hits, proteins, reads, sql_codon, sql_match, sql_translate, table
+from .adapters import DOCS, HITS, PROTEINS, RC, READS, documents_dna, hits, proteins, reads, sql_codon, sql_match, sql_translate, table
 from .registry import query
 
 # --- fixed values: the two anchors of the scan -------------------------------------------
@@ -301,3 +300,29 @@ def s5(s, d):
     q = ingest.running_counts(s, f"{base}/landing", ingest.READS, ["mate"], name, f"{base}/checkpoint")
     q.awaitTermination()
     return s.table(name)
+
+
+def _ingested(s, d, rounds=1):
+    base = scratch_dir(s, "ingest")
+    _land(s, d, base)
+    for _ in range(rounds):
+        ingest.ingest(s, f"{base}/landing", f"{base}/out", ingest.ScanConfig(tuple(TARGETS)), files_per_batch=2)
+    return f"{base}/out"
+
+
+@query("s1_chunked_stream", "mate s, candidates i", f"WITH {COUNTS} SELECT mate, count(*) AS candidates FROM cand GROUP BY mate")
+def s1(s, d):
+    return s.read.parquet(f"{_ingested(s, d)}/candidates").groupBy("mate").agg(F.count(F.lit(1)).alias("candidates"))
+
+
+@query("s3_exactly_once_resume", "records i, repeated i", f"WITH {COUNTS} SELECT count(*) AS records, 0 AS repeated FROM {_validated('cand', 'PRIMARY')}")
+def s3(s, d):
+    """Three runs over the same files: the second and third find nothing left to do."""
+    p = s.read.parquet(f"{_ingested(s, d, rounds=3)}/primary")
+    key = ["read_id", "target_position", "orientation", "frame", "read_codon_start"]
+    return p.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("records"), F.count_if(F.col("n") > 1).alias("repeated"))
+
+
+@query("s4_global_dedup", "evidence_role s, n i", f"WITH {FULL} SELECT evidence_role, count(*) AS n FROM final GROUP BY evidence_role")
+def s4(s, d):
+    return ingest.collected_evidence(s, _ingested(s, d)).groupBy("evidence_role").agg(F.count(F.lit(1)).alias("n"))
