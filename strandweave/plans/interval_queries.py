@@ -314,7 +314,7 @@ rd AS (SELECT gene, count(DISTINCT read_id) FILTER (WHERE mate = 'R1') AS reads_
   avg(best_pident) AS mean_pident, median(best_pident) AS median_pident, min(best_pident) AS min_pident, max(best_pident) AS max_pident,
   min(best_evalue) AS min_evalue, median(best_evalue) AS median_evalue, max(best_evalue) AS max_evalue, count(DISTINCT pair_id) AS n_pairs_any FROM per_read GROUP BY gene),
 bo AS (SELECT gene, count(*) AS n_pairs_both FROM (SELECT gene, pair_id FROM per_read GROUP BY ALL HAVING count(DISTINCT mate) = 2) GROUP BY gene)
-SELECT *, reads_r1 + reads_r2 AS reads_total, 100.0 * n_pairs_both / n_pairs_any AS mate_concordance_pct,
+SELECT * EXCLUDE (n_pairs_both), coalesce(n_pairs_both, 0) AS n_pairs_both, reads_r1 + reads_r2 AS reads_total, 100.0 * coalesce(n_pairs_both, 0) / n_pairs_any AS mate_concordance_pct,
   CASE WHEN reads_r1 + reads_r2 = 0 THEN 'NO_SIGNIFICANT_SUPPORT' WHEN coverage_pct >= 100 THEN 'DETECTED_FULL_LENGTH_COVERAGE' ELSE 'DETECTED_PARTIAL_COVERAGE' END AS observation_status
 FROM gene_lengths LEFT JOIN ds USING (gene) LEFT JOIN rd USING (gene) LEFT JOIN bo USING (gene)""")
 def d2(s, d):
