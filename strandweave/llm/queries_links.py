@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import minhash
+from . import covertree, minhash
 from .common import table
 from .registry import query
 
@@ -31,3 +31,23 @@ FROM words w LEFT JOIN sizes s ON s.doc_id = w.doc_id LEFT JOIN comp ON node = w
 def op9(spark, sf_dir):
     """Documents linked at a similarity of 0.85 of their sets of five words."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+VECTOR_SQL = f"""
+WITH RECURSIVE v AS MATERIALIZED (
+  SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS norm FROM (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings)
+  WHERE label IS NOT NULL AND e IS NOT NULL AND list_dot_product(e, e) > 0),
+links AS MATERIALIZED (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id < y.vec_id
+  WHERE list_dot_product(x.e, y.e) / (x.norm * y.norm) >= 0.93),
+{_COMPONENTS},
+degree AS (SELECT a, count(*) AS n FROM edges GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(c, vec_id) AS component_id, coalesce(c, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN comp ON node = vec_id LEFT JOIN degree ON degree.a = vec_id
+"""
+
+
+@query("op2_embedding_near_dedup", VECTOR_SQL)
+def op2(spark, sf_dir):
+    """All vectors of equal labels with a cosine of 0.93."""
+    return covertree.link_vectors(table(spark, sf_dir, "embeddings"))
