@@ -127,38 +127,104 @@ def promising(pairs: DataFrame, threshold: float) -> DataFrame:
     return sized.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
-def in_blocks(members: DataFrame, threshold: float) -> DataFrame:
-    """Of (group columns, node, component, n, sig), dealt out and sorted by group: pairs of one group and different
-    components that may be links. A group is bounded by two blocks."""
+def _gathered(batches: Iterator[pa.RecordBatch], take) -> Iterator[list]:
+    """Columns of rows of equal first column, which come one after the other; ``take`` turns columns into arrays or lists."""
+    held, last = [], None
+    for batch in batches:
+        group = batch.column(0).to_numpy()
+        cuts = np.concatenate([[0], np.flatnonzero(group[1:] != group[:-1]) + 1, [len(group)]]).tolist()
+        for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+            if a == z:
+                continue
+            if held and group[a] != last:
+                yield [np.concatenate(x) for x in zip(*held, strict=True)]
+                held = []
+            last = group[a]
+            held.append(take(batch.slice(a, z - a)))
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def _plain(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [x.to_numpy() for x in batch.columns[1:4]] + [words_of_signatures(batch.column(4))]
+
+
+def _partners(i: int, component, n, sig, threshold: float, floor: float) -> np.ndarray:
+    """Later rows of other components that sizes and estimates leave possible."""
+    j = np.flatnonzero((component[i + 1:] != component[i]) & (np.minimum(n[i + 1:], n[i]) >= threshold * np.maximum(n[i + 1:], n[i]))) + i + 1
+    return j[estimate(sig[j], sig[i]) >= floor] if len(j) else j
+
+
+def in_small_buckets(members: DataFrame, threshold: float) -> DataFrame:
+    """Of (g, node, component, n, sig), dealt out and sorted by g: pairs of different components that may be links."""
     floor = floor_of(threshold)
 
-    def solve(node, component, n, sig):
-        for i in range(len(node) - 1):
-            j = np.flatnonzero((component[i + 1:] != component[i]) & (np.minimum(n[i + 1:], n[i]) >= threshold * np.maximum(n[i + 1:], n[i]))) + i + 1
-            j = j[estimate(sig[j], sig[i]) >= floor] if len(j) else j
-            if len(j):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[j], node[i])), pa.array(np.maximum(node[j], node[i]))], names=["a", "b"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for node, component, n, sig in _gathered(batches, _plain):
+            for i in range(len(node) - 1):
+                j = _partners(i, component, n, sig, threshold, floor)
+                if len(j):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[j], node[i])), pa.array(np.maximum(node[j], node[i]))], names=["a", "b"])
+
+    return members.mapInArrow(run, "a long, b long")
+
+
+def in_blocks(members: DataFrame, threshold: float) -> DataFrame:
+    """Of (g, node, component, n, sig, shingles), dealt out and sorted by g: links that join components.
+
+    A group is two blocks of a large bucket. Its pairs are confirmed here, on the full sets, and only those links are emitted
+    that join what was apart: fewer than rows."""
+    floor, share = floor_of(threshold), round(threshold * 100)
+
+    def take(batch: pa.RecordBatch) -> list[np.ndarray]:
+        lists = batch.column(5)
+        sets = np.empty(len(lists), object)
+        flat, at = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+        for i in range(len(lists)):
+            sets[i] = flat[at[i]:at[i + 1]]
+        return [*_plain(batch), sets]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, last = [], None
-        for batch in batches:
-            group = batch.column(0).to_numpy()
-            parts = [x.to_numpy() for x in batch.columns[1:4]] + [words_of_signatures(batch.column(4))]
-            cuts = np.concatenate([[0], np.flatnonzero(group[1:] != group[:-1]) + 1, [len(group)]])
-            for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                if a == z:
+        for node, component, n, sig, sets in _gathered(batches, take):
+            values, flat = np.unique(np.concatenate(list(sets)), return_inverse=True)
+            at = np.concatenate([[0], np.cumsum(n)])
+            mark, left, right = np.zeros(len(values), bool), [], []
+            component = component.copy()
+            for i in range(len(node) - 1):
+                j = _partners(i, component, n, sig, threshold, floor)
+                if not len(j):
                     continue
-                if held and group[a] != last:
-                    yield from solve(*(np.concatenate(x) for x in zip(*held, strict=True)))
-                    held = []
-                last = group[a]
-                held.append([x[a:z] for x in parts])
-        if held:
-            yield from solve(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                mark[flat[at[i]:at[i + 1]]] = True
+                both = np.add.reduceat(mark[flat[ranges(at[j], n[j])]].astype(np.int64), np.cumsum(n[j]) - n[j])
+                mark[flat[at[i]:at[i + 1]]] = False
+                for k in j[100 * both >= share * (n[j] + n[i] - both)].tolist():
+                    if component[k] != component[i]:
+                        left.append(min(node[i], node[k]))
+                        right.append(max(node[i], node[k]))
+                        component[component == component[k]] = component[i]
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
     return members.mapInArrow(run, "a long, b long")
 
 
+def full_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """(node, shingles) of (node, s1, s2): hashes of the full shingle sets, from the texts."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text")).where("node is not null and text is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offsets = text_buffer(batch.column(3))
+            s1, s2 = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            for lo, hi, part, at in chunks(raw, offsets):
+                value, bounds = shingle_sets(part, at, k)
+                k1, k2 = set_keys(value, bounds)
+                on = pa.array((k1 == s1[lo:hi]) & (k2 == s2[lo:hi]))
+                lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(value.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).filter(on), lists.filter(on)], names=["node", "shingles"])
+
+    return nodes.join(texts, "node").select("node", "s1", "s2", "text").mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"])
+
+
 def confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, threshold: float, k: int, portion: int = 500) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough.
 
@@ -200,7 +266,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, threshold: fl
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.85, k: int = 5, block: int = 1000) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.85, k: int = 5, small_bucket: int = 64, block: int = 1000) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of ``docs``.
 
     Shingles are k words, in lower case for A-Z; documents are linked when the similarity of their sets is ``threshold`` (in
@@ -209,6 +275,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.85, k: int = 5, block:
     not the text are told apart by their sets. A null doc_id is no document: component_id is null and kept true. Very long
     texts are read whole; an empty table gives an empty one; columns other than doc_id and text are not read.
 
+    small_bucket: classes of a bucket up to which what may be a link is emitted for confirmation; in larger ones pairs of
+    different components are confirmed within blocks of ``block`` classes. Both ways give the same links.
+
     A link is missed only if no band of both documents agrees, at 0.85 a chance of about 2e-8, or the estimate is off by more
     than SIGMAS standard deviations."""
     rows = land(signatures(docs, k), "signatures")
@@ -225,17 +294,25 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.85, k: int = 5, block:
 
     labelled = shared.select("band", "key", F.col("rep").alias("node"), "n", "sig", "size").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_ = labelled.groupBy("band", "key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("band", "key")
-    left = labelled.join(open_, ["band", "key"])
-    parts = F.ceil(F.col("size") / block).cast("int")
-    mine = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    left = left.withColumn("parts", parts).withColumn("mine", mine)
-    left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    group = F.xxhash64("band", "key", F.least("mine", "other"), F.greatest("mine", "other"))
-    left = left.select(group.alias("g"), "node", "component", "n", "sig").repartition("g").sortWithinPartitions("g")
-    more = land(in_blocks(left, threshold).distinct(), "open-pairs")
-    if not more.isEmpty():
-        second = confirm(more, docs, classes, threshold, k)
-        found = connected_components(first.unionByName(second))
+    left = land(labelled.join(open_, ["band", "key"]), "open-members")
+    few = left.where(F.col("size") <= small_bucket).withColumn("g", F.xxhash64("band", "key"))
+    few = few.select("g", "node", "component", "n", "sig").repartition("g").sortWithinPartitions("g")
+    some = land(in_small_buckets(few, threshold).distinct(), "open-pairs")
+    links = first
+    if not some.isEmpty():
+        links = links.unionByName(confirm(some, docs, classes, threshold, k))
+    many = left.where(F.col("size") > small_bucket)
+    if not many.isEmpty():
+        parts = F.ceil(F.col("size") / block).cast("int")
+        many = many.withColumn("parts", parts).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        group = F.xxhash64("band", "key", F.least("mine", "other"), F.greatest("mine", "other"))
+        keyed = many.select("node").distinct().join(classes.select(F.col("rep").alias("node"), "s1", "s2"), "node")
+        sets = land(full_sets(docs, keyed, k), "open-sets")
+        many = many.select(group.alias("g"), "node", "component", "n", "sig").join(sets, "node").select("g", "node", "component", "n", "sig", "shingles")
+        links = links.unionByName(in_blocks(many.repartition("g").sortWithinPartitions("g", "node"), threshold))
+    if links is not first:
+        found = connected_components(links)
     named = classes.select("s1", "s2", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("c"))
     own = rows.select("doc_id", "n_shingles", "s1", "s2")
     out = own.join(named, ["s1", "s2"], "left")
