@@ -288,8 +288,8 @@ def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
 
 
 def with_keys(docs: DataFrame) -> DataFrame:
-    """``docs`` with dk (doc_id, or the least long for null) and th (a hash of the text): together they name a text."""
-    return docs.withColumn("dk", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("th", F.xxhash64("text"))
+    """``docs`` with dk (doc_id, or the least long for null) and th (32 bits of a hash of the text, which rows of one doc_id differ in): together they name a text."""
+    return docs.withColumn("dk", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("th", F.hash("text").cast("long"))
 
 
 def repeated_spans(base: DataFrame, unit: Unit, group_rows: int = 20_000, flush_rows: int = 20_000, context_bytes: int = 64 << 20) -> DataFrame:

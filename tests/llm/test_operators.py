@@ -1,0 +1,388 @@
+"""Operators of the training-data subpackage against plain code, on small tables with all kinds of odd rows."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+pytest.importorskip("strandweave.llm")
+from strandweave.llm import covertree, kernels, language, licenses, minhash, mixing, packing, quality, repeats, substrings, suffixes, url_filter  # noqa: E402
+from strandweave.llm.components import connected_components  # noqa: E402
+from strandweave.llm.queries_models import tokenizer_path  # noqa: E402
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, spans string, gram string, lang_pred string, copy string, host string"
+
+
+def corpus(seed=3, n=60):
+    """Texts that share passages, near copies, repeated rows, nulls, empties, one long text, texts of one byte or word repeated."""
+    r = random.Random(seed)
+    words = ["".join(r.choice("abcdeéñü") for _ in range(r.randint(1, 7))) for _ in range(80)]
+    say = lambda k: " ".join(r.choice(words) for _ in range(k))
+    passage, base = say(40), say(120)
+    rows = []
+    for i in range(n):
+        kind = i % 6
+        text = say(r.randint(1, 90)) if kind < 2 else say(20) + " \n" + passage + "\t" + say(20) if kind == 2 else base if kind == 3 else say(30)
+        if kind == 4:
+            w = base.split()
+            w[r.randrange(len(w))] = "changed"
+            text = " ".join(w)
+        rows.append((i, text))
+    rows += [(100, None), (101, ""), (102, " \n\t "), (103, "a" * 3000), (104, "the " * 500), (105, say(6000)), (106, passage), (None, passage), (107, rows[3][1]), (107, rows[3][1])]
+    return [(d, t, ["en", "de", None][k % 3], ["a", "b", None][k % 3], 1, "x", "y", "z", "c", "h") for k, (d, t) in enumerate(rows)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(corpus(), DOCS)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def rows_of(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def expected_words(rows, w=13):
+    texts = [(d, WORD.findall(t or "")) for d, t, *_ in rows]
+    first = {}
+    least = lambda d: -math.inf if d is None else d
+    for d, x in texts:
+        for i in range(len(x) - w + 1):
+            k = tuple(x[i:i + w])
+            first[k] = min(first.get(k, math.inf), least(d))
+    out = []
+    for d, x in texts:
+        gone = set()
+        for i in range(len(x) - w + 1):
+            if first[tuple(x[i:i + w])] < least(d):
+                gone |= set(range(i, i + w))
+        kept = " ".join(v for i, v in enumerate(x) if i not in gone)
+        out.append((d, len(x), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return sorted(out, key=repr)
+
+
+def expected_bytes(rows, w, keep_first):
+    texts = [(d, (t or "").encode()) for d, t, *_ in rows]
+    places = {}
+    key = lambda d, i: (-math.inf if d is None else d, i)
+    for d, b in texts:
+        for i in range(len(b) - w + 1):
+            places.setdefault(b[i:i + w], []).append(key(d, i))
+    out = []
+    for d, b in texts:
+        gone = np.zeros(len(b) + 1, bool)
+        for i in range(len(b) - w + 1):
+            at = places[b[i:i + w]]
+            if min(at) < key(d, i) if keep_first else len(at) > 1:
+                gone[i:i + w] = True
+        runs = int((gone[:-1] & ~np.concatenate([[False], gone[:-2]])).sum()) if len(b) else 0
+        kept = bytes(c for c, g in zip(b, gone, strict=False) if not g)
+        out.append((d, len(b), len(b) - len(kept), runs, hashlib.sha256(kept).hexdigest()))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("group_rows", [20_000, 1])
+def test_substring_dedup(docs, empty, group_rows):
+    assert rows_of(substrings.remove_repeated_words(docs, group_rows=group_rows)) == expected_words(corpus())
+    assert rows_of(substrings.remove_repeated_words(empty, group_rows=group_rows)) == []
+
+
+@pytest.mark.parametrize("keep_first", [True, False])
+@pytest.mark.parametrize("group_rows", [20_000, 1])
+def test_suffix_array_dedup(docs, empty, keep_first, group_rows):
+    got = suffixes.remove_repeated_bytes(docs, 100, 16, keep_first, group_rows)
+    assert rows_of(got) == expected_bytes(corpus(), 100, keep_first)
+    assert rows_of(suffixes.remove_repeated_bytes(empty, 100, 16, keep_first, group_rows)) == []
+
+
+def test_kept_text_and_carried_columns(docs):
+    got = suffixes.remove_repeated_bytes(docs, 100, 16, True, with_text=True, carry=("lang", "spans", "gram"))
+    assert got.columns == ["doc_id", "lang", "spans", "gram", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
+    for r in got.where("doc_id < 60").collect():
+        if r["n_removed"] == 0:
+            assert hashlib.sha256(r["kept_text"].encode()).hexdigest() == r["kept_sha256"]
+
+
+def test_suffix_runs_are_common_prefixes():
+    rng = np.random.default_rng(1)
+    m = rng.integers(1, 3, (50, 6)).astype(np.uint16)
+    order, lcp = repeats.suffix_order(m)
+    for depth in range(1, 7):
+        node = repeats.runs_at(order, lcp, depth)
+        for i in range(50):
+            assert [node[i] == node[j] for j in range(50)] == [(m[i, :depth] == m[j, :depth]).all() for j in range(50)]
+
+
+def sets_of(rows):
+    out = {}
+    for d, t, *_ in rows:
+        low = (t or "").translate({c: c + 32 for c in range(65, 91)})
+        w = WORD.findall(low)
+        out[d] = {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    return out
+
+
+@pytest.mark.parametrize("small_bucket,block", [(64, 1000), (0, 3)])
+def test_near_duplicates(docs, empty, small_bucket, block):
+    sets = sets_of(r for r in corpus() if r[0] is not None)
+    root = {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                p, q = find(a), find(b)
+                root[max(p, q)] = min(p, q)
+    want = sorted(((d, len(sets[d]), find(d), find(d) == d) if d is not None else (None, len(sets_of([(0, t)])[0]), None, True) for d, t, *_ in corpus()), key=repr)
+    assert rows_of(minhash.near_duplicates(docs, small_bucket=small_bucket, block=block)) == want
+    assert rows_of(minhash.near_duplicates(empty)) == []
+
+
+def test_estimate_is_corrected_for_chance():
+    rng = np.random.default_rng(5)
+    a = rng.integers(0, 1 << 63, (2000, minhash.HASHES // 16), dtype=np.uint64)
+    assert abs(minhash.estimate(a, rng.permutation(a)).mean()) < 0.01
+    assert (minhash.estimate(a, a) == 1.0).all()
+
+
+def test_components(spark):
+    edges = spark.createDataFrame([(5, 4), (4, 3), (9, 8), (3, 2), (7, 7), (5, 4), (20, 9)], "a long, b long")
+    assert {tuple(r) for r in connected_components(edges).collect()} == {(5, 2), (4, 2), (3, 2), (2, 2), (9, 8), (8, 8), (20, 8)}
+
+
+def vectors():
+    rng = np.random.default_rng(2)
+    centre = rng.normal(size=(6, 8))
+    rows = [(i, [float(np.float32(v)) for v in centre[i % 6] + 0.25 * rng.normal(size=8)], int(i % 3)) for i in range(150)]
+    rows += [(200 + i, rows[0][1], rows[0][2]) for i in range(5)] + [rows[1], rows[1]]
+    return rows + [(300, None, 1), (301, [0.0] * 8, 1), (302, [1.0, None] + [0.0] * 6, 1), (303, [math.nan] + [1.0] * 7, 1), (304, [math.inf] * 8, 1), (305, rows[0][1], None),
+                   (306, [], 0), (307, rows[0][1][:4], 0), (None, rows[0][1], 0)]
+
+
+@pytest.mark.parametrize("cell_rows", [8192, 10])
+def test_link_vectors(spark, cell_rows):
+    rows = vectors()
+    df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, label int, cell string")
+    ok = {}
+    for v, e, lab in rows:
+        if v is not None and e and lab is not None and all(c is not None and math.isfinite(c) for c in e) and any(e):
+            ok[v] = (np.array(e, np.float32).astype(float), lab)
+    near = {v: {u for u in ok if u != v and ok[u][1] == ok[v][1] and len(ok[u][0]) == len(ok[v][0])
+                and ok[u][0] @ ok[v][0] / math.sqrt((ok[u][0] @ ok[u][0]) * (ok[v][0] @ ok[v][0])) >= 0.93} for v in ok}
+
+    def least(v):
+        seen, todo = {v}, [v]
+        while todo:
+            new = near[todo.pop()] - seen
+            seen |= new
+            todo += new
+        return min(seen)
+
+    want = sorted(((v, len(near[v]), least(v), least(v) == v) if v in ok else (v, 0, v, True) for v, *_ in rows), key=repr)
+    assert any(r[1] > 3 for r in want)
+    assert rows_of(covertree.link_vectors(df, 0.93, cell_rows)) == want
+    assert rows_of(covertree.link_vectors(df.limit(0))) == []
+
+
+def test_cover_tree_covers_and_separates():
+    x = np.random.default_rng(0).normal(size=(300, 6))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    tree = covertree.CoverTree(x)
+    for i, kids in enumerate(tree.children):
+        assert covertree.distance(x[tree.members[i]], x[tree.centre[i]:tree.centre[i] + 1]).max() <= tree.radius[i] + 1e-12
+        if len(kids):
+            assert sorted(np.concatenate([tree.members[k] for k in kids])) == sorted(tree.members[i])
+            assert max(tree.radius[k] for k in kids) <= tree.radius[i] / 2 + 1e-9
+            d = covertree.distance(x[tree.centre[kids]], x[tree.centre[kids]])
+            assert (d[~np.eye(len(kids), dtype=bool)] > tree.radius[i] / 2 - 1e-9).all()
+
+
+def test_url_filter(spark):
+    urls = ["http://a.Example.org/es/x", "https://example.org/en/12?q=/es/", "http://org/", "http://org", "ftp://x.com/fr/", "x.com/fr/", None, "", "://", "http://badexample.org/es/",
+            "http://Q.net/a/#f", "http://www.q.net:80/a", "http://q.net/b", "http://x.com/de/" + "y" * 5000, "http://é.org/", "http://a.Example.org/es/x"]
+    pages = spark.createDataFrame([(i, u, "h", "k") for i, u in enumerate(urls)], "page_id long, url string, host string, key string")
+    rules = spark.createDataFrame([("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")], "rule string, verdict string")
+    listed = spark.createDataFrame([("= q.net/a",), (None,), ("= q.net/a",)], "key string")
+    got = {r["page_id"]: r for r in url_filter.filter_urls(pages, rules, listed).collect()}
+    assert [(got[i]["rule"], got[i]["verdict"]) for i in range(len(urls))] == [
+        ("example.org/es/", "block"), ("example.org/en/1", "block"), ("org/", "allow"), (None, "allow"), ("com/fr/", "allow"), (None, "allow"), (None, "allow"), (None, "allow"), (None, "allow"),
+        ("org/", "allow"), (None, "block"), (None, "block"), (None, "allow"), ("com/de/", "block"), ("org/", "allow"), ("example.org/es/", "block")]
+    assert got[6]["host"] == got[6]["path"] == "" and got[0]["host"] == "a.example.org"
+    one_block = url_filter.filter_urls(pages, rules, listed, max_blocks=1)  # all hits are false but for the exact join
+    assert rows_of(one_block) == rows_of(url_filter.filter_urls(pages, rules, listed))
+    assert url_filter.filter_urls(pages, rules.limit(0), listed.limit(0)).where("verdict = 'block'").count() == 0
+    assert url_filter.filter_urls(pages.limit(0), rules, listed).count() == 0
+
+
+def test_bloom_has_no_false_negatives(spark):
+    keys = spark.range(3000).select(F.col("id").cast("string").alias("key"))
+    f, blocks = url_filter.bloom(keys)
+    assert url_filter.possible(keys, f, blocks).count() == 3000
+    others = spark.range(10_000, 20_000).select(F.col("id").cast("string").alias("key"))
+    assert url_filter.possible(others, f, blocks).count() < 300
+
+
+def test_quality_features(docs, empty):
+    got = {(r["doc_id"], r["n_words"]): r for r in quality.judge(docs).collect()}
+    for d, t, *_ in corpus():
+        w = WORD.findall(t or "")
+        seen = Counter(tuple(w[i:i + 5]) for i in range(len(w) - 4))
+        cover = {i + k for i in range(len(w) - 4) if seen[tuple(w[i:i + 5])] > 1 for k in range(5)}
+        r = got[d, len(w)]
+        assert r["word_chars"] == sum(map(len, w)) and r["n_repeat_words"] == len(cover)
+        assert r["base_failed"] == (len(w) < 10 or 100 * len(cover) > 20 * len(w)) and not (r["base_failed"] and r["kept"])
+    assert rows_of(quality.judge(empty)) == []
+
+
+def test_estimation_finds_bad_rules(spark):
+    r = random.Random(1)
+    rows = []
+    for _ in range(4000):
+        good = r.random() < 0.7
+        rows.append(tuple(int(good == (r.random() < a)) if r.random() < 0.9 else None for a in (0.95, 0.9, 0.85, 0.55)))
+    df = spark.createDataFrame(rows, "vote_a int, vote_b int, vote_c int, vote_d int")
+    prior, accuracy = quality.estimate(df, "abcd", 40)
+    assert abs(prior - 0.7) < 0.04
+    assert all(abs(accuracy[n] - a) < 0.05 for n, a in zip("abcd", (0.95, 0.9, 0.85, 0.55), strict=True))
+
+
+def test_mixing(spark, docs, empty):
+    rates = spark.createDataFrame([("a", 3.0), (None, 0.5), ("b", 0.0)], "source string, rate double")
+    got = mixing.mix(docs, rates, partitions=4)
+    by = Counter((r["doc_id"], r["text"]) for r in got.collect())
+    times = Counter((d, t) for d, t, *_ in corpus())
+    for d, t, _, source, *_ in corpus():
+        u = int(hashlib.md5(f"mix-1|{'' if d is None else d}".encode()).hexdigest()[:13], 16) / 2**52
+        rate = {"a": 3.0, "b": 0.0, None: 0.5}[source]
+        n, p, c = 0, math.exp(-rate), math.exp(-rate)
+        while c <= u:
+            n, p = n + 1, p * rate / (n + 1)
+            c += p
+        if times[d, t] == 1:
+            assert by[d, t] == (n if rate else 0)
+    keys = [r["shuffle_key"] for r in got.collect()]
+    assert keys == sorted(keys)
+    assert mixing.mix(empty, rates).count() == 0
+    big = mixing.thresholds(spark.createDataFrame([("a", 900.0)], "source string, rate double")).first()["cdf"]
+    assert abs(big[-1] - 1) < 1e-9 and 0.4 < big[900] < 0.6
+
+
+def test_language(docs, empty, spark):
+    model = language.fit(docs, language.training_rows(), sample=50)
+    got = {(r["doc_id"], r["copy"]): r for r in language.identify(docs, model, tuple(docs.columns)).collect()}
+    assert set(docs.columns) <= set(next(iter(got.values())).asDict())
+    assert all(got[d, "c"]["lang_pred"] == "und" and got[d, "c"]["rejected"] for d in (100, 101, 102))
+    assert all(r["lang_pred"] in ("en", "de", "und") and 0 <= r["score"] <= 1 for r in got.values())
+    nothing = language.fit(empty, language.training_rows())
+    assert {r["lang_pred"] for r in language.identify(docs, nothing).collect()} == {"und"}
+    assert language.identify(empty, model).count() == 0
+    odd = spark.createDataFrame([(1, "漢字かな交じり文" * 30), (2, "1234 !!"), (3, "Ж")], "doc_id long, text string")
+    assert [r["rejected"] for r in language.identify(odd, model).orderBy("doc_id").collect()] == [True, True, False]
+
+
+def test_language_held_out_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.fit(docs, language.training_rows())
+    out = language.identify(docs.where(~language.training_rows()), model, ("doc_id", "lang", "n_chars"))
+    r = out.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double")).alias("right"), F.avg(F.col("rejected").cast("double")).alias("rejected")).first()
+    assert r["right"] > 0.97 and r["rejected"] < 0.02
+
+
+def brute_labels(text):
+    """All templates at all places, without an index."""
+    low = (text or "").translate({c: c + 32 for c in range(65, 91)})
+    w = licenses.words_of(low)
+    found = {label for label, p in licenses.PHRASES if any(w[i:i + len(p.split())] == p.split() for i in range(len(w)))}
+    for label, t, key in licenses.TEMPLATES:
+        x, k = t.split(), key.split()
+        for i in range(len(w) - len(x) + 1):
+            part = w[i:i + len(x)]
+            if sum(a == b for a, b in zip(part, x, strict=True)) >= 0.8 * len(x) and any(part[j:j + len(k)] == k for j in range(len(x))):
+                found.add(label)
+    return ",".join(sorted(found))
+
+
+def test_license_scan(spark, empty):
+    texts = [t for _, t, _ in licenses.TEMPLATES] + ["Licensed under CC-BY 4.0; All Rights Reserved. all rights reserved", "general public license " * 3, None, "", "é mit license", "cc by",
+                                                     "foo released under the MIT licence", "bar, LICENSED under THE apache license; version 2.0 " + "x " * 4000]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(0, texts[0], "x")], "doc_id long, text string, labels string")
+    index = licenses.build_index(df)
+    got = licenses.scan(df, index).collect()
+    assert len(got) == len(texts) + 1
+    for r in got:
+        assert r["labels"] == brute_labels(texts[r["doc_id"]])
+        assert r["n_words"] == len(licenses.words_of((texts[r["doc_id"]] or "").lower()))
+    three = next(r for r in got if r["doc_id"] == len(licenses.TEMPLATES) + 1)
+    assert (three["n_base"], three["first_word"], three["last_word"], three["base_labels"]) == (3, 0, 6, "gpl")
+    assert licenses.scan(empty, licenses.build_index(empty)).count() == 0
+
+
+def test_packing_round_trip(docs, empty):
+    from tokenizers import Tokenizer
+
+    exact = Tokenizer.from_file(tokenizer_path())
+    exact.encode_special_tokens = True
+    got = packing.pack(docs, tokenizer_path(), capacity=256, with_ids=True).collect()
+    want = Counter()
+    for d, t, *_ in corpus():
+        want[d, tuple(exact.encode(t or "", add_special_tokens=False).ids + [0])] += 1
+    pieces = {}
+    for r in got:
+        assert zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"] and len(r["ids"]) == r["length"]
+        pieces.setdefault(r["doc_id"], []).append(r)
+    for (d, ids), n in want.items():
+        mine = [r for r in pieces[d] if r["doc_tokens"] == len(ids)]
+        at = 0
+        for start in sorted({r["start"] for r in mine}):
+            same = [r for r in mine if r["start"] == start]
+            assert start == at and len(same) == n and all(tuple(r["ids"]) == ids[at:at + r["length"]] for r in same)
+            at += same[0]["length"]
+        assert at == len(ids)
+    sequences = {}
+    for r in got:
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for s in sequences.values():
+        end = 0
+        for offset, length in sorted(s):
+            assert offset == end
+            end += length
+        assert end <= 256
+    assert packing.pack(empty, tokenizer_path()).count() == 0
+
+
+def test_encoder_agrees_with_the_tokenizer():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    exact = Tokenizer.from_file(tokenizer_path())
+    exact.encode_special_tokens = True
+    texts = ["", " ", "  a  b ", "x  y\n z", "é é  ñ\n\n  z", "don't 's 12 34,5", "<|endoftext|> x", "a   b c", "　a 　b", "日本 語 1 2", "tab\t x", "end ", "\u0085 a b", "a   b  c"]
+    encoder = packing.Encoder(tokenizer_path())
+    raw, offsets = kernels.text_buffer(pa.array(texts))
+    ids, begin = encoder.encode(raw, offsets)
+    for i, t in enumerate(texts):
+        assert ids[begin[i]:begin[i + 1]].tolist() == exact.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_patterns_hold_the_demand():
+    rng = np.random.default_rng(3)
+    units, demand = np.arange(1, 65), rng.integers(0, 40, 64)
+    units, demand = units[demand > 0], demand[demand > 0]
+    used = packing.solve_patterns(units, demand.astype(float), 128)
+    assert (sum(p * n for p, n in used) == demand).all() and all((p * units).sum() <= 128 for p, _ in used)
+    assert sum(n for _, n in used) <= 1.03 * (units * demand).sum() / 128 + 3
