@@ -85,8 +85,9 @@ def uncovered_intervals(df: DataFrame, keys: list[str], lengths: DataFrame, leng
     wholly uncovered ranges come out of the same gap rule.
     """
     sized = lengths.select(*keys, F.col(length).cast("long").alias("_len"))
+    combined = df.groupBy(*keys, start).agg(F.max(end).alias(end))  # a row for each start before the join
     inside = (
-        df.join(sized, keys)
+        combined.join(sized, keys)
         .select(*keys, F.greatest(F.lit(1), F.col(start)).cast("long").alias("_s"), F.least(F.col("_len"), F.col(end)).cast("long").alias("_e"))
         .filter(F.col("_s") <= F.col("_e"))
     )
@@ -124,24 +125,23 @@ def depth(df: DataFrame, keys: list[str], lengths: DataFrame, length: str, start
     Two signed rows per interval are summed per position map-side, the spine of positions joins
     the same aggregation with weight 0, and one running sum gives the depth.
     """
-    clipped = (
-        df.join(lengths.select(*keys, F.col(length).alias("_len")), keys)
-        .select(*keys, F.greatest(F.lit(1), F.col(start)).alias("_s"), F.least(F.col("_len"), F.col(end)).alias("_e"),
-                "_len")
-        .filter(F.col("_s") <= F.col("_e"))
-    )
-    signed = clipped.select(
+    edges = df.filter(F.greatest(F.lit(1), F.col(start)) <= F.col(end)).select(
         *keys,
-        F.explode(
+        F.inline(
             F.array(
-                F.struct(F.col("_s").cast("long").alias("position"), F.lit(1).alias("_d")),
-                F.struct((F.col("_e") + 1).cast("long").alias("position"), F.lit(-1).alias("_d")),
+                F.struct(F.greatest(F.lit(1), F.col(start)).cast("long").alias("position"), F.lit(1).cast("long").alias("_d")),
+                F.struct((F.col(end) + 1).cast("long").alias("position"), F.lit(-1).cast("long").alias("_d")),
             )
-        ).alias("_x"),
-        "_len",
-    ).select(*keys, "_x.position", "_x._d", "_len").filter(F.col("position") <= F.col("_len")).drop("_len")
+        ),
+    )
+    # Combined before the join: a key brings at most a row for each coordinate. Edges beyond the length change nothing inside.
+    signed = (
+        edges.groupBy(*keys, "position").agg(F.sum("_d").alias("_d"))
+        .join(lengths.select(*keys, F.col(length).alias("_len")), keys)
+        .filter(F.col("position") <= F.col("_len")).select(*keys, "position", "_d")
+    )
     spine = lengths.select(
-        *keys, F.explode(F.sequence(F.lit(1).cast("long"), F.col(length).cast("long"))).alias("position"), F.lit(0).alias("_d")
+        *keys, F.explode(F.sequence(F.lit(1).cast("long"), F.col(length).cast("long"))).alias("position"), F.lit(0).cast("long").alias("_d")
     )
     step = (
         signed.unionByName(spine)

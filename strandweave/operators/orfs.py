@@ -36,12 +36,12 @@ def align_batch(references: list[str], queries: list[str], match: int = 1, misma
     """
     k, n, m = len(references), max(map(len, references)), max(map(len, queries))
     a, b = _encode(references, n, 1), _encode(queries, m, 2)
-    h = np.zeros((n + 1, k, m + 1), dtype=np.int16)
-    ramp = (np.arange(1, m + 1) * -gap).astype(np.int16)
+    h = np.zeros((n + 1, k, m + 1), dtype=np.int32)
+    ramp = (np.arange(1, m + 1) * -gap).astype(np.int32)
     best, bi, bj = (np.zeros(k, dtype=np.int64) for _ in range(3))
     for i in range(1, n + 1):
-        row = h[i - 1, :, :-1] + np.where(b == a[:, i - 1, None], match, mismatch).astype(np.int16)
-        np.maximum(row, h[i - 1, :, 1:] + np.int16(gap), out=row)
+        row = h[i - 1, :, :-1] + np.where(b == a[:, i - 1, None], match, mismatch).astype(np.int32)
+        np.maximum(row, h[i - 1, :, 1:] + np.int32(gap), out=row)
         np.maximum(row, 0, out=row)
         h[i, :, 1:] = np.maximum.accumulate(row + ramp, axis=1) - ramp
         j = h[i, :, 1:].argmax(axis=1) + 1

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.sequence import AA64, IUPAC, IUPAC_BASES, IUPAC_COMPLEMENT, codons_for
+from ..session import cut_lineage
 from .ranking import first_per_group
 
 MIN_ANCHOR_IDENTITY = 0.75
@@ -119,7 +120,7 @@ def _masks(pattern: str) -> np.ndarray:
 
 
 _BASE_MASK = np.zeros(256, dtype=np.uint8)
-for _b, _v in zip(b"ACGT", (1, 2, 4, 8)):
+for _b, _v in zip(b"ACGTacgt", (1, 2, 4, 8) * 2):
     _BASE_MASK[_b] = _v
 # Pattern positions compared over a whole batch before only surviving placements are followed.
 LEAD_POSITIONS = 8
@@ -147,7 +148,7 @@ def _placements(blob: np.ndarray, off: np.ndarray, pattern: np.ndarray, k: int,
     specific = np.argsort([bin(m).count("1") for m in pattern], kind="stable")
     lead, rest = specific[:LEAD_POSITIONS], specific[LEAD_POSITIONS:]
     if n > 0:
-        miss = np.zeros(n, dtype=np.uint8)
+        miss = np.zeros(n, dtype=np.int32)
         for i in lead:
             miss += (base[i : i + n] & pattern[i]) == 0
         at = np.nonzero(miss <= k)[0]
@@ -165,6 +166,12 @@ def _placements(blob: np.ndarray, off: np.ndarray, pattern: np.ndarray, k: int,
             for i, m in enumerate(part):
                 miss += (base[start + i] & m) == 0
             counts[fits] += miss <= k - o
+        for left in range(1, o):  # short reads: the pattern sticks out of both ends
+            fits = np.nonzero(np.diff(off) == size)[0]
+            miss = np.zeros(len(fits), dtype=np.int64)
+            for i, m in enumerate(pattern[left : left + size]):
+                miss += (base[off[fits] + i] & m) == 0
+            counts[fits] += miss <= k - o
     return counts
 
 
@@ -214,7 +221,7 @@ EVIDENCE_SCHEMA = ", ".join(f"{n} {t}" for n, t in EVIDENCE_FIELDS)
 
 _DIGIT = np.full(256, 255, dtype=np.uint8)
 for _i, _b in enumerate(b"TCAG"):
-    _DIGIT[_b] = _i
+    _DIGIT[_b] = _DIGIT[_b + 32] = _i
 _RESIDUES = np.frombuffer(AA64.encode(), dtype=np.uint8)
 _RC_TABLE = str.maketrans(IUPAC, IUPAC_COMPLEMENT)
 
@@ -327,12 +334,12 @@ def partners(reads: DataFrame, candidates: DataFrame) -> DataFrame:
 def positional_scan(reads: DataFrame, targets: list[Target], max_mismatch: int = 1, materialise=None) -> dict[str, DataFrame]:
     """Candidates, primary, partner and deduplicated evidence.
 
-    ``materialise(df, label)`` may write the small candidate table once so that the prefilter does
-    not run again for each consumer.
+    ``materialise(df, label)`` writes the small candidate table once so that the prefilter does not
+    run again for each consumer; by default below the cluster's checkpoint folder.
     """
     from .alleles import deduplicate_evidence
 
-    keep = materialise or (lambda df, label: df)
+    keep = materialise or cut_lineage
     cand = keep(prefilter(reads, targets, max_mismatch), "candidates")
     primary = validate_anchors(cand, targets)
     mate = validate_anchors(partners(reads.select("read_id", "pair_id", "mate", "read_index", "seq", "qual"), cand), targets, "PAIRED_PARTNER")

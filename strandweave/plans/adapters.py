@@ -13,7 +13,8 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LETTER_TO_BASE = "ACGTACGTACGTACGTACGTACGNAN"
 LETTER_TO_QUALITY = "#%()+-.0123456789:<>?@ABCD"
 READ_LENGTH = 301
-GENES = 40
+# Above the pairs of the longest text a string can hold.
+READ_STRIDE = 10_000_000
 POS_A, POS_B = 40, 85
 GAP_START, GAP_END = 21, 50
 # -------------------------------------------------------------------------------------------
@@ -30,6 +31,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
 
 
+def genes(spark: SparkSession, sf_dir: str) -> int:
+    """Number of reference proteins: documents are dealt to all of them."""
+    return max(1, table(spark, sf_dir, "benchmark").count())
+
+
 def epoch_seconds(ts: str):
     return F.expr(f"timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', {ts})")
 
@@ -53,7 +59,7 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return mapped.select(
         "doc_id", F.col("t").cast("long").alias("tile"),
-        (F.col("doc_id") * 1000 + F.floor(F.col("t") / 2) + 1).alias("read_index"),
+        (F.col("doc_id") * READ_STRIDE + F.floor(F.col("t") / 2) + 1).alias("read_index"),
         F.concat(pair, F.when(r2, "/2").otherwise("/1")).alias("read_id"),
         pair.alias("pair_id"),
         F.when(r2, "R2").otherwise("R1").alias("mate"),
@@ -193,7 +199,7 @@ tiles AS (SELECT doc_id, l, unnest(range(0, (length(l) + {READ_LENGTH - 1}) // {
 pieces AS (SELECT doc_id, tile, substr(l, {READ_LENGTH} * tile + 1, {READ_LENGTH}) AS x FROM tiles),
 mapped AS (SELECT doc_id, tile, translate(x, '{ALPHABET}', '{LETTER_TO_BASE}') AS b,
   translate(x, '{ALPHABET}', '{LETTER_TO_QUALITY}') AS q FROM pieces),
-reads AS (SELECT doc_id, tile, doc_id * 1000 + tile // 2 + 1 AS read_index,
+reads AS (SELECT doc_id, tile, doc_id * {READ_STRIDE} + tile // 2 + 1 AS read_index,
   'D' || doc_id || ':' || (tile // 2) || CASE WHEN tile % 2 = 1 THEN '/2' ELSE '/1' END AS read_id,
   'D' || doc_id || ':' || (tile // 2) AS pair_id,
   CASE WHEN tile % 2 = 1 THEN 'R2' ELSE 'R1' END AS mate,

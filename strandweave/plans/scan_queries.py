@@ -279,7 +279,7 @@ def a14(s, d):
 
 
 def _land(s, d, base):
-    reads(s, d).select("read_index", "read_id", "pair_id", "mate", "seq", "qual").repartition(4, "pair_id").write.parquet(f"{base}/landing")
+    reads(s, d).select("read_index", "read_id", "pair_id", "mate", "seq", "qual").repartition(4, "mate", F.xxhash64("pair_id") % 2).write.parquet(f"{base}/landing")
 
 
 @query("a15_incremental_ingest", EV_COLS, f"WITH {FULL} SELECT * FROM final")
@@ -287,7 +287,7 @@ def a15(s, d):
     base = scratch_dir(s, "ingest")
     _land(s, d, base)
     cfg = ingest.ScanConfig(tuple(TARGETS))
-    ingest.ingest(s, f"{base}/landing", f"{base}/out", cfg, files_per_batch=2)
+    ingest.ingest(s, f"{base}/landing", f"{base}/out", cfg, files_per_batch=1)
     ingest.ingest(s, f"{base}/landing", f"{base}/out", cfg)  # nothing new: no batch runs
     return ingest.collected_evidence(s, f"{base}/out")
 
@@ -296,10 +296,9 @@ def a15(s, d):
 def s5(s, d):
     base = scratch_dir(s, "counters")
     _land(s, d, base)
-    name = "counters_" + base.rsplit("-", 1)[-1]
-    q = ingest.running_counts(s, f"{base}/landing", ingest.READS, ["mate"], name, f"{base}/checkpoint")
+    q = ingest.running_counts(s, f"{base}/landing", ingest.READS, ["mate"], f"{base}/counts", f"{base}/checkpoint")
     q.awaitTermination()
-    return s.table(name)
+    return s.read.parquet(f"{base}/counts")
 
 
 def _ingested(s, d, rounds=1):

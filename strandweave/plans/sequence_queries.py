@@ -19,7 +19,7 @@ from ..operators.recovery import extract_reads, extract_regions, extraction_repo
 from ..operators.scan import anchor_window, degenerate_pattern_column, residue_to_iupac
 from ..operators.summaries import class_counts
 from .adapters import (
-    DOCS, GAP_END, GAP_START, GENES, PROTEINS, RC, READS, documents_dna, proteins, reads, sql_codon, sql_match, sql_translate, table,
+    DOCS, GAP_END, GAP_START, PROTEINS, RC, READS, documents_dna, genes, proteins, reads, sql_codon, sql_match, sql_translate, table,
 )
 from .registry import query
 
@@ -123,7 +123,7 @@ def h11(s, d):
 
 
 def doc_genes(s, d):
-    docs = documents_dna(s, d).withColumn("gene", F.concat(F.lit("B"), (F.col("doc_id") % GENES).cast("string")))
+    docs = documents_dna(s, d).withColumn("gene", F.concat(F.lit("B"), (F.col("doc_id") % genes(s, d)).cast("string")))
     return docs.join(proteins(s, d).select("gene", F.col("seq").alias("protein_ref"), "cds"), "gene")
 
 
@@ -132,7 +132,7 @@ def h12(s, d):
     return orfs.best_orfs(doc_genes(s, d).select("name", "seq", "protein_ref"), ["name"], "seq", "protein_ref")
 
 
-DOC_HITS = f"""{DOCS}, dh AS (SELECT doc_id, name AS contig, seq AS contig_seq, 'B' || (doc_id % {GENES}) AS gene, length(seq) AS bitscore,
+DOC_HITS = f"""{DOCS}, dh AS (SELECT doc_id, name AS contig, seq AS contig_seq, 'B' || (doc_id % (SELECT count(*) FROM benchmark)) AS gene, length(seq) AS bitscore,
   CASE WHEN doc_id % 2 = 0 THEN 1 + (doc_id * 37) % 200 ELSE 90 + (doc_id * 37) % 200 END AS sstart,
   CASE WHEN doc_id % 2 = 0 THEN 90 + (doc_id * 37) % 200 ELSE 1 + (doc_id * 37) % 200 END AS send FROM docs)"""
 
@@ -141,7 +141,7 @@ def doc_hits(s, d):
     k = (F.col("doc_id") * 37) % 200
     even = F.col("doc_id") % 2 == 0
     return documents_dna(s, d).select(
-        "doc_id", F.col("name").alias("contig"), F.concat(F.lit("B"), (F.col("doc_id") % GENES).cast("string")).alias("gene"),
+        "doc_id", F.col("name").alias("contig"), F.concat(F.lit("B"), (F.col("doc_id") % genes(s, d)).cast("string")).alias("gene"),
         F.length("seq").cast("double").alias("bitscore"), F.lit(90.0).alias("pident"), F.lit(1e-20).alias("evalue"),
         F.when(even, k + 1).otherwise(k + 90).alias("sstart"), F.when(even, k + 90).otherwise(k + 1).alias("send"))
 

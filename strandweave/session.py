@@ -9,9 +9,10 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def build_session(app: str = "strandweave", cores: str | int = "*", shuffle_partitions: int | None = None,
+def build_session(app: str = "strandweave", cores: str | int | None = None, shuffle_partitions: int | None = None,
                   **conf: str) -> SparkSession:
-    """A session tuned for local runs; on a cluster the submitted configuration wins."""
+    """A session with the settings the library relies on. ``cores`` makes it a local one (tests, bench); without it the
+    master and the memory are those of the submitted job."""
     b = (
         SparkSession.builder.appName(app)
         .config("spark.sql.session.timeZone", "UTC")
@@ -21,8 +22,8 @@ def build_session(app: str = "strandweave", cores: str | int = "*", shuffle_part
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
-    if "SPARK_MASTER" not in os.environ:
-        b = b.master(f"local[{cores}]").config("spark.driver.memory", "20g")
+    if cores is not None:
+        b = b.master(f"local[{cores}]").config("spark.driver.memory", os.environ.get("LOCAL_DRIVER_MEMORY", "12g"))
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for k, v in conf.items():
@@ -36,9 +37,12 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``.
 
     The cluster names a folder every executor can reach in that setting; only where it is
-    unset (tests, a laptop) is a machine-local folder used, and then remembered in the session.
+    unset and the master is local (tests, a laptop) is a machine-local folder used, and then
+    remembered in the session. It is an error on any other master.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not base:
         base = tempfile.mkdtemp(prefix="spark-")
         try:

@@ -27,12 +27,15 @@ TARGETS = T.StructType(
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """Records of a FASTA file or folder: name, header, seq (blanks removed, upper case kept as is)."""
-    raw = spark.read.option("lineSep", ">").text(path)
+    """Records of a FASTA file or folder: name, header, seq (blanks removed, in upper case).
+
+    A record begins at ``>`` at the start of a line; the first one of a file has no line break before it."""
+    raw = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", r"^\s*>", "").alias("value"))
     parts = F.split("value", "\n", 2)
     return (
         raw.filter(F.length(F.trim("value")) > 0)
         .select(F.rtrim(F.regexp_replace(parts[0], "\r", "")).alias("header"), F.regexp_replace(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), r"\s", "").alias("seq"))
+        .withColumn("seq", F.upper("seq"))
         .select(F.regexp_replace("header", r"\s.*$", "").alias("name"), "header", "seq")
     )
 
@@ -59,7 +62,7 @@ def read_hits(spark: SparkSession, path: str, aligned: bool = False, name_patter
 
     An empty file contributes no rows.
     """
-    df = spark.read.schema(HSP_ALIGNED if aligned else HSP).option("sep", "\t").csv(path)
+    df = spark.read.schema(HSP_ALIGNED if aligned else HSP).option("sep", "\t").option("quote", "").option("mode", "FAILFAST").csv(path)
     name = F.col("_metadata.file_path" if name_column == "path" else "_metadata.file_name")
     return df.select(
         "*", F.regexp_extract(name, name_pattern, 1).alias("gene"), F.regexp_extract(name, name_pattern, 2).alias("mate")

@@ -1,5 +1,8 @@
 """Incremental scan: newly landed read files -> prefilter -> validation -> append, once per batch.
 
+Mates may land in different files and different batches: partner evidence is found in a batch step over all candidates and
+all landed reads, so it does not depend on how files were grouped.
+
 The checkpoint remembers which files are done, so a restart continues where it stopped. Each batch
 overwrites its own ``batch_id`` partition, so a batch replayed after a failure leaves no duplicates.
 """
@@ -14,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.alleles import deduplicate_evidence
-from ..operators.scan import Target, partners, prefilter, validate_anchors
+from ..operators.scan import MAX_AA_MISMATCH, MIN_ANCHOR_IDENTITY, Target, partners, prefilter, validate_anchors
 
 READS = T.StructType(
     [
@@ -28,24 +31,35 @@ class ConfigurationChanged(RuntimeError):
     pass
 
 
+class UnpairedReads(RuntimeError):
+    pass
+
+
 @dataclass(frozen=True)
 class ScanConfig:
+    """Everything that decides the evidence. ``require_pairs`` stops a run whose landed reads are not one R1 and one R2 each."""
+
     targets: tuple[Target, ...]
     max_mismatch: int = 1
+    max_aa_mismatch: int = MAX_AA_MISMATCH
+    min_identity: float = MIN_ANCHOR_IDENTITY
+    qual_offset: int = 33
+    overhang: bool = True
+    require_pairs: bool = False
 
-    def row(self) -> str:
-        return json.dumps(
-            {"targets": [[t.position, t.anchor, t.offset, t.anchor_start] for t in self.targets], "max_mismatch": self.max_mismatch}
-        )
+    def row(self, landing: str = "") -> str:
+        own = {k: v for k, v in self.__dict__.items() if k != "targets"}
+        return json.dumps({"targets": [[t.position, t.residue, t.anchor, t.offset, t.anchor_start] for t in self.targets], "landing": landing, **own}, sort_keys=True)
 
+    def validate(self, reads: DataFrame, role: str = "PRIMARY") -> DataFrame:
+        return validate_anchors(reads, list(self.targets), role, self.max_aa_mismatch, self.min_identity, self.qual_offset)
 
-def lock_configuration(spark: SparkSession, out: str, config: ScanConfig) -> None:
+
+def lock_configuration(spark: SparkSession, out: str, config: ScanConfig, landing: str = "") -> None:
     """Store the run's configuration beside its output; refuse to continue under another one."""
     path = f"{out}/run_config"
-    row = spark.createDataFrame([(config.row(),)], "config string")
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop):
+    row = spark.createDataFrame([(config.row(landing),)], "config string")
+    if not _exists(spark, path):
         row.coalesce(1).write.json(path)
         return
     stored = spark.read.schema("config string").json(path)
@@ -54,24 +68,53 @@ def lock_configuration(spark: SparkSession, out: str, config: ScanConfig) -> Non
         raise ConfigurationChanged(f"{out} was started with another configuration")
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
 def _overwrite_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
 def scan_batch(batch: DataFrame, batch_id: int, out: str, config: ScanConfig) -> None:
-    """Candidates, primary and partner evidence of one batch of read files."""
-    targets = list(config.targets)
-    _overwrite_batch(prefilter(batch, targets, config.max_mismatch), f"{out}/candidates", batch_id)
-    spark = batch.sparkSession
-    cand = spark.read.parquet(f"{out}/candidates/batch_id={batch_id}")
-    _overwrite_batch(validate_anchors(cand, targets), f"{out}/primary", batch_id)
-    mates = partners(batch.select("read_id", "pair_id", "mate", "read_index", "seq", "qual"), cand)
-    _overwrite_batch(validate_anchors(mates, targets, "PAIRED_PARTNER"), f"{out}/partners", batch_id)
+    """Candidates and primary evidence of one batch of read files."""
+    _overwrite_batch(prefilter(batch, list(config.targets), config.max_mismatch, config.overhang), f"{out}/candidates", batch_id)
+    cand = batch.sparkSession.read.parquet(f"{out}/candidates/batch_id={batch_id}")
+    _overwrite_batch(config.validate(cand), f"{out}/primary", batch_id)
+
+
+def _latest(spark: SparkSession, out: str) -> int | None:
+    """Number of the last batch that has candidates."""
+    if not _exists(spark, f"{out}/candidates"):
+        return None
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/candidates")
+    found = [s.getPath().getName() for s in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)]
+    return max((int(n.split("=")[1]) for n in found if n.startswith("batch_id=")), default=None)
+
+
+def require_pairs(reads: DataFrame) -> None:
+    """Stop unless every pair id has exactly one R1 and one R2."""
+    counts = reads.groupBy("pair_id").agg(F.count_if(F.col("mate") == "R1").alias("r1"), F.count_if(F.col("mate") == "R2").alias("r2"), F.count(F.lit(1)).alias("n"))
+    bad = counts.where((F.col("r1") != 1) | (F.col("r2") != 1) | (F.col("n") != 2)).limit(5).collect()  # a few for the message
+    if bad:
+        raise UnpairedReads("pairs without exactly one R1 and one R2, such as " + ", ".join(str(r["pair_id"]) for r in bad))
+
+
+def link_partners(spark: SparkSession, landing: str, out: str, config: ScanConfig) -> None:
+    """Partner evidence of all candidates so far among all landed reads; done once for each state of the candidates."""
+    latest = _latest(spark, out)
+    if latest is None or _exists(spark, f"{out}/partners/upto={latest}/_SUCCESS"):
+        return
+    mates = partners(spark.read.schema(READS).parquet(landing), spark.read.parquet(f"{out}/candidates").drop("batch_id"))
+    config.validate(mates, "PAIRED_PARTNER").write.mode("overwrite").parquet(f"{out}/partners/upto={latest}")
 
 
 def ingest(spark: SparkSession, landing: str, out: str, config: ScanConfig, files_per_batch: int = 64) -> None:
-    """Process every file not seen yet, then stop. Both mates of a pair must land in the same file set."""
-    lock_configuration(spark, out, config)
+    """Process every file not seen yet, then stop. The result does not depend on ``files_per_batch``."""
+    lock_configuration(spark, out, config, landing)
+    if config.require_pairs:
+        require_pairs(spark.read.schema(READS).parquet(landing))
     stream = spark.readStream.schema(READS).option("maxFilesPerTrigger", files_per_batch).parquet(landing)
     query = (
         stream.writeStream.foreachBatch(lambda df, i: scan_batch(df, i, out, config))
@@ -80,18 +123,19 @@ def ingest(spark: SparkSession, landing: str, out: str, config: ScanConfig, file
         .start()
     )
     query.awaitTermination()
+    link_partners(spark, landing, out, config)
 
 
 def collected_evidence(spark: SparkSession, out: str) -> DataFrame:
     """Deduplicated evidence over all batches. The order matters, so this is a batch step."""
-    both = spark.read.parquet(f"{out}/primary").unionByName(spark.read.parquet(f"{out}/partners"))
+    both = spark.read.parquet(f"{out}/primary").drop("batch_id").unionByName(spark.read.parquet(f"{out}/partners/upto={_latest(spark, out)}"))
     return deduplicate_evidence(both, [F.col("read_codon_start")])
 
 
 def running_counts(spark: SparkSession, landing: str, schema: T.StructType, by: list[str], table: str, checkpoint: str):
-    """Counters kept as streaming state and updated per trigger; returns the started query."""
+    """Counters kept as streaming state; each trigger overwrites the table at the path ``table``. Returns the started query."""
     counts = spark.readStream.schema(schema).parquet(landing).groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
     return (
-        counts.writeStream.outputMode("complete").format("memory").queryName(table)
+        counts.writeStream.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(table))
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )

@@ -128,3 +128,22 @@ def test_partner_evidence_and_dedup(spark):
 def test_sequence_quality_length_mismatch_fails(spark):
     with pytest.raises(Exception, match="differ in length"):
         evidence(spark, [CODING], {0: "I"})
+
+
+def test_long_patterns_and_two_sided_overhang():
+    import numpy as np
+
+    def count(seq, pattern, k):
+        mask = scan._masks(pattern)
+        blob = np.frombuffer(seq.encode(), np.uint8)
+        return int(scan._placements(blob, np.array([0, len(blob)]), mask, k, True)[0])
+
+    assert count("A" * 400, "C" * 257 + "A" * 43, 1) == 0  # 257 mismatches are not one
+    assert count("CGTACGTA", "ACGTACGTAC", 2) == 1  # one base out at each end
+    assert count("acgtacgt", "ACGTACGT", 0) == 1
+
+
+def test_alignment_of_a_long_query():
+    from strandweave.operators.orfs import align_batch
+
+    assert align_batch(["ACDEFGHIKL"], ["W" * 40_000 + "ACDEFGHIKL"])[0][3] == 10

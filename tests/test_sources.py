@@ -43,7 +43,7 @@ def test_gzip_and_offset_detection(spark, folder):
     df = fastq.read_fastq(spark, str(base / "gz" / "*.gz"), "R2")
     assert df.rdd.getNumPartitions() == 1 and sorted(r.read_id for r in df.collect()) == sorted(r[0] for r in recs)
     assert qc.detect_phred_offset(df) == 33
-    assert qc.detect_phred_offset(spark.createDataFrame([("hhTT",)], "qual string")) == 64
+    assert qc.detect_phred_offset(spark.createDataFrame([("hhTT",)], "qual string")) == 33  # 33 gives no negative score
 
 
 def test_malformed_record_fails(spark, tmp_path):
@@ -104,3 +104,49 @@ def test_replayed_batch_leaves_no_duplicates(spark, tmp_path):
 
 def test_scratch_folder_follows_the_session(spark):
     assert scratch_dir(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_fasta_headers_may_hold_the_mark(spark, tmp_path):
+    from strandweave.sources import tables
+
+    (tmp_path / "a.fasta").write_text(">g1 A->B change\nacgt\nAC\n>g2\nTT\n")
+    got = {r["header"]: r["seq"] for r in tables.read_fasta(spark, str(tmp_path / "a.fasta")).collect()}
+    assert got == {"g1 A->B change": "ACGTAC", "g2": "TT"}
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    import pytest
+
+    from strandweave.session import scratch_dir
+
+    class Session:
+        conf = type("C", (), {"get": staticmethod(lambda key, default=None: default)})
+        sparkContext = type("S", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(RuntimeError):
+        scratch_dir(Session, "x")
+
+
+def test_ingest_does_not_depend_on_batches(spark, tmp_path):
+    import pytest
+
+    from strandweave.plans.adapters import reads
+    from strandweave.plans.scan_queries import TARGETS
+    from strandweave.streaming import ingest
+
+    sf = "/root/testdata/sf0.001"
+    own = reads(spark, sf).where("doc_id < 60").select("read_index", "read_id", "pair_id", "mate", "seq", "qual")
+    for mate in ("R1", "R2"):
+        own.where(f"mate = '{mate}'").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    got = []
+    for n in (1, 64):
+        out = str(tmp_path / f"out{n}")
+        ingest.ingest(spark, str(tmp_path / "in"), out, ingest.ScanConfig(tuple(TARGETS)), n)
+        got.append(sorted(map(repr, ingest.collected_evidence(spark, out).collect())))
+    assert got[0] == got[1]
+    with pytest.raises(ingest.ConfigurationChanged):
+        ingest.ingest(spark, str(tmp_path / "in"), str(tmp_path / "out1"), ingest.ScanConfig(tuple(TARGETS), overhang=False))
+    with pytest.raises(ingest.UnpairedReads):
+        one = str(tmp_path / "one")
+        own.where("mate = 'R1'").write.parquet(one)
+        ingest.ingest(spark, one, str(tmp_path / "out2"), ingest.ScanConfig(tuple(TARGETS), require_pairs=True))
