@@ -29,6 +29,8 @@ from .common import land
 from .kernels import BASE, byte_values, chunks, gram_hash, group_ids, mix, prefix, ranges, sliding_min, space_table, span_hash, take_spans, text_buffer, word_spans
 
 NO_ID = -(1 << 63)
+#: Contexts whose units are placed in the matrices at once.
+ALIGN_ROWS = 1000
 
 
 @dataclass(frozen=True)
@@ -174,21 +176,26 @@ def aligned(context: pa.Array, left: np.ndarray, unit: Unit) -> tuple[np.ndarray
         values = span_hash(prefix(byte_values()[raw]), start, end) | np.uint64(1)
     else:
         values, bounds = raw.astype(np.uint16) + np.uint16(1), at
-    n = np.diff(bounds)
-    row, col = np.repeat(np.arange(len(n)), n), np.arange(len(values)) - np.repeat(bounds[:-1], n) - np.repeat(left, n)
-    out = []
-    for width, on, c in ((unit.window, col >= 0, col), (unit.reach, col < 0, -1 - col)):
-        m = np.zeros((len(n), max(width, 1)), values.dtype)
-        m[row[on], c[on]] = values[on]
-        out.append(m)
-    return out[0], out[1]
+    # In blocks of rows: the places of all units at once would be many times as large as the matrices.
+    count = len(bounds) - 1
+    right, before = np.zeros((count, unit.window), values.dtype), np.zeros((count, max(unit.reach, 1)), values.dtype)
+    for lo in range(0, count, ALIGN_ROWS):
+        hi = min(lo + ALIGN_ROWS, count)
+        n, own = np.diff(bounds[lo:hi + 1]), values[bounds[lo]:bounds[hi]]
+        row = np.repeat(np.arange(lo, hi), n)
+        col = np.arange(len(own)) - np.repeat(bounds[lo:hi] - bounds[lo] + left[lo:hi], n)
+        for m, on, c in ((right, col >= 0, col), (before, col < 0, -1 - col)):
+            m[row[on], c[on]] = own[on]
+    return right, before
 
 
 def suffix_order(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(rows in lexicographic order, common prefix of each with the one before)."""
     big = np.ascontiguousarray(m.astype(m.dtype.newbyteorder(">")))
-    keys = big.view(np.dtype((np.void, big.dtype.itemsize * big.shape[1]))).ravel()
-    order = np.array(sorted(range(len(keys)), key=[k.tobytes() for k in keys].__getitem__), np.int64)
+    keys = [k.tobytes() for k in big]
+    del big
+    order = np.array(sorted(range(len(keys)), key=keys.__getitem__), np.int64)
+    del keys
     s = m[order]
     differ = s[1:] != s[:-1]
     lcp = np.where(differ.any(axis=1), differ.argmax(axis=1), m.shape[1])
