@@ -25,17 +25,17 @@ def base_evidence(df: DataFrame, qual_offset: int = 33) -> DataFrame:
     start = codon_start("qstart", "sstart", "send", "target_position")
     n = F.length("seq")
     note = (
-        F.when(~F.coalesce(F.col("mate").isin("R1", "R2"), F.lit(False)), "unknown mate")
-        .when(F.col("seq").isNull() | F.col("qual").isNull(), "read or quality not found in original FASTQ")
-        .when(start.isNull(), "invalid HSP coordinate(s)")
-        .when((start < 1) | (start + 2 > n), "codon window outside read bounds")
-        .when(F.length("qual") < start + 2, "failed to obtain three Phred scores")
+        F.when(~F.coalesce(F.col("mate").isin("R1", "R2"), F.lit(False)), "mate_unknown")
+        .when(F.col("seq").isNull() | F.col("qual").isNull(), "read_missing")
+        .when(start.isNull(), "coordinates_missing")
+        .when((start < 1) | (start + 2 > n), "codon_off_read")
+        .when(F.length("qual") < start + 2, "quality_too_short")
         .otherwise("")
     )
     rev = ~is_forward("sstart", "send")
     out = df.withColumns({"note": note, "_start": start.cast("int")})
     ok, located = F.col("note") == "", ~F.col("note").isin(
-        "unknown mate", "read or quality not found in original FASTQ", "invalid HSP coordinate(s)")
+        "mate_unknown", "read_missing", "coordinates_missing")
     out = out.withColumns(
         {
             "hsp_strand": F.when(located, strand("sstart", "send")),
@@ -145,13 +145,13 @@ def anomaly_cause(df: DataFrame) -> DataFrame:
     gone = F.col("segment_n").isNull() | F.col("segment_c").isNull()
     shift = lambda c: (F.col(c) - 1).cast("string")
     cause = (
-        F.when(gone, "Missing N/C tail record")
+        F.when(gone, "tail_missing")
         .when((F.col("fwd_n") == 1) & (F.col("fwd_c") == 1),
-              "Both reported translations reproduce in frame 1; conflict is a translation bookkeeping discrepancy")
-        .when(F.col("fwd_n") > 1, F.concat(F.lit("N-tail frame offset (+"), shift("fwd_n"), F.lit(" bp)")))
-        .when(F.col("fwd_c") > 1, F.concat(F.lit("C-tail frame offset (+"), shift("fwd_c"), F.lit(" bp)")))
-        .when(F.col("rev_n").isNotNull() | F.col("rev_c").isNotNull(), "Strand orientation/reverse-complement required")
-        .otherwise("Identical extracted nucleotide triplets but reported translations cannot be independently reproduced")
+              "both_in_frame_1")
+        .when(F.col("fwd_n") > 1, F.concat(F.lit("n_tail_shift:"), shift("fwd_n")))
+        .when(F.col("fwd_c") > 1, F.concat(F.lit("c_tail_shift:"), shift("fwd_c")))
+        .when(F.col("rev_n").isNotNull() | F.col("rev_c").isNotNull(), "reverse_strand")
+        .otherwise("not_reproduced")
     )
     label = lambda c: F.when(gone, "Missing").when(F.col(c).isNotNull(), F.concat(F.lit("+"), F.col(c).cast("string"))).otherwise("RC/None")
     return df.withColumns({"frame_n_matched": label("fwd_n"), "frame_c_matched": label("fwd_c"), "diagnostic_cause": cause})
@@ -337,10 +337,10 @@ def orientation_diagnostic(df: DataFrame, reference: str, reverse_anchor: str =
     for x in needed[1:]:
         lacking = lacking | x
     note = (
-        F.when(lacking, "insufficient coordinates")
-        .when(~F.coalesce(F.col("mate").isin("R1", "R2"), F.lit(False)), F.concat(F.lit("unknown mate: "), F.coalesce("mate", F.lit("NA"))))
-        .when(F.col("seq").isNull(), "read not found")
-        .when((lo < 1) | (hi > F.length("seq")) | (lo > hi), "reconstructed nucleotide window outside read")
+        F.when(lacking, "coordinates_missing")
+        .when(~F.coalesce(F.col("mate").isin("R1", "R2"), F.lit(False)), F.concat(F.lit("mate_unknown:"), F.coalesce("mate", F.lit("NA"))))
+        .when(F.col("seq").isNull(), "read_missing")
+        .when((lo < 1) | (hi > F.length("seq")) | (lo > hi), "window_off_read")
         .otherwise("")
     )
     out = df.withColumns({"note": note, "nt_lo": lo, "nt_hi": hi})

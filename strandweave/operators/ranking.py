@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .running import ordinal
 
+#: Ranges of values that an order is cut into.
+RANGES = 256
+
 
 def first_per_group(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each group in ``order``; end the order with an ordinal to settle ties.
@@ -29,12 +32,16 @@ def share_of_total(df: DataFrame, count: str, name: str = "percent", by: list[st
 def evenly_spaced(df: DataFrame, keys: list[str], value: str, tie: str, n: int, tie_width: int = 1_000_000) -> DataFrame:
     """Per group, ``n`` rows evenly spread over the order of ``value`` (all rows when fewer).
 
-    Picks ranks ``round_half_even(1 + i*(N-1)/(n-1))``. Ranks come from the bucketed ordinal, so a
-    large group is never sorted by one task.
+    Picks ranks ``round_half_even(1 + i*(N-1)/(n-1))``. Ranks come from the bucketed ordinal: buckets are ranges between
+    approximate quantiles of the group, and a value that is such a quantile is cut further by ``tie``. So neither many
+    distinct values nor one frequent value sort a large group in one task.
     """
-    live = df.filter(F.col(value).isNotNull()).withColumn(
-        "_b", F.struct(F.col(value), F.floor(F.col(tie) / tie_width).alias("_t"))
-    )
+    live = df.filter(F.col(value).isNotNull())
+    points = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
+    cuts = live.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(value, points, F.lit(10 * RANGES))).alias("_cuts"))
+    at_cut = F.array_contains("_cuts", F.col(value))
+    below = F.size(F.filter("_cuts", lambda c: c < F.col(value)))
+    live = live.join(cuts, keys).withColumn("_b", F.struct(below.alias("i"), at_cut.alias("cut"), F.when(at_cut, F.floor(F.col(tie) / tie_width)).otherwise(0).alias("t"))).drop("_cuts")
     ranked = ordinal(live, keys, "_b", [value, tie], "rank")
     sizes = live.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     if n == 1:

@@ -159,7 +159,7 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
         q.alias("codon_min_qual"), (q + F.round(F.col("l_tax") * 100)).cast("double").alias("codon_mean_qual"),
         (1 + F.col("l_partkey") % 280).cast("int").alias("codon_nt_start"),
         F.when(odd, "M").otherwise("L").alias("expected_reference_aa"),
-        F.when(F.col("l_suppkey") % 17 == 0, "codon window outside read bounds").otherwise("").alias("note"),
+        F.when(F.col("l_suppkey") % 17 == 0, "codon_off_read").otherwise("").alias("note"),
         (F.col("l_orderkey") % 8).alias("batch_id"), (F.col("l_quantity") > 10).alias("any_candidate"),
         *EVIDENCE_TIES,
     )
@@ -258,7 +258,7 @@ ev AS (SELECT 'P' || l_orderkey AS pair_id, 'P' || l_orderkey || '/' || (1 + l_s
   (16 - CAST(round(l_discount * 100) AS INTEGER) % 5) / 16.0 AS anchor_identity,
   CAST(l_quantity AS INTEGER) % 42 AS q, CAST(l_quantity AS INTEGER) % 42 + round(l_tax * 100) AS qmean,
   1 + l_partkey % 280 AS codon_nt_start, CASE WHEN l_linenumber % 2 = 1 THEN 'M' ELSE 'L' END AS expected,
-  CASE WHEN l_suppkey % 17 = 0 THEN 'codon window outside read bounds' ELSE '' END AS note,
+  CASE WHEN l_suppkey % 17 = 0 THEN 'codon_off_read' ELSE '' END AS note,
   l_orderkey % 8 AS batch_id, l_quantity > 10 AS any_candidate,
   l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity FROM lineitem)
 """

@@ -86,9 +86,11 @@ def _nonx(o, f):
 @query("h8_six_frame_best", "read_id s, orientation s, frame i, residues i", f"""
 WITH {READS}, o AS (SELECT read_id, seq AS a, {RC('seq')} AS b FROM reads), l AS (
  {' UNION ALL '.join(f"SELECT read_id, '{n}' AS orientation, {f} AS frame, {k * 3 + f} AS o, {_nonx(c, f)} AS residues FROM o" for k, (n, c) in enumerate((('fwd', 'a'), ('rev', 'b'))) for f in (1, 2, 3))})
-SELECT * FROM l WHERE residues > 0 QUALIFY row_number() OVER (PARTITION BY read_id ORDER BY residues DESC, o) = 1""")
+SELECT read_id, CASE WHEN residues > 0 THEN orientation ELSE 'none' END AS orientation, CASE WHEN residues > 0 THEN frame ELSE 0 END AS frame, residues FROM l QUALIFY row_number() OVER (PARTITION BY read_id ORDER BY residues DESC, o) = 1""")
 def h8(s, d):
-    return reads(s, d).select("read_id", F.inline(F.array(sq.best_frame("seq")))).filter(F.col("residues") > 0)
+    best = reads(s, d).select("read_id", F.inline(F.array(sq.best_frame("seq"))))
+    found = F.col("residues") > 0  # a read of no whole codon has no frame
+    return best.select("read_id", F.when(found, F.col("orientation")).otherwise("none").alias("orientation"), F.when(found, F.col("frame")).otherwise(0).alias("frame"), "residues")
 
 
 @query("h9_open_segments", "name s, segments i, longest i, total i", f"""
@@ -227,9 +229,9 @@ WITH {CDS_PEP}, f AS (SELECT *, length(seq) AS n, length(seq) = expected_bp AND
 SELECT name, n AS cds_length, lm AS cds_length_match, n % 3 = 0 AS cds_divisible_by_3, a IN ('ATG', 'GTG', 'TTG') AS start_codon_valid, z IN ('TAA', 'TAG', 'TGA') AS stop_codon_valid, amb AS ambiguous_bases,
  st AS internal_stops, aa_exc AS aa_length_excluding_stop, round(100.0 * length(regexp_replace(seq, '[^GC]', '', 'g')) / n, 2) AS gc_percent,
  CASE WHEN lm AND n % 3 = 0 AND a IN ('ATG', 'GTG', 'TTG') AND z IN ('TAA', 'TAG', 'TGA') AND amb = 0 AND st = 0 AND aa_exc = expected_aa AND expected_aa > 0 THEN 'PASS' ELSE 'FAIL' END AS status,
- coalesce(nullif(array_to_string(list_filter([CASE WHEN NOT lm THEN 'CDS length ' || n || ' bp does not match expected ' || expected_bp || ' bp' END, CASE WHEN n % 3 <> 0 THEN 'CDS length is not divisible by 3' END,
-  CASE WHEN a NOT IN ('ATG', 'GTG', 'TTG') THEN 'invalid start codon: ' || a END, CASE WHEN z NOT IN ('TAA', 'TAG', 'TGA') THEN 'invalid stop codon: ' || z END, CASE WHEN amb > 0 THEN 'ambiguous nucleotides: ' || amb END,
-  CASE WHEN st > 0 THEN 'internal stop codons: ' || st END, CASE WHEN NOT (aa_exc = expected_aa AND expected_aa > 0) THEN 'translated protein length ' || aa_exc || ' aa (excluding terminal stop) does not match expected ' || expected_aa || ' aa' END],
+ coalesce(nullif(array_to_string(list_filter([CASE WHEN NOT lm THEN 'length:' || n || '/' || expected_bp END, CASE WHEN n % 3 <> 0 THEN 'partial_codon' END,
+  CASE WHEN a NOT IN ('ATG', 'GTG', 'TTG') THEN 'start:' || a END, CASE WHEN z NOT IN ('TAA', 'TAG', 'TGA') THEN 'stop:' || z END, CASE WHEN amb > 0 THEN 'ambiguous:' || amb END,
+  CASE WHEN st > 0 THEN 'inner_stops:' || st END, CASE WHEN NOT (aa_exc = expected_aa AND expected_aa > 0) THEN 'protein_length:' || aa_exc || '/' || expected_aa END],
   lambda x: x IS NOT NULL), '; '), ''), 'OK') AS reason FROM f""")
 def h17(s, d):
     return rf.validate_cds(doc_cds(s, d).filter(F.length("seq") >= 3))
@@ -432,8 +434,8 @@ def d14(s, d):
 
 
 @query("d15_length_verdict", "mate s, qc_status s, qc_flags s", f"""
-WITH {METRICS}, sh AS ({SHARES}), f AS (SELECT mate, list_filter([CASE WHEN min_len < 35 THEN 'minimum read length (' || min_len || ' bp) is below the 35 bp mapping-specificity threshold' END,
- CASE WHEN pct_lt_50 > 1 THEN printf('%.2f%% of reads are shorter than 50 bp (threshold 1.00%%)', pct_lt_50) END, CASE WHEN mean_len < 301 * 0.75 THEN printf('mean read length (%.2f bp) is below 75%% of the expected 301 bp', mean_len) END], lambda x: x IS NOT NULL) AS fl FROM sh)
+WITH {METRICS}, sh AS ({SHARES}), f AS (SELECT mate, list_filter([CASE WHEN min_len < 35 THEN 'min_length:' || min_len || '<35' END,
+ CASE WHEN pct_lt_50 > 1 THEN printf('short_reads:%.2f>1.00', pct_lt_50) END, CASE WHEN mean_len < 301 * 0.75 THEN printf('mean_length:%.2f<225.75', mean_len) END], lambda x: x IS NOT NULL) AS fl FROM sh)
 SELECT mate, CASE WHEN len(fl) = 0 THEN 'PASS' ELSE 'WARNING' END AS qc_status, coalesce(array_to_string(fl, '; '), '') AS qc_flags FROM f""")
 def d15(s, d):
     st = qc.length_statistics(reads(s, d)).join(qc.share_metrics(reads(s, d)), "mate")
@@ -510,7 +512,7 @@ def _q(i):
 @query("h25_base_evidence", "read_id s, note s, codon s, translated_aa s, codon_qual_pos1 i, codon_qual_pos2 i, codon_qual_pos3 i, codon_min_qual i, codon_mean_qual d2", f"""
 WITH {RHITS}, x AS (SELECT read_id, {cstart(18)} AS st, length(seq) AS n, {codon_at(18)} AS c, sstart < send AS f, {_q(0)} AS a, {_q(1)} AS b, {_q(2)} AS z FROM rh),
 y AS (SELECT *, st >= 1 AND st + 2 <= n AS ok FROM x)
-SELECT read_id, CASE WHEN ok THEN '' ELSE 'codon window outside read bounds' END AS note, CASE WHEN ok THEN c ELSE '' END AS codon, CASE WHEN ok THEN {sql_codon('c')} ELSE '' END AS translated_aa,
+SELECT read_id, CASE WHEN ok THEN '' ELSE 'codon_off_read' END AS note, CASE WHEN ok THEN c ELSE '' END AS codon, CASE WHEN ok THEN {sql_codon('c')} ELSE '' END AS translated_aa,
  CASE WHEN ok THEN CASE WHEN f THEN a ELSE z END ELSE -1 END AS codon_qual_pos1, CASE WHEN ok THEN b ELSE -1 END AS codon_qual_pos2, CASE WHEN ok THEN CASE WHEN f THEN z ELSE a END ELSE -1 END AS codon_qual_pos3,
  CASE WHEN ok THEN least(a, b, z) ELSE -1 END AS codon_min_qual, CASE WHEN ok THEN round((a + b + z) / 3, 2) ELSE -1 END AS codon_mean_qual FROM y""")
 def h25(s, d):
@@ -682,9 +684,9 @@ def h38(s, d):
 @query("h39_anomaly_cause", "pair_id s, position i, frame_n_matched s, frame_c_matched s, diagnostic_cause s", f"""
 WITH {CONF}, a AS (SELECT *, {_frame('segment_n', 'reported_n')} AS fn, {_frame('segment_c', 'reported_c')} AS fc, {_frame('segment_n', 'reported_n', True)} AS rn, {_frame('segment_c', 'reported_c', True)} AS rc FROM cg)
 SELECT pair_id, position, coalesce('+' || fn, 'RC/None') AS frame_n_matched, coalesce('+' || fc, 'RC/None') AS frame_c_matched,
- CASE WHEN fn = 1 AND fc = 1 THEN 'Both reported translations reproduce in frame 1; conflict is a translation bookkeeping discrepancy' WHEN fn > 1 THEN 'N-tail frame offset (+' || (fn - 1) || ' bp)'
- WHEN fc > 1 THEN 'C-tail frame offset (+' || (fc - 1) || ' bp)' WHEN rn IS NOT NULL OR rc IS NOT NULL THEN 'Strand orientation/reverse-complement required'
- ELSE 'Identical extracted nucleotide triplets but reported translations cannot be independently reproduced' END AS diagnostic_cause FROM a""")
+ CASE WHEN fn = 1 AND fc = 1 THEN 'both_in_frame_1' WHEN fn > 1 THEN 'n_tail_shift:' || (fn - 1)
+ WHEN fc > 1 THEN 'c_tail_shift:' || (fc - 1) WHEN rn IS NOT NULL OR rc IS NOT NULL THEN 'reverse_strand'
+ ELSE 'not_reproduced' END AS diagnostic_cause FROM a""")
 def h39(s, d):
     return au.anomaly_cause(conflict_rows(s, d, frames=True))
 

@@ -245,7 +245,7 @@ def test_base_evidence_notes(spark):
             ("R2", "ATGAAA", "IIIIII", None, 1, 6, 2), ("R2", "TTTCAT", "!\"#$%&", 1, 6, 1, 1)]
     df = spark.createDataFrame(rows, "mate string, seq string, qual string, qstart int, sstart int, send int, target_position int")
     got = au.base_evidence(df).collect()
-    assert [r.note for r in got] == ["", "codon window outside read bounds", "unknown mate", "read or quality not found in original FASTQ", "invalid HSP coordinate(s)", ""]
+    assert [r.note for r in got] == ["", "codon_off_read", "mate_unknown", "read_missing", "coordinates_missing", ""]
     assert (got[0].codon, got[0].translated_aa, got[0].codon_min_qual) == ("AAA", "K", 40)
     assert (got[5].codon, got[5].translated_aa, got[5].codon_qual_pos1, got[5].codon_qual_pos3, got[5].hsp_strand) == ("ATG", "M", 5, 3, "reverse")
 
