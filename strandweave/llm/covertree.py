@@ -163,6 +163,7 @@ def deal_to_cells(vectors: DataFrame, cell_rows: int, fan: int = 16, levels: int
 
     Each level splits the cells that are too large around up to ``fan`` pivots, those of least hash; a vector goes to the nearest.
     A cell too large for many levels (vectors that hardly differ) is cut by hash; its parts have the same centre and radius."""
+    kind_of_x = vectors.schema["x"].dataType.simpleString()
     now = vectors.select("rep", "weight", "x", "space", F.xxhash64("space").alias("cell"), F.lit(None).cast("array<float>").alias("centre"), F.lit(2.0).alias("d"))
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +206,7 @@ def deal_to_cells(vectors: DataFrame, cell_rows: int, fan: int = 16, levels: int
         sides = large.select("cell", F.pmod(F.xxhash64("rep"), salts).cast("int").alias("salt"), F.lit(1).alias("kind"), "rep", "weight", "space", "x").unionByName(
             pivots.select("cell", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(0).alias("kind"), "rep", "weight", "space", "x"))
         split = sides.repartition("cell", "salt").sortWithinPartitions("cell", "salt", "kind", "rep").mapInArrow(
-            nearest, "rep long, weight long, x array<float>, space string, parent long, nth long, centre array<float>, d double")
+            nearest, f"rep long, weight long, x {kind_of_x}, space string, parent long, nth long, centre array<float>, d double")
         split = split.select("rep", "weight", "x", "space", F.xxhash64("parent", "nth").alias("cell"), "centre", "d")
         now = land(now.join(sizes, "cell", "left_anti").unionByName(split), "cells")
     sized = now.groupBy("cell").agg(F.count(F.lit(1)).alias("size"), F.max("d").alias("radius"))
@@ -221,7 +222,9 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.93, cell_rows: int = 8
     vectors of a label are one class, compared once and counted by its vec_ids; repeated rows of one vec_id and vector count
     once. A null vec_id is no vector: no links, a null component, kept. An empty table gives an empty one; other columns are
     not read."""
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("x"), F.col("label").cast("string").alias("label"))
+    precise = vectors.schema["embedding"].dataType.simpleString() != "array<float>"
+    x = F.col("embedding").cast("array<double>") if precise else F.col("embedding")
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x"), F.col("label").cast("string").alias("label"))
     finite = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
     valid = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("x").isNotNull() & finite & F.exists("x", lambda v: v != 0), F.lit(False))
     space = F.concat_ws("|", F.size("x").cast("string"), "label")

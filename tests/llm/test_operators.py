@@ -199,6 +199,23 @@ def test_link_vectors(spark, cell_rows):
     assert rows_of(covertree.link_vectors(df.limit(0))) == []
 
 
+def test_link_vectors_of_doubles(spark):
+    """Cosines nearer to the threshold than single precision can tell."""
+    rows = []
+    for k in range(-10, 11):
+        c = 0.93 + (2 * k + 1) * 1e-9
+        rows += [(100 + 2 * k, [1.0, 0.0], 50 + k), (101 + 2 * k, [c, float(np.sqrt(1 - c * c))], 50 + k)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in covertree.link_vectors(df, 0.93).collect()}
+    assert got == {v: int(label >= 50) for v, _, label in rows}
+
+
+def test_language_sample_counts_copies_once(spark):
+    rows = [("en", f"text number {i}") for i in range(40)] + [("en", "one and the same text")] * 4000
+    got = language.labelled_sample(spark.createDataFrame(rows, "lang string, text string"), 20).collect()
+    assert len({r["text"] for r in got}) == len(got) <= 20
+
+
 def test_cover_tree_covers_and_separates():
     x = np.random.default_rng(0).normal(size=(300, 6))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
