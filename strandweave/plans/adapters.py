@@ -25,8 +25,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rebalance only when a table has fewer splits than the cluster has slots (one small file); a
-    large table already has more and passes through without a shuffle."""
+    """Layout alone, never rows: a table of fewer splits than the cluster has slots (one row group cannot be split) is dealt
+    out, since the kernels that follow would run as one task; a large table has more and passes through without a shuffle."""
     slots = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
 

@@ -414,15 +414,15 @@ def f2(s, d):
     return table(s, d, "lineitem").orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber", "l_partkey").limit(30)
 
 
-@query("f3_hash_sample", "n i, distinct_orders i", "SELECT least(1000, count(*)) AS n, least(1000, count(*)) AS distinct_orders FROM orders")
+@query("f3_hash_sample", "o_orderkey i, o_custkey i", "SELECT o_orderkey, o_custkey FROM orders ORDER BY md5('7|' || o_orderkey), o_orderkey LIMIT 1000")
 def f3(s, d):
-    return rk.hash_sample(table(s, d, "orders"), "o_orderkey", 1000, seed=7).agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct("o_orderkey").alias("distinct_orders"))
+    return rk.hash_sample(table(s, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", 1000, seed=7)
 
 
-@query("f4_prefix_cap", "o_orderkey i, o_custkey i", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey <= 5000")
+@query("f4_prefix_cap", "o_orderkey i, o_custkey i", "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey, o_custkey LIMIT 5000")
 def f4(s, d):
-    return table(s, d, "orders").filter(F.col("o_orderkey") <= 5000)
+    """A pilot of the first 5000 rows; the cap is the operator."""
+    return rk.first_rows(table(s, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", 5000, ["o_custkey"])
 
 
 @query("g1_union_all", "source s, n i, total d2", """

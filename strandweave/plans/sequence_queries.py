@@ -472,15 +472,19 @@ def h53(s, d):
 
 # ------------------------------------------------------------------ anchored hits on reads
 
-RHITS = f"""{READS}, rh0 AS (SELECT *, 20 + (doc_id + tile) % 30 AS span, 1 + (doc_id * 7 + tile * 11) % 120 AS s0, (doc_id + tile) % 3 = 0 AS rev, CASE WHEN tile % 2 = 0 THEN 'N' ELSE 'C' END AS side FROM reads),
+RHITS = f"""{READS}, rh0 AS (SELECT *, greatest(1, least(20 + (doc_id + tile) % 30, length(seq) // 3)) AS span,
+  1 + (doc_id * 7 + tile * 11) % 120 % greatest(1, length(seq) - 3 * greatest(1, least(20 + (doc_id + tile) % 30, length(seq) // 3)) + 1) AS s0,
+  (doc_id + tile) % 3 = 0 AS rev, CASE WHEN tile % 2 = 0 THEN 'N' ELSE 'C' END AS side FROM reads),
 rh AS (SELECT *, s0 + 3 * span - 1 AS e0, CASE WHEN rev THEN s0 + 3 * span - 1 ELSE s0 END AS sstart, CASE WHEN rev THEN s0 ELSE s0 + 3 * span - 1 END AS send,
  CASE WHEN side = 'N' THEN {G0} - 1 - doc_id % 3 - span + 1 ELSE {G1} + 1 + doc_id % 3 END AS qstart, CASE WHEN side = 'N' THEN {G0} - 1 - doc_id % 3 ELSE {G1} + doc_id % 3 + span END AS qend FROM rh0)"""
 
 
 def rhits(s, d):
-    k = F.col("doc_id") % 3
-    r = reads(s, d).withColumns({
-        "span": 20 + (F.col("doc_id") + F.col("tile")) % 30, "s0": 1 + (F.col("doc_id") * 7 + F.col("tile") * 11) % 120,
+    """A hit on every read, within it where the read holds a codon."""
+    k, whole = F.col("doc_id") % 3, F.length("seq")
+    span = F.greatest(F.lit(1), F.least(20 + (F.col("doc_id") + F.col("tile")) % 30, F.floor(whole / 3)))
+    r = reads(s, d).withColumn("span", span).withColumns({
+        "s0": 1 + (F.col("doc_id") * 7 + F.col("tile") * 11) % 120 % F.greatest(F.lit(1), whole - 3 * F.col("span") + 1),
         "rev": (F.col("doc_id") + F.col("tile")) % 3 == 0, "side": F.when(F.col("tile") % 2 == 0, "N").otherwise("C")})
     e0 = F.col("s0") + 3 * F.col("span") - 1
     n = F.col("side") == "N"
@@ -528,10 +532,10 @@ def h27(s, d):
 
 
 @query("h28_codon_quality", "read_id s, q1 i, q3 i, min_qual i, mean_qual d2", f"""
-WITH {RHITS}, x AS (SELECT read_id, rev, ascii(substr(qual, s0, 1)) - 33 AS a, ascii(substr(qual, s0 + 1, 1)) - 33 AS b, ascii(substr(qual, s0 + 2, 1)) - 33 AS c FROM rh WHERE s0 + 2 <= length(qual))
+WITH {RHITS}, x AS (SELECT read_id, rev, ascii(substr(qual, s0, 1)) - 33 AS a, ascii(substr(qual, s0 + 1, 1)) - 33 AS b, ascii(substr(qual, s0 + 2, 1)) - 33 AS c FROM rh)
 SELECT read_id, CASE WHEN rev THEN c ELSE a END AS q1, CASE WHEN rev THEN a ELSE c END AS q3, least(a, b, c) AS min_qual, round((a + b + c) / 3, 2) AS mean_qual FROM x""")
 def h28(s, d):
-    r = rhits(s, d).filter(F.col("s0") + 2 <= F.length("qual")).withColumn("q", rd.codon_quality("qual", F.col("s0").cast("int"), "rev"))
+    r = rhits(s, d).withColumn("q", rd.codon_quality("qual", F.col("s0").cast("int"), "rev"))
     return r.select("read_id", "q.q1", "q.q3", "q.min_qual", "q.mean_qual")
 
 
@@ -539,7 +543,7 @@ TAILS = f"""{RHITS}, t0 AS (SELECT *, CASE WHEN side = 'N' AND NOT rev THEN send
  CASE WHEN side = 'N' AND rev THEN send - 1 WHEN side = 'C' AND NOT rev THEN sstart - 1 ELSE length(seq) END AS hi_nt,
  CASE WHEN side = 'N' THEN greatest(qend + 1, {G0}) ELSE greatest({G0}, CASE WHEN rev THEN qstart - (length(seq) - sstart) // 3 ELSE qstart - (sstart - 1) // 3 END) END AS lo_p,
  CASE WHEN side = 'N' THEN least({G1}, CASE WHEN rev THEN qstart + (sstart - 3) // 3 ELSE qstart + (length(seq) - sstart - 2) // 3 END) ELSE least(qstart - 1, {G1}) END AS hi_p
- FROM rh WHERE e0 <= length(seq)),
+ FROM rh),
 t1 AS (SELECT *, lo_nt <= hi_nt AS has, list_transform(range(lo_p, hi_p + 1), lambda p: {codon_at('p')}) AS codons FROM t0),
 t2 AS (SELECT *, CASE WHEN has THEN lo_nt END AS nt_start, CASE WHEN has THEN hi_nt END AS nt_end, CASE WHEN NOT has THEN '' WHEN rev THEN {RC('substr(seq, lo_nt, hi_nt - lo_nt + 1)')} ELSE substr(seq, lo_nt, hi_nt - lo_nt + 1) END AS segment,
  coalesce(array_to_string(list_transform(codons, lambda c: {sql_codon('c')}), ''), '') AS pep FROM t1),
@@ -547,7 +551,7 @@ t3 AS (SELECT *, repeat('G', CAST(greatest(lo_p - 1, 0) AS INTEGER)) || CASE doc
 
 
 def tails(s, d):
-    r = rhits(s, d).filter(F.greatest("sstart", "send") <= F.length("seq"))
+    r = rhits(s, d)
     r = once(r, {"_g": tl.gap_facing()}).select("*", "_g.nt_start", "_g.nt_end", "_g.segment").drop("_g")
     r = tl.extend_into_gap(r, G0, G1)
     r = once(r, {"_pep": F.array_join(F.transform("extension", lambda x: x["aa"]), "")})
@@ -765,15 +769,15 @@ def h44(s, d):
 
 
 @query("h45_ground_truth_validation", "read_id s, our_translation s, matches_sseq_pct d, length_difference i, sseq_vs_qseq_pct d, status s", f"""
-WITH {RHITS}, v0 AS (SELECT read_id, doc_id, rev, substr(seq, least(sstart, send), greatest(sstart, send) - least(sstart, send) + 1 - CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END) AS raw FROM rh WHERE e0 <= length(seq)),
+WITH {RHITS}, v0 AS (SELECT read_id, doc_id, rev, substr(seq, least(sstart, send), greatest(sstart, send) - least(sstart, send) + 1 - CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END) AS raw FROM rh),
 v1 AS (SELECT *, CASE WHEN rev THEN {RC('raw')} ELSE raw END AS o FROM v0), v2 AS (SELECT *, {sql_translate('o')} AS tr FROM v1),
 v3 AS (SELECT *, CASE WHEN length(raw) % 3 = 0 THEN tr END AS ours, CASE doc_id % 4 WHEN 0 THEN substr(tr, 1, 5) || '-' || substr(tr, 6) WHEN 1 THEN translate(tr, 'L', 'V') WHEN 2 THEN substr(tr, 2) ELSE tr END AS sseq, translate(tr, 'S', 'T') AS qseq FROM v2),
 v4 AS (SELECT *, replace(sseq, '-', '') AS su FROM v3),
-v5 AS (SELECT *, CASE WHEN length(ours) = length(su) THEN 100.0 * {sql_match('ours', 'su')} / length(su) END AS mp, CASE WHEN length(su) = length(qseq) THEN 100.0 * {sql_match('su', 'qseq')} / length(su) END AS sp FROM v4)
+v5 AS (SELECT *, CASE WHEN length(ours) = length(su) THEN 100.0 * {sql_match('ours', 'su')} / length(su) END AS mp, CASE WHEN length(su) = length(qseq) AND length(su) > 0 THEN 100.0 * {sql_match('su', 'qseq')} / length(su) END AS sp FROM v4)
 SELECT read_id, coalesce(ours, '') AS our_translation, coalesce(mp, -1) AS matches_sseq_pct, coalesce(length(ours) - length(su), -99) AS length_difference, coalesce(sp, -1) AS sseq_vs_qseq_pct,
  CASE WHEN ours IS NULL THEN 'NON_MULTIPLE_OF_3' WHEN length(ours) <> length(su) THEN 'LENGTH_MISMATCH' WHEN mp = 100 THEN 'PASS' ELSE 'FAIL' END AS status FROM v5""")
 def h45(s, d):
-    r = rhits(s, d).filter(F.greatest("sstart", "send") <= F.length("seq"))
+    r = rhits(s, d)
     short = F.when(F.col("doc_id") % 7 == 0, 1).otherwise(0)
     r = r.withColumns({"sstart": F.when(F.col("rev"), F.col("sstart") - short).otherwise(F.col("sstart")), "send": F.when(F.col("rev"), F.col("send")).otherwise(F.col("send") - short)})
     raw = F.substring(F.col("seq"), F.least("sstart", "send").cast("int"), (F.abs(F.col("send") - F.col("sstart")) + 1).cast("int"))

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -265,3 +266,16 @@ def test_gates(spark):
     with pytest.raises(Exception, match="must hold"):
         checks.enforce(df, F.col("a") > 1, "must hold").collect()
     assert checks.enforce(df, F.col("a") > 0, "must hold").count() == 1
+
+
+def test_pilot_and_sample_take_exactly_n_rows(spark):
+    keys = [None, None, *[k * k for k in range(300)], *[7] * 50]
+    df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k long, i long")
+    want = sorted(((k, i) for i, k in enumerate(keys)), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    for n in (1, 2, 3, 40, 352, 400):
+        got = {tuple(r) for r in ranking.first_rows(df, "k", n, ["i"]).collect()}
+        assert got == set(want[:n]), n
+    by_hash = sorted(range(len(keys)), key=lambda i: hashlib.md5(f"3|{i}".encode()).hexdigest())
+    for n in (1, 100, 1000):
+        assert {r["i"] for r in ranking.hash_sample(df, "i", n, seed=3).collect()} == set(by_hash[:n]), n
+    assert ranking.first_rows(df.limit(0), "k", 5).collect() == []
