@@ -16,6 +16,8 @@ from strandweave.llm.queries_models import tokenizer_path
 
 #: Bytes of a passage that is removed where it repeats; fifty words of prose are longer.
 PASSAGE_BYTES = 200
+#: Similarity of word shingles from which documents are near-duplicates here; the 0.85 of op9 is that query's own.
+NEAR = 0.8
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +30,7 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near-duplicates stays, that of the least doc_id, and one of its repeated rows."""
-    gone = minhash.near_duplicates(docs, 0.85).where(~F.col("kept")).select(F.col("doc_id").alias("__doc")).distinct()
+    gone = minhash.near_duplicates(docs, NEAR).where(~F.col("kept")).select(F.col("doc_id").alias("__doc")).distinct()
     left = docs.join(gone, F.col("doc_id") == F.col("__doc"), "left_anti")
     nth = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(1)))
     return left.withColumn("__nth", nth).where((F.col("__nth") == 1) | F.col("doc_id").isNull()).drop("__nth")

@@ -278,7 +278,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.85, k: int = 5, small_
     small_bucket: classes of a bucket up to which what may be a link is emitted for confirmation; in larger ones pairs of
     different components are confirmed within blocks of ``block`` classes. Both ways give the same links.
 
-    A link is missed only if no band of both documents agrees, at 0.85 a chance of about 2e-8, or the estimate is off by more
+    A link is missed only if no band of both documents agrees, at 0.85 a chance of about 2e-8 and at 0.8 of
+    about 3e-6, or the estimate is off by more
     than SIGMAS standard deviations."""
     rows = land(signatures(docs, k), "signatures")
     classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2").agg(

@@ -75,3 +75,15 @@ def test_pipeline(spark):
     assert after.columns == names and {r["doc_id"] for r in after.collect()} <= {r["doc_id"] for r in before.collect()}
     before, after = got["packing"]
     assert after.where("start = 0").count() == before.count()
+
+
+def test_pipeline_drops_near_copies_from_four_fifths(spark):
+    """A near copy whose five-word shingles agree to between 0.80 and 0.85, and one just below 0.8."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    base = [f"w{i}" for i in range(104)]
+    rows = [(1, base), (2, [*base[:52], "other", *base[53:70], "more", *base[71:]]), (3, [*base[:30], "x", *base[31:60], "y", *base[61:80], "z", *base[81:]])]
+    sets = {d: {tuple(w[i:i + 5]) for i in range(len(w) - 4)} for d, w in rows}
+    share = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
+    assert 0.8 <= share[1, 2] < 0.85 and max(share[1, 3], share[2, 3]) < 0.8
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in pipeline.drop_near_duplicates(spark, docs, SF).collect()) == [1, 3]
