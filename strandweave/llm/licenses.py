@@ -1,8 +1,9 @@
 """License scan with a positional index of rare words.
 
-The index holds, for each template, its words of highest inverse document frequency with their positions. A file's places
-of such words propose where a template would begin; proposals on which its rare words agree are aligned word by word, and a
-label is given when enough of the template is there and its key phrase stands in it as a whole.
+The index holds, for each template, the positions of its words of highest inverse document frequency: one more than the words
+that may differ, so a notice that is near enough has the template's word in at least one of them. A file's places of such
+words propose where a template would begin; proposals are aligned word by word, and a label is given when enough of the
+template is there and its key phrase stands in it as a whole.
 """
 
 from __future__ import annotations
@@ -84,12 +85,14 @@ class Index:
     vocabulary: Vocabulary
     templates: list[tuple[str, np.ndarray, np.ndarray]]  # label, words, key phrase
     postings: dict[int, list[tuple[int, int]]]  # rare word -> (template, position)
-    need: list[int]  # rare words that must agree
+    least: float  # share of a template's words from which no notice is missed
     phrases: list[tuple[str, np.ndarray]]
 
 
-def build_index(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, rare: int = 3) -> Index:
-    """Document frequencies of the templates' words over all documents decide which are rare."""
+def build_index(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, least: float = 0.8) -> Index:
+    """Document frequencies of the templates' words over all documents decide which are rare.
+
+    least: the smallest share of a template's words that ``scan`` may accept."""
     vocabulary = Vocabulary([t for _, t, _ in templates] + [p for _, _, p in templates] + [p for _, p in phrases])
     size = len(vocabulary.words)
 
@@ -109,16 +112,14 @@ def build_index(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, rare: int
     for r in rows:
         df[r["word"]] = r["n"]
     postings: dict[int, list[tuple[int, int]]] = {}
-    out, need = [], []
+    out = []
     for t, (label, text, key) in enumerate(templates):
         words = vocabulary.ids(text)
-        chosen = sorted(set(words.tolist()), key=lambda w: (df[w], w))[:rare]
-        for w in chosen:
-            for p in np.flatnonzero(words == w):
-                postings.setdefault(int(w), []).append((t, int(p)))
-        need.append(min(2, len(chosen)))
+        differ = sum(n / len(words) >= least for n in range(len(words)))  # words that may differ
+        for p in sorted(range(len(words)), key=lambda p: (df[words[p]], words[p], p))[:differ + 1]:
+            postings.setdefault(int(words[p]), []).append((t, p))
         out.append((label, words, vocabulary.ids(key)))
-    return Index(vocabulary, out, postings, need, [(label, vocabulary.ids(p)) for label, p in phrases])
+    return Index(vocabulary, out, postings, least, [(label, vocabulary.ids(p)) for label, p in phrases])
 
 
 def places(number: np.ndarray, doc: np.ndarray, phrase: np.ndarray) -> np.ndarray:
@@ -133,7 +134,7 @@ def places(number: np.ndarray, doc: np.ndarray, phrase: np.ndarray) -> np.ndarra
 
 
 def propose(index: Index, number: np.ndarray, doc: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    """(template, beginnings) on which enough different rare words of the template agree."""
+    """(template, beginnings) for which a rare word of the template is in its place."""
     votes: dict[int, list[np.ndarray]] = {}
     for word, posts in index.postings.items():
         at = np.flatnonzero(number == word)
@@ -141,8 +142,7 @@ def propose(index: Index, number: np.ndarray, doc: np.ndarray) -> list[tuple[int
             votes.setdefault(t, []).append(at - p)
     out = []
     for t, lists in votes.items():
-        start, n = np.unique(np.concatenate(lists), return_counts=True)
-        start = start[n >= index.need[t]]
+        start = np.unique(np.concatenate(lists))
         size = len(index.templates[t][1])
         start = start[(start >= 0) & (start + size <= len(number))]
         start = start[doc[start] == doc[np.minimum(start + size - 1, len(doc) - 1)]]
@@ -155,9 +155,11 @@ def scan(docs: DataFrame, index: Index, least: float = 0.8, carry: tuple[str, ..
     """``carry`` with the counts of words and base phrases, labels of the base rules and all labels, and a score.
 
     score: the largest share of a template's words found in place, over aligned proposals that hold its key phrase; 1 for a
-    base label; else 0. Labels need a share of ``least``. Null and empty texts have no words and no labels. A phrase counts
-    wherever it stands, also in overlaps; ties need no choice, as all labels are given. Repeated rows are judged alike; an
-    empty table gives an empty one; other columns are not read."""
+    base label; else 0. Labels need a share of ``least``, which must not be below that of the index. Null
+    and empty texts have no words and no labels. A phrase counts wherever it stands, also in overlaps; ties need no choice, as
+    all labels are given. Repeated rows are judged alike; an empty table gives an empty one; other columns are not read."""
+    if least < index.least:
+        raise ValueError(f"the index finds notices from a share of {index.least}, not {least}")
     fields = {f.name: f for f in docs.schema.fields}
     schema = ", ".join([*(f"`{c}` {fields[c].dataType.simpleString()}" for c in carry), SCHEMA])
 
@@ -182,9 +184,10 @@ def scan(docs: DataFrame, index: Index, least: float = 0.8, carry: tuple[str, ..
                         score[i] = 1.0
                 for t, start in propose(index, number, doc):
                     label, words, key = index.templates[t]
-                    share = (number[start[:, None] + np.arange(len(words))] == words).mean(axis=1)
-                    for s, x in zip(start.tolist(), share.tolist(), strict=True):
-                        if x >= least and len(places(number[s:s + len(words)], doc[s:s + len(words)], key)):
+                    share = sum((number[start + k] == w).astype(np.int64) for k, w in enumerate(words)) / len(words)
+                    on = share >= least
+                    for s, x in zip(start[on].tolist(), share[on].tolist(), strict=True):
+                        if len(places(number[s:s + len(words)], doc[s:s + len(words)], key)):
                             more[doc[s]].add(label)
                             score[doc[s]] = max(score[doc[s]], x)
                 none = count == 0

@@ -1,6 +1,7 @@
 """Operators of the training-data subpackage against plain code, on small tables with all kinds of odd rows."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -349,6 +350,22 @@ def test_license_scan(spark, empty):
     assert licenses.scan(empty, licenses.build_index(empty)).count() == 0
 
 
+def test_license_scan_of_altered_notices(spark):
+    """All notices in which as many words differ as the share of 0.8 allows, also the rare ones."""
+    texts = []
+    for _, t, _ in licenses.TEMPLATES:
+        w = t.split()
+        most = max(n for n in range(len(w)) if (len(w) - n) / len(w) >= 0.8)
+        for gone in itertools.combinations(range(len(w)), most):
+            texts.append("so " + " ".join("zzz" if i in gone else x for i, x in enumerate(w)) + " then")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan(df, licenses.build_index(df)).collect()}
+    assert got == {i: brute_labels(t) for i, t in enumerate(texts)}
+    assert sum("mpl-2.0" in x for x in got.values()) > 50
+    with pytest.raises(ValueError):
+        licenses.scan(df, licenses.build_index(df), 0.7)
+
+
 def test_packing_round_trip(docs, empty):
     from tokenizers import Tokenizer
 
