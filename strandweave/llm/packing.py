@@ -51,18 +51,46 @@ def byte_ranks(path: str) -> dict[bytes, int]:
     return {bytes(to_byte[c] for c in k): v for k, v in model.items() if all(c in to_byte for c in k)}
 
 
+def added_tokens(path: str) -> dict[bytes, int]:
+    """Contents and ids of the tokens that a tokenizer file adds to its vocabulary."""
+    with open(path, encoding="utf-8") as f:
+        tokens = json.load(f).get("added_tokens") or []
+    if any(t.get(flag) for t in tokens for flag in ("single_word", "lstrip", "rstrip")):
+        raise ValueError(f"{path}: added tokens that depend on the text around them are not supported")
+    return {t["content"].encode(): t["id"] for t in tokens if t["content"]}
+
+
+def token_places(raw: np.ndarray, offsets: np.ndarray, tokens: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of added tokens within documents: the leftmost first, the longest of one start, without overlaps."""
+    data, found = raw.tobytes() if tokens else b"", []
+    for token in tokens:
+        at = data.find(token)
+        while at >= 0:
+            found.append((at, -len(token)))
+            at = data.find(token, at + 1)
+    starts, ends = [], []
+    for at, size in sorted(found):
+        end = at - size
+        if (not ends or at >= ends[-1]) and np.searchsorted(offsets, at, "right") == np.searchsorted(offsets, end, "left"):
+            starts.append(at)
+            ends.append(end)
+    return np.array(starts, np.int64), np.array(ends, np.int64)
+
+
 class Encoder:
     """Token ids of documents; each different segment is encoded once.
 
     The vocabulary is that of the tokenizer file; the merging is left to a faster library that gives the same ids (tests
-    compare them)."""
+    compare them). added: a text that holds the content of an added token of the file has that token's id there, as the
+    tokenizer gives by default; else it is text like any other."""
 
-    def __init__(self, path: str, most: int = 1_500_000):
+    def __init__(self, path: str, most: int = 1_500_000, added: bool = False):
         import tiktoken
 
         ranks = byte_ranks(path)
         ranks = {k: v for k, v in ranks.items() if k != b"<|endoftext|>"}
         self.tokenizer, self.most = tiktoken.Encoding("byte-level", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}), most
+        self.added = added_tokens(path) if added else {}
         self.clear()
 
     def clear(self):
@@ -71,8 +99,8 @@ class Encoder:
 
     def learn(self, keys: np.ndarray, texts: list[str]):
         """Add segments; ``keys`` ascend."""
-        encode, ids = self.tokenizer.encode_ordinary, []
-        sizes = np.fromiter((ids.extend(x) or len(x) for x in map(encode, texts)), np.int64, len(texts))
+        encode, ids, own = self.tokenizer.encode_ordinary, [], {k.decode(): [v] for k, v in self.added.items()}
+        sizes = np.fromiter((ids.extend(x) or len(x) for x in (own.get(t) or encode(t) for t in texts)), np.int64, len(texts))
         if self.count + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(max(len(ids), len(self.flat)), np.uint32)])
         self.flat[self.count:self.count + len(ids)] = ids
@@ -87,6 +115,11 @@ class Encoder:
         if not len(raw):
             return np.zeros(0, np.uint32), np.zeros(n + 1, np.int64)
         starts = segment_bounds(raw, offsets)
+        token, stop = token_places(raw, offsets, self.added)
+        if len(token):
+            last = np.searchsorted(token, starts, "right") - 1
+            inside = (last >= 0) & (starts < stop[last]) & (starts > token[last])
+            starts = np.unique(np.concatenate([starts[~inside], token, stop[stop < len(raw)]]))
         ends = np.append(starts[1:], len(raw))
         key, first, which = np.unique(span_hash(prefix(byte_values()[raw]), starts, ends), return_index=True, return_inverse=True)
         if len(self.keys) > self.most:
@@ -111,7 +144,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, capacity: int, end_id: int =
     schema = PIECES + (", ids array<long>" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = Encoder(tokenizer, added=True)
         for batch in batches:
             raw, offsets = text_buffer(batch.column(1))
             for lo, hi, part, at in chunks(raw, offsets):
@@ -206,7 +239,8 @@ def solve_patterns(units: np.ndarray, demand: np.ndarray, capacity: int, gap: fl
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, step: int = 4, end_id: int = 0, buckets: int = 256, with_ids: bool = False) -> DataFrame:
     """Pieces with sequence_id and offset.
 
-    Every document ends in ``end_id``; null and empty texts have that id alone. A piece as long as the capacity is a sequence
+    Ids are those of the tokenizer without the tokens it would put around a text; the content of an added token in a text is
+    that token. Every document ends in ``end_id``; null and empty texts have that id alone. A piece as long as the capacity is a sequence
     of its own. Repeated rows are packed each for itself; ties in rank are broken by the piece's columns, and pieces alike in
     all of them are interchangeable. An empty table gives an empty one; columns other than doc_id and text are not read.
 

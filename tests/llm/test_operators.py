@@ -413,6 +413,22 @@ def test_encoder_agrees_with_the_tokenizer():
         assert ids[begin[i]:begin[i + 1]].tolist() == exact.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_added_tokens_are_those_of_the_tokenizer(spark):
+    """The tokenizer's default settings, without tokens around the text; documents side by side do not make a token."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    exact, end = Tokenizer.from_file(tokenizer_path()), "<|endoftext|>"
+    texts = [end, f"a {end} b", f"a  {end}  b", end * 3, f"<|{end}|>", "<|endof", "text|> x", f"é{end}é\n", f" {end} {end}\t", "<|endoftext|", "", f"don't{end}'s 12"]
+    want = [exact.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [50256]
+    encoder = packing.Encoder(tokenizer_path(), added=True)
+    ids, begin = encoder.encode(*kernels.text_buffer(pa.array(texts)))
+    assert [ids[begin[i]:begin[i + 1]].tolist() for i in range(len(texts))] == want
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["ids"] for r in packing.pack(df, tokenizer_path(), with_ids=True).collect()} == {i: [*x, 0] for i, x in enumerate(want)}
+
+
 def test_patterns_hold_the_demand():
     rng = np.random.default_rng(3)
     units, demand = np.arange(1, 65), rng.integers(0, 40, 64)
