@@ -217,6 +217,17 @@ def test_language_sample_counts_copies_once(spark):
     assert len({r["text"] for r in got}) == len(got) <= 20
 
 
+def test_language_sample_of_copies_and_of_many_languages(spark):
+    """Groups of copies leave the sample whole; every language has a text in it; many languages do not burst the bound."""
+    rows = spark.range(300_000).select(F.concat(F.lit("l"), (F.col("id") % 4).cast("string")).alias("lang"), F.concat(F.lit("text "), (F.col("id") % 20).cast("string")).alias("text"))
+    rows = rows.unionByName(spark.range(300).select(F.lit("l9").alias("lang"), F.concat(F.lit("own "), F.col("id").cast("string")).alias("text")))
+    got = Counter(r["lang"] for r in language.labelled_sample(rows, 100).collect())
+    assert got == {"l0": 5, "l1": 5, "l2": 5, "l3": 5, "l9": 20}
+    many = spark.range(3000).select(F.concat(F.lit("l"), (F.col("id") % 60).cast("string")).alias("lang"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    assert set(Counter(r["lang"] for r in language.labelled_sample(many, 120).collect()).values()) == {2}
+    assert Counter(r["lang"] for r in language.labelled_sample(many, 20).collect()) == {f"l{i}": 1 for i in range(60)}
+
+
 def test_cover_tree_covers_and_separates():
     x = np.random.default_rng(0).normal(size=(300, 6))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
