@@ -332,6 +332,30 @@ def test_language_held_out_accuracy(spark):
     assert r["right"] > 0.97 and r["rejected"] < 0.02
 
 
+def test_language_rejects_long_texts_of_no_learned_language(spark):
+    """Random letters and an invented Latin-script language at all lengths; clean held-out documents stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.fit(docs, language.training_rows())
+    r = random.Random(4)
+    syllables = [a + b for a in "kzwqxvjhyt" for b in ("uo", "ae", "i", "ou", "yy", "ek", "a")]
+    letters = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9)))
+    words = ["".join(r.choice(syllables) for _ in range(r.randint(1, 4))) for _ in range(3000)]
+    texts = [" ".join(f() for _ in range(k)) for k in (100, 400, 2000, 3000, 20_000) for f in (letters, lambda: r.choice(words)) for _ in range(3)]
+    odd = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert all(x["rejected"] for x in language.identify(odd, model).collect())
+    held = docs.where(~language.training_rows() & F.col("text").rlike("[a-z]"))
+    kept = language.identify(held, model, ("lang", "n_chars")).agg(F.avg(F.col("rejected").cast("double")).alias("all"), F.avg(F.when(F.col("n_chars") > 5000, F.col("rejected").cast("double"))).alias("long")).first()
+    assert kept["all"] <= 0.015 and kept["long"] <= 0.015
+
+
+def test_language_limits():
+    s = np.arange(1000) / 1000
+    got, enough = language.limits([s, s[:500], s[:100], *[s[:0]] * (language.CLASSES - 3)], 0.01)
+    assert enough and got[:5].tolist() == [0.009, 0.004, 0.004, 0.004, 0.004]
+    got, enough = language.limits([np.append(0.0, s[7:20]), s[9:20], *[s[:0]] * (language.CLASSES - 2)], 0.01)
+    assert not enough and got[:3].tolist() == [0.007, 0.009, 0.009]
+
+
 def brute_labels(text):
     """All templates at all places, without an index."""
     low = (text or "").translate({c: c + 32 for c in range(65, 91)})
