@@ -9,7 +9,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -219,81 +218,110 @@ EVIDENCE_FIELDS = [
 ]
 EVIDENCE_SCHEMA = ", ".join(f"{n} {t}" for n, t in EVIDENCE_FIELDS)
 
-_DIGIT = np.full(256, 255, dtype=np.uint8)
+_DIGIT = np.full(256, 4, dtype=np.uint8)
 for _i, _b in enumerate(b"TCAG"):
     _DIGIT[_b] = _DIGIT[_b + 32] = _i
 _RESIDUES = np.frombuffer(AA64.encode(), dtype=np.uint8)
-_RC_TABLE = str.maketrans(IUPAC, IUPAC_COMPLEMENT)
-
-
-def _peptide(seq: np.ndarray) -> np.ndarray:
-    n = len(seq) // 3
-    d = _DIGIT[seq[: 3 * n]].reshape(n, 3).astype(np.int16)
-    ok = (d < 4).all(axis=1)
-    idx = np.where(ok, 16 * d[:, 0] + 4 * d[:, 1] + d[:, 2], 0)
-    return np.where(ok, _RESIDUES[idx], ord("X")).astype(np.uint8)
-
-
-def _anchor_hits(seq: str, target: Target, max_mismatch: int, min_identity: float):
-    """(orientation, frame, window start, peptide window, flank identity, codon start) of every hit."""
-    anchor = np.frombuffer(target.anchor.encode(), dtype=np.uint8)
-    w, off = len(anchor), target.offset - 1
-    flank = np.arange(w) != off
-    for orientation in ("fwd", "rev"):
-        s = seq if orientation == "fwd" else seq[::-1].translate(_RC_TABLE)
-        raw = np.frombuffer(s.encode("ascii", "replace"), dtype=np.uint8)
-        for frame in (1, 2, 3):
-            pep = _peptide(raw[frame - 1 :])
-            if len(pep) < w:
-                continue
-            windows = np.lib.stride_tricks.sliding_window_view(pep, w)
-            differ = windows != anchor
-            identity = 1.0 - differ[:, flank].sum(axis=1) / (w - 1)
-            keep = (differ.sum(axis=1) <= max_mismatch) & (identity >= min_identity)
-            for i in np.nonzero(keep)[0]:
-                start = frame + 3 * (int(i) + off)
-                yield orientation, frame, int(i) + 1, windows[i].tobytes().decode(), float(identity[i]), start, s
-
-
-def _validate(pdf: pd.DataFrame, targets, role, max_mismatch, min_identity, qual_offset, with_counts):
-    rows = []
-    for r in pdf.itertuples(index=False):
-        n = len(r.seq)
-        if len(r.qual) != n:
-            raise ValueError(f"sequence and quality differ in length for read {r.read_id}")
-        for t in targets:
-            for orientation, frame, _, window, identity, start, oriented in _anchor_hits(r.seq, t, max_mismatch, min_identity):
-                aa = window[t.offset - 1]
-                if aa in "X*":
-                    continue
-                end = start + 2
-                lo, hi = (start, end) if orientation == "fwd" else (n - end + 1, n - start + 1)
-                q = [ord(c) - qual_offset for c in r.qual[lo - 1 : hi]]
-                rows.append(
-                    (
-                        r.read_id, r.pair_id, r.mate, r.read_index, role, t.position, orientation, frame, t.anchor_start,
-                        t.anchor_start + len(t.anchor) - 1, t.anchor, window, identity, aa, oriented[start - 1 : end],
-                        t.residue, 100.0 * (aa == t.residue),
-                        "REFERENCE_MATCH" if aa == t.residue else f"{t.residue}{t.position}{aa}",
-                        lo, hi, min(q), sum(q) / 3.0, n,
-                        getattr(r, f"forward_count_{t.position}") if with_counts else None,
-                        getattr(r, f"reverse_count_{t.position}") if with_counts else None,
-                        max_mismatch,
-                    )
-                )
-    out = pd.DataFrame(rows, columns=[f for f, _ in EVIDENCE_FIELDS])
-    for f, t in EVIDENCE_FIELDS:
-        if t in ("int", "long"):
-            out[f] = out[f].astype("Int64")
-    return out
+_COMPLEMENT = np.arange(256, dtype=np.uint8)
+for _a, _b in zip(IUPAC.encode(), IUPAC_COMPLEMENT.encode()):
+    _COMPLEMENT[_a] = _b
+_UPPER = np.arange(256, dtype=np.uint8)
+_UPPER[97:123] -= 32
+
+
+def _residues(blob: np.ndarray) -> np.ndarray:
+    """The residue of the codon that begins at each base, so all three frames at once; X where a base is no base."""
+    d = _DIGIT[blob].astype(np.int16)
+    if len(d) < 3:
+        return np.zeros(0, np.uint8)
+    a, b, c = d[:-2], d[1:-1], d[2:]
+    return np.where((a < 4) & (b < 4) & (c < 4), _RESIDUES[np.minimum(16 * a + 4 * b + c, 63)], ord("X")).astype(np.uint8)
+
+
+def _windows(blob: np.ndarray, off: np.ndarray, target: Target, max_mismatch: int, min_identity: float):
+    """(first base, read, residues, identity of the flanks) of the anchor windows in all reads of a batch.
+
+    Mismatches are sums of shifted comparisons over the whole buffer; windows that leave their read are masked out.
+    """
+    residues, width = _residues(blob), len(target.anchor)
+    n = len(residues) - 3 * (width - 1)
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, width), np.uint8), np.zeros(0)
+    differ = np.zeros(n, np.int16)
+    for j, aa in enumerate(target.anchor.encode()):
+        differ += residues[3 * j : 3 * j + n] != aa
+    at = np.flatnonzero(differ <= max_mismatch)
+    read = np.searchsorted(off, at, side="right") - 1
+    inside = at + 3 * width <= off[read + 1]
+    at, read = at[inside], read[inside]
+    window = residues[at[:, None] + 3 * np.arange(width)]
+    own = window[:, target.offset - 1]
+    flank = differ[at] - (own != ord(target.residue))
+    identity = 1.0 - flank / max(width - 1, 1)
+    keep = (identity >= min_identity) & (own != ord("X")) & (own != ord("*"))
+    return at[keep], read[keep], window[keep], identity[keep]
+
+
+def _texts(letters: np.ndarray):
+    """An Arrow string column from a matrix of ASCII letters, one string a row."""
+    import pyarrow as pa
+
+    n, width = letters.shape
+    at = (np.arange(n + 1) * width).astype(np.int32)
+    return pa.Array.from_buffers(pa.string(), n, [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(letters))])
+
+
+def _hits(batch, target: Target, orientation: str, seq, qual, role, max_mismatch, min_identity, qual_offset, with_counts):
+    """Evidence rows of one target and strand as a record batch. The reverse strand is the whole buffer reversed and
+    complemented, with the reads in reverse order."""
+    import pyarrow as pa
+
+    blob, off = seq
+    total = len(blob)
+    ahead = orientation == "fwd"
+    strand, bounds = (blob, off) if ahead else (_COMPLEMENT[blob][::-1], total - off[::-1])
+    at, read, window, identity = _windows(strand, bounds, target, max_mismatch, min_identity)
+    first = at + 3 * (target.offset - 1)  # of the target codon, on this strand
+    start = first - bounds[read] + 1
+    frame = (at - bounds[read]) % 3 + 1
+    if not ahead:
+        read = len(off) - 2 - read
+    length = (off[read + 1] - off[read])
+    low = start if ahead else length - start - 1
+    phred = qual[0][(qual[1][read] + low - 1)[:, None] + np.arange(3)].astype(np.int32) - qual_offset
+    aa = window[:, target.offset - 1]
+    n = len(at)
+    take = lambda name: batch.column(name).take(pa.array(read))
+    same = lambda value, kind: pa.array([value] * n, kind)
+    labels = pa.array(["REFERENCE_MATCH" if chr(c) == target.residue else f"{target.residue}{target.position}{chr(c)}" for c in range(128)])
+    counts = [take(f"{d}_count_{target.position}") if with_counts else same(None, pa.int32()) for d in ("forward", "reverse")]
+    i32 = lambda v: pa.array(v.astype(np.int32))
+    columns = [
+        take("read_id"), take("pair_id"), take("mate"), take("read_index"), same(role, pa.string()), same(target.position, pa.int32()),
+        same(orientation, pa.string()), i32(frame), same(target.anchor_start, pa.int32()),
+        same(target.anchor_start + len(target.anchor) - 1, pa.int32()), same(target.anchor, pa.string()), _texts(window),
+        pa.array(identity), _texts(aa[:, None]), _texts(_UPPER[strand[first[:, None] + np.arange(3)]]), same(target.residue, pa.string()),
+        pa.array(np.where(aa == ord(target.residue), 100.0, 0.0)), labels.take(pa.array(aa)), i32(low), i32(low + 2),
+        i32(phred.min(axis=1, initial=1 << 30)), pa.array(phred.sum(axis=1) / 3.0), i32(length), *counts, same(max_mismatch, pa.int32()),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=[f for f, _ in EVIDENCE_FIELDS])
+
+
+def _ascii_buffers(column):
+    """Buffers of a string column in which every character is one byte; null is empty, a letter outside ASCII is ``?``."""
+    import pyarrow.compute as pc
+
+    column = column.fill_null("") if column.null_count else column
+    blob, off = _utf8_buffers(column)
+    return _utf8_buffers(pc.replace_substring_regex(column, r"[^\x00-\x7F]", "?")) if len(blob) and blob.max() > 127 else (blob, off)
 
 
 def validate_anchors(reads: DataFrame, targets: list[Target], role: str = "PRIMARY", max_mismatch: int = MAX_AA_MISMATCH,
                      min_identity: float = MIN_ANCHOR_IDENTITY, qual_offset: int = 33) -> DataFrame:
     """All anchor hits of each read in six frames, with codon, quality and coordinates.
 
-    Runs on candidates only. Identity is over the flanks, the target residue left out; windows whose
-    target codon is ambiguous or a stop are rejected.
+    Runs on candidates only, a batch of reads at a time. Identity is over the flanks, the target residue left out; windows
+    whose target codon is ambiguous or a stop are rejected. A read without sequence has no hits.
     """
     with_counts = f"forward_count_{targets[0].position}" in reads.columns
     cols = ["read_id", "pair_id", "mate", "read_index", "seq", "qual"]
@@ -301,10 +329,16 @@ def validate_anchors(reads: DataFrame, targets: list[Target], role: str = "PRIMA
         cols += [f"{d}_count_{t.position}" for t in targets for d in ("forward", "reverse")]
 
     def kernel(batches):
-        for pdf in batches:
-            yield _validate(pdf, targets, role, max_mismatch, min_identity, qual_offset, with_counts)
-
-    return reads.select(*cols).mapInPandas(kernel, EVIDENCE_SCHEMA)
+        for batch in batches:
+            seq, qual = (_ascii_buffers(batch.column(c)) for c in ("seq", "qual"))
+            bad = np.flatnonzero(np.diff(seq[1]) != np.diff(qual[1]))
+            if len(bad):
+                raise ValueError(f"sequence and quality differ in length for read {batch.column('read_id')[int(bad[0])].as_py()}")
+            for t in targets:
+                for strand in ("fwd", "rev"):
+                    yield _hits(batch, t, strand, seq, qual, role, max_mismatch, min_identity, qual_offset, with_counts)
+
+    return reads.select(*cols).mapInArrow(kernel, EVIDENCE_SCHEMA)
 
 
 def best_anchor(evidence: DataFrame) -> DataFrame:

@@ -68,33 +68,35 @@ def c18(s, d):
 
 
 def _validated(source, role):
-    anchors = ", ".join(f"({t.position}, '{t.anchor}', {t.offset})" for t in TARGETS)
+    anchors = ", ".join(f"({t.position}, '{t.anchor}', {t.offset}, {t.anchor_start})" for t in TARGETS)
     counts = ("CASE pos " + " ".join(f"WHEN {p} THEN {{0}}_count_{p}" for p in POS) + " END") if role == "PRIMARY" else "NULL"
-    extra = f", {counts.format('forward')} AS fc, {counts.format('reverse')} AS rc" if role == "PRIMARY" else ", NULL AS fc, NULL AS rc"
+    extra = f", {counts.format('forward')} AS prefilter_forward_count, {counts.format('reverse')} AS prefilter_reverse_count" if role == "PRIMARY" else ", NULL AS prefilter_forward_count, NULL AS prefilter_reverse_count"
     return f"""(WITH o AS (SELECT *, 'fwd' AS orientation, seq AS os, qual AS oq FROM {source} UNION ALL SELECT *, 'rev', {RC('seq')}, reverse(qual) FROM {source}),
     f AS (SELECT o.*, f.frame, {sql_translate('os', 'f.frame')} AS pep FROM o, (SELECT unnest([1, 2, 3]) AS frame) f),
-    w AS (SELECT f.*, t.pos, t.anchor, t.off, unnest(range(1, length(pep) - length(anchor) + 2)) AS i FROM f, (VALUES {anchors}) t(pos, anchor, off)),
+    w AS (SELECT f.*, t.pos, t.anchor, t.off, t.begins, unnest(range(1, length(pep) - length(anchor) + 2)) AS i FROM f, (VALUES {anchors}) t(pos, anchor, off, begins)),
     c AS (SELECT *, substr(pep, i, length(anchor)) AS win FROM w),
     m AS (SELECT *, length(anchor) - {sql_match('win', 'anchor')} AS mm, substr(win, off, 1) AS aa, substr(anchor, off, 1) AS ref FROM c),
     k AS (SELECT *, 1 - (mm - CASE WHEN aa <> ref THEN 1 ELSE 0 END) / (length(anchor) - 1) AS ident, frame + 3 * (i - 1 + off - 1) AS cs FROM m)
     SELECT read_id, pair_id, mate, read_index, '{role}' AS evidence_role, pos AS target_position, orientation, frame, win AS anchor_candidate, ident AS anchor_identity, aa AS target_aa,
      substr(os, cs, 3) AS target_codon, ref AS expected_reference_aa, CASE WHEN aa = ref THEN 'REFERENCE_MATCH' ELSE ref || pos || aa END AS variant_class,
      CASE WHEN orientation = 'fwd' THEN cs ELSE length(seq) - cs - 1 END AS read_codon_start, least(ascii(substr(oq, cs, 1)), ascii(substr(oq, cs + 1, 1)), ascii(substr(oq, cs + 2, 1))) - 33 AS codon_min_qual,
-     (ascii(substr(oq, cs, 1)) + ascii(substr(oq, cs + 1, 1)) + ascii(substr(oq, cs + 2, 1))) / 3 - 33 AS codon_mean_qual, length(seq) AS read_length{extra}
+     (ascii(substr(oq, cs, 1)) + ascii(substr(oq, cs + 1, 1)) + ascii(substr(oq, cs + 2, 1))) / 3 - 33 AS codon_mean_qual, length(seq) AS read_length,
+     begins AS anchor_reference_start, begins + length(anchor) - 1 AS anchor_reference_end, anchor AS anchor_peptide, CASE WHEN aa = ref THEN 100 ELSE 0 END AS pct_reference_aa,
+     CASE WHEN orientation = 'fwd' THEN cs + 2 ELSE length(seq) - cs + 1 END AS read_codon_end, 5 AS validator_max_aa_mismatch{extra}
     FROM k WHERE mm <= 5 AND ident >= 0.75 AND aa NOT IN ('X', '*'))"""
 
 
 EV_COLS = ("read_id s, pair_id s, mate s, read_index i, evidence_role s, target_position i, orientation s, frame i, anchor_candidate s, anchor_identity d, target_aa s, target_codon s, "
-           "expected_reference_aa s, variant_class s, read_codon_start i, codon_min_qual i, codon_mean_qual d, read_length i")
+           "expected_reference_aa s, variant_class s, read_codon_start i, codon_min_qual i, codon_mean_qual d, read_length i, anchor_reference_start i, anchor_reference_end i, anchor_peptide s, "
+           "pct_reference_aa d, read_codon_end i, validator_max_aa_mismatch i, prefilter_forward_count i, prefilter_reverse_count i")
 
 
-@query("h50_validate_anchors", EV_COLS + ", fc i, rc i", f"WITH {COUNTS} SELECT * FROM {_validated('cand', 'PRIMARY')}")
+@query("h50_validate_anchors", EV_COLS, f"WITH {COUNTS} SELECT * FROM {_validated('cand', 'PRIMARY')}")
 def h50(s, d):
-    e = scan.validate_anchors(scan.prefilter(reads(s, d), TARGETS), TARGETS)
-    return e.withColumnsRenamed({"prefilter_forward_count": "fc", "prefilter_reverse_count": "rc"})
+    return scan.validate_anchors(scan.prefilter(reads(s, d), TARGETS), TARGETS)
 
 
-@query("h49_best_anchor", "read_id s, mate s, target_position i, orientation s, frame i, anchor_candidate s, anchor_identity d, target_aa s",
+@query("h49_best_anchor", EV_COLS,
        f"""WITH {COUNTS}, e AS (SELECT * FROM {_validated('cand', 'PRIMARY')}) SELECT * FROM e
        QUALIFY row_number() OVER (PARTITION BY read_id, mate, target_position ORDER BY anchor_identity DESC, orientation, frame,
          CASE WHEN orientation = 'fwd' THEN read_codon_start ELSE read_length - read_codon_start - 1 END) = 1""")

@@ -1,8 +1,12 @@
 """FASTQ as a Spark data source.
 
-``spark.read.format("fastq").load(path)`` cuts plain files into byte ranges; each task moves to the
-first record boundary of its range and reads past the end to finish its last record. Gzip files
-cannot be entered in the middle and make one partition each.
+``spark.read.format("fastq").load(path)`` cuts plain files into byte ranges; each task moves to the first record of its range
+and reads past the end to finish its last record. Gzip files made of blocks that state their size (as block-gzip tools write)
+are cut between blocks in the same way; other gzip files cannot be entered in the middle and make one partition each.
+
+Records are not read one by one: the line ends of a block of bytes are indexed at once, and the lines go as they lie into Arrow
+columns. ``byte_offset`` is the offset of a record in the (decompressed) file; in block gzip that of its block in the file
+times 65536, plus the offset in the block. Either grows along the file.
 """
 
 from __future__ import annotations
@@ -10,8 +14,12 @@ from __future__ import annotations
 import gzip
 import io
 import posixpath
+import struct
+import zlib
+from collections.abc import Iterator
 from fnmatch import fnmatch
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,53 +34,188 @@ SCHEMA = T.StructType(
         T.StructField("qual", T.StringType(), False),
     ]
 )
-BATCH_ROWS = 8192
+#: Bytes that are indexed at once, at least one record.
+BLOCK_BYTES = 4 * 1024 * 1024
+#: Fixed value: the first bytes of a gzip member with an extra field, which block gzip has in every member.
+MEMBER = b"\x1f\x8b\x08\x04"
+NEWLINE, RETURN, AT, PLUS = b"\n\r@+"
 
 
 class _Range(InputPartition):
-    def __init__(self, path: str, start: int, end: int):
-        self.path, self.start, self.end = path, start, end
-
-
-def _first_record(f, start: int) -> int:
-    """Offset of the first record at or after ``start``.
-
-    A quality line may begin with ``@``, so a header counts only when the line two further on begins
-    with ``+`` and the fourth line is as long as the second.
+    """Bytes of a file; ``blocks`` for block gzip, ``end`` -1 for a gzip file that is read whole."""
+
+    def __init__(self, path: str, start: int, end: int, blocks: bool = False):
+        self.path, self.start, self.end, self.blocks = path, start, end, blocks
+
+
+def _member_size(head: bytes) -> int | None:
+    """Size of a block-gzip member from its header, None for any other bytes."""
+    if len(head) < 18 or head[:4] != MEMBER:
+        return None
+    extra, at = head[12:12 + struct.unpack("<H", head[10:12])[0]], 0
+    while at + 6 <= len(extra):
+        size = struct.unpack("<H", extra[at + 2:at + 4])[0]
+        if extra[at:at + 2] == b"BC" and size == 2:
+            return struct.unpack("<H", extra[at + 4:at + 6])[0] + 1
+        at += 4 + size
+    return None
+
+
+def _first_member(f, start: int) -> int | None:
+    """Offset of the first member at or after ``start``: one that another member or the end of the file follows."""
+    f.seek(start)
+    window, at = f.read(4 * 65536), -1
+    while (at := window.find(MEMBER, at + 1)) >= 0:
+        size = _member_size(window[at:at + 512])
+        if size:
+            f.seek(start + at + size)
+            following = f.read(512)
+            if not following or _member_size(following):
+                return start + at
+    return None
+
+
+def _pieces(part: _Range) -> Iterator[tuple[int, bytes]]:
+    """(position, bytes) from the byte before the range on, to the end of the file."""
+    with _open(part.path, raw=part.blocks) as f:
+        if part.blocks:
+            at = _first_member(f, part.start)
+            while at is not None:
+                f.seek(at)
+                head = f.read(512)
+                if not head:
+                    return
+                size = _member_size(head)
+                if size is None:
+                    raise ValueError(f"not a block of gzip at byte {at} of {part.path}")
+                yield at << 16, zlib.decompress(head[:size] + f.read(max(0, size - len(head))), 31)
+                at += size
+        else:
+            at = max(part.start - 1, 0)
+            if at:
+                f.seek(at)
+            while block := f.read(BLOCK_BYTES):
+                yield at, block
+                at += len(block)
+
+
+def _lines(data: np.ndarray, begin: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end without line ends) of the whole lines from ``begin`` on."""
+    newline = np.flatnonzero(data[begin:] == NEWLINE) + begin
+    start, end = np.concatenate([[begin], newline[:-1] + 1])[:len(newline)], newline.copy()
+    while len(tail := np.flatnonzero((end > start) & (data[end - 1] == RETURN))):
+        end[tail] -= 1
+    return start, end
+
+
+def _is_record(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """For each row of four lines: a header, a sequence, a plus, a quality as long as the sequence."""
+    filled = (end[:, 0] > start[:, 0]) & (end[:, 2] > start[:, 2])
+    last = len(data) - 1
+    marks = (data[np.minimum(start[:, 0], last)] == AT) & (data[np.minimum(start[:, 2], last)] == PLUS)
+    return filled & marks & (end[:, 1] - start[:, 1] == end[:, 3] - start[:, 3])
+
+
+def _columns(data: np.ndarray, start: np.ndarray, end: np.ndarray):
+    """Header without its mark, sequence and quality of rows of four lines, as Arrow strings.
+
+    The bytes of all lines are kept in one pass, the line ends and marks left out; every column takes its lines from them.
     """
-    if start == 0:
-        return 0
-    f.seek(start - 1)
-    f.readline()  # rest of the line that covers start-1 (empty when start is a line start)
-    while True:
-        at = f.tell()
-        lines = [f.readline() for _ in range(4)]
-        if not lines[0]:
-            return at
-        if lines[0][:1] == b"@" and lines[2][:1] == b"+" and len(lines[1].rstrip(b"\r\n")) == len(lines[3].rstrip(b"\r\n")):
-            return at
-        f.seek(at)
-        f.readline()
-
-
-def _records(part: _Range):
-    with _open(part.path) as f:
-        at = _first_record(f, part.start)
-        f.seek(at)
-        while part.end < 0 or at < part.end:
-            head = f.readline()
-            if not head:
-                return
-            if head.strip() == b"":
-                at += len(head)
+    import pyarrow as pa
+
+    first = start[:, 0] + 1
+    begin, stop = np.stack([first, start[:, 1], start[:, 2], start[:, 3]], 1).ravel(), end.ravel()
+    size = stop - begin
+    edge = np.zeros(int(stop[-1] - begin[0]) + 1, np.int8)
+    np.add.at(edge, begin - begin[0], 1)
+    np.add.at(edge, stop - begin[0], -1)
+    kept = data[begin[0]:stop[-1]][np.cumsum(edge[:-1], dtype=np.int8) > 0]
+    offsets = np.zeros(len(size) + 1, np.int32)
+    np.cumsum(size, out=offsets[1:])
+    lines = pa.Array.from_buffers(pa.string(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(kept))])
+    if len(kept) and kept.max() > 127:
+        lines.validate(full=True)
+    row = np.arange(0, len(size), 4)
+    return [lines.take(pa.array(row + k)) for k in (0, 1, 3)]
+
+
+def _batches(part: _Range):
+    """Record batches of the records of a range.
+
+    A record belongs to the range that holds the byte before it, the first of a file to the first range. A quality line may
+    begin with ``@``, so inside a file a record is recognised by all its four lines.
+    """
+    import pyarrow as pa
+
+    limit = float("inf") if part.end < 0 else part.end << 16 if part.blocks else part.end - 1
+    pieces, held, places, before = _pieces(part), b"", [], -1
+    search, ended = part.start > 0, False
+    while not ended:
+        parts, size = [held], len(held)
+        while size < max(BLOCK_BYTES, len(held) + 1):
+            piece = next(pieces, None)
+            if piece is None:
+                ended = True
+                break
+            places.append((size, piece[0]))
+            parts.append(piece[1])
+            size += len(piece[1])
+        held = b"".join(parts)
+        if ended and held[-1:] not in (b"", b"\n"):
+            held += b"\n"
+        data = np.frombuffer(held, np.uint8)
+        offsets, bases = (np.array(c, np.int64) for c in zip(*places, strict=True)) if places else (np.zeros(1, np.int64),) * 2
+
+        def position(at):
+            k = np.searchsorted(offsets, at, side="right") - 1
+            return np.where(at < 0, before, bases[k] + at - offsets[k])  # noqa: B023
+
+        start, end = _lines(data, 0)
+        i = 0
+        if search:
+            i = 1  # the rest of the line in which the range begins
+            rows = np.arange(1, len(start) - 3)[:, None] + np.arange(4)
+            found = _is_record(data, start[rows], end[rows]) if len(rows) else np.zeros(0, bool)
+            if not found.any():
+                if ended:
+                    return
                 continue
-            seq, plus, qual = f.readline(), f.readline(), f.readline()
-            size = len(head) + len(seq) + len(plus) + len(qual)
-            s, q = seq.rstrip(b"\r\n"), qual.rstrip(b"\r\n")
-            if head[:1] != b"@" or plus[:1] != b"+" or len(s) != len(q):
+            i, search = 1 + int(found.argmax()), False
+        while True:
+            n = (len(start) - i) // 4
+            s, e = start[i:i + 4 * n].reshape(n, 4), end[i:i + 4 * n].reshape(n, 4)
+            good = _is_record(data, s, e) if n else np.ones(0, bool)
+            k = n if good.all() else int(good.argmin())
+            own = int(np.count_nonzero(position(s[:k, 0] - 1) < limit))
+            if own:
+                header, seq, qual = _columns(data, s[:own], e[:own])
+                yield pa.RecordBatch.from_arrays([pa.array([part.path] * own), pa.array(position(s[:own, 0])), header, seq, qual], names=SCHEMA.names)
+            if own < k:
+                return
+            i += 4 * k
+            if i < len(start) and not held[start[i]:end[i]].strip():
+                i += 1
+            elif k < n:
+                at = int(position(start[i:i + 1])[0])
+                if position(start[i:i + 1] - 1)[0] >= limit:
+                    return
                 raise ValueError(f"malformed FASTQ record at byte {at} of {part.path}")
-            yield part.path, at, head[1:].rstrip(b"\r\n").decode(), s.decode(), q.decode()
-            at += size
+            else:
+                break
+        if ended and i < len(start):
+            if len(start) - i == 3 and held[start[i]] == AT and start[i + 1] == end[i + 1] and held[start[i + 2]:start[i + 2] + 1] == b"+":
+                if position(start[i:i + 1] - 1)[0] < limit:  # an empty quality line that the end of the file leaves out
+                    header = held[start[i] + 1:end[i]].decode()
+                    yield pa.RecordBatch.from_arrays([pa.array([part.path]), pa.array(position(start[i:i + 1])), pa.array([header]), pa.array([""]), pa.array([""])], names=SCHEMA.names)
+            elif position(start[i:i + 1] - 1)[0] < limit:
+                raise ValueError(f"malformed FASTQ record at byte {int(position(start[i:i + 1])[0])} of {part.path}")
+        rest = int(start[i]) if i < len(start) else held.rfind(b"\n") + 1
+        before = int(position(np.array([rest - 1]))[0])
+        k = int(np.searchsorted(offsets, rest, side="right") - 1)
+        places = [(int(o - rest), int(b)) for o, b in zip(offsets[k:], bases[k:], strict=True)]
+        if places and places[0][0] < 0:
+            places[0] = (0, places[0][1] - places[0][0])
+        held = held[rest:]
 
 
 def _filesystem(path: str):
@@ -82,10 +225,15 @@ def _filesystem(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
-def _open(path: str):
+def _open(path: str, raw: bool = False):
     store, inner = _filesystem(path)
     f = io.BufferedReader(store.open_input_file(inner), 1 << 20)
-    return gzip.GzipFile(fileobj=f) if path.endswith(".gz") else f
+    return gzip.GzipFile(fileobj=f) if path.endswith(".gz") and not raw else f
+
+
+def _has_blocks(path: str) -> bool:
+    with _open(path, raw=True) as f:
+        return _member_size(f.read(512)) is not None
 
 
 def _list(pattern: str) -> list[tuple[str, int]]:
@@ -118,30 +266,15 @@ class FastqReader(DataSourceReader):
     def partitions(self):
         out = []
         for p, size in self.files:
-            if p.endswith(".gz"):
+            blocks = p.endswith(".gz") and _has_blocks(p)
+            if p.endswith(".gz") and not blocks:
                 out.append(_Range(p, 0, -1))
                 continue
-            out += [_Range(p, s, min(s + self.split, size)) for s in range(0, size, self.split)]
+            out += [_Range(p, s, min(s + self.split, size), blocks) for s in range(0, size, self.split)]
         return out
 
     def read(self, partition):
-        import pyarrow as pa
-
-        names = ["path", "byte_offset", "header", "seq", "qual"]
-        types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
-        rows = []
-
-        def flush():
-            cols = list(zip(*rows))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
-
-        for r in _records(partition):
-            rows.append(r)
-            if len(rows) == BATCH_ROWS:
-                yield flush()
-                rows = []
-        if rows:
-            yield flush()
+        yield from _batches(partition)
 
 
 class FastqSource(DataSource):

@@ -147,3 +147,45 @@ def test_alignment_of_a_long_query():
     from strandweave.operators.orfs import align_batch
 
     assert align_batch(["ACDEFGHIKL"], ["W" * 40_000 + "ACDEFGHIKL"])[0][3] == 10
+
+
+def plain_hits(seq, qual, t, most, least):
+    """Anchor hits of one read by loops over strands, frames and windows."""
+    out = set()
+    for orientation in ("fwd", "rev"):
+        s = seq if orientation == "fwd" else seq[::-1].translate(str.maketrans("ACGTURYSWKMBDHVN", "TGCAAYRSWMKVHDBN"))
+        for frame in (1, 2, 3):
+            codons = [s[i:i + 3] for i in range(frame - 1, len(s) - 2, 3)]
+            pep = "".join(CODE.get(c.upper(), "X") for c in codons)
+            for i in range(len(pep) - len(t.anchor) + 1):
+                w = pep[i:i + len(t.anchor)]
+                differ = [a != b for a, b in zip(w, t.anchor)]
+                identity = 1 - (sum(differ) - differ[t.offset - 1]) / (len(w) - 1)
+                if sum(differ) > most or identity < least or w[t.offset - 1] in "X*":
+                    continue
+                start = frame + 3 * (i + t.offset - 1)
+                lo = start if orientation == "fwd" else len(seq) - start - 1
+                q = [ord(c) - 33 for c in qual[lo - 1:lo + 2]]
+                out.add((orientation, frame, w, round(identity, 9), s[start - 1:start + 2].upper(), lo, lo + 2, min(q), round(sum(q) / 3, 9)))
+    return out
+
+
+def test_batch_of_reads_equals_loops(spark):
+    """Windows that would cross into the next read, repeated anchors, ambiguous and lower-case letters, empty and missing reads."""
+    rng = random.Random(11)
+    targets = [scan.Target(7, "KEK", 2, 6), scan.Target(9, "MWKFYL", 6, 4), scan.Target(1, "EE", 1, 1)]
+    coding = {t: "".join(BACK[a] for a in t.anchor) for t in targets}
+    seqs = ["", "A", "ACG"]
+    for _ in range(150):
+        parts = [rng.choice([coding[rng.choice(targets)], rc(coding[rng.choice(targets)]), rng.choice("ACGTNRYacgt"), "AAGGAA"]) for _ in range(rng.randint(1, 9))]
+        seqs.append("".join(parts))
+    seqs += [coding[targets[1]][:9], coding[targets[1]][9:]]  # halves of an anchor in neighbouring reads
+    quals = {i: "".join(chr(33 + rng.randint(0, 60)) for _ in s) for i, s in enumerate(seqs)}
+    df = reads_frame(spark, seqs, quals).coalesce(1).unionByName(spark.createDataFrame([(9999, "none", "p", "R1", None, None)], reads_frame(spark, []).schema))
+    got = {}
+    for r in scan.validate_anchors(df, targets, max_mismatch=2, min_identity=0.5).collect():
+        key = (r.orientation, r.frame, r.anchor_candidate, round(r.anchor_identity, 9), r.target_codon, r.read_codon_start, r.read_codon_end, r.codon_min_qual, round(r.codon_mean_qual, 9))
+        assert key not in got.setdefault((r.read_index, r.target_position), set())
+        got[r.read_index, r.target_position].add(key)
+    want = {(i, t.position): plain_hits(s, quals[i], t, 2, 0.5) for i, s in enumerate(seqs) for t in targets}
+    assert got == {k: v for k, v in want.items() if v} and sum(map(len, got.values())) > 300
