@@ -54,18 +54,26 @@ def reverse_complement(seq) -> Column:
     return F.reverse(F.translate(_c(seq), IUPAC, IUPAC_COMPLEMENT))
 
 
-def _code() -> Column:
-    """The genetic code as one map literal."""
-    return F.create_map(*[F.lit(v) for pair in CODE.items() for v in pair])
+#: Residue of a codon written in digits, T 0, C 1, A 2, G 3 and 4 for any other letter, at the number the digits spell.
+BY_DIGITS = "".join(AA64[16 * (n // 100) + 4 * (n // 10 % 10) + n % 10] if max(f"{n:03d}") < "4" else "X" for n in range(445))
+
+
+def base_digits(seq) -> Column:
+    """The sequence, in either case, as one digit for each letter: T 0, C 1, A 2, G 3, all others 4."""
+    return F.translate(F.regexp_replace(_c(seq), "(?s)[^TCAGtcag]", "4"), BASES + BASES.lower(), "01230123")
+
+
+def _residue(digits: Column) -> Column:
+    return F.get(F.split(F.lit(BY_DIGITS), ""), digits.cast("int"))
 
 
 def translate_codon(codon) -> Column:
-    """Residue of an exact ACGT codon; X for anything else; null stays null.
+    """Residue of an exact ACGT codon in either case; X for anything else; null stays null.
 
     The internal-codon rule applies everywhere: CTG and TTG are leucine even in first place.
     """
     c = _c(codon)
-    return F.when(c.isNotNull(), F.coalesce(F.element_at(_code(), c), F.lit("X")))
+    return F.when(F.length(c) == 3, _residue(base_digits(c))).when(c.isNotNull(), "X")
 
 
 def codons(seq, frame=1) -> Column:
@@ -80,11 +88,11 @@ def codons(seq, frame=1) -> Column:
 
 def translate_array(seq, frame=1) -> Column:
     """Residues of the complete codons from ``frame`` (1-3) on, as an array."""
-    return F.transform(codons(seq, frame), lambda c: F.coalesce(F.element_at(_code(), c), F.lit("X")))
+    return F.transform(codons(base_digits(seq), frame), _residue)
 
 
 def translate_frame(seq, frame=1) -> Column:
-    """Peptide read from ``frame`` (1-3); trailing bases that do not fill a codon are ignored."""
+    """Peptide read from ``frame`` (1-3), either case; trailing bases that do not fill a codon are ignored."""
     return F.array_join(translate_array(seq, frame), "")
 
 
@@ -95,21 +103,19 @@ def translate_strict(seq) -> Column:
 
 
 def six_frames(seq) -> Column:
-    """Array of (ordinal, orientation, frame, peptide) for 2 orientations x 3 frames."""
-    s = _c(seq)
-    rc = reverse_complement(s)
-    rows = []
-    for o, (name, t) in enumerate((("fwd", s), ("rev", rc))):
-        for f in (1, 2, 3):
-            rows.append(
-                F.struct(
-                    F.lit(o * 3 + f).alias("ordinal"),
-                    F.lit(name).alias("orientation"),
-                    F.lit(f).alias("frame"),
-                    translate_frame(t, f).alias("peptide"),
-                )
-            )
-    return F.array(*rows)
+    """Array of (ordinal, orientation, frame, peptide) for 2 orientations x 3 frames.
+
+    The sequence becomes digits once; the reverse complement is one of digits, T with A and C with G.
+    """
+    def peptides(digits: Column) -> Column:
+        strands = F.array(F.struct(F.lit("fwd").alias("name"), F.lit(0).alias("o"), digits.alias("s")),
+                          F.struct(F.lit("rev").alias("name"), F.lit(3).alias("o"), F.translate(F.reverse(digits), "0123", "2301").alias("s")))
+        frames = F.array(*[F.lit(f) for f in (1, 2, 3)])
+        row = lambda t, f: F.struct((t["o"] + f).alias("ordinal"), t["name"].alias("orientation"), f.alias("frame"),
+                                    F.array_join(F.transform(codons(t["s"], f), _residue), "").alias("peptide"))
+        return F.flatten(F.transform(strands, lambda t: F.transform(frames, lambda f: row(t, f))))
+
+    return F.flatten(F.transform(F.array(base_digits(seq)), peptides))
 
 
 def best_frame(seq) -> Column:
@@ -236,29 +242,3 @@ def normalize_sequence_type(declared) -> Column:
 def sequence_checksum(seq, line_end: str = "\r\n") -> Column:
     """MD5 of the sequence written as one text line."""
     return F.md5(F.concat(_c(seq), F.lit(line_end)).cast("binary"))
-
-
-def tandem_repeats(seq, unit: int, min_copies: int = 3) -> Column:
-    """Non-overlapping runs of a ``unit``-letter motif repeated at least ``min_copies`` times.
-
-    A back-reference keeps this one pass of the JVM regex engine. Array of (motif, copies, start).
-    """
-    s = _c(seq)
-    runs = F.regexp_extract_all(s, F.lit(f"((.{{{unit}}})\\2{{{min_copies - 1},}})"), F.lit(1))
-    init = F.struct(F.lit(1).alias("cursor"), F.array().cast("array<struct<motif:string,copies:int,start:int>>").alias("out"))
-
-    def step(acc, run):
-        start = (F.position(run, s, acc["cursor"])).cast("int")
-        return F.struct(
-            (start + F.length(run)).cast("int").alias("cursor"),
-            F.array_append(
-                acc["out"],
-                F.struct(
-                    F.substring(run, F.lit(1), F.lit(unit)).alias("motif"),
-                    F.floor(F.length(run) / unit).cast("int").alias("copies"),
-                    start.alias("start"),
-                ),
-            ).alias("out"),
-        )
-
-    return F.aggregate(runs, init, step, lambda acc: acc["out"])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .joins import measured_join
+
 CONCORDANCE_BANDS = ((95, ">=95%"), (90, "90-94.9%"), (75, "75-89.9%"))
 
 
@@ -72,7 +74,7 @@ def within_pair(obs: DataFrame, pair: str, position: str, residue: str = "aa") -
 def against_consensus(obs: DataFrame, cons: DataFrame, by: list[str], position: str | list[str], residue: str = "aa") -> DataFrame:
     """Agreement of observations with the dominant residue, per pair (``by``) or per role."""
     pos = [position] if isinstance(position, str) else position
-    joined = obs.join(cons.select(*pos, "dominant_aa"), pos, "left")
+    joined = measured_join(obs, cons.select(*pos, "dominant_aa"), pos, "left")
     hit = F.col(residue) == F.col("dominant_aa")
     out = joined.groupBy(*by).agg(
         F.count(F.lit(1)).alias("positions_observed"),

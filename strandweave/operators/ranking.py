@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import measured_join
 from .running import ordinal
 
 #: Ranges of values that an order is cut into.
@@ -23,9 +24,9 @@ def first_per_group(df: DataFrame, keys: list[str], order: list[Column]) -> Data
 
 def share_of_total(df: DataFrame, count: str, name: str = "percent", by: list[str] | None = None,
                    digits: int | None = None) -> DataFrame:
-    """Percent of the group total. ``df`` is an aggregate, small by construction."""
-    w = Window.partitionBy(*by) if by else Window.partitionBy()
-    pct = 100.0 * F.col(count) / F.sum(count).over(w)
+    """Percent of the group total, or without groups of the total of all rows, which is a scalar subquery: no task sees all rows."""
+    total = F.sum(count).over(Window.partitionBy(*by)) if by else df.agg(F.sum(count)).scalar()
+    pct = 100.0 * F.col(count) / total
     return df.withColumn(name, F.round(pct, digits) if digits is not None else pct)
 
 
@@ -41,7 +42,7 @@ def evenly_spaced(df: DataFrame, keys: list[str], value: str, tie: str, n: int,
     cuts = live.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(value, points, F.lit(10 * RANGES))).alias("_cuts"))
     at_cut = F.array_contains("_cuts", F.col(value))
     below = F.size(F.filter("_cuts", lambda c: c < F.col(value)))
-    live = live.join(cuts, keys).withColumn("_b", F.struct(below.alias("i"), at_cut.alias("cut"), F.when(at_cut, F.floor(F.col(tie) / tie_width)).otherwise(0).alias("t"))).drop("_cuts")
+    live = measured_join(live, cuts, keys).withColumn("_b", F.struct(below.alias("i"), at_cut.alias("cut"), F.when(at_cut, F.floor(F.col(tie) / tie_width)).otherwise(0).alias("t"))).drop("_cuts")
     ranked = ordinal(live, keys, "_b", [value, tie], "rank")
     sizes = live.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     if n == 1:
@@ -52,7 +53,7 @@ def evenly_spaced(df: DataFrame, keys: list[str], value: str, tie: str, n: int,
             lambda i: F.bround(F.lit(1) + i * (F.col("_n") - 1) / (n - 1), 0).cast("long"),
         )
     picked = F.when(F.col("_n") <= n, F.lit(True)).otherwise(F.array_contains(ranks, F.col("rank").cast("long")))
-    return ranked.join(sizes, keys).filter(picked).drop("_b", "_n")
+    return measured_join(ranked, sizes, keys).filter(picked).drop("_b", "_n")
 
 
 def _least_rows(df: DataFrame, bucket: Column, order: list[Column], n: int) -> DataFrame:

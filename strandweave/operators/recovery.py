@@ -54,28 +54,23 @@ def depth_statistics(depths: DataFrame, keys: list[str], thresholds=DEPTH_THRESH
     )
 
 
-def _score_statistics(reads: DataFrame, value: str, short: str, by: str) -> DataFrame:
-    c = reads.filter(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("_n"))
-    return c.groupBy(by).agg(
-        (F.sum(F.col(value) * F.col("_n")) / F.sum("_n")).alias(f"mean_{short}"),
-        F.percentile(value, 0.5, F.col("_n")).alias(f"median_{short}"),
-        F.min(value).alias(f"min_{short}"), F.max(value).alias(f"max_{short}"),
-    )
+def _score_statistics(value: str, short: str) -> list[Column]:
+    """Aggregates of one score. Its median counts equal values in each map task, so what meets is one entry a distinct value."""
+    return [F.avg(value).alias(f"mean_{short}"), F.percentile(value, 0.5).alias(f"median_{short}"), F.min(value).alias(f"min_{short}"), F.max(value).alias(f"max_{short}")]
 
 
 def gene_recovery(per_read: DataFrame, lengths: DataFrame, thresholds=DEPTH_THRESHOLDS, pair_ids_confirmed: bool = True,
                   gene: str = "gene", length: str = "protein_length") -> DataFrame:
-    """One row per target gene, targets without reads included: distinct reads by mate, depth
+    """One row per target gene, targets without reads included, from one row per gene, mate and read: reads by mate, depth
     statistics, identity and e-value statistics, mate concordance, observation status."""
     seg = per_read.select(gene, F.explode("query_segments").alias("_s")).select(gene, F.col("_s.start").alias("start"), F.col("_s.end").alias("end"))
     depths = depth(seg, [gene], lengths, length)
     stats = depth_statistics(depths, [gene], thresholds)
-    reads = per_read.groupBy(gene, "mate", "read_id").agg(F.lit(1).alias("_1")).groupBy(gene).agg(
+    reads = per_read.groupBy(gene).agg(
         F.count_if(F.col("mate") == "R1").alias("reads_r1"), F.count_if(F.col("mate") == "R2").alias("reads_r2"),
+        *_score_statistics("best_pident", "pident"), *_score_statistics("best_evalue", "evalue"),
     )
     out = lengths.select(gene, length).join(stats, gene, "left").join(reads, gene, "left")
-    out = out.join(_score_statistics(per_read, "best_pident", "pident", gene), gene, "left")
-    out = out.join(_score_statistics(per_read, "best_evalue", "evalue", gene), gene, "left")
     if pair_ids_confirmed:
         out = out.join(mate_support(per_read, [gene]), gene, "left")
     out = out.fillna({"reads_r1": 0, "reads_r2": 0})

@@ -72,7 +72,7 @@ def degenerate_pattern_column(anchor, offset: int, target_codon: str = "NNN") ->
     letters = "".join(sorted(set(AA64)))
     codes = "".join(residue_to_iupac(x) for x in letters)
     codon = lambda x: F.when(F.instr(F.lit(letters), x) > 0, F.substring(F.lit(codes), (F.instr(F.lit(letters), x) * 3 - 2), F.lit(3))).otherwise("NNN")
-    parts = F.transform(F.split(a, ""), lambda x, i: F.when(i == offset - 1, F.lit(target_codon)).otherwise(codon(x)))
+    parts = F.transform(F.filter(F.split(a, ""), lambda x: x != ""), lambda x, i: F.when(i == offset - 1, F.lit(target_codon)).otherwise(codon(x)))
     return F.array_join(parts, "")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.joins import measured_join
 from ..functions.reads import as_int, count_with_percent, first_available, range_label, strand
 from ..operators import intervals as iv
 from ..operators import ranking as rk
@@ -121,7 +122,7 @@ def b18(s, d):
 @query("b19_query_coverage", "l_orderkey i, l_linenumber i, l_partkey i, coverage_pct d2",
        f"WITH {HITS}, {GENE_LENGTHS} SELECT l_orderkey, l_linenumber, l_partkey, 100.0 * length / protein_length AS coverage_pct FROM hits JOIN gene_lengths USING (gene)")
 def b19(s, d):
-    return hits(s, d).join(gene_lengths(s, d), "gene").withColumn("coverage_pct", 100.0 * F.col("length") / F.col("protein_length"))
+    return measured_join(hits(s, d), gene_lengths(s, d), ["gene"]).withColumn("coverage_pct", 100.0 * F.col("length") / F.col("protein_length"))
 
 
 # ------------------------------------------------------------------ joins (C)
@@ -130,7 +131,7 @@ def b19(s, d):
 @query("c1_left_join_lookup", "l_orderkey i, l_linenumber i, l_partkey i, protein_length i",
        f"WITH {HITS}, {GENE_LENGTHS} SELECT l_orderkey, l_linenumber, l_partkey, protein_length FROM hits LEFT JOIN gene_lengths USING (gene)")
 def c1(s, d):
-    return hits(s, d).join(gene_lengths(s, d), "gene", "left")
+    return measured_join(hits(s, d), gene_lengths(s, d), ["gene"], "left")
 
 
 @query("c5_semi_join", "l_orderkey i, l_linenumber i, l_partkey i",

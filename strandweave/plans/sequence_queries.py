@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import functions as F
 
 from ..functions import reads as rd
@@ -105,11 +107,14 @@ def h9(s, d):
 
 
 def neighbours(s, d):
+    """Each protein with the next one; the last one with the first."""
     p = proteins(s, d)
-    return p.join(p.select((F.col("item_id") - 1).alias("item_id"), F.col("seq").alias("other")), "item_id")
+    ends = p.agg(F.min("item_id").alias("lo"), F.max("item_id").alias("hi")).first()
+    before = F.when(F.col("item_id") == ends["lo"], F.lit(ends["hi"])).otherwise(F.col("item_id") - 1)
+    return p.join(p.select(before.alias("item_id"), F.col("seq").alias("other")), "item_id")
 
 
-NEIGH = f"{PROTEINS}, nb AS (SELECT a.item_id, a.gene, a.cds, a.seq, b.seq AS other FROM proteins a JOIN proteins b ON b.item_id = a.item_id + 1)"
+NEIGH = f"{PROTEINS}, nb AS (SELECT a.item_id, a.gene, a.cds, a.seq, b.seq AS other FROM proteins a JOIN proteins b ON b.item_id = CASE WHEN a.item_id = (SELECT max(item_id) FROM proteins) THEN (SELECT min(item_id) FROM proteins) ELSE a.item_id + 1 END)"
 
 
 @query("h10_local_alignment", "gene s, identity d, coverage d, aligned_ref i, score i")
@@ -152,15 +157,15 @@ def contigs(s, d):
     return documents_dna(s, d).select(F.col("name").alias("contig"), "seq")
 
 
-REGION = "substr(contig_seq, greatest(1, least(sstart, send) - 15), least(length(contig_seq), greatest(sstart, send) + 15) - greatest(1, least(sstart, send) - 15) + 1)"
+REGION = "substr(contig_seq, greatest(1, least(sstart, send) - 15), greatest(0, least(length(contig_seq), greatest(sstart, send) + 15) - greatest(1, least(sstart, send) - 15) + 1))"
 
 
 @query("h16_region_extraction", "contig s, region_start i, region_end i, region s",
        f"""WITH {DOC_HITS} SELECT contig, greatest(1, least(sstart, send) - 15) AS region_start, least(length(contig_seq), greatest(sstart, send) + 15) AS region_end,
-       CASE WHEN sstart > send THEN {RC(REGION)} ELSE {REGION} END AS region FROM dh WHERE length(contig_seq) >= least(sstart, send)""")
+       CASE WHEN sstart > send THEN {RC(REGION)} ELSE {REGION} END AS region FROM dh""")
 def h16(s, d):
-    r = extract_regions(doc_hits(s, d), contigs(s, d), flank=15)
-    return r.filter(F.col("region_end") >= F.least("sstart", "send"))
+    """A hit beyond its contig has an empty region."""
+    return extract_regions(doc_hits(s, d), contigs(s, d), flank=15)
 
 
 @query("h58_recover_gene", "gene s, contig s, region_start i, region_end i, orientation s, frame i, identity d, score d")
@@ -170,12 +175,12 @@ def h58(s, d):
 
 @query("h59_cds_extraction_check", "contig s, region_bp i, divisible_by_3 b, length_matches b, start_codon s, protein s, identity_pct d",
        f"""WITH {DOC_HITS}, {PROTEINS}, r AS (SELECT contig, sstart, send, proteins.seq AS ref, CASE WHEN sstart > send THEN {RC(REGION.replace('15', '0'))} ELSE {REGION.replace('15', '0')} END AS region
-         FROM dh JOIN proteins USING (gene) WHERE length(contig_seq) >= least(sstart, send)),
+         FROM dh JOIN proteins USING (gene)),
        t AS (SELECT *, regexp_replace({sql_translate('region')}, '\\*$', '') AS protein FROM r)
        SELECT contig, length(region) AS region_bp, length(region) % 3 = 0 AS divisible_by_3, length(region) = 90 AS length_matches, substr(region, 1, 3) AS start_codon, protein,
        CASE WHEN length(protein) = length(ref) AND length(ref) > 0 THEN 100.0 * {sql_match('protein', 'ref')} / length(ref) ELSE -1 END AS identity_pct FROM t""")
 def h59(s, d):
-    r = extract_regions(doc_hits(s, d), contigs(s, d)).filter(F.col("region_end") >= F.least("sstart", "send"))
+    r = extract_regions(doc_hits(s, d), contigs(s, d))
     r = r.join(proteins(s, d).select("gene", F.col("seq").alias("ref")), "gene").withColumn("expected", F.lit(90))
     return au.cds_extraction_check(r, "expected", "ref").fillna({"identity_pct": -1.0})
 
@@ -224,17 +229,17 @@ def doc_cds(s, d):
 
 
 @query("h17_cds_validation", "name s, cds_length i, cds_length_match b, cds_divisible_by_3 b, start_codon_valid b, stop_codon_valid b, ambiguous_bases i, internal_stops i, aa_length_excluding_stop i, gc_percent d2, status s, reason s", f"""
-WITH {CDS_PEP}, f AS (SELECT *, length(seq) AS n, length(seq) = expected_bp AND expected_bp > 0 AS lm, substr(seq, 1, 3) AS a, substr(seq, length(seq) - 2, 3) AS z, length(regexp_replace(seq, '[ACGT]', '', 'g')) AS amb,
-  length(regexp_replace(body, '[^*]', '', 'g')) AS st FROM d3 WHERE length(seq) >= 3)
+WITH {CDS_PEP}, f AS (SELECT *, length(seq) AS n, length(seq) = expected_bp AND expected_bp > 0 AS lm, CASE WHEN length(seq) >= 3 THEN substr(seq, 1, 3) ELSE 'NA' END AS a, CASE WHEN length(seq) >= 3 THEN substr(seq, length(seq) - 2, 3) ELSE 'NA' END AS z, length(regexp_replace(seq, '[ACGT]', '', 'g')) AS amb,
+  length(regexp_replace(body, '[^*]', '', 'g')) AS st FROM d3)
 SELECT name, n AS cds_length, lm AS cds_length_match, n % 3 = 0 AS cds_divisible_by_3, a IN ('ATG', 'GTG', 'TTG') AS start_codon_valid, z IN ('TAA', 'TAG', 'TGA') AS stop_codon_valid, amb AS ambiguous_bases,
- st AS internal_stops, aa_exc AS aa_length_excluding_stop, round(100.0 * length(regexp_replace(seq, '[^GC]', '', 'g')) / n, 2) AS gc_percent,
+ st AS internal_stops, aa_exc AS aa_length_excluding_stop, round(100.0 * length(regexp_replace(seq, '[^GC]', '', 'g')) / nullif(n, 0), 2) AS gc_percent,
  CASE WHEN lm AND n % 3 = 0 AND a IN ('ATG', 'GTG', 'TTG') AND z IN ('TAA', 'TAG', 'TGA') AND amb = 0 AND st = 0 AND aa_exc = expected_aa AND expected_aa > 0 THEN 'PASS' ELSE 'FAIL' END AS status,
  coalesce(nullif(array_to_string(list_filter([CASE WHEN NOT lm THEN 'length:' || n || '/' || expected_bp END, CASE WHEN n % 3 <> 0 THEN 'partial_codon' END,
   CASE WHEN a NOT IN ('ATG', 'GTG', 'TTG') THEN 'start:' || a END, CASE WHEN z NOT IN ('TAA', 'TAG', 'TGA') THEN 'stop:' || z END, CASE WHEN amb > 0 THEN 'ambiguous:' || amb END,
   CASE WHEN st > 0 THEN 'inner_stops:' || st END, CASE WHEN NOT (aa_exc = expected_aa AND expected_aa > 0) THEN 'protein_length:' || aa_exc || '/' || expected_aa END],
   lambda x: x IS NOT NULL), '; '), ''), 'OK') AS reason FROM f""")
 def h17(s, d):
-    return rf.validate_cds(doc_cds(s, d).filter(F.length("seq") >= 3))
+    return rf.validate_cds(doc_cds(s, d))
 
 
 @query("h18_protein_validation", "name s, aa_length_excluding_stop i, internal_stops i, invalid_residues i, aa_length_match b, terminal_stop_included b, status s", f"""
@@ -245,8 +250,9 @@ def h18(s, d):
     return rf.validate_protein(doc_cds(s, d).withColumn("seq", sq.translate_frame("seq")))
 
 
-@query("d54_validation_rollup", "overall_status s, checked i, failed i", f"""
-WITH {CDS_PEP}, f AS (SELECT length(regexp_replace(body, '[^*]', '', 'g')) = 0 AS ok FROM d3) SELECT CASE WHEN bool_and(ok) THEN 'PASS' ELSE 'FAIL' END AS overall_status, count(*) AS checked, count(*) FILTER (WHERE NOT ok) AS failed FROM f""")
+@query("d54_validation_rollup", "overall_status s, checked i, failed i, failing s", f"""
+WITH {CDS_PEP}, f AS (SELECT name, length(regexp_replace(body, '[^*]', '', 'g')) = 0 AS ok FROM d3) SELECT CASE WHEN bool_and(ok) THEN 'PASS' ELSE 'FAIL' END AS overall_status, count(*) AS checked, count(*) FILTER (WHERE NOT ok) AS failed,
+ coalesce(string_agg(name, '; ' ORDER BY name) FILTER (WHERE NOT ok), '') AS failing FROM f""")
 def d54(s, d):
     v = rf.validate_protein(doc_cds(s, d).withColumn("seq", sq.translate_frame("seq")))
     return rf.validation_rollup(v.withColumn("status", F.when(F.col("internal_stops") == 0, "PASS").otherwise("FAIL")), "name")
@@ -279,11 +285,18 @@ def h21(s, d):
     return rf.checksums(documents_dna(s, d))
 
 
-@query("h22_tandem_repeats", "name s, unit i, motif s, copies i, start i")
+def _motifs(unit):
+    return "|".join(f"(?:{''.join(m)}){{3,}}" for m in product("ACGTN", repeat=unit))
+
+
+# A back-reference as an alternation of all motifs; the text between runs gives their places.
+@query("h22_tandem_repeats", "name s, unit i, motif s, copies i, start i", f"""
+WITH {DOCS}, cut AS ({' UNION ALL '.join(f"SELECT name, {u} AS unit, string_split(regexp_replace(seq, '({_motifs(u)})', '|\\1|', 'g'), '|') AS parts FROM docs" for u in (2, 3))}),
+p AS (SELECT name, unit, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM cut),
+w AS (SELECT *, sum(length(part)) OVER (PARTITION BY name, unit ORDER BY i) - length(part) + 1 AS start FROM p)
+SELECT name, unit, substr(part, 1, unit) AS motif, length(part) // unit AS copies, start FROM w WHERE i % 2 = 0""")
 def h22(s, d):
-    docs = documents_dna(s, d)
-    rows = [docs.select("name", F.lit(k).alias("unit"), F.explode(sq.tandem_repeats("seq", k)).alias("r")) for k in (2, 3)]
-    return rs.union_all(rows).select("name", "unit", "r.motif", "r.copies", "r.start")
+    return rf.tandem_repeats(documents_dna(s, d), "name", "seq", [2, 3])
 
 
 @query("h23_residue_fraction", "gene s, k_fraction d, e_fraction d, k_ratio d3", f"""
@@ -756,16 +769,16 @@ def h43(s, d):
     return p.fillna({"frame0_codon": "", "frame0_aa": "", "hamming_distance": -1})
 
 
-@query("h44_orientation_diagnostic", "read_id s, id_as_is d, id_rc d, id_as_is_control d, id_rc_control d, best_orientation s, length_difference i, control_excess d, control_excess_flag b", f"""
+@query("h44_orientation_diagnostic", "read_id s, note s, id_as_is d, id_rc d, id_as_is_control d, id_rc_control d, best_orientation s, length_difference i, control_excess d, control_excess_flag b", f"""
 WITH {CLASSED}, o0 AS (SELECT *, CASE WHEN NOT rev THEN sstart + (lo_p - qstart) * 3 ELSE sstart - (hi_p - qstart) * 3 - 2 END AS lo, CASE WHEN NOT rev THEN sstart + (hi_p - qstart) * 3 + 2 ELSE sstart - (lo_p - qstart) * 3 END AS hi FROM ct WHERE NOT none),
-o1 AS (SELECT *, substr(seq, lo, hi - lo + 1) AS raw, substr(reference, lo_p, hi_p - lo_p + 1) AS ref FROM o0 WHERE lo >= 1 AND hi <= length(seq)),
+o1 AS (SELECT *, CASE WHEN lo >= 1 AND hi <= length(seq) THEN substr(seq, lo, hi - lo + 1) END AS raw, CASE WHEN lo >= 1 AND hi <= length(seq) THEN substr(reference, lo_p, hi_p - lo_p + 1) END AS ref FROM o0),
 o2 AS (SELECT *, {sql_translate('raw')} AS a, {sql_translate(RC('raw'))} AS b, reverse(ref) AS fer FROM o1),
 o3 AS (SELECT *, 100.0 * {sql_match('a', 'ref')} / least(length(a), length(ref)) AS i1, 100.0 * {sql_match('b', 'ref')} / least(length(b), length(ref)) AS i2, 100.0 * {sql_match('a', 'fer')} / least(length(a), length(fer)) AS i3, 100.0 * {sql_match('b', 'fer')} / least(length(b), length(fer)) AS i4 FROM o2)
-SELECT read_id, i1 AS id_as_is, i2 AS id_rc, i3 AS id_as_is_control, i4 AS id_rc_control, CASE WHEN i1 >= i2 THEN 'as_is' ELSE 'reverse_complement' END AS best_orientation, length(a) - length(ref) AS length_difference,
- greatest(i3 - i1, i4 - i2) AS control_excess, greatest(i3 - i1, i4 - i2) >= 20 AS control_excess_flag FROM o3""")
+SELECT read_id, i1 AS id_as_is, i2 AS id_rc, i3 AS id_as_is_control, i4 AS id_rc_control, CASE WHEN raw IS NULL THEN 'window_off_read' ELSE '' END AS note, CASE WHEN i1 >= i2 THEN 'as_is' WHEN i2 IS NOT NULL THEN 'reverse_complement' END AS best_orientation, length(a) - length(ref) AS length_difference,
+ greatest(i3 - i1, i4 - i2) AS control_excess, coalesce(greatest(i3 - i1, i4 - i2) >= 20, false) AS control_excess_flag FROM o3""")
 def h44(s, d):
     g = graded(s, d).filter(F.col("evidence_class") != "D")
-    return au.orientation_diagnostic(g, "reference").filter(F.col("note") == "")
+    return au.orientation_diagnostic(g, "reference")
 
 
 @query("h45_ground_truth_validation", "read_id s, our_translation s, matches_sseq_pct d, length_difference i, sseq_vs_qseq_pct d, status s", f"""
@@ -797,9 +810,9 @@ def h56(s, d):
 
 @query("h46_anchor_window", "gene s, position i, anchor s", f"""
 WITH {PROTEINS}, p AS (SELECT gene, seq, unnest([4, 20, 35, 48]) AS position FROM proteins)
-SELECT gene, position, substr(seq, greatest(1, position - 8), least(length(seq), position + 8) - greatest(1, position - 8) + 1) AS anchor FROM p WHERE position <= length(seq)""")
+SELECT gene, position, substr(seq, greatest(1, position - 8), greatest(0, least(length(seq), position + 8) - greatest(1, position - 8) + 1)) AS anchor FROM p""")
 def h46(s, d):
-    p = proteins(s, d).select("gene", "seq", F.explode(F.array(*[F.lit(x) for x in (4, 20, 35, 48)])).alias("position")).filter(F.col("position") <= F.length("seq"))
+    p = proteins(s, d).select("gene", "seq", F.explode(F.array(*[F.lit(x) for x in (4, 20, 35, 48)])).alias("position"))
     return p.select("gene", "position", anchor_window("seq", "position").alias("anchor"))
 
 
@@ -807,10 +820,10 @@ IUPAC_CASE = "CASE x " + " ".join(f"WHEN '{a}' THEN '{residue_to_iupac(a)}'" for
 
 
 @query("h47_degenerate_pattern", "gene s, forward_pattern s, reverse_pattern s", f"""
-WITH {PROTEINS}, a AS (SELECT gene, string_split(substr(seq, 12, 17), '') AS l FROM proteins WHERE length(seq) >= 28),
+WITH {PROTEINS}, a AS (SELECT gene, list_filter(string_split(substr(seq, 12, 17), ''), lambda x: x <> '') AS l FROM proteins),
 p AS (SELECT gene, array_to_string(list_transform(l, lambda x, i: CASE WHEN i = 9 THEN 'NNN' ELSE {IUPAC_CASE} END), '') AS f FROM a) SELECT gene, f AS forward_pattern, {RC('f')} AS reverse_pattern FROM p""")
 def h47(s, d):
-    p = proteins(s, d).filter(F.length("seq") >= 28).select("gene", degenerate_pattern_column(anchor_window("seq", F.lit(20)), 9).alias("forward_pattern"))
+    p = proteins(s, d).select("gene", degenerate_pattern_column(anchor_window("seq", F.lit(20)), 9).alias("forward_pattern"))
     return p.withColumn("reverse_pattern", sq.reverse_complement("forward_pattern"))
 
 

@@ -279,3 +279,85 @@ def test_pilot_and_sample_take_exactly_n_rows(spark):
     for n in (1, 100, 1000):
         assert {r["i"] for r in ranking.hash_sample(df, "i", n, seed=3).collect()} == set(by_hash[:n]), n
     assert ranking.first_rows(df.limit(0), "k", 5).collect() == []
+
+
+# ------------------------------------------------------------------ measured joins and gates
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_measured_join_either_way(spark, how):
+    from strandweave.operators.joins import measured_join
+
+    many = spark.createDataFrame([(i % 3 if i % 2 else 0, i, None if i % 5 else "x") for i in range(60)] + [(None, 99, "n")], "k int, v int, s string")
+    few = spark.createDataFrame([(0, "a"), (2, "c"), (7, "z")], "k int, name string")
+    want = sorted(map(repr, many.join(few, "k", how).collect()))
+    for most in (10, 2):
+        got = measured_join(many, few, ["k"], how, most=most, parts=4)
+        assert sorted(map(repr, got.collect())) == want
+    assert "Exchange hashpartitioning" not in plan_of(measured_join(many, few, ["k"], how))
+
+
+def test_measured_join_deals_a_hot_key(spark):
+    from strandweave.operators.joins import measured_join
+
+    hot = spark.range(4000).select(F.lit(1).alias("k"), "id")
+    few = spark.range(50).select(F.col("id").cast("int").alias("k"), F.col("id").alias("w"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = measured_join(hot, few, ["k"], most=10, parts=8).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(r["count"] for r in out) == 4000 and max(r["count"] for r in out) < 3000
+
+
+def test_share_of_all_rows_needs_no_single_partition(spark):
+    from strandweave.operators.ranking import share_of_total
+
+    df = spark.createDataFrame([("a", 1), ("b", 3)], "k string, n long")
+    out = share_of_total(df, "n")
+    assert {r["k"]: r["percent"] for r in out.collect()} == {"a": 25.0, "b": 75.0}
+    assert "Window" not in plan_of(out)
+
+
+def test_gates_stop(spark):
+    from strandweave.operators import checks
+
+    df = spark.createDataFrame([("AAA", "K", "g1", "KML"), ("CTG", "L", "g2", "KVL"), ("TTT", "L", "g3", "MML")], "codon string, aa string, gene string, seq string")
+    assert checks.require_translation(df.limit(2), "codon", "aa").count() == 2
+    with pytest.raises(Exception, match="codon TTT stored with residue L"):
+        checks.require_translation(df, "codon", "aa").collect()
+    with pytest.raises(Exception, match="reference lock fails for g3"):
+        checks.locked_references(df, "seq", {1: "K"}, "gene").collect()
+    assert checks.require_reference("KML", {1: "K", 3: "L"}) == "KML"
+    with pytest.raises(checks.ReferenceMismatch, match="2: M for V, 9: none for L"):
+        checks.require_reference("KML", {1: "K", 2: "V", 9: "L"})
+
+
+def test_observed_gate_counts_without_another_scan(spark, tmp_path):
+    from strandweave.operators.checks import Gate, GateFailed
+
+    df = spark.createDataFrame([(1, 5), (2, None), (3, 50)], "id int, v int")
+    gate = Gate("values")
+    watched = gate.watch(df, small=F.col("v") < 100)
+    watched.write.parquet(str(tmp_path / "out"))
+    with pytest.raises(GateFailed, match="1 of 3 rows break small"):
+        gate.require()
+    gate = Gate("more")
+    gate.watch(df.where("v is not null"), small=F.col("v") < 100).write.parquet(str(tmp_path / "two"))
+    assert gate.require() == {"rows": 2, "small": 0}
+
+
+def test_pairing_gate(spark):
+    from strandweave.operators.checks import GateFailed, require_pairing
+
+    rows = [(1, "p", "R1"), (1, "p", "R2"), (2, "q", "R1"), (2, "r", "R2"), (3, "s", "R1")]
+    df = spark.createDataFrame(rows, "read_index long, pair_id string, mate string")
+    require_pairing(df.where("read_index = 1"))
+    with pytest.raises(GateFailed, match="1 rows with two ids and 1 with one side, of 3"):
+        require_pairing(df)

@@ -4,6 +4,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from strandweave.operators import references
 from strandweave.functions import reads as rd
 from strandweave.functions import sequence as sq
 
@@ -82,9 +83,12 @@ def plain_repeats(s, k, least=3):
 def test_tandem_repeats_match_plain_scan(spark, unit):
     rng = random.Random(unit)
     seqs = ["".join(rng.choice("KE") for _ in range(60)) for _ in range(60)] + ["KEKEKEKKKKKKEKE", "KK", ""]
-    df = spark.createDataFrame([(s,) for s in seqs], "s string")
-    for r in df.select("s", sq.tandem_repeats("s", unit).alias("t")).collect():
-        assert [(x.motif, x.copies, x.start) for x in r.t] == plain_repeats(r.s, unit)
+    seqs += ["ACAC", "ACACAC" + "G", "", "AAAAAAAA", "N" * 5000 + "AC" * 3000, None, "ÄÖÄÖÄÖÄÖ"]
+    df = spark.createDataFrame([(i, s, "own") for i, s in enumerate(seqs)], "motif long, s string, start string").coalesce(1)
+    got = {}
+    for r in references.tandem_repeats(df.select(F.col("motif").alias("id"), "s"), "id", "s", [unit, 5]).where(F.col("unit") == unit).collect():
+        got.setdefault(r.id, []).append((r.motif, r.copies, r.start))
+    assert {k: sorted(v, key=lambda x: x[2]) for k, v in got.items()} == {i: plain_repeats(s, unit) for i, s in enumerate(seqs) if s and plain_repeats(s, unit)}
 
 
 def test_phred_and_ids(spark):
