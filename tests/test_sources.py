@@ -84,10 +84,10 @@ def test_streaming_resumes_and_refuses_another_configuration(spark, tmp_path):
     base = str(tmp_path)
     cfg = ingest.ScanConfig((t,), 1)
     land(1, 1)
-    ingest.ingest(spark, f"{base}/in", f"{base}/out", cfg)
+    ingest.ingest(spark, f"{base}/in", f"{base}/out", cfg, complete=False)
     land(2, 1)
-    ingest.ingest(spark, f"{base}/in", f"{base}/out", cfg)
-    ingest.ingest(spark, f"{base}/in", f"{base}/out", cfg)
+    ingest.ingest(spark, f"{base}/in", f"{base}/out", cfg, complete=False)
+    ingest.ingest(spark, f"{base}/in", f"{base}/out", cfg, complete=False)
     assert sorted(r.pair_id for r in ingest.collected_evidence(spark, f"{base}/out").collect()) == ["p1", "p2"]
     assert spark.read.parquet(f"{base}/out/primary").groupBy("read_id").count().filter("count > 1").isEmpty()
     with pytest.raises(ingest.ConfigurationChanged):
@@ -141,7 +141,7 @@ def test_ingest_does_not_depend_on_batches(spark, tmp_path):
     got = []
     for n in (1, 64):
         out = str(tmp_path / f"out{n}")
-        ingest.ingest(spark, str(tmp_path / "in"), out, ingest.ScanConfig(tuple(TARGETS)), n)
+        ingest.ingest(spark, str(tmp_path / "in"), out, ingest.ScanConfig(tuple(TARGETS)), n, complete=False)
         got.append(sorted(map(repr, ingest.collected_evidence(spark, out).collect())))
     assert got[0] == got[1]
     with pytest.raises(ingest.ConfigurationChanged):
@@ -149,4 +149,53 @@ def test_ingest_does_not_depend_on_batches(spark, tmp_path):
     with pytest.raises(ingest.UnpairedReads):
         one = str(tmp_path / "one")
         own.where("mate = 'R1'").write.parquet(one)
-        ingest.ingest(spark, one, str(tmp_path / "out2"), ingest.ScanConfig(tuple(TARGETS), require_pairs=True))
+        ingest.ingest(spark, one, str(tmp_path / "out2"), ingest.ScanConfig(tuple(TARGETS)))
+
+
+PAIRED = [(i, f"p{i}/{m}", f"p{i}", f"R{m}", "AAGGAAAAACTAGAA", "I" * 15) for i in (1, 2, 5000, 9000) for m in (1, 2)]
+
+
+def _landed(spark, base, rows):
+    spark.createDataFrame(rows, ingest.READS).repartition(2).write.mode("append").parquet(f"{base}/in x")
+
+
+def test_pairing_waits_for_mates_in_later_files(spark, tmp_path):
+    """Half the mates come in another call; the state holds the others, and the run goes on where it stopped."""
+    base, cfg = str(tmp_path), ingest.ScanConfig((Target(3, "KEKLE", 3, 1),), 1)
+    _landed(spark, base, PAIRED[0::2])
+    ingest.ingest(spark, f"{base}/in x", f"{base}/out", cfg, 1, complete=False)
+    with pytest.raises(ingest.UnpairedReads, match="one side ended .*R1 of read index 1, "):
+        ingest.ingest(spark, f"{base}/in x", f"{base}/out", cfg)
+    _landed(spark, base, PAIRED[1::2])
+    ingest.ingest(spark, f"{base}/in x", f"{base}/out", cfg, 1)
+    assert ingest.collected_evidence(spark, f"{base}/out").where("evidence_role = 'PRIMARY'").count() == len(PAIRED)
+
+
+@pytest.mark.parametrize("change,index", [
+    (lambda r: (r[0], r[1], "other", *r[3:]), 5000), (lambda r: (*r[:3], "R1", *r[4:]), 5000), (lambda r: (*r[:3], "R9", *r[4:]), 5000), (lambda r: (*r[:3], None, *r[4:]), 5000), (lambda r: (None, *r[1:]), "<NA>"),
+])
+def test_pairing_stops_on_a_divergent_id(spark, tmp_path, change, index):
+    base, cfg = str(tmp_path), ingest.ScanConfig((Target(3, "KEKLE", 3, 1),), 1)
+    _landed(spark, base, [*PAIRED[:5], change(PAIRED[5]), *PAIRED[6:]])
+    for _ in range(2):  # again after a restart
+        with pytest.raises(ingest.UnpairedReads, match=f"read index {index}"):
+            ingest.ingest(spark, f"{base}/in x", f"{base}/out", cfg)
+    assert not (tmp_path / "out" / "primary").exists()
+
+
+def test_a_third_read_of_a_pair_stops_the_run(spark, tmp_path):
+    base, cfg = str(tmp_path), ingest.ScanConfig((Target(3, "KEKLE", 3, 1),), 1)
+    _landed(spark, base, [*PAIRED, PAIRED[0]])
+    with pytest.raises(ingest.UnpairedReads, match="read index 1"):
+        ingest.ingest(spark, f"{base}/in x", f"{base}/out", cfg)
+
+
+def test_another_reference_stops_the_run():
+    from strandweave.operators.checks import ReferenceMismatch
+
+    t = Target(3, "KEKLE", 3, 1)
+    ingest.ScanConfig((t,), reference="KEKLEMM", expected=((6, "M"),))
+    with pytest.raises(ReferenceMismatch):
+        ingest.ScanConfig((t,), reference="KEKLEMM", expected=((6, "A"),))
+    with pytest.raises(ReferenceMismatch):
+        ingest.ScanConfig((t,), reference="KEKVEMM")
