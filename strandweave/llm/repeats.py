@@ -261,7 +261,7 @@ def solve_groups(table: pa.Table, unit: Unit) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(dk[row]), pa.array(th[row]), pa.array(a), pa.array(z)], names=["dk", "th", "start", "stop"])
 
 
-def resolve(unit: Unit, flush_rows: int):
+def resolve(unit: Unit, flush_rows: int, solve=solve_groups):
     """CONTEXTS, sorted by gram -> intervals; groups are solved together as soon as enough rows have come."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,13 +273,13 @@ def resolve(unit: Unit, flush_rows: int):
                 cut = int(np.searchsorted(gram != held[-1].column(0)[-1].as_py(), True))
                 done = pa.Table.from_batches([*held, batch.slice(0, cut)])
                 if cut < len(gram):
-                    yield solve_groups(done, unit)
+                    yield solve(done, unit)
                     held, rows, batch = [], 0, batch.slice(cut)
             if batch.num_rows:
                 held.append(batch)
                 rows += batch.num_rows
         if rows:
-            yield solve_groups(pa.Table.from_batches(held), unit)
+            yield solve(pa.Table.from_batches(held), unit)
 
     return run
 

@@ -9,11 +9,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import xxhash
 import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("strandweave.llm")
-from strandweave.llm import covertree, kernels, language, licenses, minhash, mixing, packing, quality, repeats, substrings, suffixes, url_filter  # noqa: E402
+from strandweave.llm import covertree, factors, kernels, language, licenses, minhash, mixing, packing, quality, repeats, substrings, suffixes, url_filter  # noqa: E402
 from strandweave.llm.components import connected_components  # noqa: E402
 from strandweave.llm.queries_models import tokenizer_path  # noqa: E402
 
@@ -73,23 +74,34 @@ def expected_words(rows, w=13):
     return sorted(out, key=repr)
 
 
-def expected_bytes(rows, w, keep_first):
+def text_hash(b):
+    """The hash of a text that orders texts of one doc_id."""
+    h = xxhash.xxh64(b, seed=42).intdigest()
+    return h - (1 << 64) if h >> 63 else h
+
+
+def expected_bytes(rows, w, keep_first, least=None):
     texts = [(d, (t or "").encode()) for d, t, *_ in rows]
-    places = {}
-    key = lambda d, i: (-math.inf if d is None else d, i)
-    for d, b in texts:
-        for i in range(len(b) - w + 1):
-            places.setdefault(b[i:i + w], []).append(key(d, i))
+    key = lambda d, b, i: (-math.inf if d is None else d, text_hash(b), i)
+
+    def covered(w):
+        places = {}
+        for d, b in texts:
+            for i in range(len(b) - w + 1):
+                places.setdefault(b[i:i + w], []).append(key(d, b, i))
+        for d, b in texts:
+            gone = np.zeros(len(b) + 1, bool)
+            for i in range(len(b) - w + 1):
+                at = places[b[i:i + w]]
+                if min(at) < key(d, b, i) if keep_first else len(at) > 1:
+                    gone[i:i + w] = True
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8)])))
+            yield d, b, gone, [int(z - a) for a, z in zip(edge[::2], edge[1::2], strict=True)]
+
     out = []
-    for d, b in texts:
-        gone = np.zeros(len(b) + 1, bool)
-        for i in range(len(b) - w + 1):
-            at = places[b[i:i + w]]
-            if min(at) < key(d, i) if keep_first else len(at) > 1:
-                gone[i:i + w] = True
-        runs = int((gone[:-1] & ~np.concatenate([[False], gone[:-2]])).sum()) if len(b) else 0
+    for (d, b, gone, runs), (*_, short) in zip(covered(w), covered(least or w), strict=True):
         kept = bytes(c for c, g in zip(b, gone, strict=False) if not g)
-        out.append((d, len(b), len(b) - len(kept), runs, hashlib.sha256(kept).hexdigest()))
+        out.append((d, len(b), len(b) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), max(short, default=0)))
     return sorted(out, key=repr)
 
 
@@ -100,16 +112,49 @@ def test_substring_dedup(docs, empty, group_rows):
 
 
 @pytest.mark.parametrize("keep_first", [True, False])
-@pytest.mark.parametrize("group_rows", [20_000, 1])
-def test_suffix_array_dedup(docs, empty, keep_first, group_rows):
-    got = suffixes.remove_repeated_bytes(docs, 100, 16, keep_first, group_rows)
-    assert rows_of(got) == expected_bytes(corpus(), 100, keep_first)
-    assert rows_of(suffixes.remove_repeated_bytes(empty, 100, 16, keep_first, group_rows)) == []
+@pytest.mark.parametrize("group_rows,least", [(20_000, None), (20_000, 40), (1, None), (1, 40)])
+def test_suffix_array_dedup(docs, empty, keep_first, group_rows, least):
+    got = suffixes.remove_repeated_bytes(docs, 100, 16, keep_first, group_rows, least=least)
+    assert rows_of(got) == expected_bytes(corpus(), 100, keep_first, least)
+    assert rows_of(suffixes.remove_repeated_bytes(empty, 100, 16, keep_first, group_rows, least=least)) == []
+
+
+@pytest.mark.parametrize("keep_first", [True, False])
+@pytest.mark.parametrize("group_rows", [20_000, 40])
+def test_one_text_with_a_frequent_gram_and_a_window_in_all_texts(spark, keep_first, group_rows):
+    """Places are counted, not rows: one text fills a group. Also periodic texts, and null ids with one passage at one place."""
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    hot, passage = word(60), word(90)
+    rows = [(1, "".join(hot + word(rng.randint(5, 60)) for _ in range(150))), (None, passage + word(70)), (None, passage + word(50)), (2, "ab" * 150), (2, "ab" * 90), (3, "x" * 200)]
+    rows += [(10 + i, word(rng.randint(0, 30)) + hot + word(rng.randint(0, 30))) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = suffixes.remove_repeated_bytes(df, 70, 16, keep_first, group_rows, least=40)
+    assert rows_of(got) == expected_bytes(rows, 70, keep_first, 40)
+
+
+def test_longest_previous_factors():
+    """Against all pairs: suffixes of random and of periodic strings."""
+    rng = random.Random(9)
+    for _ in range(60):
+        text = "".join(rng.choice("ab") for _ in range(rng.randint(1, 60))) if rng.random() < 0.7 else "ab" * rng.randint(1, 25)
+        order = sorted(range(len(text)), key=lambda i: text[i:])
+        common = lambda i, j: next((k for k in range(len(text)) if text[i + k:i + k + 1] != text[j + k:j + k + 1] or not text[i + k:i + k + 1]), len(text))
+        link = np.array([0] + [common(a, b) for a, b in zip(order, order[1:], strict=False)], np.int64)
+        for least in (1, 3):
+            got = factors.factors(np.array(order), link, least)
+            for i, f in zip(order, got.tolist(), strict=True):
+                best = max((common(j, i) for j in range(i)), default=0)
+                assert f == (best if best >= least else 0)
+    values = np.array([rng.randint(0, 50) for _ in range(300)])
+    lo = np.array([rng.randint(0, 298) for _ in range(500)])
+    hi = np.array([rng.randint(a + 1, 300) for a in lo])
+    assert factors.RangeMin(values).of(lo, hi).tolist() == [values[a:z].min() for a, z in zip(lo, hi, strict=True)]
 
 
 def test_kept_text_and_carried_columns(docs):
     got = suffixes.remove_repeated_bytes(docs, 100, 16, True, with_text=True, carry=("lang", "spans", "gram"))
-    assert got.columns == ["doc_id", "lang", "spans", "gram", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
+    assert got.columns == ["doc_id", "lang", "spans", "gram", "n_bytes", "n_removed", "n_spans", "kept_sha256", "longest_repeat", "kept_text"]
     for r in got.where("doc_id < 60").collect():
         if r["n_removed"] == 0:
             assert hashlib.sha256(r["kept_text"].encode()).hexdigest() == r["kept_sha256"]
