@@ -87,3 +87,37 @@ def test_pipeline_drops_near_copies_from_four_fifths(spark):
     assert 0.8 <= share[1, 2] < 0.85 and max(share[1, 3], share[2, 3]) < 0.8
     docs = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")
     assert sorted(r["doc_id"] for r in pipeline.drop_near_duplicates(spark, docs, SF).collect()) == [1, 3]
+
+
+CLASHING = ["lang_pred", "score", "rejected", "copy", "rate", "u", "shuffle_key", "kept", "dk", "th", "spans", "__gone", "__number"]
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """And empty tables, null ids and texts, and rows that share a doc_id but not, or nearly, the text."""
+    from pyspark.sql import functions as F
+
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60")
+    wide = docs.withColumns({c: F.concat(F.lit(f"{c} "), F.col("doc_id").cast("string")) for c in CLASHING})
+    for table in (wide, wide.limit(0)):
+        now = table
+        for name, stage in pipeline.STAGES[:-1]:
+            now = stage(spark, now, SF)
+            assert now.columns == wide.columns, name
+        rows = now.collect()
+        assert all(r[c] == f"{c} {r['doc_id']}" for r in rows for c in CLASHING) and bool(rows) == (table is wide)
+        assert pipeline.STAGES[-1][1](spark, now, SF).count() >= len(rows)
+
+
+def test_near_duplicates_that_share_a_doc_id(spark):
+    """A group never loses all its rows, and of two nearly equal texts of one doc_id one stays."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    text = lambda seed: " ".join(f"w{seed}x{i}" for i in range(120))
+    near = lambda seed: text(seed) + " end"
+    rows = [(3, text(1)), (7, text(2)), (7, near(1)), (9, near(2)), (11, text(3)), (11, near(3)), (12, text(4)), (12, text(4)), (None, text(4)), (None, text(4))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r["doc_id"], r["text"]) for r in pipeline.drop_near_duplicates(spark, docs, SF).collect()]
+    kept = lambda *options: sum(got.count(o) for o in options)
+    assert kept((3, text(1)), (7, near(1))) == 1 and (3, text(1)) in got
+    assert kept((7, text(2)), (9, near(2))) == 1 and (7, text(2)) in got
+    assert kept((11, text(3)), (11, near(3))) == 1 and kept((12, text(4))) == 1 and kept((None, text(4))) == 2 and len(got) == 6
