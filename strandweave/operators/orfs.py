@@ -13,7 +13,7 @@ from .ranking import first_per_group
 ALIGNMENT = "identity double, coverage double, aligned_ref int, score int"
 
 
-# Cells of score matrix one batch of alignments may hold (two bytes each).
+# Cells of score matrix that are held at once (four bytes each), of any number of alignments.
 BATCH_CELLS = 32_000_000
 
 
@@ -33,38 +33,78 @@ def align_batch(references: list[str], queries: list[str], match: int = 1, misma
     gap-adjusted row. Shorter sequences are padded with letters that match nothing, which cannot
     raise a score. Ties take the first cell in row order and the diagonal, then up, then left move;
     ``traceback="legacy"`` swaps the up and left moves, as some published results did.
+
+    Memory is linear in the lengths: where not all scores fit ``BATCH_CELLS``, one row of them is kept. The way back halves the rows until a part, as wide as
+    the way still is, fits: the lower half is followed from its first row, which is computed again, then the upper.
     """
     k, n, m = len(references), max(map(len, references)), max(map(len, queries))
     a, b = _encode(references, n, 1), _encode(queries, m, 2)
-    h = np.zeros((n + 1, k, m + 1), dtype=np.int32)
     ramp = (np.arange(1, m + 1) * -gap).astype(np.int32)
+
+    def below(row: np.ndarray, i: int) -> np.ndarray:
+        """Scores of row ``i`` (from 1) from those of the row above, over as many columns."""
+        width = row.shape[1] - 1
+        inner = row[:, :-1] + np.where(b[:, :width] == a[:, i - 1, None], match, mismatch).astype(np.int32)
+        np.maximum(inner, row[:, 1:] + np.int32(gap), out=inner)
+        np.maximum(inner, 0, out=inner)
+        out = np.zeros_like(row)
+        out[:, 1:] = np.maximum.accumulate(inner + ramp[:width], axis=1) - ramp[:width]
+        return out
+
     best, bi, bj = (np.zeros(k, dtype=np.int64) for _ in range(3))
+    row, at = np.zeros((k, m + 1), dtype=np.int32), np.arange(k)
+    whole = [row] if (n + 1) * row.size <= BATCH_CELLS else None
     for i in range(1, n + 1):
-        row = h[i - 1, :, :-1] + np.where(b == a[:, i - 1, None], match, mismatch).astype(np.int32)
-        np.maximum(row, h[i - 1, :, 1:] + np.int32(gap), out=row)
-        np.maximum(row, 0, out=row)
-        h[i, :, 1:] = np.maximum.accumulate(row + ramp, axis=1) - ramp
-        j = h[i, :, 1:].argmax(axis=1) + 1
-        top = h[i, np.arange(k), j]
-        up = top > best
-        best[up], bi[up], bj[up] = top[up], i, j[up]
+        row = below(row, i)
+        if whole:
+            whole.append(row)
+        j = row.argmax(axis=1)
+        up = row[at, j] > best
+        best[up], bi[up], bj[up] = row[at, j][up], i, j[up]
     i, j = bi.copy(), bj.copy()
-    columns, same, at = np.zeros(k, dtype=np.int64), np.zeros(k, dtype=np.int64), np.arange(k)
-    while True:
-        live = at[(i > 0) & (j > 0)]
-        live = live[h[i[live], live, j[live]] > 0]
-        if not len(live):
-            break
-        x, y = i[live], j[live]
-        here = h[x, live, y]
-        equal = a[live, x - 1] == b[live, y - 1]
-        diagonal = here == h[x - 1, live, y - 1] + np.where(equal, match, mismatch)
-        upward = here == h[x - 1, live, y] + gap
-        columns[live] += 1
-        same[live] += equal if traceback == "legacy" else equal & diagonal
-        first = upward if traceback != "legacy" else ~upward
-        i[live] = x - (diagonal | first)
-        j[live] = y - (diagonal | ~first)
+    columns, same = np.zeros(k, dtype=np.int64), np.zeros(k, dtype=np.int64)
+
+    def follow(h: np.ndarray, top: int) -> None:
+        """Walk all pairs through rows of scores that begin at row ``top``, until they leave or end there."""
+        while True:
+            live = at[(i > top) & (j > 0)]
+            live = live[h[i[live] - top, live, j[live]] > 0]
+            if not len(live):
+                return
+            x, y = i[live], j[live]
+            here = h[x - top, live, y]
+            equal = a[live, x - 1] == b[live, y - 1]
+            diagonal = here == h[x - top - 1, live, y - 1] + np.where(equal, match, mismatch)
+            upward = here == h[x - top - 1, live, y] + gap
+            columns[live] += 1
+            same[live] += equal if traceback == "legacy" else equal & diagonal
+            first = upward if traceback != "legacy" else ~upward
+            i[live] = x - (diagonal | first)
+            j[live] = y - (diagonal | ~first)
+
+    def back(top: int, end: int, row: np.ndarray) -> None:
+        """The way back through the rows after ``top`` up to ``end``; ``row``: scores of row ``top``."""
+        live = (i > top) & (i <= end) & (j > 0)
+        if not live.any():
+            return
+        end, row = int(i[live].max()), row[:, : int(j[live].max()) + 1]
+        if end - top == 1 or (end - top + 1) * row.size <= BATCH_CELLS:
+            rows = [row]
+            for x in range(top + 1, end + 1):
+                rows.append(below(rows[-1], x))
+            follow(np.stack(rows), top)
+            return
+        middle, half = (top + end) // 2, row
+        for x in range(top + 1, middle + 1):
+            half = below(half, x)
+        back(middle, end, half)
+        del half
+        back(top, middle, row)
+
+    if whole:
+        follow(np.stack(whole), 0)
+    else:
+        back(0, n, np.zeros((k, m + 1), dtype=np.int32))
     lengths = np.array([len(r) for r in references])
     return [
         (100.0 * same[z] / columns[z], 100.0 * columns[z] / lengths[z], int(columns[z]), int(best[z])) if best[z] > 0 else (0.0, 0.0, 0, 0)

@@ -103,7 +103,7 @@ def h9(s, d):
     return x.groupBy("name").agg(F.count(F.lit(1)).alias("segments"), F.max(F.length("x")).alias("longest"), F.sum(F.length("x")).alias("total"))
 
 
-# ------------------------------------------------------------------ alignment, ORFs (H10-H12, H58, H59) — no practical SQL for the alignments
+# ------------------------------------------------------------------ alignment, ORFs
 
 
 def neighbours(s, d):
@@ -117,7 +117,24 @@ def neighbours(s, d):
 NEIGH = f"{PROTEINS}, nb AS (SELECT a.item_id, a.gene, a.cds, a.seq, b.seq AS other FROM proteins a JOIN proteins b ON b.item_id = CASE WHEN a.item_id = (SELECT max(item_id) FROM proteins) THEN (SELECT min(item_id) FROM proteins) ELSE a.item_id + 1 END)"
 
 
-@query("h10_local_alignment", "gene s, identity d, coverage d, aligned_ref i, score i")
+# Scores over anti-diagonals: each step makes one from the two before. A cell carries the columns and matches of its own way
+# back, which its score decides: diagonal, then up, then left. d: diagonal, l1 and l2: the last two, by row.
+ALIGN_SQL = """al(gene, a, b, n, m, d, l2, l1) AS (
+ SELECT gene, seq, other, length(seq), length(other), 1, z, z FROM (SELECT *, list_transform(range(0, length(seq) + 1), lambda i: {'h': 0, 'c': 0, 's': 0}) AS z FROM nb)
+ UNION ALL
+ SELECT gene, a, b, n, m, d + 1, l1, list_transform(list_transform(list_transform(range(0, n + 1),
+   lambda i: CASE WHEN i >= 1 AND d + 1 - i >= 1 AND d + 1 - i <= m THEN {'g': l2[i], 'u': l1[i], 'l': l1[i + 1], 'e': CASE WHEN substr(a, CAST(i AS INTEGER), 1) = substr(b, CAST(d + 1 - i AS INTEGER), 1) THEN 1 ELSE -1 END} END),
+   lambda x: CASE WHEN x IS NOT NULL THEN {'x': x, 'v': greatest(0, x.g.h + x.e, x.u.h - 1, x.l.h - 1)} END),
+   lambda y: CASE WHEN y IS NULL OR y.v = 0 THEN {'h': 0, 'c': 0, 's': 0}
+     WHEN y.v = y.x.g.h + y.x.e THEN {'h': y.v, 'c': y.x.g.c + 1, 's': y.x.g.s + CASE WHEN y.x.e = 1 THEN 1 ELSE 0 END}
+     WHEN y.v = y.x.u.h - 1 THEN {'h': y.v, 'c': y.x.u.c + 1, 's': y.x.u.s} ELSE {'h': y.v, 'c': y.x.l.c + 1, 's': y.x.l.s} END)
+ FROM al WHERE d < n + m),
+cells AS (SELECT gene, n, d, unnest(l1) AS k, generate_subscripts(l1, 1) - 1 AS i FROM al),
+top AS (SELECT * FROM cells QUALIFY row_number() OVER (PARTITION BY gene ORDER BY k.h DESC, i, d) = 1)"""
+
+
+@query("h10_local_alignment", "gene s, identity d, coverage d, aligned_ref i, score i",
+       f"WITH RECURSIVE {NEIGH}, {ALIGN_SQL} SELECT gene, CASE WHEN k.h > 0 THEN 100.0 * k.s / k.c ELSE 0 END AS identity, CASE WHEN k.h > 0 THEN 100.0 * k.c / n ELSE 0 END AS coverage, k.c AS aligned_ref, k.h AS score FROM top")
 def h10(s, d):
     return neighbours(s, d).select("gene", orfs.alignment_metrics(F.col("seq"), F.col("other")).alias("a")).select("gene", "a.*")
 

@@ -181,18 +181,35 @@ def plain_align(a, b):
     return 100.0 * same / cols, 100.0 * cols / len(a), cols, best
 
 
-def test_batched_alignment_equals_plain_recursion(monkeypatch):
+@pytest.mark.parametrize("cells", [3000, 40, 1])
+def test_batched_alignment_equals_plain_recursion(monkeypatch, cells):
     import pandas as pd
 
     rng = random.Random(9)
     pairs = [("".join(rng.choice("KEML") for _ in range(rng.randint(1, 25))), "".join(rng.choice("KEML") for _ in range(rng.randint(1, 30)))) for _ in range(120)]
     pairs += [("K", "E"), ("", "K"), ("KEML", "")]
-    monkeypatch.setattr(orfs, "BATCH_CELLS", 3000)
+    monkeypatch.setattr(orfs, "BATCH_CELLS", cells)
     got = orfs._align_series(pd.Series([p[0] for p in pairs]), pd.Series([p[1] for p in pairs]), "standard")
     for (a, b), r in zip(pairs, got.itertuples(index=False)):
         assert tuple(r) == pytest.approx(plain_align(a, b) if a and b else (0, 0, 0, 0))
 
 
+def test_alignment_of_long_sequences_in_bounded_memory(monkeypatch):
+    """600 x 200,000 letters would be 480 MB of scores."""
+    import tracemalloc
+
+    rng = random.Random(3)
+    gene = "".join(rng.choice("ACDEFGHIKLMNPQRSTVWY") for _ in range(600))
+    query = "B" * 120_000 + gene[:300] + "B" + gene[301:550] + "B" * 79_500
+    monkeypatch.setattr(orfs, "BATCH_CELLS", 2_000_000)
+    tracemalloc.start()
+    got = orfs.align_batch([gene], [query])[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == pytest.approx((100 * 549 / 550, 100 * 550 / 600, 550, 548))
+    assert peak < 60_000_000
+
+
 def test_best_orf_finds_planted_gene(spark):
     from strandweave.functions.sequence import CODE, reverse_complement
 
