@@ -219,7 +219,7 @@ def runs_of_starts(unit: Bytes):
     return run
 
 
-def repeated_spans(base: DataFrame, unit: Bytes, group_rows: int = 20_000, flush_rows: int = 10_000, context_bytes: int = 48 << 20) -> DataFrame:
+def repeated_spans(base: DataFrame, unit: Bytes, group_rows: int = 20_000, flush_rows: int = 4_000, context_bytes: int = 48 << 20) -> DataFrame:
     """(dk, th, spans): spans of bytes (kind, start, stop) from 0 in the document that repeated windows and strings cover.
 
     base: dk, th, text and others. group_rows: places of one gram in all texts that a task may hold; more go by hashes."""

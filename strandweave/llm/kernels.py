@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 BASE = 0x9E3779B97F4A7C15
-CHUNK_BYTES, CHUNK_DOCS = 1 << 21, 4096
+CHUNK_BYTES, CHUNK_DOCS = 1 << 20, 4096
 _powers: dict[int, np.ndarray] = {}
 
 
