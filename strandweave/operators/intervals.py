@@ -190,6 +190,25 @@ def points_in_intervals(points: DataFrame, intervals: DataFrame, point: str, sta
     return left.join(right, [*keys, "_bin"]).filter(F.col(point).between(F.col(start), F.col(end))).drop("_bin")
 
 
+def covering_counts(points: DataFrame, intervals: DataFrame, point: str, start: str = "start", end: str = "end",
+                    keys: list[str] | None = None, bucket_width: int = COORDINATE_BUCKET) -> DataFrame:
+    """How many intervals of its key each distinct point lies in, 0 included -> (keys, ``point``, n).
+
+    No pair is listed: starts and ends are signed rows that are summed per coordinate in each map task, a point is a row of
+    weight 0, and one running sum gives the count. Rows with a missing key or coordinate, and intervals that end before they
+    start, take no part."""
+    keys = keys or []
+
+    def steps(df, at, weight, asked):
+        return df.select(*keys, at.cast("long").alias("_x"), F.lit(weight).cast("long").alias("_w"), F.lit(asked).alias("_asked"))
+
+    live = intervals.filter(F.col(start) <= F.col(end))
+    rows = steps(live, F.col(start), 1, 0).unionByName(steps(live, F.col(end) + 1, -1, 0)).unionByName(steps(points, F.col(point), 0, 1)).dropna()
+    at = rows.groupBy(*keys, "_x").agg(F.sum("_w").alias("_w"), F.max("_asked").alias("_asked")).withColumn("_b", F.floor(F.col("_x") / bucket_width))
+    depths = running(at, keys, "_b", ["_x"], "n", "sum", F.col("_w"))
+    return depths.filter(F.col("_asked") == 1).select(*keys, F.col("_x").alias(point), "n")
+
+
 def normalise_hits(df: DataFrame) -> DataFrame:
     """Keep the raw hit coordinates as ``*_raw``; order start and end of query and subject."""
     out = df

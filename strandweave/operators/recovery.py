@@ -32,7 +32,9 @@ def consolidate_reads(hits: DataFrame, tie: list[Column], keys: tuple[str, ...]
     g = hits.groupBy(*k).agg(
         F.count(F.lit(1)).alias("n_hsps"), spans("qstart", "qend").alias("_q"), spans("sstart", "send").alias("_s"), best.alias("_best")
     )
-    g = once(g, {"query_segments": merged_segments(F.col("_q")), "subject_segments": merged_segments(F.col("_s"))})
+    # Most reads have one hit on a protein: their one span is merged already.
+    merged = lambda c: F.when(F.size(c) == 1, F.col(c)).otherwise(merged_segments(F.col(c)))
+    g = once(g, {"query_segments": merged("_q"), "subject_segments": merged("_s")})
     return g.select(
         *k, "n_hsps", "query_segments", covered.alias("aa_covered_by_read"), "subject_segments",
         F.col("_best.pident").alias("best_pident"), F.col("_best.evalue").alias("best_evalue"), F.col("_best.bitscore").alias("best_bitscore"),

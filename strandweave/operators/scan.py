@@ -334,6 +334,9 @@ def validate_anchors(reads: DataFrame, targets: list[Target], role: str = "PRIMA
             bad = np.flatnonzero(np.diff(seq[1]) != np.diff(qual[1]))
             if len(bad):
                 raise ValueError(f"sequence and quality differ in length for read {batch.column('read_id')[int(bad[0])].as_py()}")
+            if len(qual[0]) and qual[0].min() < qual_offset:
+                at = int(np.searchsorted(qual[1], int(qual[0].argmin()), "right")) - 1
+                raise ValueError(f"quality below Phred+{qual_offset} in read {batch.column('read_id')[at].as_py()}")
             for t in targets:
                 for strand in ("fwd", "rev"):
                     yield _hits(batch, t, strand, seq, qual, role, max_mismatch, min_identity, qual_offset, with_counts)
@@ -365,18 +368,26 @@ def partners(reads: DataFrame, candidates: DataFrame) -> DataFrame:
     return first.withColumn("read_index", F.col("candidate_index")).drop("candidate_index")
 
 
-def positional_scan(reads: DataFrame, targets: list[Target], max_mismatch: int = 1, materialise=None) -> dict[str, DataFrame]:
+def positional_scan(reads: DataFrame, targets: list[Target], max_mismatch: int = 1, materialise=None, qual_offset: int | None = None,
+                    laid_out: bool = False) -> dict[str, DataFrame]:
     """Candidates, primary, partner and deduplicated evidence.
 
+    Without ``qual_offset`` the candidates' qualities decide it, and stop the run where they fit none. ``laid_out`` says that
+    ``reads`` is a table of :func:`..sources.layout.save_by_pair`, so mates are found without moving reads.
+
     ``materialise(df, label)`` writes the small candidate table once so that the prefilter does not
     run again for each consumer; by default below the cluster's checkpoint folder.
     """
+    from ..sources.layout import partners_by_pair
     from .alleles import deduplicate_evidence
+    from .qc import detect_phred_offset
 
     keep = materialise or cut_lineage
     cand = keep(prefilter(reads, targets, max_mismatch), "candidates")
-    primary = validate_anchors(cand, targets)
-    mate = validate_anchors(partners(reads.select("read_id", "pair_id", "mate", "read_index", "seq", "qual"), cand), targets, "PAIRED_PARTNER")
+    offset = detect_phred_offset(cand) if qual_offset is None else qual_offset
+    primary = validate_anchors(cand, targets, qual_offset=offset)
+    every = reads.select("read_id", "pair_id", "mate", "read_index", "seq", "qual")
+    mate = validate_anchors((partners_by_pair if laid_out else partners)(every, cand), targets, "PAIRED_PARTNER", qual_offset=offset)
     both = keep(primary.unionByName(mate), "evidence")
     return {
         "candidates": cand,

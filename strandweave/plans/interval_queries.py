@@ -161,8 +161,7 @@ def c10(s, d):
        SELECT pts.key, p, count(*) AS n FROM pts JOIN intervals i ON i.key = pts.key AND p BETWEEN i.s AND i.e GROUP BY ALL""")
 def c10b(s, d):
     i = intervals(s, d)
-    pts = i.select("key", (F.col("start") + 7).alias("p")).distinct()
-    return iv.points_in_intervals(pts, i.select("key", "start", "end"), "p", keys=["key"]).groupBy("key", "p").agg(F.count(F.lit(1)).alias("n"))
+    return iv.covering_counts(i.select("key", (F.col("start") + 7).alias("p")), i, "p", keys=["key"]).filter(F.col("n") > 0)
 
 
 @query("c12_spine_join", "gene s, position i, n i",
@@ -179,11 +178,11 @@ def c12(s, d):
        """SELECT n_nationkey, row_number() OVER (ORDER BY n_name DESC) AS position, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS suppliers FROM nation""")
 def c17(s, d):
     n = table(s, d, "nation")
-    wanted = n.agg(F.reverse(F.array_sort(F.collect_list("n_name"))).alias("names")).select(F.posexplode("names").alias("pos", "n_name"))
+    wanted = ordinal(n.select("n_name", (-F.ascii("n_name")).alias("_b")), [], "_b", [F.desc("n_name")], "position")
     c = table(s, d, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("suppliers"))
     return (
         n.join(wanted, "n_name").join(c, "n_nationkey", "left")
-        .select("n_nationkey", (F.col("pos") + 1).alias("position"), F.coalesce("suppliers", F.lit(0)).alias("suppliers")).orderBy("position")
+        .select("n_nationkey", "position", F.coalesce("suppliers", F.lit(0)).alias("suppliers")).orderBy("position")
     )
 
 

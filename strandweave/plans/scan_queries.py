@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -10,7 +12,7 @@ from ..operators import scan
 from ..operators.alleles import position_summary
 from ..operators.summaries import metric_lines
 from ..session import cut_lineage, scratch_dir
-from ..sources import fastq, tables
+from ..sources import fastq, layout, tables
 from ..streaming import ingest
 from .adapters import DOCS, HITS, PROTEINS, RC, READS, documents_dna, hits, proteins, reads, sql_codon, sql_match, sql_translate, table
 from .registry import query
@@ -63,8 +65,8 @@ def h48(s, d):
        + ") GROUP BY ALL")
 def c18(s, d):
     r = scan.prefilter(reads(s, d), TARGETS, keep_all=True)
-    rows = F.array(*[F.struct(F.lit(p).alias("target_position"), (F.col(f"forward_count_{p}") + F.col(f"reverse_count_{p}")).alias("c")) for p in POS])
-    return r.select("mate", F.inline(rows)).groupBy("target_position", "mate").agg(F.count(F.lit(1)).alias("reads"), F.sum("c").alias("placements"))
+    sums = r.groupBy("mate").agg(F.count(F.lit(1)).alias("reads"), *[F.sum(F.col(f"forward_count_{p}") + F.col(f"reverse_count_{p}")).alias(f"_{p}") for p in POS])
+    return sums.select("mate", "reads", F.inline(F.array(*[F.struct(F.lit(p).alias("target_position"), F.col(f"_{p}").alias("placements")) for p in POS])))
 
 
 def _validated(source, role):
@@ -114,6 +116,12 @@ def c8(s, d):
     return scan.partners(r, cut_lineage(scan.prefilter(r, TARGETS), "candidates"))
 
 
+@query("c8_partners_by_layout", "read_id s, pair_id s, mate s, read_index i, seq s, qual s", f"WITH {PARTNER} SELECT * FROM mates")
+def c8_layout(s, d):
+    laid_out = layout.save_by_pair(reads(s, d), f"reads_{uuid.uuid4().hex}")
+    return layout.partners_by_pair(laid_out, cut_lineage(scan.prefilter(laid_out, TARGETS), "candidates"))
+
+
 FULL = f"{PARTNER}, every AS (SELECT * FROM {_validated('cand', 'PRIMARY')} UNION ALL SELECT * FROM {_validated('mates', 'PAIRED_PARTNER')}), " + """
 final AS (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY read_id, mate, target_position, orientation, frame
   ORDER BY CASE WHEN evidence_role = 'PRIMARY' THEN 1 ELSE 2 END, anchor_identity DESC, codon_min_qual DESC, read_codon_start) = 1)"""
@@ -124,9 +132,15 @@ def s2(s, d):
     return scan.positional_scan(reads(s, d), TARGETS, materialise=cut_lineage)["evidence"]
 
 
-@query("d31_scan_position_summary", "target_position i, total_hits i, unique_reads i, reference_aa s, reference_matches i, mean_anchor_identity d, median_codon_min_qual d",
-       f"""WITH {FULL} SELECT target_position, count(*) AS total_hits, count(DISTINCT (read_id, mate)) AS unique_reads, min(expected_reference_aa) AS reference_aa,
-       count(*) FILTER (WHERE target_aa = expected_reference_aa) AS reference_matches, avg(anchor_identity) AS mean_anchor_identity, median(codon_min_qual) AS median_codon_min_qual FROM final GROUP BY ALL""")
+@query("d31_scan_position_summary", 
+       "target_position i, total_hits i, unique_read_ids i, unique_reads i, M i, L i, P i, other i, reference_aa s, reference_matches i, pct_reference_aa d, mean_anchor_identity d, median_anchor_identity d, mean_codon_min_qual d, median_codon_min_qual d",
+       f"""WITH {FULL}, t AS (SELECT * FROM (VALUES {', '.join(f"({x.position}, '{x.residue}')" for x in TARGETS)}) v(target_position, reference_aa)),
+       g AS (SELECT target_position, count(*) AS total_hits, count(DISTINCT read_id) AS unique_read_ids, count(DISTINCT (read_id, mate)) AS unique_reads,
+       {', '.join(f"count(*) FILTER (WHERE target_aa = '{a}') AS {a}" for a in 'MLP')}, count(*) FILTER (WHERE target_aa NOT IN ('M', 'L', 'P')) AS other,
+       count(*) FILTER (WHERE target_aa = expected_reference_aa) AS reference_matches, avg(anchor_identity) AS mean_anchor_identity, median(anchor_identity) AS median_anchor_identity,
+       avg(codon_min_qual) AS mean_codon_min_qual, median(codon_min_qual) AS median_codon_min_qual FROM final GROUP BY target_position)
+       SELECT target_position, {', '.join(f"coalesce({c}, 0) AS {c}" for c in ('total_hits', 'unique_read_ids', 'unique_reads', 'M', 'L', 'P', 'other', 'reference_matches'))}, reference_aa,
+       100.0 * reference_matches / nullif(total_hits, 0) AS pct_reference_aa, mean_anchor_identity, median_anchor_identity, mean_codon_min_qual, median_codon_min_qual FROM t LEFT JOIN g USING (target_position)""")
 def d31s(s, d):
     e = scan.positional_scan(reads(s, d), TARGETS, materialise=cut_lineage)["evidence"]
     return position_summary(cut_lineage(e, "final"), {t.position: t.residue for t in TARGETS})
@@ -161,12 +175,11 @@ def a3(s, d):
     return tables.require_records(tables.read_fasta(s, path))
 
 
-@query("a4_write_fasta", "lines i, residues i", f"WITH {PROTEINS} SELECT 2 * count(*) AS lines, sum(length(seq)) AS residues FROM proteins")
+@query("a4_write_fasta", "value s", f"WITH {PROTEINS} SELECT unnest(['>' || gene, seq]) AS value FROM proteins")
 def a4(s, d):
     path = scratch_dir(s, "fasta")
     tables.write_fasta(proteins(s, d), path, header="gene")
-    t = s.read.text(path)
-    return t.agg(F.count(F.lit(1)).alias("lines"), F.sum(F.when(F.col("value").startswith(">"), 0).otherwise(F.length("value"))).alias("residues"))
+    return s.read.text(path)
 
 
 @query("a5_fastq_to_fasta", "header s, seq s", f"WITH {READS} SELECT read_id AS header, seq FROM reads")
@@ -225,25 +238,24 @@ def a8(s, d):
     return tables.read_table(s, path, OBS_CSV)
 
 
-@query("a9_delimiter_sniffing", "separator s, n i", "SELECT * FROM (VALUES (';'), ('tab'), (',')) v(separator), (SELECT count(*) AS n FROM nation)")
+@query("a9_delimiter_sniffing", "separator s, n_nationkey i, n_name s, n_regionkey i", "SELECT separator, n_nationkey, n_name, n_regionkey FROM (VALUES (';'), (chr(9)), (',')) v(separator), nation")
 def a9(s, d):
     n = table(s, d, "nation")
     schema = T.StructType([T.StructField("n_nationkey", T.IntegerType()), T.StructField("n_name", T.StringType()), T.StructField("n_regionkey", T.IntegerType())])
     out = []
-    for sep, label in ((";", ";"), ("\t", "tab"), (",", ",")):
+    for sep in (";", "\t", ","):
         path = scratch_dir(s, "sniff")
-        n.coalesce(1).write.option("header", True).option("sep", sep).csv(path)
-        got = tables.read_table(s, path, schema, tables.sniff_separator(s, path))
-        out.append(got.agg(F.count("n_regionkey").alias("n")).withColumn("separator", F.lit(label)))
+        n.select(*schema.names).coalesce(1).write.option("header", True).option("sep", sep).csv(path)
+        sniffed = tables.sniff_separator(s, path)
+        out.append(tables.read_table(s, path, schema, sniffed).withColumn("separator", F.lit(sniffed)))
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
-@query("a10_csv_sink", "lines i, headers i", "SELECT count(*) AS lines, 1 AS headers FROM nation")
+@query("a10_csv_sink", "value s", "SELECT 'n_nationkey,n_name,n_regionkey' AS value UNION ALL SELECT concat_ws(',', n_nationkey, n_name, n_regionkey) FROM nation")
 def a10(s, d):
     path = scratch_dir(s, "sink")
-    tables.write_table(table(s, d, "nation").coalesce(1), path)
-    t = s.read.text(path)
-    return t.agg(F.count_if(~F.col("value").startswith("n_")).alias("lines"), F.count_if(F.col("value").startswith("n_")).alias("headers"))
+    tables.write_table(table(s, d, "nation").select("n_nationkey", "n_name", "n_regionkey").coalesce(1), path)
+    return s.read.text(path)
 
 
 @query("a12_partitioned_chunk_scan", "chunk_id i, n i, total d2",

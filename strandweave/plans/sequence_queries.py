@@ -450,10 +450,9 @@ def d12(s, d):
 WITH {METRICS} SELECT 'length' AS metric, mate, floor(len / 1.0) AS bin_start, count(*) AS n FROM m GROUP BY ALL UNION ALL SELECT 'gc', mate, floor(gc / len * 100), count(*) FROM m GROUP BY ALL
 UNION ALL SELECT 'quality', mate, floor(qs / len / 0.5) * 0.5, count(*) FROM m GROUP BY ALL UNION ALL SELECT 'n', mate, floor(nn / len * 100 / 0.1) * 0.1, count(*) FROM m GROUP BY ALL""")
 def d13(s, d):
-    m = metrics(s, d)
-    parts = [qc.histogram(m, ["mate"], v, w).withColumn("metric", F.lit(k)).withColumn("bin_start", F.col("bin_start").cast("double"))
-             for k, v, w in (("length", "len", 1.0), ("gc", "gc_pct", 1.0), ("quality", "mean_q", 0.5), ("n", "n_pct", 0.1))]
-    return rs.union_all(parts)
+    bins = qc.histograms(metrics(s, d), ["mate"], {"len": 1.0, "gc_pct": 1.0, "mean_q": 0.5, "n_pct": 0.1})
+    labels = F.create_map(*[F.lit(x) for pair in (("len", "length"), ("gc_pct", "gc"), ("mean_q", "quality"), ("n_pct", "n")) for x in pair])
+    return bins.withColumn("metric", labels[F.col("metric")])
 
 
 @query("d14_throughput_coverage", "mate s, reads i, mean_len d, throughput_mb d6, throughput_gb d9, paired_coverage d6", f"""

@@ -289,8 +289,8 @@ class FastqSource(DataSource):
         return FastqReader(self.options)
 
 
-def read_fastq(spark: SparkSession, path: str, mate: str, split_bytes: int | None = None) -> DataFrame:
-    """Reads of one mate: path, byte_offset, read_id, pair_id, mate, seq, qual."""
+def read_fastq(spark: SparkSession, path: str, mate: str, split_bytes: int | None = None, fold_case: bool = True) -> DataFrame:
+    """Reads of one mate: path, byte_offset, read_id, pair_id, mate, seq (in upper case unless ``fold_case`` is off), qual."""
     from ..functions.reads import clean_read_id
 
     spark.dataSource.register(FastqSource)
@@ -300,7 +300,7 @@ def read_fastq(spark: SparkSession, path: str, mate: str, split_bytes: int | Non
     return r.load(path).select(
         "path", "byte_offset",
         F.regexp_replace("header", r"\s.*$", "").alias("read_id"),
-        clean_read_id("header").alias("pair_id"), F.lit(mate).alias("mate"), "seq", "qual",
+        clean_read_id("header").alias("pair_id"), F.lit(mate).alias("mate"), (F.upper("seq") if fold_case else F.col("seq")).alias("seq"), "qual",
     )
 
 
