@@ -1,9 +1,11 @@
 """License scan with a positional index of rare words.
 
-The index holds, for each template, the positions of its words of highest inverse document frequency: one more than the words
-that may differ, so a notice that is near enough has the template's word in at least one of them. A file's places of such
-words propose where a template would begin; proposals are aligned word by word, and a label is given when enough of the
-template is there and its key phrase stands in it as a whole.
+The index holds, for each template, the positions of its words of highest inverse document frequency: two more than the words
+that may be changed, added or left out, so a notice that is near enough has at least two of them. A file's places of such a word, less
+its position in the template, say where the template would begin; postings of a template are intersected by that relative
+position, which added and missing words shift by no more than their number. Where two postings agree, the file's words are
+aligned with the template by edit distance, and a label is given when few enough words differ and the template's key phrase
+stands in the aligned stretch as a whole.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ TEMPLATES = [
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
     ("copyright", "copyright all rights reserved", "all rights reserved"),
 ]
+#: Stretches that are aligned with a template at a time.
+SLICE = 1 << 16
 SCHEMA = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
 
@@ -83,7 +87,7 @@ class Vocabulary:
 @dataclass
 class Index:
     vocabulary: Vocabulary
-    templates: list[tuple[str, np.ndarray, np.ndarray]]  # label, words, key phrase
+    templates: list[tuple[str, np.ndarray, np.ndarray, int]]  # label, words, key phrase, words that may differ
     postings: dict[int, list[tuple[int, int]]]  # rare word -> (template, position)
     least: float  # share of a template's words from which no notice is missed
     phrases: list[tuple[str, np.ndarray]]
@@ -115,10 +119,10 @@ def build_index(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, least: fl
     out = []
     for t, (label, text, key) in enumerate(templates):
         words = vocabulary.ids(text)
-        differ = sum(n / len(words) >= least for n in range(len(words)))  # words that may differ
-        for p in sorted(range(len(words)), key=lambda p: (df[words[p]], words[p], p))[:differ + 1]:
+        differ = sum(n / len(words) >= least for n in range(1, len(words)))  # words that may be changed, added or left out
+        for p in sorted(range(len(words)), key=lambda p: (df[words[p]], words[p], p))[:differ + 2]:
             postings.setdefault(int(words[p]), []).append((t, p))
-        out.append((label, words, vocabulary.ids(key)))
+        out.append((label, words, vocabulary.ids(key), differ))
     return Index(vocabulary, out, postings, least, [(label, vocabulary.ids(p)) for label, p in phrases])
 
 
@@ -133,29 +137,75 @@ def places(number: np.ndarray, doc: np.ndarray, phrase: np.ndarray) -> np.ndarra
     return at[doc[at] == doc[at + len(phrase) - 1]]
 
 
-def propose(index: Index, number: np.ndarray, doc: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    """(template, beginnings) for which a rare word of the template is in its place."""
-    votes: dict[int, list[np.ndarray]] = {}
+def propose(index: Index, number: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(template, beginnings) on which the postings of two of its rare words agree, up to the words that may be added or left out."""
+    votes: dict[int, list[tuple[int, np.ndarray]]] = {}
     for word, posts in index.postings.items():
         at = np.flatnonzero(number == word)
         for t, p in posts if len(at) else ():
-            votes.setdefault(t, []).append(at - p)
+            votes.setdefault(t, []).append((p, at - p))
     out = []
     for t, lists in votes.items():
-        start = np.unique(np.concatenate(lists))
-        size = len(index.templates[t][1])
-        start = start[(start >= 0) & (start + size <= len(number))]
-        start = start[doc[start] == doc[np.minimum(start + size - 1, len(doc) - 1)]]
+        _, words, _, differ = index.templates[t]
+        start = np.concatenate([x for _, x in lists])
+        if len(words) > 1:
+            position = np.repeat([p for p, _ in lists], [len(x) for _, x in lists])
+            order = np.lexsort((position, start))
+            start, position = start[order], position[order]
+            # The last and the next posting of another position, over runs of one position.
+            run = np.flatnonzero(np.concatenate([[True], position[1:] != position[:-1]]))
+            own = np.searchsorted(run, np.arange(len(start)), "right") - 1
+            before = np.where(own > 0, start[run[own] - 1], -(1 << 40))
+            after = np.where(own < len(run) - 1, start[run[np.minimum(own + 1, len(run) - 1)]], 1 << 40)
+            start = start[(start - before <= differ) | (after - start <= differ)]
         if len(start):
-            out.append((t, start))
+            out.append((t, np.unique(start[:, None] + np.arange(-differ, differ + 1))))
     return out
 
 
+def edits(windows: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Edit distance, in words, of ``words`` to the first 0, 1, .. words of each row of ``windows``."""
+    ramp = np.arange(windows.shape[1] + 1, dtype=np.int32)
+    row = np.broadcast_to(ramp, (len(windows), len(ramp)))
+    for w in words:
+        changed = row + 1
+        np.minimum(changed[:, 1:], row[:, :-1] + (windows != w), out=changed[:, 1:])
+        row = np.minimum.accumulate(changed - ramp, axis=1) + ramp
+    return row
+
+
+def verify(template: tuple, start: np.ndarray, number: np.ndarray, doc: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(document, share) of the beginnings from which a stretch of words is near the template and holds its key phrase.
+
+    share: 1 less the edit distance of the nearest such stretch over the number of the template's words."""
+    _, words, key, differ = template
+    found = [np.zeros(0, np.int64)], [np.zeros(0)]
+    keys = places(number, doc, key)
+    start = start[(start >= 0) & (start < len(number))]
+    if not len(keys) or not len(start):
+        return found[0][0], found[1][0]
+    place = np.searchsorted(keys, start)
+    beyond = keys[np.minimum(place, len(keys) - 1)] + len(key) - start  # words up to the end of the first key phrase
+    reach = np.minimum(len(words) + differ, bounds[doc[start] + 1] - start)
+    on = (place < len(keys)) & (beyond <= reach)
+    start, beyond, reach = start[on], beyond[on], reach[on]
+    column = np.arange(len(words) + differ + 1)
+    for lo in range(0, len(start), SLICE):
+        s, b, r = start[lo:lo + SLICE], beyond[lo:lo + SLICE, None], reach[lo:lo + SLICE, None]
+        at = s[:, None] + column[:-1]
+        windows = np.where(column[:-1] < r, number[np.minimum(at, len(number) - 1)], -2)
+        distance = np.where((column >= b) & (column <= r), edits(windows, words), len(words)).min(axis=1)
+        near = distance <= differ
+        found[0].append(doc[s[near]])
+        found[1].append((len(words) - distance[near]) / len(words))
+    return np.concatenate(found[0]), np.concatenate(found[1])
+
+
 def scan(docs: DataFrame, index: Index, least: float = 0.8, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``carry`` with the counts of words and base phrases, labels of the base rules and all labels, and a score.
 
-    score: the largest share of a template's words found in place, over aligned proposals that hold its key phrase; 1 for a
-    base label; else 0. Labels need a share of ``least``, which must not be below that of the index. Null
+    score: the largest share of a template's words that an aligned stretch has unchanged, 1 less its edit distance over the
+    template's length, over stretches that hold the key phrase; 1 for a base label; else 0. Labels need a share of ``least``, which must not be below that of the index. Null
     and empty texts have no words and no labels. A phrase counts wherever it stands, also in overlaps; ties need no choice, as
     all labels are given. Repeated rows are judged alike; an empty table gives an empty one; other columns are not read."""
     if least < index.least:
@@ -182,14 +232,12 @@ def scan(docs: DataFrame, index: Index, least: float = 0.8, carry: tuple[str, ..
                     for i in np.unique(d):
                         base[i].add(label)
                         score[i] = 1.0
-                for t, start in propose(index, number, doc):
-                    label, words, key = index.templates[t]
-                    share = sum((number[start + k] == w).astype(np.int64) for k, w in enumerate(words)) / len(words)
+                for t, start in propose(index, number):
+                    near, share = verify(index.templates[t], start, number, doc, bounds)
                     on = share >= least
-                    for s, x in zip(start[on].tolist(), share[on].tolist(), strict=True):
-                        if len(places(number[s:s + len(words)], doc[s:s + len(words)], key)):
-                            more[doc[s]].add(label)
-                            score[doc[s]] = max(score[doc[s]], x)
+                    np.maximum.at(score, near[on], share[on])
+                    for i in np.unique(near[on]):
+                        more[i].add(index.templates[t][0])
                 none = count == 0
                 cols = [batch.column(i).slice(lo, n) for i in range(len(carry))]
                 cols += [pa.array(np.diff(bounds).astype(np.int64)), pa.array(count), pa.array(first, mask=none), pa.array(last, mask=none),
