@@ -369,6 +369,69 @@ def test_language(docs, empty, spark):
     assert [r["rejected"] for r in language.identify(odd, model).orderBy("doc_id").collect()] == [True, True, False]
 
 
+def plain_trigrams(text):
+    """Counts of bins of the trigrams of a text, a byte at a time."""
+    raw, out, before = (text or "").encode(), [], 0
+    for b in raw:
+        low = b + 32 if 65 <= b <= 90 or (before == 0xC3 and 0x80 <= b <= 0x9E and b != 0x97) else b
+        out.append(low if low >= 128 or 97 <= low <= 122 else 32)
+        before = b
+    grams = [out[i:i + 3] for i in range(len(out) - 2)]
+    return Counter(((a << 16 | b << 8 | c) * 0x9E3779B1 % 2**32) >> 20 for a, b, c in grams if (a, b) != (32, 32) and (b, c) != (32, 32))
+
+
+def plain_vector(text, idf):
+    x = np.zeros(language.BINS)
+    for b, n in plain_trigrams(text).items():
+        x[b] = math.log(1 + n) * idf[b]
+    return x / max(math.sqrt((x * x).sum()), 1e-12)
+
+
+def plain_centroids(rows, k=4, rounds=200):
+    """Clusters of unit vectors by cosine: begun with the row nearest the mean, then always the row farthest from all begun."""
+    mean = sum(rows) / len(rows)
+    first = [max(range(len(rows)), key=lambda i: (rows[i] @ mean, -i))]
+    while len(first) < min(k, len(rows)):
+        first.append(min(range(len(rows)), key=lambda i: (max(rows[i] @ rows[j] for j in first), i)))
+    centres = [rows[i] for i in first]
+    for _ in range(rounds):
+        members = [[] for _ in centres]
+        for x in rows:
+            members[max(range(len(centres)), key=lambda c: (x @ centres[c], -c))].append(x)
+        new = [sum(m) / max(np.linalg.norm(sum(m)), 1e-12) if m else c for m, c in zip(members, centres, strict=True)]
+        if all(np.abs(a - b).max() < 1e-6 for a, b in zip(new, centres, strict=True)):
+            break
+        centres = new
+    return centres
+
+
+def test_language_against_plain_code(spark):
+    """Trigrams, weights, centroids, nearest language and score of all documents, computed one text at a time."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs = docs.unionByName(spark.createDataFrame([(-1, None), (-2, ""), (-3, "7 !"), (-4, "\u00c9COLE \u00d7 \u00e9cole"), (-5, "Z")], "doc_id long, text string"), allowMissingColumns=True)
+    model = language.fit(docs, language.training_rows(), sample=1000)
+    got = {r["doc_id"]: r for r in language.identify(docs, model).collect()}
+    rows = docs.select("doc_id", "text", "lang").collect()
+    labelled = [r for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2 and r["lang"] is not None and r["text"] is not None]
+    seen = Counter(b for r in labelled for b in plain_trigrams(r["text"]))
+    idf = np.array([math.log((1 + len(labelled)) / (1 + seen[b])) + 0.1 for b in range(language.BINS)])
+    assert np.allclose(model.idf, idf)
+    known = spark.createDataFrame([(r["lang"], r["text"]) for r in labelled], "lang string, text string")
+    chosen = sorted(language.labelled_sample(known, 1000).select("lang", "k", "text").collect(), key=lambda r: r["k"])
+    assert {(r["lang"], r["text"]) for r in chosen} <= {(r["lang"], r["text"]) for r in labelled}
+    centroids = []
+    for lang in sorted({r["lang"] for r in chosen}):
+        own = [np.float16(plain_vector(r["text"], idf)).astype(float) for r in chosen if r["lang"] == lang]  # the sample has half precision
+        centroids += [(lang, c) for c in plain_centroids([x for x in own if np.linalg.norm(x) > 0.5])]
+    assert [x for x, _ in centroids] == model.langs
+    assert np.abs(np.stack([c for _, c in centroids]) - model.centroids).max() < 2e-3
+    for r in rows:
+        score, lang = max(((plain_vector(r["text"], idf) @ c, lang) for lang, c in centroids), key=lambda x: x[0])
+        letters = any(c.isalpha() for c in r["text"] or "")
+        assert got[r["doc_id"]]["lang_pred"] == (lang if letters else "und"), r
+        assert got[r["doc_id"]]["score"] == pytest.approx(min(max(score, 0), 1) if letters else 0, abs=2e-3)
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language.fit(docs, language.training_rows())
