@@ -181,6 +181,61 @@ def plain_align(a, b):
     return 100.0 * same / cols, 100.0 * cols / len(a), cols, best
 
 
+def plain_recovery(hits, contigs, proteins, flank):
+    """Best hit, region and best open segment of each gene, one after the other."""
+    from strandweave.functions.sequence import CODE
+
+    def peptide(x):
+        return "".join(CODE.get(x[i:i + 3], "X") for i in range(0, len(x) - 2, 3))
+
+    turned = lambda x: x[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    out = []
+    for gene, ref in proteins:
+        own = [h for h in hits if h[1] == gene and h[2] in contigs]
+        if not own:
+            continue
+        _, _, contig, _, start, end = min(own, key=lambda h: (-h[3], h[0]))
+        seq = contigs[contig]
+        lo, hi = max(1, min(start, end) - flank), min(len(seq), max(start, end) + flank)
+        region = seq[lo - 1:hi] if start <= end else turned(seq[lo - 1:hi])
+        best = None
+        for n, (strand, x, frame) in enumerate((s, x, f) for s, x in (("+", region), ("-", turned(region))) for f in (1, 2, 3)):
+            for k, part in enumerate(peptide(x[frame - 1:]).split("*")):
+                if len(part) >= max(30, int(len(ref) * 0.1)):
+                    identity, coverage, _, _ = plain_align(ref, part)
+                    score = identity / 100 * coverage / 100 * min(len(part) / len(ref), 1.0)
+                    found = (-score, -identity, -coverage, -len(part), n, k), frame, part
+                    best = min(best or found, found)
+        out.append((gene, contig, lo, hi, *((best[1], best[2], round(-best[0][1], 6), round(-best[0][0], 6)) if best else (None,) * 4)))
+    return sorted(out)
+
+
+def test_gene_recovery_equals_plain_code(spark):
+    rng = random.Random(21)
+    dna = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    from strandweave.functions.sequence import codons_for
+
+    proteins = [(f"g{i}", "M" + "".join(rng.choice("ACDEFGHIKLMNPQRSTVWY") for _ in range(rng.randint(40, 60)))) for i in range(5)]
+    contigs, hits = {}, []
+    for i, (gene, ref) in enumerate(proteins[:4]):
+        cds = "".join(rng.choice(codons_for(a)) for a in ref[:-3]) + "TAA"
+        left = dna(rng.randint(20, 90))
+        seq = left + cds + dna(rng.randint(0, 80))
+        start, end = len(left) + 1, len(left) + len(cds)
+        if i % 2:
+            seq = seq[::-1].translate(str.maketrans("ACGT", "TGCA"))
+            start, end = len(seq) - start + 1, len(seq) - end + 1
+        contigs[f"c{i}"] = seq
+        hits += [(10 * i, gene, f"c{i}", 50.0, start, end), (10 * i + 1, gene, f"c{i}", 50.0, 1, 30), (10 * i + 2, gene, f"c{(i + 1) % 4}", 20.0, 5, 60)]
+    contigs["short"] = "ACGTACGT"
+    hits.append((99, "g4", "short", 9.0, 2, 7))
+    df = spark.createDataFrame([(*h, 90.0, 1e-9) for h in hits], "hit long, gene string, contig string, bitscore double, sstart int, send int, pident double, evalue double")
+    got = orfs.recover_genes(df, spark.createDataFrame(list(contigs.items()), "contig string, seq string"), spark.createDataFrame(proteins, "gene string, seq string"), 30, [F.col("hit")])
+    rows = [(r.gene, r.contig, r.region_start, r.region_end, r.frame, r.protein, *(None if v is None else round(v, 6) for v in (r.identity, r.score))) for r in got.collect()]
+    assert sorted(rows) == plain_recovery(hits, contigs, proteins, 30)
+    assert all(r[6] > 90 for r in sorted(rows)[:4]) and rows and sorted(rows)[4][4] is None
+
+
 @pytest.mark.parametrize("cells", [3000, 40, 1])
 def test_batched_alignment_equals_plain_recursion(monkeypatch, cells):
     import pandas as pd
