@@ -674,20 +674,13 @@ cg AS (SELECT *, least(end_n, end_c) - greatest(start_n, start_c) + 1 AS overlap
 
 
 def conflict_rows(s, d, frames=False):
-    t = reported(s, d)
-    pos = t.groupBy("pair_id").agg(
-        *[F.max(F.when(F.col("role") == r, F.col(c))).alias(f"{n}_{r.lower()}") for r in "NC" for c, n in (("gap_position_start", "s"), ("gap_position_end", "e"), ("translated_candidate", "p"))])
-    lo, hi = F.greatest("s_n", "s_c"), F.least("e_n", "e_c")
-    known = F.col("s_n").isNotNull() & F.col("s_c").isNotNull() & (lo <= hi)
-    at = pos.filter(known).select("*", F.explode(F.sequence(lo, hi)).alias("position"))
-    aa = lambda r: F.substring(F.col(f"p_{r}"), F.col("position") - F.col(f"s_{r}") + 1, F.lit(1))
-    rows = at.select("pair_id", "position", aa("n").alias("aa_n"), aa("c").alias("aa_c"))
-    return au.attach_tails(rows, t, frames=frames)
+    return au.overlap_calls(reported(s, d), frames=frames)
 
 
 @query("h35_segment_codon", "pair_id s, position i, codon_n s, codon_c s", f"WITH {CONF} SELECT pair_id, position, coalesce(codon_n, '') AS codon_n, coalesce(codon_c, '') AS codon_c FROM cg")
 def h35(s, d):
-    r = conflict_rows(s, d)
+    t = reported(s, d)
+    r = au.attach_tails(au.overlap_calls(t).select("pair_id", "position"), t)
     return r.select("pair_id", "position", *[F.coalesce(rd.segment_codon(f"segment_{k}", f"start_{k}", f"end_{k}", "position"), F.lit("")).alias(f"codon_{k}") for k in "nc"])
 
 

@@ -433,3 +433,16 @@ def test_pairing_gate(spark):
     require_pairing(df.where("read_index = 1"))
     with pytest.raises(GateFailed, match="1 rows with two ids and 1 with one side, of 3"):
         require_pairing(df)
+
+
+def test_overlap_calls_equal_joined_tails(spark):
+    """Positions from the pivoted pair, against tails attached to listed positions and against plain slices."""
+    tails = [("p1", "N", "AAACCC", 5, 8, "KEML"), ("p1", "C", "CCC", 7, 10, "MLKE"), ("p2", "N", "AAA", 1, 3, "KEM"), ("p3", "N", "AAA", 1, 3, "KEM"), ("p3", "C", "AAA", 4, 6, "KEM"),
+             ("p4", "N", "A", 2, 4, "K"), ("p4", "C", None, 2, 3, None)]
+    df = spark.createDataFrame(tails, "pair_id string, role string, segment string, gap_position_start int, gap_position_end int, translated_candidate string")
+    out = au.overlap_calls(df)
+    got = sorted((r.pair_id, r.position, r.aa_n, r.aa_c) for r in out.collect())
+    assert got == [("p1", 7, "M", "M"), ("p1", 8, "L", "L"), ("p4", 2, "K", None), ("p4", 3, "", None)]
+    again = au.attach_tails(out.select("pair_id", "position", "aa_n", "aa_c"), df)
+    assert sorted(map(str, again.select(out.columns).collect())) == sorted(map(str, out.collect()))
+    assert out._jdf.queryExecution().executedPlan().toString().count("Join") == 0
