@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import land
 from .kernels import byte_values, mix, prefix, ranges, span_hash, take_spans
-from .repeats import CONTEXTS, NO_ID, Unit, aligned, grams_of_documents, resolve, suffix_order, wanted_anchors
+from .repeats import CONTEXTS, NO_ID, Unit, aligned, grams_of_documents, resolve, runs_at, suffix_order, wanted_anchors
 
 #: Starts of windows in a row of the hash way that are merged to runs at a time.
 STRETCH = 4096
@@ -42,7 +42,7 @@ class Bytes(Unit):
 
 
 def bytes_unit(window: int, length: int, gram: int, keep_first: bool) -> Bytes:
-    return Bytes(False, window, gram, False, keep_first, length)
+    return Bytes(window, gram, keep_first, length)
 
 
 def with_text_keys(docs: DataFrame) -> DataFrame:
@@ -57,7 +57,7 @@ def contexts(unit: Bytes):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, part, grams, bounds, _, _, doc, anchor, first, last in wanted_anchors(batch, unit):
+            for lo, part, grams, bounds, doc, anchor, first, last in wanted_anchors(batch, unit):
                 end = np.minimum(last + unit.length, bounds[doc + 1])
                 left, windows = anchor - first, last - first + 1
                 same = span_hash(prefix(byte_values()[part]), first, end)
@@ -79,7 +79,7 @@ def hashed_windows(unit: Bytes):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, part, _, bounds, _, _, doc, _, first, last in wanted_anchors(batch, unit):
+            for lo, part, _, bounds, doc, _, first, last in wanted_anchors(batch, unit):
                 n = last - first + 1
                 w, d = ranges(first, n), np.repeat(doc, n)
                 for kind, size in ((0, unit.window), (1, unit.length)):
@@ -147,7 +147,7 @@ def solve(table: pa.Table, unit: Bytes) -> pa.RecordBatch:
     context = table["context"].combine_chunks()
     size = np.diff(np.frombuffer(context.buffers()[1], np.int32)[context.offset:context.offset + len(context) + 1]).astype(np.int64)
     beyond = size - left  # bytes from the anchor on
-    right_m, left_m = aligned(context, left, Unit(False, unit.length, unit.length - unit.reach, False, False))
+    right_m, left_m = aligned(context, left, Unit(unit.length, unit.length - unit.reach, False))
     order, lcp = suffix_order(right_m)
     before, before_lcp = suffix_order(left_m)
     del right_m, left_m
@@ -159,13 +159,12 @@ def solve(table: pa.Table, unit: Bytes) -> pa.RecordBatch:
     position = np.empty(len(dk), np.int64)
     position[text] = np.cumsum(np.concatenate([[0], ~same if unit.keep_first else np.ones(len(same), bool)]))
     low, high = left - windows + 1, left  # distances of the anchor to the starts of its windows
-    node = np.empty(len(dk), np.int64)
     reached = {kind: (np.full(len(dk), 1 << 30), np.full(len(dk), -1)) for kind in (0, 1)}
     for k in range(unit.reach + 1):
         on = np.flatnonzero((low <= k) & (k <= high))
         if len(on) < 2:
             continue
-        node[before] = np.cumsum(before_lcp < k)
+        node = runs_at(before, before_lcp, k)
         on = on[np.lexsort((rank[on], node[on]))]
         r = rank[on]
         link = np.zeros(len(on), np.int64)
@@ -234,7 +233,7 @@ def repeated_spans(base: DataFrame, unit: Bytes, group_rows: int = 20_000, flush
         return base.join(lists, ["dk", "th"], "left").select("dk", "th", "text", "grams")
 
     rows = listed(again.where(F.col("rows") <= group_rows)).mapInArrow(contexts(unit), CONTEXTS)
-    out = rows.repartition(n, "gram").sortWithinPartitions("gram").mapInArrow(resolve(unit, flush_rows, solve), SPANS)
+    out = rows.repartition(n, "gram").sortWithinPartitions("gram").mapInArrow(resolve(flush_rows, lambda t: solve(t, unit)), SPANS)
     if (size["most"] or 0) > group_rows:
         starts = listed(again.where(F.col("rows") > group_rows)).mapInArrow(hashed_windows(unit), WINDOWS)
         place = F.struct("dk", "th", "start")

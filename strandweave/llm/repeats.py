@@ -1,18 +1,8 @@
-"""Repeated passages: windows of a fixed number of units (words or bytes) that occur again elsewhere.
+"""Parts of the two passage operators: anchors and contexts of windows of bytes (:mod:`.factors`), suffix order of aligned
+contexts, and the flow of whole groups through a task, which :mod:`.trees` shares.
 
-Both passage operators share this plan.
-
-1. Anchors. The anchor of a window is its least gram, by hash. It depends on the window's content alone, so equal windows
-   have equal anchors at equal places. Grams that occur once rule out all windows anchored on them.
-2. Contexts. Each document sends, for each anchor whose gram occurs again, the units of the windows anchored there. Contexts
-   with the same gram meet in one group: the gram is the prefix that partitions the suffixes beginning at anchors.
-3. Suffix order. Within groups, the suffixes from the anchors are sorted and the longest common prefixes of neighbours
-   found, and the same to the left. Runs with a common prefix of k units are the nodes of depth k of the suffix tree; a
-   window is a left run and a right run together.
-4. Groups beyond a memory bound get the longest prefix instead, the whole window: their windows are combined by hash with
-   partial aggregation and joined back, so no task holds such a group.
-
-All windows of an anchor overlap, so what is found for one anchor of one document is a single interval.
+The anchor of a window is its least gram, by hash. It depends on the window's content alone, so equal windows have equal anchors
+at equal places, and contexts that may hold equal windows meet in the group of one gram.
 """
 
 from __future__ import annotations
@@ -25,23 +15,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import land
-from .kernels import BASE, byte_values, chunks, gram_hash, group_ids, mix, prefix, ranges, sliding_min, space_table, span_hash, take_spans, text_buffer, word_spans
+from .kernels import BASE, byte_values, chunks, mix, prefix, ranges, sliding_min, span_hash, text_buffer
 
 NO_ID = -(1 << 63)
-#: Contexts whose units are placed in the matrices at once.
+#: Contexts whose bytes are placed in the matrices at once.
 ALIGN_ROWS = 1000
 
 
 @dataclass(frozen=True)
 class Unit:
-    """words: units are words, else bytes; window and gram in units; other_document: an equal window counts only if it is in
-    a document of another id; keep_first: windows without an earlier equal one stay."""
+    """window and gram in bytes; keep_first: windows without an earlier equal one stay."""
 
-    words: bool
     window: int
     gram: int
-    other_document: bool
     keep_first: bool
 
     @property
@@ -50,17 +36,13 @@ class Unit:
 
 
 def units_of(raw: np.ndarray, at: np.ndarray, unit: Unit):
-    """(hash of each gram, first unit of each document and the end, start and end byte of each unit)."""
-    if unit.words:
-        start, end, bounds = word_spans(raw, at, space_table())
-        h = span_hash(prefix(byte_values()[raw]), start, end) if len(start) else np.zeros(0, np.uint64)
-        return gram_hash(h, unit.gram), bounds, start, end
+    """(hash of each gram, first byte of each document and the end)."""
     i = np.arange(max(0, len(raw) - unit.gram + 1))
-    return (span_hash(prefix(byte_values()[raw]), i, i + unit.gram) if len(i) else np.zeros(0, np.uint64)), at, None, None
+    return (span_hash(prefix(byte_values()[raw]), i, i + unit.gram) if len(i) else np.zeros(0, np.uint64)), at
 
 
 def anchors_of(grams: np.ndarray, bounds: np.ndarray, unit: Unit) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document, anchor, first window, last window) in units of the chunk; windows lie within documents."""
+    """(document, anchor, first window, last window) in bytes of the chunk; windows lie within documents."""
     w, span = unit.window, unit.reach + 1
     none = np.zeros(0, np.int64)
     if len(grams) < span:
@@ -85,7 +67,7 @@ def grams_of_documents(unit: Unit):
         for batch in batches:
             raw, offsets = text_buffer(batch.column(2))
             for lo, hi, part, at in chunks(raw, offsets):
-                grams, bounds, _, _ = units_of(part, at, unit)
+                grams, bounds = units_of(part, at, unit)
                 doc, anchor, _, _ = anchors_of(grams, bounds, unit)
                 if not len(doc):
                     continue
@@ -101,7 +83,6 @@ def grams_of_documents(unit: Unit):
 
 
 CONTEXTS = "gram long, dk long, th long, places array<long>, left int, windows int, context binary"
-WINDOWS = "h1 long, h2 long, dk long, th long, start long, n long"
 
 
 def wanted_anchors(batch: pa.RecordBatch, unit: Unit):
@@ -114,69 +95,20 @@ def wanted_anchors(batch: pa.RecordBatch, unit: Unit):
     for lo, hi, part, at in chunks(raw, offsets):
         if begin[hi] == begin[lo]:
             continue
-        grams, bounds, start, end = units_of(part, at, unit)
+        grams, bounds = units_of(part, at, unit)
         doc, anchor, first, last = anchors_of(grams, bounds, unit)
         listed = np.unique(mix(flat[begin[lo]:begin[hi]] + np.repeat(np.arange(hi - lo, dtype=np.uint64), size[lo:hi]) * np.uint64(BASE)))
         mine = mix(grams[anchor] + doc.astype(np.uint64) * np.uint64(BASE))
         on = listed[np.minimum(np.searchsorted(listed, mine), len(listed) - 1)] == mine
         if on.any():
-            yield lo, part, grams, bounds, start, end, doc[on], anchor[on], first[on], last[on]
-
-
-def contexts_of_documents(unit: Unit):
-    """(dk, th, text, grams) -> CONTEXTS; equal contexts of one document are one row with all their places."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, part, grams, bounds, start, end, doc, anchor, first, last in wanted_anchors(batch, unit):
-                a, z = (start[first], end[last + unit.window - 1]) if unit.words else (first, last + unit.window)
-                left, windows = anchor - first, last - first + 1
-                same = span_hash(prefix(byte_values()[part]), a, z)
-                if unit.words:  # equal words between different white space are equal contexts; a finer split does no harm
-                    same = mix(same + grams[anchor])
-                order = np.lexsort((anchor, windows, left, same, doc))
-                d, s, lf, wn = doc[order], same[order], left[order], windows[order]
-                new = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (s[1:] != s[:-1]) | (lf[1:] != lf[:-1]) | (wn[1:] != wn[:-1])]))
-                places = pa.ListArray.from_arrays(pa.array(np.append(new, len(d)).astype(np.int32)), pa.array((anchor - bounds[doc])[order]))
-                pick = order[new]
-                row = pa.array(lo + doc[pick])
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(grams[anchor[pick]].view(np.int64)), batch.column(0).take(row), batch.column(1).take(row), places, pa.array(left[pick].astype(np.int32)),
-                    pa.array(windows[pick].astype(np.int32)), take_spans(part, a[pick], z[pick])], names=["gram", "dk", "th", "places", "left", "windows", "context"])
-
-    return run
-
-
-def windows_of_documents(unit: Unit):
-    """(dk, th, text, grams) -> WINDOWS: for groups too large, each window by a hash of 128 bits."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, part, _, bounds, start, end, doc, _, first, last in wanted_anchors(batch, unit):
-                n = last - first + 1
-                w, d = ranges(first, n), np.repeat(doc, n)
-                values = byte_values()
-                if unit.words:
-                    h = span_hash(prefix(values[part]), start, end)
-                    h1, h2 = (gram_hash(mix(h + np.uint64(k)), unit.window)[w] for k in (1, 2))
-                else:
-                    h1, h2 = (span_hash(prefix(mix(values + np.uint64(k))[part]), w, w + unit.window) for k in (1, 2))
-                row = pa.array(lo + d)
-                yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), batch.column(0).take(row), batch.column(1).take(row),
-                                                  pa.array(w - bounds[d]), pa.array(np.ones(len(w), np.int64))], names=["h1", "h2", "dk", "th", "start", "n"])
-
-    return run
+            yield lo, part, grams, bounds, doc[on], anchor[on], first[on], last[on]
 
 
 def aligned(context: pa.Array, left: np.ndarray, unit: Unit) -> tuple[np.ndarray, np.ndarray]:
-    """(right, left) matrices of units: from the anchor on, and from the unit before it backwards; 0 where there is none."""
+    """(right, left) matrices of bytes: from the anchor on, and from the unit before it backwards; 0 where there is none."""
     raw, at = text_buffer(context.cast(pa.binary()).view(pa.string()) if not pa.types.is_string(context.type) else context)
-    if unit.words:
-        start, end, bounds = word_spans(raw, at, space_table())
-        values = span_hash(prefix(byte_values()[raw]), start, end) | np.uint64(1)
-    else:
-        values, bounds = raw.astype(np.uint16) + np.uint16(1), at
-    # In blocks of rows: the places of all units at once would be many times as large as the matrices.
+    values, bounds = raw.astype(np.uint16) + np.uint16(1), at
+    # In blocks of rows: the places of all bytes at once would be many times as large as the matrices.
     count = len(bounds) - 1
     right, before = np.zeros((count, unit.window), values.dtype), np.zeros((count, max(unit.reach, 1)), values.dtype)
     for lo in range(0, count, ALIGN_ROWS):
@@ -209,60 +141,8 @@ def runs_at(order: np.ndarray, lcp: np.ndarray, depth: int) -> np.ndarray:
     return node
 
 
-def solve_groups(table: pa.Table, unit: Unit) -> pa.RecordBatch:
-    """Whole groups of contexts -> (dk, th, start, stop): what their repeated windows cover."""
-    dk, th = table["dk"].to_numpy(), table["th"].to_numpy()
-    left, windows = table["left"].to_numpy().astype(np.int64), table["windows"].to_numpy().astype(np.int64)
-    lists = table["places"].combine_chunks()
-    flat, at = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]).astype(np.int64)
-    place, n = flat[at[:-1]], np.diff(at)
-    right_m, left_m = aligned(table["context"].combine_chunks(), left, unit)
-    right, before = suffix_order(right_m), suffix_order(left_m)
-    # Text order; repeated rows of one document and place are at the same place.
-    order = np.lexsort((place, dk))
-    step = np.concatenate([[0], (dk[order][1:] != dk[order][:-1]) | ((place[order][1:] != place[order][:-1]) & (not unit.other_document))])
-    position = np.empty(len(dk), np.int64)
-    position[order] = np.cumsum(step)
-    low, high = left - windows + 1, left  # offsets of the anchor in its windows
-    least, most = np.full(len(dk), 1 << 30), np.full(len(dk), -1)
-    for k in range(unit.reach + 1):
-        on = np.flatnonzero((low <= k) & (k <= high))
-        if len(on) < 2:
-            continue
-        node = runs_at(*before, k)[on] * (len(dk) + 1) + runs_at(*right, unit.window - k)[on]
-        by = np.lexsort((position[on], node))
-        rows, nodes = on[by], node[by]
-        new = np.flatnonzero(np.concatenate([[True], nodes[1:] != nodes[:-1]]))
-        size = np.diff(np.append(new, len(nodes)))
-        if unit.other_document or unit.keep_first:
-            # The first of a run in text order is the previous smaller position of all others in it.
-            hit = position[rows] > np.repeat(position[rows[new]], size)
-        else:
-            hit = np.repeat(size, size) > 1
-        rows = rows[hit]
-        least[rows], most[rows] = np.minimum(least[rows], k), np.maximum(most[rows], k)
-    first_start, first_stop = place - most, place - least + unit.window
-    if not unit.other_document:  # places of one document with equal contexts repeat each other
-        again = n > 1
-        if not unit.keep_first:
-            first_start, first_stop = np.where(again, place - high, first_start), np.where(again, place - low + unit.window, first_stop)
-            most = np.where(again, high, most)
-    shift_a, shift_z = first_start - place, first_stop - place
-    if not unit.other_document and unit.keep_first:
-        rest_a, rest_z, rest_on = -high, unit.window - low, np.ones(len(dk), bool)
-    else:
-        rest_a, rest_z, rest_on = shift_a, shift_z, most >= 0
-    head = np.zeros(len(flat), bool)
-    head[at[:-1]] = True
-    row = np.repeat(np.arange(len(dk)), n)
-    keep = np.where(head, (most >= 0)[row], rest_on[row])
-    a, z = flat + np.where(head, shift_a[row], rest_a[row]), flat + np.where(head, shift_z[row], rest_z[row])
-    row, a, z = row[keep], a[keep], z[keep]
-    return pa.RecordBatch.from_arrays([pa.array(dk[row]), pa.array(th[row]), pa.array(a), pa.array(z)], names=["dk", "th", "start", "stop"])
-
-
-def resolve(unit: Unit, flush_rows: int, solve=solve_groups):
-    """CONTEXTS, sorted by gram -> intervals; groups are solved together as soon as enough rows have come."""
+def resolve(flush_rows: int, solve):
+    """Contexts, sorted by gram (the first column) -> what ``solve`` makes of whole groups, as soon as enough rows have come."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -273,13 +153,13 @@ def resolve(unit: Unit, flush_rows: int, solve=solve_groups):
                 cut = int(np.searchsorted(gram != held[-1].column(0)[-1].as_py(), True))
                 done = pa.Table.from_batches([*held, batch.slice(0, cut)])
                 if cut < len(gram):
-                    yield solve(done, unit)
+                    yield solve(done)
                     held, rows, batch = [], 0, batch.slice(cut)
             if batch.num_rows:
                 held.append(batch)
                 rows += batch.num_rows
         if rows:
-            yield solve(pa.Table.from_batches(held), unit)
+            yield solve(pa.Table.from_batches(held))
 
     return run
 
@@ -297,36 +177,3 @@ def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
 def with_keys(docs: DataFrame) -> DataFrame:
     """``docs`` with dk (doc_id, or the least long for null) and th (32 bits of a hash of the text, which rows of one doc_id differ in): together they name a text."""
     return docs.withColumn("dk", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("th", F.hash("text").cast("long"))
-
-
-def repeated_spans(base: DataFrame, unit: Unit, group_rows: int = 20_000, flush_rows: int = 20_000, context_bytes: int = 64 << 20) -> DataFrame:
-    """(dk, th, spans): the intervals of units, from 0 in the document, that repeated windows cover.
-
-    base: dk, th, text and others. group_rows: contexts of one gram that a task may hold; more go the way of step 4."""
-    # All columns go along, so that the shuffle of texts by document is the same as the caller's and is used again.
-    three = base.select("dk", "th", "text")
-    found = three.mapInArrow(grams_of_documents(unit), "gram long, dk long, th long, n long")
-    many = F.min("dk") < F.max("dk") if unit.other_document else F.sum("n") > 1
-    again = land(found.groupBy("gram").agg(many.alias("many"), F.count(F.lit(1)).alias("rows")).where("many").select("gram", "rows"), "repeated-grams")
-    size = again.agg(F.sum("rows").alias("rows"), F.max("rows").alias("most")).first()
-    session = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    each = 8 * unit.window if unit.words else 2 * unit.window
-    n = max(session, -(-int(size["rows"] or 0) * each // context_bytes))
-
-    def listed(grams: DataFrame) -> DataFrame:
-        lists = found.join(grams.select("gram"), "gram").groupBy("dk", "th").agg(F.collect_list("gram").alias("grams"))
-        return base.join(lists, ["dk", "th"], "left").select("dk", "th", "text", "grams")
-
-    contexts = listed(again.where(F.col("rows") <= group_rows)).mapInArrow(contexts_of_documents(unit), CONTEXTS)
-    out = contexts.repartition(n, "gram").sortWithinPartitions("gram").mapInArrow(resolve(unit, flush_rows), "dk long, th long, start long, stop long")
-    if (size["most"] or 0) > group_rows:
-        rows = listed(again.where(F.col("rows") > group_rows)).mapInArrow(windows_of_documents(unit), WINDOWS)
-        place = F.struct("dk", "start")
-        whole = rows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.sum("n").alias("all"))
-        if unit.other_document:
-            hit = F.col("first.dk") < F.col("dk")
-        else:
-            hit = F.col("first") < place if unit.keep_first else F.col("all") > 1
-        back = rows.join(whole, ["h1", "h2"]).where(hit).select("dk", "th", "start", (F.col("start") + unit.window).alias("stop"))
-        out = out.unionByName(back)
-    return out.groupBy("dk", "th").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))

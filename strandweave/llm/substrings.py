@@ -1,4 +1,4 @@
-"""Substring deduplication over words, by prefix-partitioned suffix trees (see :mod:`.repeats`)."""
+"""Substring deduplication over words, by prefix-partitioned suffix trees (see :mod:`.trees`)."""
 
 from __future__ import annotations
 
@@ -11,19 +11,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import chunks, space_table, text_buffer, word_spans
-from .repeats import NO_ID, Unit, merged, repeated_spans, with_keys
+from .repeats import NO_ID, merged, with_keys
+from .trees import repeated_words
 
 
-def remove_repeated_words(docs: DataFrame, window: int = 13, gram: int = 5, group_rows: int = 20_000, with_text: bool = False) -> DataFrame:
+def remove_repeated_words(docs: DataFrame, window: int = 13, prefixes: tuple[int, ...] = (5, 7, 9, 11), group_rows: int = 20_000, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and kept_text) of every document.
 
     A word goes when a window of ``window`` words over it also starts in a document of smaller doc_id. Rows with equal doc_id
     are one document, so repeated rows do not count against each other; a null doc_id counts as smaller than all others.
     Null and empty texts have no words. Whole texts of any length are read; an empty table gives an empty one; other columns
     are not read, whatever their names."""
-    unit = Unit(True, window, gram, True, False)
     base = with_keys(docs.select("doc_id", F.col("text").cast("string").alias("text"))).select("dk", "th", "text")
-    spans = repeated_spans(base, unit, group_rows)
+    spans = repeated_words(base, window, prefixes, group_rows)
     schema = "dk long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("strandweave.llm")
-from strandweave.llm import covertree, factors, kernels, language, licenses, minhash, mixing, packing, quality, repeats, substrings, suffixes, url_filter  # noqa: E402
+from strandweave.llm import covertree, factors, kernels, language, licenses, minhash, mixing, packing, quality, repeats, substrings, suffixes, trees, url_filter  # noqa: E402
 from strandweave.llm.components import connected_components  # noqa: E402
 from strandweave.llm.queries_models import tokenizer_path  # noqa: E402
 
@@ -170,6 +170,51 @@ def test_suffix_runs_are_common_prefixes():
             assert [node[i] == node[j] for j in range(50)] == [(m[i, :depth] == m[j, :depth]).all() for j in range(50)]
 
 
+def test_suffix_trees():
+    """Order, common prefixes and internal nodes against plain comparisons; reach against all pairs."""
+    rng = random.Random(12)
+    for _ in range(80):
+        size = [rng.randint(1, 21) for _ in range(rng.randint(1, 12))]
+        words = np.array([rng.randint(1, rng.choice([1, 2, 9])) for _ in range(sum(size))], np.uint64)
+        rest = np.concatenate([np.arange(n, 0, -1) for n in size])
+        row = np.repeat(np.arange(len(size)), size)
+        leaves = np.array([i for i in range(len(words)) if rng.random() < 0.7], np.int64)
+        order, lcp = trees.suffix_array(words, rest, leaves)
+        text = [tuple(words[i:i + rest[i]].tolist()) for i in range(len(words))]
+        shared = lambda a, b: next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
+        assert sorted(order.tolist()) == leaves.tolist()
+        assert [text[i] for i in order] == sorted(text[i] for i in leaves)
+        assert lcp.tolist() == [0] * bool(len(order)) + [shared(text[a], text[b]) for a, b in zip(order, order[1:], strict=False)]
+        for least in (1, 3):
+            groups = {}
+            for a, b in ((a, b) for a in range(len(order)) for b in range(a + 1, len(order))):
+                d = shared(text[order[a]], text[order[b]])
+                if d >= least:
+                    groups.setdefault((d, text[order[a]][:d]), set()).update((a, b))
+            want = sorted((d, min(g), max(g) + 1) for (d, _), g in groups.items())
+            assert sorted(zip(*(v.tolist() for v in trees.internal_nodes(lcp, least)), strict=True)) == want
+            owner = row[order] % 4
+            best = [max((shared(text[j], text[i]) for j, o in zip(order, owner, strict=True) if o < own), default=0) for i, own in zip(order, owner, strict=True)]
+            assert trees.repeated_depth(lcp, owner, least).tolist() == [b if b >= least else 0 for b in best]
+
+
+@pytest.mark.parametrize("group_rows", [2, 6, 25, 20_000])
+@pytest.mark.parametrize("prefixes", [(5, 7, 9, 11), (3,), (4, 13)])
+def test_frequent_grams_take_longer_prefixes(spark, group_rows, prefixes):
+    """Passages that share 5, 8 or 12 words, a passage in all texts, one text full of a gram, periodic texts, white space."""
+    rng = random.Random(3)
+    words = lambda n: [f"w{rng.randint(0, 400)}" for _ in range(n)]
+    common = words(40)
+    rows = []
+    for i in range(60):
+        n = rng.choice([5, 8, 12, 13, 14, 40])
+        at = rng.randint(0, 40 - n)
+        rows.append((i // 2 if i < 10 else i, rng.choice([" ", "  ", "\n"]).join(words(rng.randint(0, 9)) + common[at:at + n] + words(rng.randint(0, 9)))))
+    rows += [(90, " ".join(sum((common[:5] + words(rng.randint(1, 12)) for _ in range(40)), []))), (91, "a b " * 20), (92, "a b " * 30), (93, "a " * 50), (None, "a b " * 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert rows_of(substrings.remove_repeated_words(df, prefixes=prefixes, group_rows=group_rows)) == expected_words(rows)
+
+
 def sets_of(rows):
     out = {}
     for d, t, *_ in rows:
