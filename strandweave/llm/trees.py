@@ -2,13 +2,14 @@
 
 1. Anchors. The anchor of a window is its least gram, by hash. It depends on the window's content alone, so equal windows have
    equal anchors at equal places. A gram of one document only rules out all windows anchored on it.
-2. Prefixes of variable length. Grams of the first length (5 words) partition the suffixes. A gram with more contexts than a
-   task may hold is not brought together: its windows are anchored again, on the least gram of the next length (7, 9, 11
-   words), and so on, until their group fits. Equal windows are dealt alike at each length, so they always meet.
-3. Subtrees. Each document sends, for each anchor, the words of the windows anchored there. A task sorts the suffixes that
+2. Subtrees. Each document sends, for each anchor, the words of the windows anchored there. A task sorts the suffixes that
    start with these windows by prefix doubling, finds common prefixes of neighbours, and forms the internal nodes of the
    suffix tree from them. A deep node (a window or more) is a repeat as long as possible; a suffix below it repeats an
    earlier document if the node has a suffix of a smaller doc_id, and the deepest such node says how far.
+3. Prefixes of variable length. Grams of the first length (5 words) partition the suffixes. A gram with more contexts than a
+   task may hold is not brought together: equal contexts become one first, which keeps its smallest doc_id, and these are
+   anchored again on the least gram of the next length (7, 9, 11 words), and so on, until their group fits. Equal windows are
+   dealt alike at each length, so they always meet. Documents get the smallest doc_id of each window back by their context.
 4. One window in more contexts than a task may hold is a single node of the tree. Only then are whole windows combined by
    hash, with partial aggregation, and joined back.
 
@@ -25,14 +26,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import land
+from .common import land, small
 from .kernels import BASE, byte_values, chunks, gram_hash, mix, prefix, ranges, sliding_min, space_table, span_hash, take_spans, text_buffer, word_spans
 from .repeats import resolve
 
 GRAMS = "gram long, dk long, th long, n long"
 CONTEXTS = "gram long, dk long, th long, places array<long>, windows int, context binary"
 INTERVALS = "dk long, th long, start long, stop long"
-WINDOWS = "h1 long, h2 long, dk long, th long, start long"
+MEMBERS = "h1 long, h2 long, dk long, th long, place long, least long, context binary"
+PARTS = "gram long, h1 long, h2 long, dk long, first int, windows int, context binary"
+LEAST = "h1 long, h2 long, first int, least array<long>"
+WHOLE = "w1 long, w2 long, h1 long, h2 long, dk long, first int"
+
+
+#: Different contexts whose results are broadcast to the documents; more are joined by shuffle.
+BROADCAST_ROWS = 100_000
 
 
 class Listed:
@@ -54,14 +62,9 @@ class Listed:
         return keys[np.minimum(np.searchsorted(keys, mine), len(keys) - 1)] == mine
 
 
-def anchored(batch: pa.RecordBatch, window: int, prefixes: tuple[int, ...], level: int, listed: bool):
-    """Runs of windows of a batch of (dk, th, text[, hot][, grams]) with the same anchor of ``prefixes[level]`` words.
-
-    hot, after the first level: grams of shorter prefixes that are too frequent; only windows with such anchors at all earlier
-    levels are taken. grams, if ``listed``: only these anchors. A level beyond the last gives each window by itself."""
-    raw, offsets = text_buffer(batch.column(2))
-    hot = Listed(batch.column(3)) if level else None
-    wanted = Listed(batch.column(3 + (level > 0))) if listed else None
+def anchored(texts: pa.Array, window: int, gram: int, wanted: Listed | None = None):
+    """Runs of windows with the same anchor of ``gram`` words, ``wanted`` ones only, a chunk of texts at a time."""
+    raw, offsets = text_buffer(texts)
     for lo, hi, part, at in chunks(raw, offsets):
         start, end, bounds = word_spans(part, at, space_table())
         n = np.maximum(np.diff(bounds) - window + 1, 0)
@@ -69,33 +72,25 @@ def anchored(batch: pa.RecordBatch, window: int, prefixes: tuple[int, ...], leve
             continue
         w, doc = ranges(bounds[:-1], n), np.repeat(np.arange(len(n)), n)
         words = span_hash(prefix(byte_values()[part]), start, end)
-        grams, anchor = words, w
-        for k, length in enumerate(prefixes[:level + 1]):
-            grams = gram_hash(words, length)
-            key = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
-            anchor = (sliding_min(key, window - length + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)[w]
-            if k < level:
-                on = hot.has(lo, hi, doc, grams[anchor])
-                w, doc, anchor = w[on], doc[on], anchor[on]
-        if level == len(prefixes):
-            anchor = w
+        grams = gram_hash(words, gram)
+        key = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
+        anchor = (sliding_min(key, window - gram + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)[w]
+        new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])]))
+        last = w[np.append(new[1:], len(w)) - 1]
+        first, doc, found = w[new], doc[new], grams[anchor[new]]
         if wanted is not None:
-            on = wanted.has(lo, hi, doc, grams[anchor])
-            w, doc, anchor = w[on], doc[on], anchor[on]
-        if not len(w):
-            continue
-        new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]) | (w[1:] != w[:-1] + 1)]))
-        last = np.append(new[1:], len(w)) - 1
-        yield lo, part, words, grams, bounds, start, end, doc[new], anchor[new], w[new], w[last]
+            on = wanted.has(lo, hi, doc, found)
+            first, last, doc, found = first[on], last[on], doc[on], found[on]
+        if len(first):
+            yield lo, part, words, bounds, start, end, doc, found, first, last
 
 
-def grams_of_documents(window: int, prefixes: tuple[int, ...], level: int):
-    """(dk, th, text[, hot]) -> GRAMS: the anchors' grams of each document and their contexts in it."""
+def grams_of_documents(window: int, gram: int):
+    """(dk, th, text) -> GRAMS: the anchors' grams of each document and their contexts in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, _, _, grams, _, _, _, doc, anchor, _, _ in anchored(batch, window, prefixes, level, False):
-                g = grams[anchor]
+            for lo, _, _, _, _, _, doc, g, _, _ in anchored(batch.column(2), window, gram):
                 order = np.lexsort((g, doc))
                 g, doc = g[order], doc[order]
                 new = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (doc[1:] != doc[:-1])]))
@@ -106,39 +101,77 @@ def grams_of_documents(window: int, prefixes: tuple[int, ...], level: int):
     return run
 
 
-def contexts_of_documents(window: int, prefixes: tuple[int, ...], level: int):
-    """(dk, th, text[, hot], grams) -> CONTEXTS; equal contexts of one document are one row with all their places.
+def contexts_of_documents(window: int, gram: int):
+    """(dk, th, text, grams) -> CONTEXTS; equal contexts of one document are one row with all their places.
 
     places: first words of the first windows. Equal words between different white space make rows of their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, part, _, grams, bounds, start, end, doc, anchor, first, last in anchored(batch, window, prefixes, level, True):
+            for lo, part, _, bounds, start, end, doc, g, first, last in anchored(batch.column(2), window, gram, Listed(batch.column(3))):
                 a, z, count = start[first], end[last + window - 1], last - first + 1
                 same = span_hash(prefix(byte_values()[part]), a, z)
                 order = np.lexsort((first, count, same, doc))
-                keys = [v[order] for v in (doc, same, count, grams[anchor])]
+                keys = [v[order] for v in (doc, same, count, g)]
                 new = np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)]))
                 places = pa.ListArray.from_arrays(pa.array(np.append(new, len(order)).astype(np.int32)), pa.array((first - bounds[doc])[order]))
                 pick = order[new]
                 row = pa.array(lo + doc[pick])
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(grams[anchor[pick]].view(np.int64)), batch.column(0).take(row), batch.column(1).take(row), places,
+                    pa.array(g[pick].view(np.int64)), batch.column(0).take(row), batch.column(1).take(row), places,
                     pa.array(count[pick].astype(np.int32)), take_spans(part, a[pick], z[pick])], names=["gram", "dk", "th", "places", "windows", "context"])
 
     return run
 
 
-def whole_windows(window: int, prefixes: tuple[int, ...]):
-    """(dk, th, text, hot) -> WINDOWS: windows whose anchors are too frequent at every length, by a hash of 128 bits."""
+def members_of_documents(window: int, gram: int):
+    """(dk, th, text, grams) -> MEMBERS: each context by a hash of 128 bits of its words. Of equal ones in a chunk, the first
+    row carries the words and the smallest dk of all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(0).to_numpy()
+            for lo, part, words, bounds, start, end, doc, _, first, last in anchored(batch.column(2), window, gram, Listed(batch.column(3))):
+                h1, h2 = (span_hash(prefix(mix(words + np.uint64(k))), first, last + window) for k in (1, 2))
+                order = np.lexsort((keys[lo + doc], h2, h1))
+                h1, h2, doc, first, last = (v[order] for v in (h1, h2, doc, first, last))
+                head = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
+                dk, row = keys[lo + doc], pa.array(lo + doc)
+                some = take_spans(part, start[first[head]], end[last[head] + window - 1])
+                pick = pa.array(np.cumsum(head) - 1, mask=~head)
+                yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(dk), batch.column(1).take(row), pa.array(first - bounds[doc]),
+                                                  pa.array(dk, mask=~head), some.take(pick)], names=["h1", "h2", "dk", "th", "place", "least", "context"])
+
+    return run
+
+
+def parts_of_contexts(window: int, gram: int):
+    """(h1, h2, dk, first, context) -> PARTS: the runs of windows of each context with the same longer anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, _, words, _, bounds, _, _, doc, _, w, _ in anchored(batch, window, prefixes, len(prefixes), False):
-                h1, h2 = (gram_hash(mix(words + np.uint64(k)), window)[w] for k in (1, 2))
-                row = pa.array(lo + doc)
-                yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), batch.column(0).take(row), batch.column(1).take(row),
-                                                  pa.array(w - bounds[doc])], names=["h1", "h2", "dk", "th", "start"])
+            at = batch.column(3).to_numpy()
+            for lo, part, _, bounds, start, end, row, g, first, last in anchored(batch.column(4).view(pa.string()), window, gram):
+                take = pa.array(lo + row)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(g.view(np.int64)), *[batch.column(c).take(take) for c in range(3)], pa.array((at[lo + row] + first - bounds[row]).astype(np.int32)),
+                    pa.array((last - first + 1).astype(np.int32)), take_spans(part, start[first], end[last + window - 1])],
+                    names=["gram", "h1", "h2", "dk", "first", "windows", "context"])
+
+    return run
+
+
+def whole_windows(window: int):
+    """(h1, h2, dk, first, context) -> WHOLE: each window of a context by a hash of 128 bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(3).to_numpy()
+            for lo, _, words, bounds, _, _, row, _, first, last in anchored(batch.column(4).view(pa.string()), window, window):
+                w1, w2 = (gram_hash(mix(words + np.uint64(k)), window)[first] for k in (1, 2))
+                take = pa.array(lo + row)
+                yield pa.RecordBatch.from_arrays([pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), *[batch.column(c).take(take) for c in range(3)],
+                                                  pa.array((at[lo + row] + first - bounds[row]).astype(np.int32))], names=["w1", "w2", "h1", "h2", "dk", "first"])
 
     return run
 
@@ -204,67 +237,97 @@ def repeated_depth(lcp: np.ndarray, owner: np.ndarray, least: int) -> np.ndarray
     return out
 
 
-def solve(table: pa.Table, window: int) -> pa.RecordBatch:
-    """Whole groups of contexts -> INTERVALS that windows of smaller documents cover."""
-    dk, th, windows = table["dk"].to_numpy(), table["th"].to_numpy(), table["windows"].to_numpy().astype(np.int64)
-    lists = table["places"].combine_chunks()
-    flat, many = lists.flatten().to_numpy(), lists.value_lengths().to_numpy().astype(np.int64)
+def subtree(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, window in its context, in suffix order, common prefixes, first window of each row) of whole groups of contexts."""
+    windows = table["windows"].to_numpy().astype(np.int64)
     raw, at = text_buffer(table["context"].combine_chunks().view(pa.string()))
     start, end, bounds = word_spans(raw, at, space_table())
     words = span_hash(prefix(byte_values()[raw]), start, end)
     rest = np.repeat(bounds[1:], np.diff(bounds)) - np.arange(len(words))
-    leaf_row = np.repeat(np.arange(len(dk)), windows)
     order, lcp = suffix_array(words, rest, ranges(bounds[:-1], windows))
     row = np.searchsorted(bounds, order, "right") - 1
+    return row, order - bounds[row], lcp, np.cumsum(windows) - windows, windows
+
+
+def solve(table: pa.Table, window: int) -> pa.RecordBatch:
+    """Whole groups of contexts -> INTERVALS that windows of smaller documents cover."""
+    dk, th = table["dk"].to_numpy(), table["th"].to_numpy()
+    lists = table["places"].combine_chunks()
+    flat, many = lists.flatten().to_numpy(), lists.value_lengths().to_numpy().astype(np.int64)
+    row, at, lcp, _, _ = subtree(table)
     reach = repeated_depth(lcp, dk[row], window)
     hit = np.flatnonzero(reach)
     first, last = np.full(len(dk), 1 << 40), np.full(len(dk), -1)
-    np.minimum.at(first, row[hit], order[hit] - bounds[row[hit]])
-    np.maximum.at(last, row[hit], order[hit] - bounds[row[hit]] + reach[hit])
+    np.minimum.at(first, row[hit], at[hit])
+    np.maximum.at(last, row[hit], at[hit] + reach[hit])
     place = np.repeat(np.arange(len(dk)), many)
     on = last[place] > 0
     place, flat = place[on], flat[on]
     return pa.RecordBatch.from_arrays([pa.array(dk[place]), pa.array(th[place]), pa.array(flat + first[place]), pa.array(flat + last[place])], names=["dk", "th", "start", "stop"])
 
 
+def solve_least(table: pa.Table, window: int) -> pa.RecordBatch:
+    """Whole groups of PARTS -> LEAST: the smallest dk below the uppermost deep node above each window, or its own."""
+    row, at, lcp, begin, windows = subtree(table)
+    owner = table["dk"].to_numpy()[row]
+    node = np.cumsum(lcp < window)
+    smallest = np.minimum.reduceat(owner, np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))) if len(owner) else owner
+    least = np.empty(len(owner), np.int64)
+    if len(owner):
+        least[begin[row] + at] = smallest[node - node[0]]
+    lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(least)).astype(np.int32)), pa.array(least))
+    return pa.RecordBatch.from_arrays([*[table[c].combine_chunks() for c in ("h1", "h2", "first")], lists], names=["h1", "h2", "first", "least"])
+
+
+def frequent_intervals(members: DataFrame, window: int, longer: tuple[int, ...], group_rows: int, flush_rows: int, parts_of: int) -> DataFrame:
+    """MEMBERS of frequent grams -> INTERVALS. Trees hold different contexts only, dealt by the first of the ``longer`` grams that fits."""
+    session = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = members.where(F.col("context").isNotNull()).groupBy("h1", "h2").agg(F.min("least").alias("dk"), F.min("context").alias("context"))
+    rows, found = rows.select("h1", "h2", "dk", F.lit(0).alias("first"), "context"), []
+    for gram in longer:
+        parts = land(rows.mapInArrow(parts_of_contexts(window, gram), PARTS), f"contexts-by-{gram}-words")
+        counts = land(parts.groupBy("gram").agg(F.count(F.lit(1)).alias("rows")), f"grams-of-{gram}-words")
+        size = counts.agg(F.sum("rows").alias("rows"), F.max("rows").alias("most")).first()
+        every = (size["most"] or 0) <= group_rows
+        fit = parts if every else parts.join(counts.where(F.col("rows") <= group_rows).select("gram"), "gram").select(parts.columns)
+        n = max(session, -(-int(size["rows"] or 0) // parts_of))
+        found.append(fit.repartition(n, "gram").sortWithinPartitions("gram").mapInArrow(resolve(flush_rows, lambda t: solve_least(t, window)), LEAST))
+        if every:
+            break
+        rows = parts.join(counts.where(F.col("rows") > group_rows).select("gram"), "gram").select("h1", "h2", "dk", "first", "context")
+    else:
+        single = rows.mapInArrow(whole_windows(window), WHOLE)
+        least = single.groupBy("w1", "w2").agg(F.min("dk").alias("least"))
+        found.append(single.join(least, ["w1", "w2"]).select("h1", "h2", "first", F.array("least").alias("least")))
+    each = F.transform("least", lambda x, i: F.struct((F.col("first") + i).alias("at"), x.alias("dk")))
+    least = reduce(DataFrame.unionByName, found).groupBy("h1", "h2").agg(F.flatten(F.collect_list(each)).alias("least"))
+    at = F.transform(F.filter("least", lambda x: x["dk"] < F.col("dk")), lambda x: x["at"])
+    back = members.select("h1", "h2", "dk", "th", "place").join(small(least, BROADCAST_ROWS), ["h1", "h2"]).select("dk", "th", "place", at.alias("at")).where(F.size("at") > 0)
+    return back.select("dk", "th", (F.col("place") + F.array_min("at")).alias("start"), (F.col("place") + F.array_max("at") + window).alias("stop"))
+
+
 def repeated_words(base: DataFrame, window: int, prefixes: tuple[int, ...], group_rows: int, flush_rows: int = 10_000, context_bytes: int = 64 << 20) -> DataFrame:
     """(dk, th, spans): intervals of words, from 0 in the document, that windows cover which also start in a document of smaller dk.
 
     base: dk, th, text and others. prefixes: lengths of grams, ascending, at most ``window``. group_rows: contexts of one gram
-    that a task may hold; the windows of more frequent grams take the next length, and beyond the last go by hashes."""
+    that a task may hold; those of more frequent grams take the next length, and beyond the last go by hashes."""
     session = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hot, parts = None, []
-
-    def texts(**lists: DataFrame | None) -> DataFrame:
-        """dk, th, text and lists; text only where the document has all lists. Outer joins keep the shuffle of texts the one
-        that the caller uses again."""
-        given = {k: v for k, v in lists.items() if v is not None}
-        out = reduce(lambda df, v: df.join(v, ["dk", "th"], "left"), given.values(), base)
-        text = F.when(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in given], F.lit(True)), F.col("text"))
-        return out.select("dk", "th", text.alias("text"), *given)
-
-    def lists_of(found: DataFrame, grams: DataFrame, name: str) -> DataFrame:
-        return found.join(grams.select("gram"), "gram").groupBy("dk", "th").agg(F.collect_list("gram").alias(name))
-
-    for level in range(len(prefixes)):
-        found = texts(hot=hot).mapInArrow(grams_of_documents(window, prefixes, level), GRAMS)
-        counts = found.groupBy("gram").agg((F.min("dk") < F.max("dk")).alias("many"), F.sum("n").alias("rows"))
-        again = land(counts.where("many").select("gram", "rows"), f"repeated-grams-{level}")
-        fits = F.col("rows") <= group_rows
-        size = again.agg(F.sum(F.when(fits, F.col("rows"))).alias("rows"), F.max("rows").alias("most")).first()
-        n = max(session, -(-int(size["rows"] or 0) * 8 * window // context_bytes))
-        rows = texts(hot=hot, grams=lists_of(found, again.where(fits), "grams")).mapInArrow(contexts_of_documents(window, prefixes, level), CONTEXTS)
-        parts.append(rows.repartition(n, "gram").sortWithinPartitions("gram").mapInArrow(resolve(flush_rows, lambda t: solve(t, window)), INTERVALS))
-        if (size["most"] or 0) <= group_rows:
-            break
-        more = lists_of(found, again.where(~fits), "hot")
-        if hot is not None:
-            more = hot.unionByName(more).groupBy("dk", "th").agg(F.flatten(F.collect_list("hot")).alias("hot"))
-        hot = land(more, f"frequent-grams-{level}")
-    else:
-        rows = texts(hot=hot).mapInArrow(whole_windows(window, prefixes), WINDOWS)
-        least = rows.groupBy("h1", "h2").agg(F.min("dk").alias("first"))
-        back = rows.join(least, ["h1", "h2"]).where(F.col("first") < F.col("dk"))
-        parts.append(back.select("dk", "th", "start", (F.col("start") + window).alias("stop")))
-    out = reduce(DataFrame.unionByName, parts)
+    gram, parts_of = prefixes[0], context_bytes // (8 * window)
+    found = base.select("dk", "th", "text").mapInArrow(grams_of_documents(window, gram), GRAMS)
+    counts = found.groupBy("gram").agg((F.min("dk") < F.max("dk")).alias("many"), F.sum("n").alias("rows"))
+    again = land(counts.where("many").select("gram", "rows"), "repeated-grams")
+    fits = F.col("rows") <= group_rows
+    size = again.agg(F.sum(F.when(fits, F.col("rows"))).alias("rows"), F.max("rows").alias("most")).first()
+
+    def texts(grams: DataFrame) -> DataFrame:
+        """Texts with their grams of those given, else none. An outer join keeps the shuffle of texts the one that the caller uses again."""
+        lists = found.join(grams.select("gram"), "gram").groupBy("dk", "th").agg(F.collect_list("gram").alias("grams"))
+        return base.join(lists, ["dk", "th"], "left").select("dk", "th", F.when(F.col("grams").isNotNull(), F.col("text")).alias("text"), "grams")
+
+    n = max(session, -(-int(size["rows"] or 0) // parts_of))
+    rows = texts(again.where(fits)).mapInArrow(contexts_of_documents(window, gram), CONTEXTS)
+    out = rows.repartition(n, "gram").sortWithinPartitions("gram").mapInArrow(resolve(flush_rows, lambda t: solve(t, window)), INTERVALS)
+    if (size["most"] or 0) > group_rows:
+        members = land(texts(again.where(~fits)).mapInArrow(members_of_documents(window, gram), MEMBERS), "contexts-of-frequent-grams")
+        out = out.unionByName(frequent_intervals(members, window, prefixes[1:], group_rows, flush_rows, parts_of))
     return out.groupBy("dk", "th").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
