@@ -41,6 +41,8 @@ WHOLE = "w1 long, w2 long, h1 long, h2 long, dk long, first int"
 
 #: Different contexts whose results are broadcast to the documents; more are joined by shuffle.
 BROADCAST_ROWS = 100_000
+#: Frequent grams that every task gets as a list of its own; more are joined to the documents that have them.
+LISTED_GRAMS = 100_000
 
 
 class Listed:
@@ -62,7 +64,17 @@ class Listed:
         return keys[np.minimum(np.searchsorted(keys, mine), len(keys) - 1)] == mine
 
 
-def anchored(texts: pa.Array, window: int, gram: int, wanted: Listed | None = None):
+class Few:
+    """One short list of grams for all documents."""
+
+    def __init__(self, grams: np.ndarray):
+        self.grams = np.sort(grams.view(np.uint64))
+
+    def has(self, lo: int, hi: int, doc: np.ndarray, gram: np.ndarray) -> np.ndarray:
+        return self.grams[np.minimum(np.searchsorted(self.grams, gram), len(self.grams) - 1)] == gram
+
+
+def anchored(texts: pa.Array, window: int, gram: int, wanted: Listed | Few | None = None):
     """Runs of windows with the same anchor of ``gram`` words, ``wanted`` ones only, a chunk of texts at a time."""
     raw, offsets = text_buffer(texts)
     for lo, hi, part, at in chunks(raw, offsets):
@@ -124,14 +136,14 @@ def contexts_of_documents(window: int, gram: int):
     return run
 
 
-def members_of_documents(window: int, gram: int):
-    """(dk, th, text, grams) -> MEMBERS: each context by a hash of 128 bits of its words. Of equal ones in a chunk, the first
+def members_of_documents(window: int, gram: int, few: Few | None = None):
+    """(dk, th, text[, grams]) -> MEMBERS of the grams listed, or of ``few``: each context by a hash of 128 bits of its words. Of equal ones in a chunk, the first
     row carries the words and the smallest dk of all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(0).to_numpy()
-            for lo, part, words, bounds, start, end, doc, _, first, last in anchored(batch.column(2), window, gram, Listed(batch.column(3))):
+            for lo, part, words, bounds, start, end, doc, _, first, last in anchored(batch.column(2), window, gram, few or Listed(batch.column(3))):
                 h1, h2 = (span_hash(prefix(mix(words + np.uint64(k))), first, last + window) for k in (1, 2))
                 order = np.lexsort((keys[lo + doc], h2, h1))
                 h1, h2, doc, first, last = (v[order] for v in (h1, h2, doc, first, last))
@@ -328,6 +340,12 @@ def repeated_words(base: DataFrame, window: int, prefixes: tuple[int, ...], grou
     rows = texts(again.where(fits)).mapInArrow(contexts_of_documents(window, gram), CONTEXTS)
     out = rows.repartition(n, "gram").sortWithinPartitions("gram").mapInArrow(resolve(flush_rows, lambda t: solve(t, window)), INTERVALS)
     if (size["most"] or 0) > group_rows:
-        members = land(texts(again.where(~fits)).mapInArrow(members_of_documents(window, gram), MEMBERS), "contexts-of-frequent-grams")
+        frequent = again.where(~fits).select("gram")
+        if frequent.count() <= LISTED_GRAMS:  # no shuffle of texts
+            few = Few(np.array([r["gram"] for r in frequent.collect()], np.int64))
+            members = base.select("dk", "th", "text").mapInArrow(members_of_documents(window, gram, few), MEMBERS)
+        else:
+            members = texts(frequent).mapInArrow(members_of_documents(window, gram), MEMBERS)
+        members = land(members, "contexts-of-frequent-grams")
         out = out.unionByName(frequent_intervals(members, window, prefixes[1:], group_rows, flush_rows, parts_of))
     return out.groupBy("dk", "th").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
