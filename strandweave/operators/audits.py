@@ -370,28 +370,29 @@ def orientation_diagnostic(df: DataFrame, reference: str, reverse_anchor: str =
             "reversed_window": F.reverse(ref),
         }
     )
-    ident = lambda a, b: percent_identity(a, b, unequal="truncate")
-    out = once(
-        out,
-        {
-            "id_as_is": ident("as_is", "reference_window"),
-            "id_rc": ident("reverse_complemented", "reference_window"),
-            "id_as_is_control": ident("as_is", "reversed_window"),
-            "id_rc_control": ident("reverse_complemented", "reversed_window"),
-        }
-    )
+    same = {
+        "id_as_is": ("as_is", "reference_window"),
+        "id_rc": ("reverse_complemented", "reference_window"),
+        "id_as_is_control": ("as_is", "reversed_window"),
+        "id_rc_control": ("reverse_complemented", "reversed_window"),
+    }
+    out = once(out, {f"_{k}": match_count(a, b) for k, (a, b) in same.items()})
+    compared = {k: F.least(F.length(a), F.length(b)) for k, (a, b) in same.items()}
+    out = out.withColumns({k: F.when(n > 0, F.col(f"_{k}") / n * 100) for k, n in compared.items()})
     best = F.when(F.col("id_as_is") >= F.coalesce("id_rc", F.lit(-1.0)), "as_is").when(F.col("id_rc").isNotNull(), "reverse_complement")
     out = out.withColumn("best_orientation", best)
     best_len = F.when(F.col("best_orientation") == "as_is", F.length("as_is")).when(
         F.col("best_orientation") == "reverse_complement", F.length("reverse_complemented"))
     excess = F.greatest(F.col("id_as_is_control") - F.col("id_as_is"), F.col("id_rc_control") - F.col("id_rc"))
+    # Counts decide: differences of percentages just miss 20 where the counts say 20 exactly.
+    above = lambda k: F.coalesce((F.col(f"_{k}_control") - F.col(f"_{k}")) * 5 >= compared[k], F.lit(False)) & (compared[k] > 0)
     return out.withColumns(
         {
             "length_difference": best_len - F.length("reference_window"),
             "control_excess": excess,
-            "control_excess_flag": F.coalesce(excess >= 20, F.lit(False)),
+            "control_excess_flag": F.coalesce(above("id_as_is") | above("id_rc"), F.lit(False)),
         }
-    )
+    ).drop(*[f"_{k}" for k in same])
 
 
 def validate_hits(df: DataFrame) -> DataFrame:

@@ -782,9 +782,10 @@ def h43(s, d):
 WITH {CLASSED}, o0 AS (SELECT *, CASE WHEN NOT rev THEN sstart + (lo_p - qstart) * 3 ELSE sstart - (hi_p - qstart) * 3 - 2 END AS lo, CASE WHEN NOT rev THEN sstart + (hi_p - qstart) * 3 + 2 ELSE sstart - (lo_p - qstart) * 3 END AS hi FROM ct WHERE NOT none),
 o1 AS (SELECT *, CASE WHEN lo >= 1 AND hi <= length(seq) THEN substr(seq, lo, hi - lo + 1) END AS raw, CASE WHEN lo >= 1 AND hi <= length(seq) THEN substr(reference, lo_p, hi_p - lo_p + 1) END AS ref FROM o0),
 o2 AS (SELECT *, {sql_translate('raw')} AS a, {sql_translate(RC('raw'))} AS b, reverse(ref) AS fer FROM o1),
-o3 AS (SELECT *, 100.0 * {sql_match('a', 'ref')} / least(length(a), length(ref)) AS i1, 100.0 * {sql_match('b', 'ref')} / least(length(b), length(ref)) AS i2, 100.0 * {sql_match('a', 'fer')} / least(length(a), length(fer)) AS i3, 100.0 * {sql_match('b', 'fer')} / least(length(b), length(fer)) AS i4 FROM o2)
+o3 AS (SELECT *, {sql_match('a', 'ref')} AS m1, {sql_match('b', 'ref')} AS m2, {sql_match('a', 'fer')} AS m3, {sql_match('b', 'fer')} AS m4, least(length(a), length(ref)) AS n1, least(length(b), length(ref)) AS n2 FROM o2),
+o4 AS (SELECT *, 100.0 * m1 / n1 AS i1, 100.0 * m2 / n2 AS i2, 100.0 * m3 / n1 AS i3, 100.0 * m4 / n2 AS i4 FROM o3)
 SELECT read_id, i1 AS id_as_is, i2 AS id_rc, i3 AS id_as_is_control, i4 AS id_rc_control, CASE WHEN raw IS NULL THEN 'window_off_read' ELSE '' END AS note, CASE WHEN i1 >= i2 THEN 'as_is' WHEN i2 IS NOT NULL THEN 'reverse_complement' END AS best_orientation, length(a) - length(ref) AS length_difference,
- greatest(i3 - i1, i4 - i2) AS control_excess, coalesce(greatest(i3 - i1, i4 - i2) >= 20, false) AS control_excess_flag FROM o3""")
+ greatest(i3 - i1, i4 - i2) AS control_excess, coalesce(5 * (m3 - m1) >= n1 OR 5 * (m4 - m2) >= n2, false) AS control_excess_flag FROM o4""")
 def h44(s, d):
     g = graded(s, d).filter(F.col("evidence_class") != "D")
     return au.orientation_diagnostic(g, "reference")
