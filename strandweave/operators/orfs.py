@@ -15,6 +15,8 @@ ALIGNMENT = "identity double, coverage double, aligned_ref int, score int"
 
 # Cells of score matrix that are held at once (four bytes each), of any number of alignments.
 BATCH_CELLS = 32_000_000
+# Cells of a group of alignments: its rows of scores stay in a core's cache.
+GROUP_CELLS = 16_000_000
 
 
 def _encode(seqs: list[str], width: int, blank: int) -> np.ndarray:
@@ -24,6 +26,57 @@ def _encode(seqs: list[str], width: int, blank: int) -> np.ndarray:
     return out
 
 
+def _align_whole(a: np.ndarray, b: np.ndarray, match: int, mismatch: int, gap: int, traceback: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(best score, alignment columns, equal ones) of pairs whose scores are all held: a row is (query, pair), so every step runs
+    along pairs that lie side by side. A score reaches no farther along a row than it is high, so the running maximum over
+    the query takes windows twice as wide each time until they are wider than the best score."""
+    (k, n), m = a.shape, b.shape[1]
+    kind = np.int16 if max(match, 1) * min(n, m) - gap * (m + 1) + abs(mismatch) < 32_000 else np.int32
+    a, b = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
+    ramp = (np.arange(1, m + 1) * -gap).astype(kind)[:, None]
+    h = np.zeros((n + 1, m + 1, k), dtype=kind)
+    inner, upper, zero = np.empty((m, k), dtype=kind), np.empty((m, k), dtype=kind), np.zeros((m, k), dtype=kind)
+    best, bi, bj = (np.zeros(k, dtype=np.int64) for _ in range(3))
+    for i in range(1, n + 1):
+        above, row = h[i - 1], h[i]
+        np.multiply((b == a[i - 1]).view(np.int8), kind(match - mismatch), out=inner)
+        inner += above[:-1]
+        inner += kind(mismatch)
+        np.add(above[1:], kind(gap), out=upper)
+        np.maximum(inner, upper, out=inner)
+        np.maximum(inner, zero, out=inner)
+        reach, shift = (int(inner.max()) // -gap if gap < 0 else m), 1
+        inner += ramp
+        while shift <= min(reach, m - 1):
+            upper[:shift] = inner[:shift]
+            np.maximum(inner[shift:], inner[:-shift], out=upper[shift:])
+            inner, upper, shift = upper, inner, 2 * shift
+        np.subtract(inner, ramp, out=row[1:])
+        top = row.max(axis=0)
+        up = np.flatnonzero(top > best)
+        if len(up):
+            best[up], bi[up], bj[up] = top[up], i, row[:, up].argmax(axis=0)
+    columns, same = np.zeros(k, dtype=np.int64), np.zeros(k, dtype=np.int64)
+    scores, wide = h.reshape(-1), (m + 1) * k
+    live = np.flatnonzero(best > 0)
+    x, y = bi[live], bj[live]
+    while len(live):
+        at = x * wide + y * k + live
+        here = scores[at]
+        if not here.all():  # row and column 0 have no score
+            on = here > 0
+            live, x, y, at, here = live[on], x[on], y[on], at[on], here[on]
+        equal = a[x - 1, live] == b[y - 1, live]
+        diagonal = here == scores[at - wide - k] + np.where(equal, match, mismatch)
+        upward = here == scores[at - wide] + gap
+        columns[live] += 1
+        same[live] += equal if traceback == "legacy" else equal & diagonal
+        first = upward if traceback != "legacy" else ~upward
+        x = x - (diagonal | first)
+        y = y - (diagonal | ~first)
+    return best, columns, same
+
+
 def align_batch(references: list[str], queries: list[str], match: int = 1, mismatch: int = -1, gap: int = -1,
                 traceback: str = "standard") -> list[tuple[float, float, int, int]]:
     """Smith-Waterman with linear gaps for many pairs at once.
@@ -52,12 +105,13 @@ def align_batch(references: list[str], queries: list[str], match: int = 1, misma
         return out
 
     best, bi, bj = (np.zeros(k, dtype=np.int64) for _ in range(3))
+    lengths = np.array([len(r) for r in references])
+    if (n + 1) * (m + 1) * k <= BATCH_CELLS:
+        best, columns, same = _align_whole(a, b, match, mismatch, gap, traceback)
+        return _metrics(best, columns, same, lengths)
     row, at = np.zeros((k, m + 1), dtype=np.int32), np.arange(k)
-    whole = [row] if (n + 1) * row.size <= BATCH_CELLS else None
     for i in range(1, n + 1):
         row = below(row, i)
-        if whole:
-            whole.append(row)
         j = row.argmax(axis=1)
         up = row[at, j] > best
         best[up], bi[up], bj[up] = row[at, j][up], i, j[up]
@@ -67,7 +121,7 @@ def align_batch(references: list[str], queries: list[str], match: int = 1, misma
     def follow(h: np.ndarray, top: int) -> None:
         """Walk all pairs through rows of scores that begin at row ``top``, until they leave or end there."""
         while True:
-            live = at[(i > top) & (j > 0)]
+            live = at[(i > top) & (i < top + len(h)) & (j > 0)]
             live = live[h[i[live] - top, live, j[live]] > 0]
             if not len(live):
                 return
@@ -101,14 +155,14 @@ def align_batch(references: list[str], queries: list[str], match: int = 1, misma
         del half
         back(top, middle, row)
 
-    if whole:
-        follow(np.stack(whole), 0)
-    else:
-        back(0, n, np.zeros((k, m + 1), dtype=np.int32))
-    lengths = np.array([len(r) for r in references])
+    back(0, n, np.zeros((k, m + 1), dtype=np.int32))
+    return _metrics(best, columns, same, lengths)
+
+
+def _metrics(best: np.ndarray, columns: np.ndarray, same: np.ndarray, lengths: np.ndarray) -> list[tuple[float, float, int, int]]:
     return [
         (100.0 * same[z] / columns[z], 100.0 * columns[z] / lengths[z], int(columns[z]), int(best[z])) if best[z] > 0 else (0.0, 0.0, 0, 0)
-        for z in range(k)
+        for z in range(len(best))
     ]
 
 
@@ -120,19 +174,20 @@ def align_local(reference: str, query: str, traceback: str = "standard") -> tupl
 
 def _align_series(ref: pd.Series, qry: pd.Series, traceback: str) -> pd.DataFrame:
     """Pairs of an Arrow batch in order of size, cut into groups of bounded memory."""
+    ref, qry = ref.tolist(), qry.tolist()
     out = [(0.0, 0.0, 0, 0)] * len(ref)
-    order = sorted((z for z in range(len(ref)) if ref.iloc[z] and qry.iloc[z]), key=lambda z: (len(qry.iloc[z]), len(ref.iloc[z])))
+    order = sorted((z for z in range(len(ref)) if ref[z] and qry[z]), key=lambda z: (len(qry[z]), len(ref[z])))
     group, n, m = [], 0, 0
 
     def flush():
-        for z, r in zip(group, align_batch([ref.iloc[z] for z in group], [qry.iloc[z] for z in group], traceback=traceback)):
+        for z, r in zip(group, align_batch([ref[z] for z in group], [qry[z] for z in group], traceback=traceback)):
             out[z] = r
 
     for z in order:
-        n2, m2 = max(n, len(ref.iloc[z])), max(m, len(qry.iloc[z]))
-        if group and (n2 + 1) * (m2 + 1) * (len(group) + 1) > BATCH_CELLS:
+        n2, m2 = max(n, len(ref[z])), max(m, len(qry[z]))
+        if group and (n2 + 1) * (m2 + 1) * (len(group) + 1) > min(BATCH_CELLS, GROUP_CELLS):
             flush()
-            group, n2, m2 = [], len(ref.iloc[z]), len(qry.iloc[z])
+            group, n2, m2 = [], len(ref[z]), len(qry[z])
         group.append(z)
         n, m = n2, m2
     if group:
