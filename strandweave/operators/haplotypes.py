@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.reads import haplotype_aa
+from ..session import cut_lineage
 from .ranking import first_per_group, share_of_total
 
 QUALITY_THRESHOLDS = (0, 10, 15, 20, 25, 30)
@@ -124,22 +125,21 @@ def family_metrics(phased: DataFrame, positions: tuple[int, int], alleles: dict[
                    min_quality: int = 10) -> DataFrame:
     """Long (metric, value): distinct families per site, per allele and distinct family combinations.
 
-    Flags are computed per family first, so no multi-distinct expansion of the rows is needed.
+    The phased rows are read once: counts and flags are kept per combination of families, and the metrics come from those.
     """
-    kept = phased.filter(F.col("min_phred_both") >= min_quality)
-    frames = [
-        kept.agg(F.count(F.lit(1)).alias("v")).select(F.lit("phased_records").alias("metric"), F.col("v").alias("value"))
-    ]
+    a, b = positions
+    flag = lambda p, x: f"_{p}_{x}"
+    combos = phased.filter(F.col("min_phred_both") >= min_quality).groupBy(f"family_{a}", f"family_{b}").agg(
+        F.count(F.lit(1)).alias("_n"), *[F.bool_or(F.col(f"aa_{p}") == x).alias(flag(p, x)) for p in positions for x in alleles[p]]
+    )
+    combos = cut_lineage(combos, "family_combinations")
+    whole = combos.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("phased_records"), F.count(F.lit(1)).alias("family_combinations"))
+    frames = [whole.unpivot([], whole.columns, "metric", "value")]
     for p in positions:
-        per = kept.groupBy(f"family_{p}").agg(
-            *[F.bool_or(F.col(f"aa_{p}") == x).alias(f"_{x}") for x in alleles[p]]
-        )
+        per = combos.groupBy(f"family_{p}").agg(*[F.bool_or(flag(p, x)).alias(f"_{x}") for x in alleles[p]])
         cols = [F.count(F.lit(1)).alias(f"families_{p}"), *[F.count_if(f"_{x}").alias(f"families_{p}_{x}") for x in alleles[p]]]
         one = per.agg(*cols)
         frames.append(one.unpivot([], one.columns, "metric", "value"))
-    a, b = positions
-    combos = kept.select(f"family_{a}", f"family_{b}").distinct().agg(F.count(F.lit(1)).alias("family_combinations"))
-    frames.append(combos.unpivot([], combos.columns, "metric", "value"))
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)
