@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .running import running
@@ -118,13 +118,8 @@ def islands(df: DataFrame, keys: list[str], position: str, bucket_width: int = C
     )
 
 
-def depth(df: DataFrame, keys: list[str], lengths: DataFrame, length: str, start: str = "start", end: str = "end",
-          bucket_width: int = COORDINATE_BUCKET) -> DataFrame:
-    """Support depth of every position 1..length per key -> (keys, position, depth).
-
-    Two signed rows per interval are summed per position map-side, the spine of positions joins
-    the same aggregation with weight 0, and one running sum gives the depth.
-    """
+def _edges(df: DataFrame, keys: list[str], lengths: DataFrame, length: str, start: str, end: str) -> DataFrame:
+    """(keys, position, _len, _d): signed rows of interval starts and ends, combined by coordinate."""
     edges = df.filter(F.greatest(F.lit(1), F.col(start)) <= F.col(end)).select(
         *keys,
         F.inline(
@@ -135,11 +130,21 @@ def depth(df: DataFrame, keys: list[str], lengths: DataFrame, length: str, start
         ),
     )
     # Combined before the join: a key brings at most a row for each coordinate. Edges beyond the length change nothing inside.
-    signed = (
+    return (
         edges.groupBy(*keys, "position").agg(F.sum("_d").alias("_d"))
         .join(lengths.select(*keys, F.col(length).alias("_len")), keys)
-        .filter(F.col("position") <= F.col("_len")).select(*keys, "position", "_d")
+        .filter(F.col("position") <= F.col("_len")).select(*keys, "position", "_len", "_d")
     )
+
+
+def depth(df: DataFrame, keys: list[str], lengths: DataFrame, length: str, start: str = "start", end: str = "end",
+          bucket_width: int = COORDINATE_BUCKET) -> DataFrame:
+    """Support depth of every position 1..length per key -> (keys, position, depth).
+
+    Two signed rows per interval are summed per position map-side, the spine of positions joins
+    the same aggregation with weight 0, and one running sum gives the depth.
+    """
+    signed = _edges(df, keys, lengths, length, start, end).select(*keys, "position", "_d")
     spine = lengths.select(
         *keys, F.explode(F.sequence(F.lit(1).cast("long"), F.col(length).cast("long"))).alias("position"), F.lit(0).cast("long").alias("_d")
     )
@@ -152,6 +157,29 @@ def depth(df: DataFrame, keys: list[str], lengths: DataFrame, length: str, start
     return running(step, keys, "_b", ["position"], "depth", "sum", F.col("_d")).select(*keys, "position", "depth")
 
 
+def depth_runs(df: DataFrame, keys: list[str], lengths: DataFrame, length: str, start: str = "start", end: str = "end",
+               bucket_width: int = COORDINATE_BUCKET) -> DataFrame:
+    """Runs of equal depth over positions 1..length per key -> (keys, position, n, depth), ``n`` positions from ``position`` on.
+
+    The same as ``depth`` without a row per position: a run goes from an edge to the next, and a row of weight 0 opens each
+    bucket, so no run leaves its bucket."""
+    signed = _edges(df, keys, lengths, length, start, end).withColumn("_len", F.col("_len").cast("long"))
+    width = F.col("_len").cast("long")
+    buckets = F.explode(F.sequence(F.lit(0).cast("long"), F.floor(width / bucket_width))).alias("_b")
+    rims = lengths.select(*keys, F.col(length).alias("_len")).filter(width >= 1).select(*keys, width.alias("_len"), buckets)
+    rims = rims.select(*keys, F.greatest(F.lit(1).cast("long"), F.col("_b") * bucket_width).alias("position"), "_len", F.lit(0).cast("long").alias("_d"))
+    step = (
+        signed.unionByName(rims)
+        .groupBy(*keys, "position")
+        .agg(F.sum("_d").alias("_d"), F.max("_len").alias("_len"))
+        .withColumn("_b", F.floor(F.col("position") / bucket_width))
+    )
+    behind = F.least((F.col("_b") + 1) * bucket_width, F.col("_len") + 1)
+    following = F.lead("position").over(Window.partitionBy(*keys, "_b").orderBy("position"))
+    step = step.withColumn("n", F.coalesce(following, behind) - F.col("position"))
+    return running(step, keys, "_b", ["position"], "depth", "sum", F.col("_d")).select(*keys, "position", "n", "depth")
+
+
 def uncovered(depths: DataFrame, keys: list[str], bucket_width: int = COORDINATE_BUCKET) -> DataFrame:
     """Maximal zero-depth runs."""
     return islands(depths.filter(F.col("depth") == 0), keys, "position", bucket_width)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sequence import _c, reverse_complement
-from .intervals import depth, merged_segments
+from .intervals import depth_runs, merged_segments
 from .once import once
 from .pairs import mate_support
 from .ranking import first_per_group
@@ -41,10 +41,11 @@ def consolidate_reads(hits: DataFrame, tie: list[Column], keys: tuple[str, ...]
     )
 
 
-def depth_statistics(depths: DataFrame, keys: list[str], thresholds=DEPTH_THRESHOLDS) -> DataFrame:
-    """Coverage %, mean / median / min / max depth and the share of positions at each depth."""
+def depth_statistics(depths: DataFrame, keys: list[str], thresholds=DEPTH_THRESHOLDS, positions: str | None = None) -> DataFrame:
+    """Coverage %, mean / median / min / max depth and the share of positions at each depth; ``positions``: the column with the
+    number of positions a row stands for, one each without it."""
     d = F.col("depth")
-    c = depths.groupBy(*keys, "depth").agg(F.count(F.lit(1)).alias("_n"))
+    c = depths.groupBy(*keys, "depth").agg((F.sum(positions) if positions else F.count(F.lit(1))).alias("_n"))
     n = F.sum("_n")
     return c.groupBy(*keys).agg(
         (100.0 * F.sum(F.when(d >= 1, F.col("_n")).otherwise(0)) / n).alias("coverage_pct"),
@@ -66,8 +67,7 @@ def gene_recovery(per_read: DataFrame, lengths: DataFrame, thresholds=DEPTH_THRE
     """One row per target gene, targets without reads included, from one row per gene, mate and read: reads by mate, depth
     statistics, identity and e-value statistics, mate concordance, observation status."""
     seg = per_read.select(gene, F.explode("query_segments").alias("_s")).select(gene, F.col("_s.start").alias("start"), F.col("_s.end").alias("end"))
-    depths = depth(seg, [gene], lengths, length)
-    stats = depth_statistics(depths, [gene], thresholds)
+    stats = depth_statistics(depth_runs(seg, [gene], lengths, length), [gene], thresholds, "n")
     reads = per_read.groupBy(gene).agg(
         F.count_if(F.col("mate") == "R1").alias("reads_r1"), F.count_if(F.col("mate") == "R2").alias("reads_r2"),
         *_score_statistics("best_pident", "pident"), *_score_statistics("best_evalue", "evalue"),

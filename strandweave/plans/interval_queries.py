@@ -329,7 +329,7 @@ SELECT key, 100.0 * avg(CAST(depth >= 1 AS INTEGER)) AS coverage_pct, avg(depth)
 def d2b(s, d):
     i = intervals(s, d)
     lens = i.select("key").distinct().withColumn("len", F.lit(4600))
-    return depth_statistics(iv.depth(i, ["key"], lens, "len", bucket_width=512), ["key"], ())
+    return depth_statistics(iv.depth_runs(i, ["key"], lens, "len"), ["key"], (), "n")
 
 
 @query("d48_mate_support", "gene s, n_pairs_any i, n_pairs_both i, mate_concordance_pct d", f"""
@@ -343,7 +343,9 @@ def d48(s, d):
 WITH {PER_READ} SELECT gene, max(seg_end) FILTER (WHERE seg_start <= {N_FLANK[1]}) AS max_n_end, min(seg_start) FILTER (WHERE seg_end >= {C_FLANK[0]}) AS min_c_start,
  min(seg_start) FILTER (WHERE seg_end >= {C_FLANK[0]}) - max(seg_end) FILTER (WHERE seg_start <= {N_FLANK[1]}) - 1 AS missing_aa FROM qm GROUP BY gene""")
 def d55(s, d):
-    return gap_boundaries(iv.merge_intervals(nhits(s, d), ["gene", "mate", "read_id"], "qstart", "qend"), N_FLANK[1], C_FLANK[0], ["gene"])
+    merged = iv.merge_within(nhits(s, d), ["gene", "mate", "read_id"], "qstart", "qend", "_m")
+    segments = merged.select("gene", F.inline("_m")).toDF("gene", "seg_start", "seg_end")
+    return gap_boundaries(segments, N_FLANK[1], C_FLANK[0], ["gene"])
 
 
 FLAGS = f"""fl AS (SELECT gene, mate, read_id, bool_or(seg_start <= {N_FLANK[1]} AND seg_end >= {N_FLANK[0]}) AS fn,
