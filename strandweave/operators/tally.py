@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 #: Slots of all totals that a task holds before it sends them on.
 HELD_SLOTS = 1 << 22
+#: Characters that are counted at once, or those of one text: a character takes some thirty bytes on the way.
+HELD_CHARACTERS = 1 << 20
 
 
 def _characters(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -22,6 +24,17 @@ def _characters(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return codes, pc.utf8_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def _parts(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that the texts of a part have at most HELD_CHARACTERS characters, or are one text."""
+    for batch in batches:
+        ends = np.cumsum(pc.utf8_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        lo = 0
+        while lo < len(ends):
+            hi = max(int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + HELD_CHARACTERS, side="right")), lo + 1)
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
 def _within(sizes: np.ndarray) -> np.ndarray:
     """0, 1, .. within each text."""
     ends = np.cumsum(sizes)
@@ -46,7 +59,7 @@ def cycle_totals(df: DataFrame, key: str, text: str) -> DataFrame:
                                                  names=[key, "cycle", "reads", "code_sum"])
             held.clear()
 
-        for batch in batches:
+        for batch in _parts(batches, 1):
             arrow = batch.column(0).type
             named = batch.column(0).dictionary_encode(null_encoding="encode")
             own = named.indices.to_numpy(zero_copy_only=False)
@@ -80,7 +93,7 @@ def character_counts(df: DataFrame, keys: list[str], text: str, name: str = "cha
     schema = T.StructType([*fields, T.StructField(name, T.StringType()), T.StructField(count, T.LongType())])
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches, len(keys)):
             codes, sizes = _characters(batch.column(len(keys)))
             both = (np.repeat(np.arange(len(sizes)), sizes) << 21) | codes
             seen, n = np.unique(both, return_counts=True)
