@@ -37,9 +37,9 @@ TOKENS = re.compile(rb"[.,;:!?\x0A-\x0D]|[^\x20\x09.,;:!?\x0A-\x0D]+")
 #: Codes that go to the tasks at each level; those of lower rank are joined.
 HEAD = 400_000
 #: Edge of a tile, the share of its cells from which it is counted densely, dense tiles a task holds, pairs counted at a time.
-EDGE, DENSE, TILES, PAIRS = 1024, 1 / 16, 8, 1 << 22
+EDGE, DENSE, TILES, PAIRS = 1024, 1 / 16, 8, 1 << 20
 #: Sorted cells a task holds before they go to Spark, and counted words.
-CELLS, WORDS = 1 << 21, 400_000
+CELLS, WORDS = 1 << 20, 400_000
 
 
 def _language(lang: str | None) -> str:
