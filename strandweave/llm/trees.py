@@ -33,7 +33,8 @@ from .repeats import resolve
 GRAMS = "gram long, dk long, th long, n long"
 CONTEXTS = "gram long, dk long, th long, places array<long>, windows int, context binary"
 INTERVALS = "dk long, th long, start long, stop long"
-MEMBERS = "h1 long, h2 long, dk long, th long, place long, least long, context binary"
+MEMBERS = "h1 long, h2 long, chunk long, dk array<long>, th array<long>, place array<long>, least long, context binary"
+COVERED = "chunk long, found array<struct<dk: long, th: long, start: long, stop: long>>"
 PARTS = "gram long, h1 long, h2 long, dk long, first int, windows int, context binary"
 LEAST = "h1 long, h2 long, first int, least array<long>"
 WHOLE = "w1 long, w2 long, h1 long, h2 long, dk long, first int"
@@ -137,26 +138,78 @@ def contexts_of_documents(window: int, gram: int):
 
 
 def members_of_documents(window: int, gram: int, few: Few | None = None):
-    """(dk, th, text[, grams]) -> MEMBERS of the grams listed, or of ``few``: each context by a hash of 128 bits of its words. Of equal ones in a chunk, the first
-    row carries the words and the smallest dk of all."""
+    """(dk, th, text[, grams]) -> MEMBERS of the grams listed, or of ``few``: each context by a hash of 128 bits of its words.
+
+    Equal ones in a chunk are one row with all their places, so copies do not make rows of their own. least: the smallest dk of
+    these. chunk: a number that rows of one chunk share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0).to_numpy()
+            keys, hashes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for lo, part, words, bounds, start, end, doc, _, first, last in anchored(batch.column(2), window, gram, few or Listed(batch.column(3))):
                 h1, h2 = (span_hash(prefix(mix(words + np.uint64(k))), first, last + window) for k in (1, 2))
                 order = np.lexsort((keys[lo + doc], h2, h1))
                 h1, h2, doc, first, last = (v[order] for v in (h1, h2, doc, first, last))
-                head = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
-                dk, row = keys[lo + doc], pa.array(lo + doc)
-                some = take_spans(part, start[first[head]], end[last[head] + window - 1])
-                pick = pa.array(np.cumsum(head) - 1, mask=~head)
-                yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(dk), batch.column(1).take(row), pa.array(first - bounds[doc]),
-                                                  pa.array(dk, mask=~head), some.take(pick)], names=["h1", "h2", "dk", "th", "place", "least", "context"])
+                head = np.flatnonzero(np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]))
+                at = pa.array(np.append(head, len(h1)).astype(np.int32))
+                dk, th = keys[lo + doc], hashes[lo + doc]
+                names = slice(lo, lo + len(bounds) - 1)
+                chunk = mix(mix(keys[names].view(np.uint64)) + hashes[names].view(np.uint64)).sum(keepdims=True).view(np.int64)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(h1[head].view(np.int64)), pa.array(h2[head].view(np.int64)), pa.array(np.repeat(chunk, len(head))),
+                    *[pa.ListArray.from_arrays(at, pa.array(v)) for v in (dk, th, first - bounds[doc])], pa.array(dk[head]),
+                    take_spans(part, start[first[head]], end[last[head] + window - 1])], names=["h1", "h2", "chunk", "dk", "th", "place", "least", "context"])
 
     return run
 
 
+def covered_members(window: int):
+    """(chunk, dk, th, place, at, least) -> COVERED: members of each context with windows that also start in a smaller document.
+
+    at, least: windows of the context, from 0, and the smallest dk of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dk, th, place, at, least = (batch.column(i).flatten().to_numpy() for i in range(1, 6))
+            many, windows = (batch.column(i).value_lengths().to_numpy().astype(np.int64) for i in (1, 4))
+            row = np.repeat(np.arange(len(many)), many)
+            size, begin = windows[row], (np.cumsum(windows) - windows)[row]
+            member, w = np.repeat(np.arange(len(dk)), size), ranges(begin, size)
+            on = least[w] < dk[member]
+            member, w = member[on], w[on]
+            low, high = np.full(len(dk), 1 << 40), np.full(len(dk), -1)
+            np.minimum.at(low, member, at[w])
+            np.maximum.at(high, member, at[w])
+            hit = np.flatnonzero(high >= 0)
+            found = pa.StructArray.from_arrays([pa.array(v) for v in (dk[hit], th[hit], place[hit] + low[hit], place[hit] + high[hit] + window)], names=["dk", "th", "start", "stop"])
+            count = np.bincount(row[hit], minlength=len(many))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), found)
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["chunk", "found"]).filter(pa.array(count > 0))
+
+    return run
+
+
+def joined_intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(found: lists of lists) of whole chunks -> INTERVALS, those of one document that touch as one."""
+    for batch in batches:
+        lists = batch.column(0)
+        flat = lists.flatten()
+        size = np.diff(np.concatenate([[0], np.cumsum(flat.value_lengths().to_numpy().astype(np.int64))])[np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])])
+        found = flat.flatten()
+        dk, th, start, stop = (found.field(i).to_numpy() for i in range(4))
+        row = np.repeat(np.arange(len(size)), size)
+        order = np.lexsort((start, th, dk, row))
+        dk, th, start, stop, row = (v[order] for v in (dk, th, start, stop, row))
+        if not len(dk):
+            continue
+        other = np.concatenate([[True], (dk[1:] != dk[:-1]) | (th[1:] != th[:-1]) | (row[1:] != row[:-1])])
+        step = np.cumsum(other) * (1 << 40)  # words of a document are fewer
+        reach = np.maximum.accumulate(stop + step)
+        new = np.flatnonzero(other | np.concatenate([[True], (start + step)[1:] > reach[:-1]]))
+        last = np.append(new[1:], len(dk)) - 1
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in (dk[new], th[new], start[new], reach[last] - step[last])], names=["dk", "th", "start", "stop"])
+
+
 def parts_of_contexts(window: int, gram: int):
     """(h1, h2, dk, first, context) -> PARTS: the runs of windows of each context with the same longer anchor."""
 
@@ -294,7 +347,7 @@ def solve_least(table: pa.Table, window: int) -> pa.RecordBatch:
 def frequent_intervals(members: DataFrame, window: int, longer: tuple[int, ...], group_rows: int, flush_rows: int, parts_of: int) -> DataFrame:
     """MEMBERS of frequent grams -> INTERVALS. Trees hold different contexts only, dealt by the first of the ``longer`` grams that fits."""
     session = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = members.where(F.col("context").isNotNull()).groupBy("h1", "h2").agg(F.min("least").alias("dk"), F.min("context").alias("context"))
+    rows = members.groupBy("h1", "h2").agg(F.min("least").alias("dk"), F.min("context").alias("context"))
     rows, found = rows.select("h1", "h2", "dk", F.lit(0).alias("first"), "context"), []
     for gram in longer:
         parts = land(rows.mapInArrow(parts_of_contexts(window, gram), PARTS), f"contexts-by-{gram}-words")
@@ -313,9 +366,10 @@ def frequent_intervals(members: DataFrame, window: int, longer: tuple[int, ...],
         found.append(single.join(least, ["w1", "w2"]).select("h1", "h2", "first", F.array("least").alias("least")))
     each = F.transform("least", lambda x, i: F.struct((F.col("first") + i).alias("at"), x.alias("dk")))
     least = reduce(DataFrame.unionByName, found).groupBy("h1", "h2").agg(F.flatten(F.collect_list(each)).alias("least"))
-    at = F.transform(F.filter("least", lambda x: x["dk"] < F.col("dk")), lambda x: x["at"])
-    back = members.select("h1", "h2", "dk", "th", "place").join(small(least, BROADCAST_ROWS), ["h1", "h2"]).select("dk", "th", "place", at.alias("at")).where(F.size("at") > 0)
-    return back.select("dk", "th", (F.col("place") + F.array_min("at")).alias("start"), (F.col("place") + F.array_max("at") + window).alias("stop"))
+    back = members.select("h1", "h2", "chunk", "dk", "th", "place").join(small(least, BROADCAST_ROWS), ["h1", "h2"])
+    back = back.select("chunk", "dk", "th", "place", F.col("least")["at"].cast("array<long>").alias("at"), F.col("least")["dk"].alias("least")).mapInArrow(covered_members(window), COVERED)
+    # Those of a chunk come together again before they are told apart: one row for each stretch of a document, not for each context.
+    return back.groupBy("chunk").agg(F.collect_list("found").alias("found")).select("found").mapInArrow(joined_intervals, INTERVALS)
 
 
 def repeated_words(base: DataFrame, window: int, prefixes: tuple[int, ...], group_rows: int, flush_rows: int = 10_000, context_bytes: int = 64 << 20) -> DataFrame:

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 import pytest
 from pyspark.sql import functions as F
@@ -216,6 +217,20 @@ def test_frequent_grams_take_longer_prefixes(spark, monkeypatch, group_rows, pre
     assert rows_of(substrings.remove_repeated_words(df, prefixes=prefixes, group_rows=group_rows)) == expected_words(rows)
 
 
+def test_copies_make_no_rows_of_frequent_grams(spark):
+    """A context of many documents is one row of a chunk, joined once; each of its documents gets its own intervals."""
+    rng = random.Random(8)
+    passage = [f"w{rng.randint(0, 400)}" for _ in range(60)]
+    rows = [(i, " ".join([f"a{i}", *passage[i % 3:], f"z{i}"])) for i in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(list(range(300))), pa.array([0] * 300), pa.array([t for _, t in rows])], names=["dk", "th", "text"])
+    grams = np.unique(np.concatenate([found for *_, found, _, _ in trees.anchored(batch.column(2), 13, 5)])).view(np.int64)
+    got = list(trees.members_of_documents(13, 5, trees.Few(grams))(iter([batch])))
+    contexts = {k for b in got for k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
+    assert sum(b.num_rows for b in got) == len(contexts)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert rows_of(substrings.remove_repeated_words(df, group_rows=2)) == expected_words(rows)
+
+
 def sets_of(rows):
     out = {}
     for d, t, *_ in rows:
