@@ -1,13 +1,14 @@
 """Language identification by the nearest of several centroids for each language.
 
 A text's features are its byte trigrams, hashed, weighted by TF-IDF and normalised. Document frequencies come from all
-labelled training rows; the centroids from a bounded sample of them, by spherical k-means. A prediction is the language of
-the centroid with the highest cosine; texts farther from it than nearly all of the sample of that language are at their
-length are rejected.
+labelled training rows; the centroids from all their different texts, by spherical k-means: each round is a pass over the texts
+in which tasks add up the vectors nearest to each centroid. A prediction is the language of the centroid with the highest
+cosine; texts farther from it than nearly all learned texts of that language are at their length are rejected.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,8 +24,12 @@ BINS = 4096
 UNKNOWN = "und"
 #: Classes of length: class c has texts of 2**c trigrams to below twice as many.
 CLASSES = 40
-#: Parts of the sample; each is compared with centroids of the others.
+#: Parts of the learned texts; each is compared with centroids of the others.
 FOLDS = 4
+#: Vectors are added up as integers of this many to one, so sums do not depend on the order of tasks.
+SCALE = 1 << 16
+#: Steps of cosines from 0 to 1 that limits are found among.
+STEPS = 4096
 #: Least rank of a score that is a limit, so that one or two odd texts do not set it.
 LEAST_RANK = 3
 
@@ -39,12 +44,13 @@ class Model:
 
 def fold(raw: np.ndarray) -> np.ndarray:
     """Lower case for ASCII and the Latin letters of two bytes; all that is not a letter becomes a space."""
-    b = lower_table()[raw]
-    if len(b) > 1:
-        upper = np.zeros(len(b), bool)
-        upper[1:] = (raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97)
-        b = b + np.where(upper, np.uint8(32), np.uint8(0))
-    return np.where((b < 128) & ~((b >= 97) & (b <= 122)), np.uint8(32), b)
+    table = lower_table().copy()
+    code = np.arange(256)
+    table[(code < 128) & ~((table >= 97) & (table <= 122))] = 32
+    b = table[raw]
+    second = np.flatnonzero(raw[:-1] == 0xC3) + 1
+    b[second[(raw[second] >= 0x80) & (raw[second] <= 0x9E) & (raw[second] != 0x97)]] += np.uint8(32)
+    return b
 
 
 def trigram_bins(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -52,10 +58,17 @@ def trigram_bins(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     if len(raw) < 3:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     b = fold(raw)
-    code = (b[:-2].astype(np.uint32) << 16) | (b[1:-1].astype(np.uint32) << 8) | b[2:]
-    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    keep = (doc[:-2] == doc[2:]) & ~((b[:-2] == 32) & (b[1:-1] == 32)) & ~((b[1:-1] == 32) & (b[2:] == 32))
-    return doc[:-2][keep], ((code[keep] * np.uint32(0x9E3779B1)) >> np.uint32(20)).astype(np.int64)
+    space = b == 32
+    two = space[:-1] & space[1:]
+    keep = ~(two[:-1] | two[1:])
+    for back in (1, 2):
+        across = offsets[1:-1] - back
+        keep[across[(across >= 0) & (across < len(keep))]] = False
+    at = np.flatnonzero(keep)
+    wide = b.astype(np.uint32)
+    code = ((wide[:-2] << 16) | (wide[1:-1] << 8) | wide[2:])[at]
+    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(at, offsets)))
+    return doc, ((code * np.uint32(0x9E3779B1)) >> np.uint32(20)).astype(np.int64)
 
 
 def trigram_counts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -130,33 +143,119 @@ def labelled_sample(labelled: DataFrame, bound: int) -> DataFrame:
     return picked.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= each).select("lang", "text", "k")
 
 
-def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 15) -> np.ndarray:
-    """At most k unit centroids; begun from the rows farthest from those chosen before."""
-    mean = x.mean(axis=0)
-    chosen = [int(np.argmax(x @ mean))]
-    best = x @ x[chosen[0]]
-    while len(chosen) < min(k, len(x)):
-        chosen.append(int(np.argmin(best)))
-        best = np.maximum(best, x @ x[chosen[-1]])
-    centres = x[chosen]
-    for _ in range(rounds):
-        near = np.argmax(x @ centres.T, axis=1)
-        new = np.stack([x[near == i].sum(axis=0) if (near == i).any() else centres[i] for i in range(len(centres))])
-        new /= np.maximum(np.linalg.norm(new, axis=1, keepdims=True), 1e-12)
-        if np.allclose(new, centres, atol=1e-6):
+def different_texts(labelled: DataFrame) -> DataFrame:
+    """(lang, text, k): every text of a language once; k is a hash of it."""
+    return labelled.select("lang", "text", F.xxhash64("text").alias("k")).dropDuplicates(["lang", "k"])
+
+
+def vectors_by_language(batches: Iterator[pa.RecordBatch], idf: np.ndarray):
+    """(lang, k, vectors) of runs of the (lang, k, text) of a task; texts without trigrams are left out."""
+    for batch in batches:
+        lang, k = np.array(batch.column(0).to_pylist(), object), batch.column(1).to_numpy()
+        for lo, hi, part, at in small_chunks(batch.column(2)):
+            counts = trigram_counts(part, at)
+            on = np.flatnonzero(counts.any(axis=1))
+            names, x = lang[lo:hi][on], vectors(counts[on], idf)
+            for name in sorted(set(names)):
+                own = names == name
+                yield name, k[lo:hi][on][own], x[own]
+
+
+def nearest_sums(texts: DataFrame, idf: np.ndarray, centres: dict[str, np.ndarray] | None, folds: int = 1) -> dict[tuple[str, int, int], np.ndarray]:
+    """Sum of the vectors of each (lang, nearest centroid, k modulo ``folds``); without ``centres`` a language has one sum.
+
+    A task sends one sum for each of them; those of one are added up in one task. Nothing but the sums comes to the driver."""
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[str, int, int], np.ndarray] = {}
+        for lang, k, x in vectors_by_language(batches, idf):
+            near = np.argmax(x @ centres[lang].T, axis=1) if centres else np.zeros(len(x), np.int64)
+            group, row = np.unique(near * folds + k % folds, return_inverse=True)
+            member = np.zeros((len(group), len(x)), np.float32)
+            member[row, np.arange(len(x))] = 1
+            total = (member @ np.rint(x * SCALE)).astype(np.int64)  # exact: at most 256 rows of at most 2**16
+            for g, v in zip(group.tolist(), total, strict=True):
+                key = lang, g // folds, g % folds
+                sums[key] = sums[key] + v if key in sums else v
+        for (lang, c, f), v in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([c]), pa.array([f]), pa.array([v.tobytes()])], names=["lang", "c", "f", "sums"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[str, int, int], np.ndarray] = {}
+        for batch in batches:
+            for lang, c, f, v in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                key, v = (lang, c, f), np.frombuffer(v, np.int64)
+                sums[key] = sums[key] + v if key in sums else v
+        for (lang, c, f), v in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([c]), pa.array([f]), pa.array([v.astype(np.float32).tobytes()])], names=["lang", "c", "f", "sums"])
+
+    schema = "lang string, c long, f long, sums binary"
+    got = texts.select("lang", "k", "text").mapInArrow(local, schema).repartition("lang", "c", "f").mapInArrow(added, schema).collect()
+    return {(r["lang"], r["c"], r["f"]): np.frombuffer(r["sums"], np.float32) for r in got}
+
+
+def farthest(texts: DataFrame, idf: np.ndarray, begun: dict[str, np.ndarray], sign: int) -> dict[str, tuple[int, np.ndarray]]:
+    """(k, vector) of the text of each language whose highest cosine with its vectors ``begun``, times ``sign``, is least."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[str, tuple[float, int, bytes]] = {}
+        for lang, k, x in vectors_by_language(batches, idf):
+            if lang in begun:
+                cosine = sign * (x @ begun[lang].T).max(axis=1).astype(np.float64)
+                i = int(np.lexsort((k, cosine))[0])
+                best[lang] = min(best.get(lang, (np.inf, 0, b"")), (float(cosine[i]), int(k[i]), x[i].tobytes()))
+        for lang, (cosine, k, v) in best.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([cosine]), pa.array([k]), pa.array([v])], names=["lang", "cosine", "k", "vector"])
+
+    rows = texts.select("lang", "k", "text").mapInArrow(run, "lang string, cosine double, k long, vector binary")
+    got = rows.groupBy("lang").agg(F.min(F.struct("cosine", "k", "vector")).alias("best")).collect()
+    return {r["lang"]: (r["best"]["k"], np.frombuffer(r["best"]["vector"], np.float32)) for r in got}
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    return x / max(float(np.linalg.norm(x)), 1e-12)
+
+
+def spherical_kmeans(texts: DataFrame, idf: np.ndarray, k: int, rounds: int = 15) -> dict[str, np.ndarray]:
+    """At most k unit centroids a language; begun from the text nearest to the mean and those farthest from the ones begun before."""
+    means = {lang: unit(v)[None] for (lang, _, _), v in nearest_sums(texts, idf, None).items()}
+    if not means:
+        return {}
+    begun, taken = {}, {}
+    for lang, (at, v) in farthest(texts, idf, means, -1).items():
+        begun[lang], taken[lang] = v[None], {at}
+    grow = dict(begun)
+    for _ in range(k - 1):
+        for lang, (at, v) in farthest(texts, idf, grow, 1).items():
+            if at in taken[lang]:  # it has no more texts
+                del grow[lang]
+            else:
+                taken[lang].add(at)
+                begun[lang] = grow[lang] = np.concatenate([begun[lang], v[None]])
+        if not grow:
             break
+    centres = begun
+    for _ in range(rounds):
+        sums = nearest_sums(texts, idf, centres)
+        new = {lang: np.stack([unit(sums[lang, i, 0]) if (lang, i, 0) in sums else c for i, c in enumerate(own)]) for lang, own in centres.items()}
+        done = all(np.allclose(new[lang], centres[lang], atol=1e-6) for lang in centres)
         centres = new
+        if done:
+            break
     return centres
 
 
-def excerpt_cosines(sample: DataFrame, idf: np.ndarray, others: dict[tuple[str, int], np.ndarray]) -> DataFrame:
-    """(lang, class, cosine) of the texts of ``sample`` and of their beginnings in every shorter class of length, with the
-    nearest of their language's centroids of other texts."""
+def excerpt_cosines(texts: DataFrame, idf: np.ndarray, others: dict[tuple[str, int], np.ndarray]) -> dict[str, list[np.ndarray]]:
+    """Of each language and class of length, how many of its texts, and of their beginnings in every shorter class, have each
+    cosine, in STEPS, with the nearest of their language's centroids of other texts.
+
+    At most CLASSES * (STEPS + 1) counts of a language, of all texts, come to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple[str, int], np.ndarray] = defaultdict(lambda: np.zeros(STEPS + 1, np.int64))
+        place = np.zeros(BINS, np.int64)
         for batch in batches:
             lang, part_of = batch.column(0).to_pylist(), (batch.column(1).to_numpy() % FOLDS).tolist()
-            names, classes, cosines = [], [], []
             for lo, hi, part, at in small_chunks(batch.column(2)):
                 doc, bins = trigram_bins(part, at)
                 cuts = np.searchsorted(doc, np.arange(hi - lo + 1))
@@ -166,77 +265,83 @@ def excerpt_cosines(sample: DataFrame, idf: np.ndarray, others: dict[tuple[str,
                     if n and c is not None:
                         top = int(length_class(np.array([n]))[0])
                         sizes = [2**k + n % 2**k for k in range(top)] + [n]
-                        counts = np.stack([np.bincount(own[:m], minlength=BINS) for m in sizes]).astype(np.float32)
-                        cosines += (vectors(counts, idf) @ c.T).max(axis=1).tolist()
-                        classes += range(top + 1)
-                        names += [lang[lo + i]] * (top + 1)
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(classes, pa.int64()), pa.array(cosines, pa.float64())], names=["lang", "class", "cosine"])
-
-    return sample.select("lang", "k", "text").mapInArrow(run, "lang string, class long, cosine double")
+                        used = np.flatnonzero(np.bincount(own, minlength=BINS))
+                        place[used] = np.arange(len(used))
+                        own = place[own]
+                        counts = np.stack([np.bincount(own[:m], minlength=len(used)) for m in sizes]).astype(np.float32)
+                        step = np.clip(np.floor((vectors(counts, idf[used]) @ c[:, used].T).max(axis=1) * STEPS), 0, STEPS).astype(np.int64)
+                        for k, j in enumerate(step.tolist()):
+                            seen[lang[lo + i], k][j] += 1
+        for (name, k), n in seen.items():
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(np.full(len(at), k)), pa.array(at), pa.array(n[at])], names=["lang", "class", "step", "n"])
+
+    rows = texts.select("lang", "k", "text").mapInArrow(run, "lang string, class long, step long, n long")
+    out: dict[str, list[np.ndarray]] = {}
+    for r in rows.groupBy("lang", "class", "step").agg(F.sum("n").alias("n")).collect():
+        out.setdefault(r["lang"], [np.zeros(STEPS + 1, np.int64) for _ in range(CLASSES)])[r["class"]][r["step"]] = r["n"]
+    return out
 
 
-def limits(scores: list[np.ndarray], rate: float) -> tuple[np.ndarray, bool]:
+def limits(scores: list[np.ndarray], rate: float, counts: list[np.ndarray] | None = None) -> tuple[np.ndarray, bool]:
     """(least cosine of each class that is not rejected, whether there are scores enough for ``rate``).
 
+    counts: how often each score occurs; once without it.
+
     Of m scores the one of rank rate * (m + 1) is exceeded by another text of the kind with a chance of 1 - rate or more. A
     class where that rank is below LEAST_RANK takes the limit of the next shorter one, where cosines are lower. If the
     shortest has too few, the limits have rank 1 at least, among the scores above 0: a text that shares nothing with the rest
     of its language would set a limit that rejects nothing."""
     out, held = np.zeros(CLASSES), 0.0
-    enough = int(rate * (len(scores[0]) + 1)) >= LEAST_RANK
-    for c, s in enumerate(scores):
-        s = np.sort(s if enough else s[s > 0])
-        rank = int(rate * (len(s) + 1))
-        if rank >= LEAST_RANK if enough else len(s):
-            held = float(s[max(rank, 1) - 1])
+    counts = counts or [np.ones(len(s), np.int64) for s in scores]
+    enough = int(rate * (int(counts[0].sum()) + 1)) >= LEAST_RANK
+    for c, (s, n) in enumerate(zip(scores, counts, strict=True)):
+        on = np.argsort(s, kind="stable") if enough else np.flatnonzero(s > 0)[np.argsort(s[s > 0], kind="stable")]
+        upto = np.cumsum(n[on])
+        m = int(upto[-1]) if len(upto) else 0
+        rank = int(rate * (m + 1))
+        if rank >= LEAST_RANK if enough else m:
+            held = float(s[on[np.searchsorted(upto, max(rank, 1))]])
         out[c] = held
     return out, enough
 
 
-def fit(docs: DataFrame, trainable: Column, sample: int = 2000, clusters: int = 4, rate: float = 0.01) -> Model:
-    """A model of the rows where ``trainable`` holds and lang and text are there.
+def fit(docs: DataFrame, trainable: Column, sample: int | None = None, clusters: int = 4, rate: float = 0.01) -> Model:
+    """A model of the rows where ``trainable`` holds and lang and text are there: of all their different texts.
+
+    sample: bound of different texts for centroids and limits, shared equally by the languages, for a quick model (with more
+    languages than that it is one text of each); document frequencies cover all rows.
 
-    sample: bound of labelled rows for the centroids (their vectors, 16 kB each, come to the driver; with more languages than
-    that it is one row of each); document frequencies cover all rows.
+    rate: share of texts of a language, at any length, that may be rejected although they are like those learned. The limits
+    come from all texts learned and beginnings of them, compared with centroids of the other parts of these texts, rounded down
+    to a step of 1 / STEPS. A language with fewer than LEAST_RANK / rate texts has the lower of its own limit (its least
+    score, if need be) and that of all languages together; one with a single text rejects nothing by distance.
 
-    rate: share of texts of a language, at any length, that may be rejected although they are like its sample. The limits come
-    from texts and beginnings of texts of the sample, compared with centroids of the other parts of it. A language with fewer
-    than LEAST_RANK / rate texts in the sample has the lower of its own limit (its least score, if need be) and that of all
-    languages together; one with a single text rejects nothing by distance."""
+    Sums of vectors (16 kB for each centroid, FOLDS times that at the end) and counts of cosines come to the driver."""
     labelled = docs.where(trainable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     df, n = document_frequencies(labelled)
     idf = np.log((1 + n) / (1 + df)) + 0.1
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, part, at in small_chunks(batch.column(2)):
-                rows = vectors(trigram_counts(part, at), idf).astype(np.float16)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array([r.tobytes() for r in rows], pa.binary())], names=["lang", "k", "vector"])
-
-    chosen = land(labelled_sample(labelled, sample), "language-sample")
-    rows = chosen.select("lang", "k", "text").mapInArrow(run, "lang string, k int, vector binary").collect()
-    by: dict[str, list] = {}
-    for r in sorted(rows, key=lambda r: r["k"]):
-        by.setdefault(r["lang"], []).append((r["k"] % FOLDS, np.frombuffer(r["vector"], np.float16).astype(np.float32)))
-    centroids, langs, others = [], [], {}
-    for lang in sorted(by):
-        part_of, x = np.array([p for p, _ in by[lang]]), np.stack([v for _, v in by[lang]])
-        on = np.linalg.norm(x, axis=1) > 0.5
-        part_of, x = part_of[on], x[on]
-        if len(x):
-            c = spherical_kmeans(x, clusters)
-            centroids.append(c)
-            langs += [lang] * len(c)
-            others |= {(lang, f): spherical_kmeans(x[part_of != f], clusters) for f in set(part_of.tolist()) if (part_of != f).any()}
-    scores: dict[str, list] = {lang: [[] for _ in range(CLASSES)] for lang in langs}
-    for r in excerpt_cosines(chosen, idf, others).collect() if others else ():  # at most CLASSES rows for a text of the sample
-        scores[r["lang"]][r["class"]].append(r["cosine"])
-    of_all, _ = limits([np.concatenate([np.array(s[c], float) for s in scores.values()] or [np.zeros(0)]) for c in range(CLASSES)], rate)
+    chosen = different_texts(labelled) if sample is None else labelled_sample(labelled, sample)
+    texts = land(chosen.select("lang", F.col("k").cast("long").alias("k"), "text"), "language-texts")
+    centres = spherical_kmeans(texts, idf, clusters)
+    # The centroids of the other parts: without the vectors of one part.
+    parts = nearest_sums(texts, idf, centres, FOLDS) if centres else {}
+    others = {}
+    for lang, own in centres.items():
+        for f in range(FOLDS):
+            rest = [[parts[lang, c, g] for g in range(FOLDS) if g != f and (lang, c, g) in parts] for c in range(len(own))]
+            if any(rest):
+                others[lang, f] = np.stack([unit(np.sum(v, axis=0)) for v in rest if v])
+    langs = [lang for lang in sorted(centres) for _ in centres[lang]]
+    seen = excerpt_cosines(texts, idf, others) if others else {}
+    empty = [np.zeros(STEPS + 1, np.int64)] * CLASSES
+    value = [np.arange(STEPS + 1) / STEPS] * CLASSES
+    of_all, _ = limits(value, rate, [np.sum([seen[lang][c] for lang in seen], axis=0) if seen else empty[c] for c in range(CLASSES)])
     radius = {}
-    for lang, s in scores.items():
-        own, enough = limits([np.array(x, float) for x in s], rate)
+    for lang in centres:
+        own, enough = limits(value, rate, seen.get(lang, empty))
         radius[lang] = own if enough else np.minimum(own, of_all)
-    return Model(idf, np.concatenate(centroids) if centroids else np.zeros((0, BINS), np.float32), langs, radius)
+    return Model(idf, np.concatenate([centres[lang] for lang in sorted(centres)]).astype(np.float32) if centres else np.zeros((0, BINS), np.float32), langs, radius)
 
 
 def identify(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -525,6 +525,27 @@ def test_language_limits():
     assert not enough and got[:3].tolist() == [0.007, 0.009, 0.009]
 
 
+def test_language_learns_from_all_texts(spark):
+    """Centroids and limits of more texts than any bound, copies once, against all texts one at a time."""
+    r = random.Random(6)
+    words = {lang: ["".join(r.choice(letters) for _ in range(r.randint(2, 8))) for _ in range(300)] for lang, letters in (("aa", "abcdefg"), ("bb", "defghijk"))}
+    rows = [(lang, " ".join(r.choices(words[lang], k=12))) for lang in words for _ in range(1500)]
+    rows += [("aa", rows[0][1])] * 700
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string").repartition(5)
+    model = language.fit(docs, F.lit(True), clusters=1)
+    own = {lang: sorted({t for x, t in rows if x == lang}) for lang in words}
+    for lang, texts in own.items():
+        x = np.stack([plain_vector(t, model.idf) for t in texts])
+        assert np.abs(model.centroids[model.langs.index(lang)] - x.sum(axis=0) / np.linalg.norm(x.sum(axis=0))).max() < 1e-5
+        fold = np.array([text_hash(t.encode()) % 4 for t in texts])
+        size = np.array([sum(plain_trigrams(t).values()) for t in texts])
+        others = [x[fold != f].sum(axis=0) for f in range(4)]
+        c = int(size.max()).bit_length() - 1  # no beginnings of longer texts are in the highest class
+        scores = sorted(x[i] @ others[fold[i]] / np.linalg.norm(others[fold[i]]) for i in np.flatnonzero(size >= 2**c))
+        rank = int(0.01 * (len(scores) + 1))
+        assert rank >= 3 and 0 <= scores[rank - 1] - model.radius[lang][c] <= 1 / language.STEPS + 1e-5
+
+
 def brute_license(text):
     """All base phrases at all places, and all stretches of words against all templates by plain edit distance, without an index."""
     w = licenses.words_of((text or "").translate({c: c + 32 for c in range(65, 91)}))
