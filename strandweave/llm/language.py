@@ -83,8 +83,10 @@ def length_class(n: np.ndarray) -> np.ndarray:
 
 
 def vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    x = np.log1p(counts) * idf.astype(np.float32)
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    x = np.log1p(counts)
+    x *= idf.astype(np.float32)
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    return x
 
 
 def has_letter(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -154,11 +156,10 @@ def vectors_by_language(batches: Iterator[pa.RecordBatch], idf: np.ndarray):
         lang, k = np.array(batch.column(0).to_pylist(), object), batch.column(1).to_numpy()
         for lo, hi, part, at in small_chunks(batch.column(2)):
             counts = trigram_counts(part, at)
-            on = np.flatnonzero(counts.any(axis=1))
-            names, x = lang[lo:hi][on], vectors(counts[on], idf)
-            for name in sorted(set(names)):
-                own = names == name
-                yield name, k[lo:hi][on][own], x[own]
+            on, names, x = counts.any(axis=1), lang[lo:hi], vectors(counts, idf)
+            for name in sorted(set(names[on])):
+                own = on & (names == name)
+                yield name, k[lo:hi][own], x[own]
 
 
 def nearest_sums(texts: DataFrame, idf: np.ndarray, centres: dict[str, np.ndarray] | None, folds: int = 1) -> dict[tuple[str, int, int], np.ndarray]:
@@ -173,7 +174,8 @@ def nearest_sums(texts: DataFrame, idf: np.ndarray, centres: dict[str, np.ndarra
             group, row = np.unique(near * folds + k % folds, return_inverse=True)
             member = np.zeros((len(group), len(x)), np.float32)
             member[row, np.arange(len(x))] = 1
-            total = (member @ np.rint(x * SCALE)).astype(np.int64)  # exact: at most 256 rows of at most 2**16
+            x *= SCALE
+            total = (member @ np.rint(x, out=x)).astype(np.int64)  # exact: at most 256 rows of at most 2**16
             for g, v in zip(group.tolist(), total, strict=True):
                 key = lang, g // folds, g % folds
                 sums[key] = sums[key] + v if key in sums else v
@@ -216,11 +218,13 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / max(float(np.linalg.norm(x)), 1e-12)
 
 
-def spherical_kmeans(texts: DataFrame, idf: np.ndarray, k: int, rounds: int = 15) -> dict[str, np.ndarray]:
-    """At most k unit centroids a language; begun from the text nearest to the mean and those farthest from the ones begun before."""
+def spherical_kmeans(texts: DataFrame, idf: np.ndarray, k: int, rounds: int = 15) -> tuple[dict[str, np.ndarray], dict[tuple[str, int, int], np.ndarray]]:
+    """At most k unit centroids a language, and the sums of each part of the texts that they are made of.
+
+    Begun from the text nearest to the mean and those farthest from the ones begun before."""
     means = {lang: unit(v)[None] for (lang, _, _), v in nearest_sums(texts, idf, None).items()}
     if not means:
-        return {}
+        return {}, {}
     begun, taken = {}, {}
     for lang, (at, v) in farthest(texts, idf, means, -1).items():
         begun[lang], taken[lang] = v[None], {at}
@@ -235,14 +239,21 @@ def spherical_kmeans(texts: DataFrame, idf: np.ndarray, k: int, rounds: int = 15
         if not grow:
             break
     centres = begun
-    for _ in range(rounds):
-        sums = nearest_sums(texts, idf, centres)
-        new = {lang: np.stack([unit(sums[lang, i, 0]) if (lang, i, 0) in sums else c for i, c in enumerate(own)]) for lang, own in centres.items()}
+    for i in range(rounds):
+        folds = FOLDS if i == rounds - 1 else 1
+        sums = nearest_sums(texts, idf, centres, folds)
+        new = {lang: np.stack([moved(sums, lang, c, folds, old) for c, old in enumerate(own)]) for lang, own in centres.items()}
         done = all(np.allclose(new[lang], centres[lang], atol=1e-6) for lang in centres)
         centres = new
         if done:
             break
-    return centres
+    return centres, sums if folds == FOLDS else nearest_sums(texts, idf, centres, FOLDS)
+
+
+def moved(sums: dict[tuple[str, int, int], np.ndarray], lang: str, c: int, folds: int, old: np.ndarray) -> np.ndarray:
+    """The centroid of what is nearest to it; it stays where nothing is."""
+    own = [sums[lang, c, f] for f in range(folds) if (lang, c, f) in sums]
+    return unit(np.sum(own, axis=0)) if own else old
 
 
 def excerpt_cosines(texts: DataFrame, idf: np.ndarray, others: dict[tuple[str, int], np.ndarray]) -> dict[str, list[np.ndarray]]:
@@ -323,10 +334,8 @@ def fit(docs: DataFrame, trainable: Column, sample: int | None = None, clusters:
     idf = np.log((1 + n) / (1 + df)) + 0.1
     chosen = different_texts(labelled) if sample is None else labelled_sample(labelled, sample)
     texts = land(chosen.select("lang", F.col("k").cast("long").alias("k"), "text"), "language-texts")
-    centres = spherical_kmeans(texts, idf, clusters)
-    # The centroids of the other parts: without the vectors of one part.
-    parts = nearest_sums(texts, idf, centres, FOLDS) if centres else {}
-    others = {}
+    centres, parts = spherical_kmeans(texts, idf, clusters)
+    others = {}  # centroids without the vectors of one part
     for lang, own in centres.items():
         for f in range(FOLDS):
             rest = [[parts[lang, c, g] for g in range(FOLDS) if g != f and (lang, c, g) in parts] for c in range(len(own))]
