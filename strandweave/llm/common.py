@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, remove_tables
 
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: White space that separates words, as the inside of a character class of Java's regular expressions.
@@ -21,6 +24,17 @@ def land(df: DataFrame, label: str) -> DataFrame:
     return cut_lineage(df, label)
 
 
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """``land`` for tables that nothing reads after the block, which deletes them at its end: what leaves it must be landed
+    by :func:`land` or be with the driver. Else each step of a pipeline would keep the tables of all steps before it."""
+    made: list[str] = []
+    try:
+        yield lambda df, label: cut_lineage(df, label, made)
+    finally:
+        remove_tables(spark, made)
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, ASCII_UPPER, ASCII_LOWER)
 

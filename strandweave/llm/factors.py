@@ -230,7 +230,8 @@ def repeated_spans(base: DataFrame, unit: Bytes, group_rows: int = 20_000, flush
 
     def listed(grams: DataFrame) -> DataFrame:
         lists = found.join(grams.select("gram"), "gram").groupBy("dk", "th").agg(F.collect_list("gram").alias("grams"))
-        return base.join(lists, ["dk", "th"], "left").select("dk", "th", "text", "grams")
+        # All columns of base pass, so that this is the shuffle of texts that the caller's join of the spans reads again.
+        return base.join(lists, ["dk", "th"], "left").select("dk", "th", "text", "grams", *(c for c in base.columns if c not in ("dk", "th", "text")))
 
     rows = listed(again.where(F.col("rows") <= group_rows)).mapInArrow(contexts(unit), CONTEXTS)
     out = rows.repartition(n, "gram").sortWithinPartitions("gram").mapInArrow(resolve(flush_rows, lambda t: solve(t, unit)), SPANS)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import land
+from .common import passing
 from .kernels import chunks, lower_table, text_buffer
 
 BINS = 4096
@@ -333,16 +333,17 @@ def fit(docs: DataFrame, trainable: Column, sample: int | None = None, clusters:
     df, n = document_frequencies(labelled)
     idf = np.log((1 + n) / (1 + df)) + 0.1
     chosen = different_texts(labelled) if sample is None else labelled_sample(labelled, sample)
-    texts = land(chosen.select("lang", F.col("k").cast("long").alias("k"), "text"), "language-texts")
-    centres, parts = spherical_kmeans(texts, idf, clusters)
-    others = {}  # centroids without the vectors of one part
-    for lang, own in centres.items():
-        for f in range(FOLDS):
-            rest = [[parts[lang, c, g] for g in range(FOLDS) if g != f and (lang, c, g) in parts] for c in range(len(own))]
-            if any(rest):
-                others[lang, f] = np.stack([unit(np.sum(v, axis=0)) for v in rest if v])
+    with passing(docs.sparkSession) as put:
+        texts = put(chosen.select("lang", F.col("k").cast("long").alias("k"), "text"), "language-texts")
+        centres, parts = spherical_kmeans(texts, idf, clusters)
+        others = {}  # centroids without the vectors of one part
+        for lang, own in centres.items():
+            for f in range(FOLDS):
+                rest = [[parts[lang, c, g] for g in range(FOLDS) if g != f and (lang, c, g) in parts] for c in range(len(own))]
+                if any(rest):
+                    others[lang, f] = np.stack([unit(np.sum(v, axis=0)) for v in rest if v])
+        seen = excerpt_cosines(texts, idf, others) if others else {}
     langs = [lang for lang in sorted(centres) for _ in centres[lang]]
-    seen = excerpt_cosines(texts, idf, others) if others else {}
     empty = [np.zeros(STEPS + 1, np.int64)] * CLASSES
     value = [np.arange(STEPS + 1) / STEPS] * CLASSES
     of_all, _ = limits(value, rate, [np.sum([seen[lang][c] for lang in seen], axis=0) if seen else empty[c] for c in range(CLASSES)])

@@ -11,14 +11,14 @@ in blocks of bounded size, and only those that may be links are emitted.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import land
+from .common import land, passing
 from .components import connected_components
 from .kernels import BASE, byte_values, chunks, gram_hash, lower_table, mix, prefix, ranges, space_table, span_hash, text_buffer, word_spans
 
@@ -281,24 +281,30 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.85, k: int = 5, small_
     A link is missed only if no band of both documents agrees, at 0.85 a chance of about 2e-8 and at 0.8 of
     about 3e-6, or the estimate is off by more
     than SIGMAS standard deviations."""
-    rows = land(signatures(docs, k), "signatures")
+    with passing(docs.sparkSession) as put:
+        return land(judged(docs, threshold, k, small_bucket, block, put), "near-duplicates")
+
+
+def judged(docs: DataFrame, threshold: float, k: int, small_bucket: int, block: int, put: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """What :func:`near_duplicates` returns, read from the tables that ``put`` landed."""
+    rows = put(signatures(docs, k), "signatures")
     classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2").agg(
         F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
-    classes = land(classes, "classes")
+    classes = put(classes, "classes")
     buckets = classes.select("rep", "n", "sig", F.posexplode("bands").alias("band", "key"))
     hubs = buckets.groupBy("band", "key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = land(buckets.join(hubs, ["band", "key"]), "buckets")
+    shared = put(buckets.join(hubs, ["band", "key"]), "buckets")
     one = shared.where("rep > hub").groupBy(F.col("hub").alias("a"), F.col("rep").alias("b")).agg(F.first("sig").alias("sig_b"), F.first("n").alias("n_b"))
     hub_sigs = classes.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a"), F.col("n").alias("n_a"))
-    first = land(confirm(promising(one.join(hub_sigs, "a"), threshold), docs, classes, threshold, k), "links")
-    found = connected_components(first)
+    first = put(confirm(promising(one.join(hub_sigs, "a"), threshold), docs, classes, threshold, k), "links")
+    found = connected_components(first, put=put)
 
     labelled = shared.select("band", "key", F.col("rep").alias("node"), "n", "sig", "size").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_ = labelled.groupBy("band", "key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("band", "key")
-    left = land(labelled.join(open_, ["band", "key"]), "open-members")
+    left = put(labelled.join(open_, ["band", "key"]), "open-members")
     few = left.where(F.col("size") <= small_bucket).withColumn("g", F.xxhash64("band", "key"))
     few = few.select("g", "node", "component", "n", "sig").repartition("g").sortWithinPartitions("g")
-    some = land(in_small_buckets(few, threshold).distinct(), "open-pairs")
+    some = put(in_small_buckets(few, threshold).distinct(), "open-pairs")
     links = first
     if not some.isEmpty():
         links = links.unionByName(confirm(some, docs, classes, threshold, k))
@@ -309,11 +315,11 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.85, k: int = 5, small_
         many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         group = F.xxhash64("band", "key", F.least("mine", "other"), F.greatest("mine", "other"))
         keyed = many.select("node").distinct().join(classes.select(F.col("rep").alias("node"), "s1", "s2"), "node")
-        sets = land(full_sets(docs, keyed, k), "open-sets")
+        sets = put(full_sets(docs, keyed, k), "open-sets")
         many = many.select(group.alias("g"), "node", "component", "n", "sig").join(sets, "node").select("g", "node", "component", "n", "sig", "shingles")
         links = links.unionByName(in_blocks(many.repartition("g").sortWithinPartitions("g", "node"), threshold))
     if links is not first:
-        found = connected_components(links)
+        found = connected_components(links, put=put)
     named = classes.select("s1", "s2", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("c"))
     own = rows.select("doc_id", "n_shingles", "s1", "s2")
     out = own.join(named, ["s1", "s2"], "left")

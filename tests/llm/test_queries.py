@@ -121,3 +121,39 @@ def test_near_duplicates_that_share_a_doc_id(spark):
     assert kept((3, text(1)), (7, near(1))) == 1 and (3, text(1)) in got
     assert kept((7, text(2)), (9, near(2))) == 1 and (7, text(2)) in got
     assert kept((11, text(3)), (11, near(3))) == 1 and kept((12, text(4))) == 1 and kept((None, text(4))) == 2 and len(got) == 6
+
+
+def test_stages_leave_no_tables_that_nothing_reads(spark, tmp_path, monkeypatch):
+    """Scratch tables of the model and of the judgement of near-duplicates are gone when the stage is, also if it fails; what is read is there."""
+    from pyspark.sql import functions as F
+
+    from strandweave import session
+
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = []
+    monkeypatch.setattr(session, "scratch_dir", lambda _, label: labels.append(label) or f"{tmp_path}/{len(labels)}-{label}")
+    left = lambda: [p.name.split("-", 1)[1] for p in tmp_path.iterdir()]
+    known = pipeline.keep_known_languages(spark, docs, SF)
+    assert "language-texts" in labels and left() == []
+    kept = pipeline.drop_near_duplicates(spark, known, SF)
+    assert {"signatures", "classes", "edges"} <= set(labels) and left() == ["near-duplicates"]
+    assert 0 < kept.count() < docs.count()
+    with pytest.raises(Exception, match="no such text"):
+        pipeline.drop_near_duplicates(spark, docs.withColumn("text", F.when(F.col("doc_id") >= 0, F.raise_error(F.lit("no such text")))), SF)
+    assert left() == ["near-duplicates"]
+
+
+def test_passages_shuffle_texts_once(spark):
+    """With columns that travel along, too: the second join reads the shuffle of the first."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = pipeline.drop_repeated_passages(spark, docs, SF)
+        out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert any("ReusedExchange" in line and "text#" in line for line in plan.splitlines()), plan
