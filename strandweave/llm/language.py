@@ -1,14 +1,13 @@
 """Language identification by the nearest of several centroids for each language.
 
 A text's features are its byte trigrams, hashed, weighted by TF-IDF and normalised. Document frequencies come from all
-labelled training rows; the centroids from all their different texts, by spherical k-means: each round is a pass over the texts
-in which tasks add up the vectors nearest to each centroid. A prediction is the language of the centroid with the highest
-cosine; texts farther from it than nearly all learned texts of that language are at their length are rejected.
+labelled training rows; the centroids from all their different texts, by spherical k-means: texts are counted once, each round
+is a pass over these counts in which tasks add up the vectors nearest to each centroid. A prediction is the language of the
+centroid with the highest cosine; texts farther from it than nearly all learned texts of that language are at their length are rejected.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,6 +31,12 @@ SCALE = 1 << 16
 STEPS = 4096
 #: Least rank of a score that is a limit, so that one or two odd texts do not set it.
 LEAST_RANK = 3
+#: Logarithms of small counts plus one.
+LOGS = np.log1p(np.arange(1 << 16, dtype=np.float32))
+#: Counts of a text's trigrams: BINS bits, of which those of counts above 0 are set; a byte of each such count, 255 at most; and
+#: what counts of 255 or more have above it, of eight bytes. Of the bits, bytes that are not zero are kept and ``top`` says which
+#: they are, so that short texts take little room.
+COUNTS = ("top", "bits", "low", "more")
 
 
 @dataclass
@@ -47,7 +52,7 @@ def fold(raw: np.ndarray) -> np.ndarray:
     table = lower_table().copy()
     code = np.arange(256)
     table[(code < 128) & ~((table >= 97) & (table <= 122))] = 32
-    b = table[raw]
+    b = np.frombuffer(bytearray(raw.tobytes().translate(table.tobytes())), np.uint8)
     second = np.flatnonzero(raw[:-1] == 0xC3) + 1
     b[second[(raw[second] >= 0x80) & (raw[second] <= 0x9E) & (raw[second] != 0x97)]] += np.uint8(32)
     return b
@@ -75,20 +80,77 @@ def trigram_counts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """(documents, BINS) counts of hashed trigrams."""
     n = len(offsets) - 1
     doc, bins = trigram_bins(raw, offsets)
-    return np.bincount(doc * BINS + bins, minlength=n * BINS).reshape(n, BINS).astype(np.float32)
+    return np.bincount(doc * BINS + bins, minlength=n * BINS).reshape(n, BINS)
+
+
+def binary(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """A binary column of consecutive runs of ``data``, of so many bytes each."""
+    at = np.concatenate([[0], np.cumsum(lengths)])
+    return pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.binary())
+
+
+def packed(counts: np.ndarray) -> list[pa.Array]:
+    """The columns of COUNTS, a row of ``counts`` each."""
+    on = counts > 0
+    bits = np.packbits(on, axis=1)
+    some = bits != 0
+    value, large = counts[on], counts >= 255
+    top = np.packbits(some, axis=1)
+    return [binary(top, np.full(len(top), top.shape[1])), binary(bits[some], some.sum(axis=1)),
+            binary(np.minimum(value, 255).astype(np.uint8), on.sum(axis=1)), binary((counts[large] - 255).astype("<i8").view(np.uint8), 8 * large.sum(axis=1))]
+
+
+def unpacked(columns: list[pa.Array]) -> tuple[np.ndarray, np.ndarray]:
+    """(number of row * BINS + bin, count) of the counts above 0 in the columns of COUNTS, in order."""
+    top, bits, low, more = (text_buffer(c)[0] for c in columns)
+    n = len(columns[0])
+    some = np.unpackbits(top.reshape(n, -1), axis=1).view(bool)
+    all_bits = np.zeros(some.shape, np.uint8)
+    all_bits[some] = bits
+    at, value = np.flatnonzero(np.unpackbits(all_bits, axis=1).view(bool)), low.astype(np.int64)
+    value[low == 255] += more.view("<i8")
+    return at, value
+
+
+def counted(texts: DataFrame) -> DataFrame:
+    """(lang, k, COUNTS) of each row of (lang, k, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, part, at in small_chunks(batch.column(2)):
+                key = [batch.column(i).slice(lo, hi - lo) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*key, *packed(trigram_counts(part, at))], names=["lang", "k", *COUNTS])
+
+    return texts.select("lang", "k", "text").mapInArrow(run, ", ".join(["lang string, k long", *(f"{c} binary" for c in COUNTS)]))
+
+
+def counts_of_batches(batches: Iterator[pa.RecordBatch]):
+    """(lang, k or what stands in its place, places, counts) of at most 256 of the (lang, k, COUNTS) of a task at once."""
+    for batch in batches:
+        lang, k = np.array(batch.column(0).to_pylist(), object), batch.column(1).to_numpy()
+        for lo in range(0, batch.num_rows, 256):
+            hi = min(lo + 256, batch.num_rows)
+            yield lang[lo:hi], k[lo:hi], *unpacked([batch.column(i).slice(lo, hi - lo) for i in range(2, 6)])
 
 
 def length_class(n: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(np.maximum(n, 1)).astype(np.int64), CLASSES - 1)
 
 
-def vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    x = np.log1p(counts)
-    x *= idf.astype(np.float32)
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+def placed_vectors(n: int, at: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """n unit vectors of the counts above 0 at these places of all rows together."""
+    logs = LOGS[counts] if counts.max(initial=0) < len(LOGS) else np.log1p(counts.astype(np.float32))
+    x = np.zeros((n, len(idf)), np.float32)
+    x.ravel()[at] = logs * idf.astype(np.float32)[at % len(idf)]
+    x /= np.maximum(np.sqrt(np.add.reduce(x * x, axis=1, keepdims=True)), 1e-12)
     return x
 
 
+def vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    at = np.flatnonzero(counts)
+    return placed_vectors(len(counts), at, counts.ravel()[at], idf)
+
+
 def has_letter(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Whether a text has a letter: ASCII at once, others by their Unicode class."""
     ascii_letter = ((raw | 32) >= 97) & ((raw | 32) <= 122)
@@ -108,19 +170,18 @@ def small_chunks(column: pa.Array):
             yield lo + a, lo + z, part[at[a]:at[z]], at[a:z + 1] - at[a]
 
 
-def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
-    """(documents with each bin, documents) over all rows: a vector for each partition is added up."""
+def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
+    """(documents with each bin, documents) over the (lang, n, COUNTS) of n documents each: a vector for each partition is added up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(BINS, np.int64), 0
-        for batch in batches:
-            for lo, hi, part, at in small_chunks(batch.column(0)):
-                df += (trigram_counts(part, at) > 0).sum(axis=0)
-                n += hi - lo
+        for _, times, at, _ in counts_of_batches(batches):
+            df += np.bincount(at % BINS, weights=times[at // BINS], minlength=BINS).astype(np.int64)
+            n += int(times.sum())
         if n:
             yield pa.RecordBatch.from_arrays([pa.array(np.append(np.arange(BINS), -1)), pa.array(np.append(df, n))], names=["bin", "n"])
 
-    got = texts.select("text").mapInArrow(run, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()  # BINS + 1 rows
+    got = rows.select("lang", "n", *COUNTS).mapInArrow(run, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()  # BINS + 1 rows
     df = np.zeros(BINS + 1, np.int64)
     for r in got:
         df[r["bin"]] = r["n"]
@@ -145,21 +206,22 @@ def labelled_sample(labelled: DataFrame, bound: int) -> DataFrame:
     return picked.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= each).select("lang", "text", "k")
 
 
-def different_texts(labelled: DataFrame) -> DataFrame:
-    """(lang, text, k): every text of a language once; k is a hash of it."""
-    return labelled.select("lang", "text", F.xxhash64("text").alias("k")).dropDuplicates(["lang", "k"])
+def different_counts(texts: DataFrame) -> DataFrame:
+    """(lang, k, n, COUNTS): every text of a language once, k being a hash of it, and how many rows have it.
+
+    Counts are shuffled, not texts: they take less room."""
+    one = [F.first(c).alias(c) for c in COUNTS]
+    return counted(texts).groupBy("lang", "k").agg(F.count(F.lit(1)).alias("n"), *one)
 
 
 def vectors_by_language(batches: Iterator[pa.RecordBatch], idf: np.ndarray):
-    """(lang, k, vectors) of runs of the (lang, k, text) of a task; texts without trigrams are left out."""
-    for batch in batches:
-        lang, k = np.array(batch.column(0).to_pylist(), object), batch.column(1).to_numpy()
-        for lo, hi, part, at in small_chunks(batch.column(2)):
-            counts = trigram_counts(part, at)
-            on, names, x = counts.any(axis=1), lang[lo:hi], vectors(counts, idf)
-            for name in sorted(set(names[on])):
-                own = on & (names == name)
-                yield name, k[lo:hi][own], x[own]
+    """(lang, k, vectors) of runs of the (lang, k, COUNTS) of a task; texts without trigrams are left out."""
+    for lang, k, at, counts in counts_of_batches(batches):
+        on, x = np.zeros(len(k), bool), placed_vectors(len(k), at, counts, idf)
+        on[at // BINS] = True
+        for name in sorted(set(lang[on])):
+            own = on & (lang == name)
+            yield (name, k, x) if own.all() else (name, k[own], x[own])
 
 
 def nearest_sums(texts: DataFrame, idf: np.ndarray, centres: dict[str, np.ndarray] | None, folds: int = 1) -> dict[tuple[str, int, int], np.ndarray]:
@@ -192,7 +254,7 @@ def nearest_sums(texts: DataFrame, idf: np.ndarray, centres: dict[str, np.ndarra
             yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([c]), pa.array([f]), pa.array([v.astype(np.float32).tobytes()])], names=["lang", "c", "f", "sums"])
 
     schema = "lang string, c long, f long, sums binary"
-    got = texts.select("lang", "k", "text").mapInArrow(local, schema).repartition("lang", "c", "f").mapInArrow(added, schema).collect()
+    got = texts.select("lang", "k", *COUNTS).mapInArrow(local, schema).repartition("lang", "c", "f").mapInArrow(added, schema).collect()
     return {(r["lang"], r["c"], r["f"]): np.frombuffer(r["sums"], np.float32) for r in got}
 
 
@@ -209,7 +271,7 @@ def farthest(texts: DataFrame, idf: np.ndarray, begun: dict[str, np.ndarray], si
         for lang, (cosine, k, v) in best.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([cosine]), pa.array([k]), pa.array([v])], names=["lang", "cosine", "k", "vector"])
 
-    rows = texts.select("lang", "k", "text").mapInArrow(run, "lang string, cosine double, k long, vector binary")
+    rows = texts.select("lang", "k", *COUNTS).mapInArrow(run, "lang string, cosine double, k long, vector binary")
     got = rows.groupBy("lang").agg(F.min(F.struct("cosine", "k", "vector")).alias("best")).collect()
     return {r["lang"]: (r["best"]["k"], np.frombuffer(r["best"]["vector"], np.float32)) for r in got}
 
@@ -257,19 +319,20 @@ def moved(sums: dict[tuple[str, int, int], np.ndarray], lang: str, c: int, folds
 
 
 def excerpt_cosines(texts: DataFrame, idf: np.ndarray, others: dict[tuple[str, int], np.ndarray]) -> dict[str, list[np.ndarray]]:
-    """Of each language and class of length, how many of its texts, and of their beginnings in every shorter class, have each
-    cosine, in STEPS, with the nearest of their language's centroids of other texts.
+    """Of each language and class of length, how many of its different texts, and of their beginnings in every shorter class,
+    have each cosine, in STEPS, with the nearest of their language's centroids of other texts.
 
-    At most CLASSES * (STEPS + 1) counts of a language, of all texts, come to the driver."""
+    Copies of a text drop out when its steps are known, so no texts are shuffled. At most CLASSES * (STEPS + 1) counts of a
+    language, of all texts, come to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple[str, int], np.ndarray] = defaultdict(lambda: np.zeros(STEPS + 1, np.int64))
         place = np.zeros(BINS, np.int64)
         for batch in batches:
             lang, part_of = batch.column(0).to_pylist(), (batch.column(1).to_numpy() % FOLDS).tolist()
             for lo, hi, part, at in small_chunks(batch.column(2)):
                 doc, bins = trigram_bins(part, at)
                 cuts = np.searchsorted(doc, np.arange(hi - lo + 1))
+                rows, steps = [], []
                 for i in range(hi - lo):
                     own, n = bins[cuts[i]:cuts[i + 1]], int(cuts[i + 1] - cuts[i])
                     c = others.get((lang[lo + i], part_of[lo + i]))
@@ -278,18 +341,18 @@ def excerpt_cosines(texts: DataFrame, idf: np.ndarray, others: dict[tuple[str, i
                         sizes = [2**k + n % 2**k for k in range(top)] + [n]
                         used = np.flatnonzero(np.bincount(own, minlength=BINS))
                         place[used] = np.arange(len(used))
-                        own = place[own]
-                        counts = np.stack([np.bincount(own[:m], minlength=len(used)) for m in sizes]).astype(np.float32)
-                        step = np.clip(np.floor((vectors(counts, idf[used]) @ c[:, used].T).max(axis=1) * STEPS), 0, STEPS).astype(np.int64)
-                        for k, j in enumerate(step.tolist()):
-                            seen[lang[lo + i], k][j] += 1
-        for (name, k), n in seen.items():
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(np.full(len(at), k)), pa.array(at), pa.array(n[at])], names=["lang", "class", "step", "n"])
-
-    rows = texts.select("lang", "k", "text").mapInArrow(run, "lang string, class long, step long, n long")
+                        between = np.repeat(np.arange(len(sizes)) * len(used), np.diff([0, *sizes]))
+                        counts = np.bincount(between + place[own], minlength=len(sizes) * len(used)).reshape(len(sizes), -1).cumsum(axis=0)
+                        rows.append(lo + i)
+                        steps.append(np.clip(np.floor((vectors(counts, idf[used]) @ c[:, used].T).max(axis=1) * STEPS), 0, STEPS).astype(np.int32))
+                if rows:
+                    ends = np.concatenate([[0], np.cumsum([len(x) for x in steps])]).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(rows)) for i in (0, 1)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(steps)))], names=["lang", "k", "steps"])
+
+    rows = texts.select("lang", "k", "text").mapInArrow(run, "lang string, k long, steps array<int>").dropDuplicates(["lang", "k"])
+    rows = rows.select("lang", F.posexplode("steps").alias("class", "step"))
     out: dict[str, list[np.ndarray]] = {}
-    for r in rows.groupBy("lang", "class", "step").agg(F.sum("n").alias("n")).collect():
+    for r in rows.groupBy("lang", "class", "step").agg(F.count(F.lit(1)).alias("n")).collect():
         out.setdefault(r["lang"], [np.zeros(STEPS + 1, np.int64) for _ in range(CLASSES)])[r["class"]][r["step"]] = r["n"]
     return out
 
@@ -330,12 +393,17 @@ def fit(docs: DataFrame, trainable: Column, sample: int | None = None, clusters:
 
     Sums of vectors (16 kB for each centroid, FOLDS times that at the end) and counts of cosines come to the driver."""
     labelled = docs.where(trainable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    df, n = document_frequencies(labelled)
-    idf = np.log((1 + n) / (1 + df)) + 0.1
-    chosen = different_texts(labelled) if sample is None else labelled_sample(labelled, sample)
+    texts = labelled.select("lang", F.xxhash64("text").alias("k"), "text")
     with passing(docs.sparkSession) as put:
-        texts = put(chosen.select("lang", F.col("k").cast("long").alias("k"), "text"), "language-texts")
-        centres, parts = spherical_kmeans(texts, idf, clusters)
+        if sample is None:
+            counts = put(different_counts(texts), "language-texts")
+            df, n = document_frequencies(counts)
+        else:
+            df, n = document_frequencies(counted(texts).withColumn("n", F.lit(1).cast("long")))
+            texts = put(labelled_sample(labelled, sample).select("lang", F.col("k").cast("long").alias("k"), "text"), "language-sample")
+            counts = put(different_counts(texts), "language-texts")
+        idf = np.log((1 + n) / (1 + df)) + 0.1
+        centres, parts = spherical_kmeans(counts, idf, clusters)
         others = {}  # centroids without the vectors of one part
         for lang, own in centres.items():
             for f in range(FOLDS):

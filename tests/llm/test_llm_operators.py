@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -546,6 +547,40 @@ def test_language_learns_from_all_texts(spark):
         assert rank >= 3 and 0 <= scores[rank - 1] - model.radius[lang][c] <= 1 / language.STEPS + 1e-5
 
 
+def test_language_rounds_read_counts_of_texts(spark, monkeypatch):
+    """Texts are counted once, not in every round: the table the rounds read has no texts. Copies count in document frequencies alone;
+    counts beyond a byte and beyond the table of logarithms are whole; texts without trigrams only count as documents."""
+    tables, passing = [], language.passing
+
+    @contextmanager
+    def recorded(spark):
+        with passing(spark) as put:
+            yield lambda df, label: tables.append((label, df.columns)) or put(df, label)
+
+    monkeypatch.setattr(language, "passing", recorded)
+    texts = ["", "7 !!", "ab", "ab " * 254 + "c", "ab " * 255 + "cd", "ab " * 256, "xyz" * 30_000, "\u00c9cole \u4e2d\u6587 " * 300]
+    texts += [f"gh{i} some words {'x' * (i % 7)}" for i in range(700)] + ["one text thrice"] * 3
+    rows = [(i, t, "aa") for i, t in enumerate(texts)] + [(-1, "ab", None), (-2, None, "aa")]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3), F.lit(True), clusters=1)
+    assert [label for label, _ in tables] == ["language-texts"] and not any("text" in columns for _, columns in tables)
+    seen = Counter(b for t in texts for b in plain_trigrams(t))
+    assert np.allclose(model.idf, [math.log((1 + len(texts)) / (1 + seen[b])) + 0.1 for b in range(language.BINS)])
+    x = sum(plain_vector(t, model.idf) for t in set(texts))
+    assert np.abs(model.centroids - x / np.linalg.norm(x)).max() < 1e-5
+
+
+def test_language_counts_packed():
+    r = np.random.default_rng(5)
+    counts = r.integers(1, 400, (600, language.BINS)) * (r.random((600, language.BINS)) < 0.05)
+    counts[3], counts[5] = 0, 0
+    counts[5, [0, 7, 8, 4095]] = 255, 256, 70_000, 2**40
+    counts[599, :] = 254
+    columns = language.packed(counts)
+    for lo, n in ((0, 600), (3, 1), (2, 255), (599, 1)):
+        at, value = language.unpacked([c.slice(lo, n) for c in columns])
+        assert at.tolist() == np.flatnonzero(counts[lo:lo + n]).tolist() and (value == counts[lo:lo + n].ravel()[at]).all()
+
+
 def brute_license(text):
     """All base phrases at all places, and all stretches of words against all templates by plain edit distance, without an index."""
     w = licenses.words_of((text or "").translate({c: c + 32 for c in range(65, 91)}))
