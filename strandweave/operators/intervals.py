@@ -35,20 +35,24 @@ def merge_intervals(df: DataFrame, keys: list[str], start: str = "start", end: s
     """Union of intervals per key -> (keys, seg_start, seg_end, n_intervals).
 
     Equal starts are collapsed map-side first, so the scan sees at most one row per coordinate.
-    ``touching`` merges ``[1,3]`` with ``[4,6]``.
+    ``touching`` merges ``[1,3]`` with ``[4,6]``. Rows of a missing key are one key; rows without a start
+    are a row of their own and part of no segment.
     """
     gap = 1 if touching else 0
+    # A struct of the keys is never null itself, so a missing key finds its carry in the join of ``running``.
     base = (
-        df.groupBy(*keys, F.col(start).alias("_s"))
+        df.groupBy(F.struct(*keys).alias("_k"), F.col(start).alias("_s"))
         .agg(F.max(end).alias("_e"), F.count(F.lit(1)).alias("_n"))
         .withColumn("_b", F.floor(F.col("_s") / bucket_width))
     )
-    seen = running(base, keys, "_b", ["_s"], "_reach", "max", F.col("_e"), inclusive=False)
+    placed = F.when(F.col("_s").isNotNull(), F.col("_e"))
+    seen = running(base, ["_k"], "_b", ["_s"], "_reach", "max", placed, inclusive=False)
     opens = seen.withColumn(
         "_open", F.when(F.col("_reach").isNull() | (F.col("_s") > F.col("_reach") + gap), F.col("_s"))
     )
-    seg = running(opens, keys, "_b", ["_s"], "seg_start", "max", F.col("_open"))
-    return seg.groupBy(*keys, "seg_start").agg(F.max("_e").alias("seg_end"), F.sum("_n").alias("n_intervals"))
+    seg = running(opens, ["_k"], "_b", ["_s"], "seg_start", "max", F.col("_open"))
+    merged = seg.groupBy("_k", "seg_start").agg(F.max("_e").alias("seg_end"), F.sum("_n").alias("n_intervals"))
+    return merged.select("_k.*", "seg_start", "seg_end", "n_intervals")
 
 
 def merge_within(df: DataFrame, keys: list[str], start: str, end: str, name: str) -> DataFrame:
